@@ -3,12 +3,17 @@ to their whole tables."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classify
+from tessera.llm import classify, exact, htmltext, licenses, sentencepiece_fst, simhash, substrings, suffixes
 from tessera.llm.frames import table
 
+#: A public tokenizer's model file; a parameter of the operator.
+MODEL_PATH = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, task: classify.Task, modulus: int, remainder: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,9 +31,58 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "quality", classify.QUALITY, 4, 2)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    """ids of every whole text, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model_path), model_path)
+    return coded.select("doc_id", "n_tokens", "ids", F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_licenses": op3_licenses,
+    "op4_html": op4_html,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_dedup": r"""
+        WITH facts AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
+            FROM documents
+        ), named AS (
+            SELECT norm, count(*) AS group_size, arg_min(doc_id, (-n_chars, doc_id)) AS keep_id FROM facts GROUP BY norm
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+        FROM facts JOIN named USING (norm)
+    """,
+}
