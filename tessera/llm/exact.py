@@ -66,7 +66,8 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256,
+    n_chars."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
     base = base.withColumn("size", F.length("norm")).withColumn("hash", F.xxhash64("norm"))
     facts = frames.stored(base.select("doc_id", "n_chars", "size", "hash", F.sha2("norm", 256).alias("text_sha256")))
@@ -80,6 +81,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     of = mine["doc_id"].eqNullSafe(named["_id"]) & (mine["text_sha256"] == named["_sha"])
     members = frames.stored(mine.join(named, of).select("doc_id", "n_chars", "text_sha256", "size", "name"))
     best = members.groupBy("size", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"), "doc_id")).alias("best"))
-    copies = members.join(best, ["size", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"), "text_sha256")
-    alone = facts.join(shared, ["size", "hash"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    copies = members.join(best, ["size", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"), "text_sha256", "n_chars")
+    alone = facts.join(shared, ["size", "hash"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars")
     return alone.unionByName(copies)
+
+
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` that stay. Rows alike in doc_id and text are one document
+    and all stay."""
+    gone = exact_duplicates(docs, doc_id, text, block).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n_chars").distinct()
+    same = docs[doc_id].eqNullSafe(gone["_id"]) & (F.sha2(normalised(docs[text]), 256) == gone["_sha"]) & (F.length(F.coalesce(docs[text], F.lit(""))) == gone["n_chars"])
+    return docs.join(gone, same, "left_anti")

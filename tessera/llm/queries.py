@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classify, exact, htmltext, licenses, sentencepiece_fst, simhash, substrings, suffixes
+from tessera.llm import classify, decontaminate, exact, htmltext, licenses, sentencepiece_fst, simhash, substrings, suffixes
 from tessera.llm.frames import table
 
 #: A public tokenizer's model file; a parameter of the operator.
@@ -50,12 +50,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_chars")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_html": op4_html,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,

@@ -155,3 +155,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = FULL_CROWD) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their component."""
+    gone = near_duplicates(docs, doc_id, text, crowd).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
