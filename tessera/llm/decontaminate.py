@@ -3,8 +3,9 @@
 Words are lower-cased ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A document's passages are its
 spans of 64 words, one every 32 words. The terms are the benchmark's words; passages
 are rows of a TF-IDF matrix over them (a term counts once in a passage; its weight
-falls to zero where over ``max_df`` of all passages hold it, unless an item has fewer
-than three other terms).
+falls to zero where over ``max_df`` of all passages hold it; but the eight rarest terms of
+each item always keep theirs, so an item that leaks into a large part of the corpus is
+found too).
 
 1. One pass counts every term's passage frequency over the whole corpus.
 2. One pass takes the randomised SVD: with a fixed Gaussian test matrix W each task sums
@@ -40,6 +41,7 @@ from tessera.llm import textbatch as tb
 
 STRIDE = 32
 ANSWER = 5
+OWN = 8
 
 
 @dataclass(frozen=True)
@@ -126,11 +128,16 @@ def _weights(m: Terms, df: np.ndarray, n: int, max_df: float) -> tuple[np.ndarra
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     weight = np.maximum(idf + np.log(max_df), 0.0)
     for item in m.items:
-        if np.count_nonzero(weight[np.unique(item)]) < 3:
-            weight[item] = np.maximum(weight[item], idf[item])
+        rare = _rarest(item, idf, OWN)
+        weight[rare] = idf[rare]
     return weight, idf
 
 
+def _rarest(item: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    terms = np.unique(item)
+    return terms[np.lexsort((terms, -idf[terms]))[:n]]
+
+
 def _test_matrix(m: Terms, rank: int) -> np.ndarray:
     return np.random.default_rng(7).standard_normal((len(m.hashes), rank))
 
@@ -228,11 +235,7 @@ class Model:
         return _unit(z)
 
     def answers(self) -> list[np.ndarray]:
-        out = []
-        for item in self.terms.items:
-            t = np.unique(item)
-            out.append(t[np.lexsort((t, -self.idf[t]))[:ANSWER]])
-        return out
+        return [_rarest(item, self.idf, ANSWER) for item in self.terms.items]
 
 
 def _unit(z: np.ndarray) -> np.ndarray:

@@ -158,6 +158,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = FULL_CROWD) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component."""
-    gone = near_duplicates(docs, doc_id, text, crowd).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]), "left_anti")
+    """The rows of ``docs`` with the smallest doc_id of their component. An id stays
+    with all its rows if it stays for one; rows without an id stay."""
+    own = F.col("doc_id") == F.col("component_id")
+    ids = near_duplicates(docs, doc_id, text, crowd).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(own).alias("stays"))
+    gone = ids.filter(~F.col("stays")).select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")

@@ -97,8 +97,8 @@ def _shared_anchors(docs: DataFrame, n: int) -> DataFrame:
         owner = c.ids[c.doc[at]]
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(h)) - 1
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+        last = (np.append(first[1:], len(h)) - 1)[: len(first)]
         several = owner[first] != owner[last]
         # The lowest bit says that the chunk has the anchor in several documents.
         value = (h[first] & ~np.uint64(1)) | several.astype(np.uint64)
