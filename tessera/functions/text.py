@@ -108,3 +108,8 @@ def contains_any(c: Column, parts: list[str]) -> Column:
     for p in parts:
         out = out | F.contains(c, F.lit(p))
     return out
+
+
+def export_folder(csv_path: Column, style: str) -> Column:
+    """The folder for a table's images: beside it, its stem and the style."""
+    return F.concat(F.regexp_extract(csv_path, r"^(.*/)?[^/]*$", 1), F.regexp_extract(csv_path, r"([^/]*?)(?:\.[^./]*)?$", 1), F.lit(f"_{style}"))

@@ -107,3 +107,21 @@ def merged_overrides(base: DataFrame, overrides: DataFrame, key: str = "key", va
     """Key and value rows: the override's where it has the key, the base's otherwise."""
     b, o = base.select(key, F.col(value).alias("_b")), overrides.select(key, F.col(value).alias("_o"))
     return b.join(o, key, "full").select(key, F.coalesce("_o", "_b").alias(value))
+
+
+def success_rate(valid: Column) -> Column:
+    """Share of strings that a backend accepts; null for no strings."""
+    return F.avg(valid.cast("double"))
+
+
+def results_of_all(benchmarks: DataFrame, results: DataFrame, name: str = "name") -> DataFrame:
+    """Every benchmark with its result; a benchmark without one is an error."""
+    joined = benchmarks.join(results.withColumn("_found", F.lit(True)), name, "left")
+    missing = F.raise_error(F.concat(F.lit("no result for "), F.col(name).cast("string")))
+    return joined.filter(F.when(F.col("_found"), True).otherwise(missing.cast("boolean"))).drop("_found")
+
+
+def newest_snapshot(files: DataFrame, config: str = "config.json", path: str = "path") -> DataFrame:
+    """The folder, last in order, that holds the configuration file."""
+    folder = F.regexp_extract(F.col(path), f"^(.*)/{config.replace('.', '[.]')}$", 1)
+    return files.select(F.nullif(folder, F.lit("")).alias("folder")).agg(F.max("folder").alias("folder"))

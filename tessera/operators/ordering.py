@@ -84,3 +84,15 @@ def next_valid(df: DataFrame, at: str, value: Column, total: int, ahead: int, fa
             every = every.unionByName(more.withColumn("_own", F.lit(False)))
     w = Window.partitionBy("_block").orderBy("_at").rangeBetween(0, min(ahead, total - 1))
     return every.withColumn("replacement", F.coalesce(F.first("_value", ignorenulls=True).over(w), F.lit(fallback))).filter("_own").drop("_value", "_block", "_own", "_at")
+
+
+def random_replacement(df: DataFrame, key: str, value: Column, seed: int, tries: int = 20, total: int | None = None) -> DataFrame:
+    """``df`` (with ``ordinal`` from 0) with ``replacement``: the row's value, or where it
+    is null that of the first valid row among ``tries`` drawn at random (the same in every
+    run), else null. Rows without a value are joined with the rows that they draw."""
+    n = df.count() if total is None else total
+    rows = df.withColumn("_v", value)
+    draw = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("bigint") % n))
+    asked = rows.filter("_v is null").select(F.col(key).alias("_key"), F.posexplode(draw).alias("_k", "ordinal"))
+    found = asked.join(rows.filter("_v is not null").select("ordinal", "_v"), "ordinal").groupBy("_key").agg(F.min_by("_v", "_k").alias("_drawn"))
+    return rows.join(found, rows[key] == found["_key"], "left").withColumn("replacement", F.coalesce("_v", "_drawn")).drop("_v", "_key", "_drawn")

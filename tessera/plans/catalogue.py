@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import arrays, molecules, scoring, text
+from tessera.functions import arrays, images, molecules, scoring, text
 from tessera.operators import columns, curate, metrics, ordering
 from tessera.sources import readers, writers
 from tessera.streaming import logs
@@ -179,6 +179,17 @@ def next_valid_circular(spark, d):
     return ordering.next_valid(placed, "ordinal", F.when(F.col("quality") == 1, F.col("doc_id")), placed.count(), 8, -1).select("doc_id", "replacement")
 
 
+@query("""
+    WITH placed AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, CASE WHEN quality = 1 THEN doc_id END AS v, count(*) OVER () AS n FROM documents LEFT JOIN labels USING (doc_id)),
+    asked AS (SELECT doc_id, k, ('0x' || substr(md5('7:' || doc_id || ':' || k), 1, 8))::BIGINT % n AS ordinal FROM placed, range(0, 20) AS x(k) WHERE v IS NULL),
+    found AS (SELECT asked.doc_id, arg_min(v, k) AS d FROM asked JOIN placed USING (ordinal) WHERE v IS NOT NULL GROUP BY asked.doc_id)
+    SELECT doc_id, coalesce(v, d) AS replacement FROM placed LEFT JOIN found USING (doc_id)""")
+def random_replacement(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    placed = ordering.ordinal(rows, "doc_id")
+    return ordering.random_replacement(placed, "doc_id", F.when(F.col("quality") == 1, F.col("doc_id")), 7).select("doc_id", "replacement")
+
+
 # --- joins -------------------------------------------------------------------------
 
 
@@ -194,6 +205,13 @@ def override_merge(spark, d):
     return metrics.merged_overrides(base, table(spark, d, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value")))
 
 
+@query("SELECT n_name AS name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")
+def results_of_all(spark, d):
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    found = nation.join(customer, nation["n_nationkey"] == customer["c_nationkey"], "left").groupBy(F.col("n_name").alias("name")).agg(F.count("c_custkey").alias("n"))
+    return metrics.results_of_all(nation.select(F.col("n_name").alias("name")), found)
+
+
 # --- text --------------------------------------------------------------------------
 
 _EVAL_SQL = f"trim(CASE WHEN suffix(trim(text, {_WS}), '{STOP}') THEN left(trim(text, {_WS}), length(trim(text, {_WS})) - {len(STOP)}) ELSE trim(text, {_WS}) END, {_WS})"
@@ -226,6 +244,31 @@ def wrap_38(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.posexplode(text.wrapped(F.col("text"))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+@query("""SELECT page_id, regexp_extract(url, '^(.*/)?[^/]*$', 1) || regexp_extract(url, '([^/]*?)(?:\\.[^./]*)?$', 1) || '_plain' AS folder, split_part(url, ' ', 1) AS first_output FROM pages""")
+def output_names(spark, d):
+    return table(spark, d, "pages").select("page_id", text.export_folder(F.col("url"), "plain").alias("folder"), text.before_space(F.col("url")).alias("first_output"))
+
+
+def _draw_sql(k: int) -> str:
+    return f"(('0x' || substr(md5('5:' || p_partkey || ':{k}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _formula_sql() -> str:
+    parts, going = [], "true"
+    digit = lambda k: f"(floor({_draw_sql(k)} * 8) + 2)::BIGINT"
+    for i in range(4):
+        symbol = f"{images.SYMBOLS}[(floor({_draw_sql(10 * i + 1)} * 9) + 1)::BIGINT]"
+        part = f"CASE WHEN {_draw_sql(10 * i + 2)} < 0.25 THEN '(' || {symbol} || {digit(10 * i + 3)} || ')' ELSE {symbol} END || CASE WHEN {_draw_sql(10 * i + 4)} < 0.3 THEN {digit(10 * i + 5)}::VARCHAR ELSE '' END"
+        going = going if i == 0 else f"{going} AND {_draw_sql(10 * i)} >= 0.7"
+        parts.append(f"CASE WHEN {going} THEN {part} ELSE '' END")
+    return " || ".join(parts)
+
+
+@query(f"SELECT p_partkey, {_formula_sql()} AS formula FROM part")
+def condensed_formulas(spark, d):
+    return table(spark, d, "part").select("p_partkey", images.condensed_formula(5, F.col("p_partkey")).alias("formula"))
+
+
 def _penalty_sql(relation: str, key: str, column: str) -> str:
     """Penalty by key: character runs by a window, leading units by list functions."""
     unit = lambda p: f"coalesce(nullif(list_position(list_transform(range(0, n // {p}), lambda i: substr(s, (i * {p} + 1)::BIGINT, {p}) = substr(s, 1, {p})), false), 0) - 1, n // {p})"
@@ -323,6 +366,12 @@ def tanimoto_sets(spark, d):
     return df.select("conv_id", "turn", F.size(F.array_intersect(g, p)).alias("shared"), F.size(F.array_union(g, p)).alias("either"))
 
 
+@query(f"""WITH {_COMPLETIONS_SQL} SELECT round(avg((p <> '')::INTEGER), 9) AS success, round(avg(CASE WHEN g <> '' AND p <> '' THEN len(list_intersect(gg, pg))::DOUBLE / len(list_distinct(list_concat(gg, pg))) ELSE 0.0::DOUBLE END), 9) AS tanimoto FROM grams""")
+def canonical_success(spark, d):
+    rows = _completions(spark, d).select(BACKEND.described(F.col("gold")).alias("g"), BACKEND.described(text.candidate_first_line(F.col("text"), STOP)).alias("p"))
+    return rows.agg(F.round(metrics.success_rate(F.col("p.valid")), 9).alias("success"), F.round(F.avg(scoring.tanimoto(F.col("g.fingerprint"), F.col("p.fingerprint"))), 9).alias("tanimoto"))
+
+
 _BEST_SQL = f"{_SCORED_SQL}, ranked AS (SELECT conv_id, turn, pred, {_CURATION_SQL} AS reward FROM scored), best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY reward DESC, turn) = 1)"
 
 
@@ -446,6 +495,15 @@ def drop_timing_metrics(spark, d):
     return table(spark, d, "events").select("event_id", name.alias("name")).filter(~metrics.is_timing(F.col("name")))
 
 
+@query("""
+    WITH i AS (SELECT CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'skipped_exists' WHEN n_chars > 500 THEN 'ok' ELSE 'failed' END AS status FROM documents)
+    SELECT 'documents.csv' AS csv_path, 'documents_plain' AS output_dir, count(*) AS total_rows, count_if(status <> 'failed')::BIGINT AS saved_images, count_if(status = 'failed')::BIGINT AS failed_images FROM i""")
+def image_index_report(spark, d):
+    tasks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_path"), "n_chars")
+    done = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"))
+    return writers.export_report(writers.rendered(tasks, done, lambda row: row["n_chars"] > 500), "documents.csv", "documents_plain")
+
+
 # --- records and tokens ------------------------------------------------------------
 
 

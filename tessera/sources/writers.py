@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,3 +53,28 @@ def rendered(tasks: DataFrame, done: DataFrame, render, path: str = "image_path"
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields) + ", status string"
     return skipped.select(*todo.columns, "status").unionByName(todo.mapInPandas(run, schema))
+
+
+def made_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, made and written only if its completion mark is missing.
+    The mark is looked up with the path's own file system."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def export_report(index: DataFrame, csv_path: str, output_dir: str) -> DataFrame:
+    """One row: how many images of an index (status) were saved and how many failed."""
+    return index.agg(
+        F.count("*").alias("total_rows"),
+        F.count_if(F.col("status").isin("ok", "skipped_exists")).alias("saved_images"),
+        F.count_if(F.col("status") == "failed").alias("failed_images"),
+    ).select(F.lit(csv_path).alias("csv_path"), F.lit(output_dir).alias("output_dir"), "*")
+
+
+def next_phase(base: dict, curated_csv: str, iteration: int, min_rows: int = 1) -> dict:
+    """Settings of the training that follows a curation: its table as a realistic set
+    whose paths are absolute."""
+    own = {"name": f"curated_{iteration}", "csv_path": curated_csv, "mode": "realistic", "image_root": "/", "min_rows": min_rows}
+    return {**base, "train_sets": [*base.get("train_sets", []), own]}

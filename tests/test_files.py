@@ -98,3 +98,41 @@ def test_entry_imports_without_training_data_operators():
 
     assert {"curate_best_of_n", "reward_rl"} <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_made_once_and_report(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([("ok",), ("failed",), ("skipped_exists",)], "status string")
+
+    for _ in range(2):
+        df = writers.made_once(spark, str(tmp_path / "index"), make)
+    assert made == [1]
+    assert tuple(writers.export_report(df, "a.csv", "a_x").first()) == ("a.csv", "a_x", 3, 2, 1)
+    assert writers.next_phase({"train_sets": [1], "x": 2}, "c.csv", 3)["train_sets"][1]["csv_path"] == "c.csv"
+
+
+def test_results_of_all_needs_every_result(spark):
+    from tessera.operators import metrics
+
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    got = spark.createDataFrame([("a", 1), ("b", 2)], "name string, x int")
+    assert metrics.results_of_all(names, got).count() == 2
+    with pytest.raises(Exception, match="no result for b"):
+        metrics.results_of_all(names, got.limit(1)).collect()
+    files = spark.createDataFrame([("s/1/config.json",), ("s/2/config.json",), ("s/3/other",)], "path string")
+    assert metrics.newest_snapshot(files).first().folder == "s/2"
+
+
+def test_augmentation_is_repeatable(spark):
+    from tessera.functions import images
+
+    df = spark.createDataFrame([(k, bytearray(range(100)), 10, 10) for k in range(6)], "k int, pixels binary, width int, height int")
+    style = images.Style(blur=1.0, noise=1.0, rotate=1.0)
+    one, two = ({r.k: bytes(r.pixels) for r in images.augmented(d, "k", style, 3).collect()} for d in (df, df.repartition(3)))
+    assert one == two and len(set(one.values())) == 6
+    assert {bytes(r.pixels) for r in images.augmented(df, "k", images.Style(blur=0, noise=0, rotate=0), 3).collect()} == {bytes(range(100))}
+    with pytest.raises(ValueError, match="none of"):
+        images.Style("other")
