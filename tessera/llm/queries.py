@@ -81,6 +81,25 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS k
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM texts)
+        ), hits AS (
+            SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS least FROM windows) WHERE least < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, p + o AS i FROM hits, range(0, 13) AS offsets(o)
+        ), each_word AS (
+            SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM texts
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_words, count_if(out)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS left_words
+            FROM (SELECT e.doc_id, e.i, e.word, g.i IS NOT NULL AS out FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_words, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)
+    """,
     "op8_exact_dedup": r"""
         WITH facts AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
