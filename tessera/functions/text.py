@@ -11,7 +11,7 @@ _BLANK = r"[\s\x1c-\x1f]"
 #: Strings that stand for a missing value in a CSV file.
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: What ends a line, as a class (a carriage return with a line feed is one end).
-_LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 IMAGE = "<image>"
 #: Fixed value: the prompt used where none is given.
 DEFAULT_PROMPT = "<image>\n Give me the SMILES of the molecule. "
