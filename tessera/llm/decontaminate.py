@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are lower-cased ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A document's passages are its
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased text. A document's passages are its
 spans of 64 words, one every 32 words. The terms are the benchmark's words; passages
 are rows of a TF-IDF matrix over them (a term counts once in a passage; its weight
 falls to zero where over ``max_df`` of all passages hold it; but the eight rarest terms of
@@ -10,9 +10,12 @@ found too).
 1. One pass counts every term's passage frequency over the whole corpus.
 2. One pass takes the randomised SVD: with a fixed Gaussian test matrix W each task sums
    A'(A W) over its passages; the sums are added up, and the Nystrom form of A'A gives
-   the leading right singular vectors, as many as there are items and 16 more.
-3. One pass projects passages and items on these and takes as candidates all pairs with
-   a cosine of ``least_cosine`` or more. For each candidate the words around the passage
+   the leading right singular vectors, as many as there are items and 16 more, but at
+   most ``rank``.
+3. One pass projects items, and passages with two terms of weight or more (one, if an
+   item has fewer than four terms), on these and takes as candidates all pairs with a
+   cosine of ``least_cosine`` or more where the passage reaches ``least_share`` of the
+   item's own length along the item. For each candidate the words around the passage
    are compared with the item: the longest common subsequence must cover ``least_lcs`` of
    the item's words, and ``least_answer`` of its answer, i.e. its five rarest terms, must
    stand there. So reworded passages are found as well as verbatim ones.
@@ -29,9 +32,11 @@ is replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,8 +51,10 @@ OWN = 8
 
 @dataclass(frozen=True)
 class Rules:
-    max_df: float = 0.02
+    max_df: float = 0.002
+    rank: int = 256
     least_cosine: float = 0.35
+    least_share: float = 0.3
     least_lcs: float = 0.6
     least_answer: float = 0.6
     block: int = 240
@@ -59,7 +66,7 @@ class Terms:
 
     def __init__(self, items: list[tuple[object, str | None]]):
         self.item_ids = [i for i, _ in items]
-        w = tb.words(pa.array([t for _, t in items], pa.string()), tb.ALNUM, lower=True)
+        w = tb.words(pc.utf8_lower(pa.array([t for _, t in items], pa.string())), tb.ALNUM)
         h = w.hashes()
         self.hashes = np.unique(h)
         at = np.searchsorted(self.hashes, h)
@@ -79,7 +86,7 @@ class Terms:
 
 class Passages:
     def __init__(self, column):
-        self.w = tb.words(column, tb.ALNUM, lower=True)
+        self.w = tb.words(pc.utf8_lower(column), tb.ALNUM)
         self.h = self.w.hashes()
         counts = self.w.counts
         self.strides = -(-counts // STRIDE)
@@ -227,15 +234,23 @@ class Model:
     idf: np.ndarray
     vectors: np.ndarray
 
+    @cached_property
+    def loaded(self) -> np.ndarray:
+        """Each term's singular vectors times its weight."""
+        return (self.vectors * self.weight[:, None]).astype(np.float32)
+
+    @cached_property
+    def least_terms(self) -> int:
+        return 1 if any(0 < len(np.unique(item)) < 4 for item in self.terms.items) else 2
+
     def latent_items(self) -> np.ndarray:
-        z = np.zeros((len(self.terms.items), self.vectors.shape[1]))
+        z = np.zeros((len(self.terms.items), self.vectors.shape[1]), np.float32)
         for k, item in enumerate(self.terms.items):
-            t = np.unique(item)
-            z[k] = (self.weight[t][:, None] * self.vectors[t]).sum(axis=0)
-        return _unit(z)
+            z[k] = self.loaded[np.unique(item)].sum(axis=0)
+        return z
 
-    def answers(self) -> list[np.ndarray]:
-        return [_rarest(item, self.idf, ANSWER) for item in self.terms.items]
+    def answers(self) -> list[set[int]]:
+        return [set(_rarest(item, self.idf, ANSWER).tolist()) for item in self.terms.items]
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -243,7 +258,7 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return np.divide(z, size, out=np.zeros_like(z), where=size > 1e-12)
 
 
-def _matches(p: Passages, model: Model, items: np.ndarray, answers: list[np.ndarray], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
+def _matches(p: Passages, model: Model, items: np.ndarray, answers: list[set[int]], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(row, item number) -> (cosine, share of the item in order, share of its answer)."""
     terms = model.terms
     at, term = terms.known(p.h)
@@ -253,21 +268,29 @@ def _matches(p: Passages, model: Model, items: np.ndarray, answers: list[np.ndar
     if not len(known) or not items.size:
         return found
     edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    z = np.empty((len(edge), model.vectors.shape[1]))
-    for s in range(0, len(edge), 2048):  # bounds the gathered vectors
-        e = min(s + 2048, len(edge))
+    size = np.diff(np.append(edge, len(known)))
+    enough = size >= model.least_terms
+    known, passage = known[np.repeat(enough, size)], passage[np.repeat(enough, size)]
+    if not len(known):
+        return found
+    edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    z = np.empty((len(edge), model.vectors.shape[1]), np.float32)
+    for s in range(0, len(edge), 4096):  # bounds the gathered vectors
+        e = min(s + 4096, len(edge))
         a, b = edge[s], edge[e] if e < len(edge) else len(known)
-        z[s:e] = np.add.reduceat(model.vectors[known[a:b]] * model.weight[known[a:b]][:, None], edge[s:e] - a, axis=0)
-    cosine = _unit(z) @ items.T
+        z[s:e] = np.add.reduceat(model.loaded[known[a:b]], edge[s:e] - a, axis=0)
+    along = z @ _unit(items).T  # lengths of the passages along the items
+    cosine = along / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-12)[:, None]
+    near = (cosine >= rules.least_cosine) & (along >= rules.least_share * np.sqrt((items * items).sum(axis=1)))
     every = np.full(len(p.h), -1, np.int64)
     every[at] = term
-    for k, i in zip(*(x.tolist() for x in np.nonzero(cosine >= rules.least_cosine))):
+    for k, i in zip(*(x.tolist() for x in np.nonzero(near))):
         at_passage = int(passage[edge[k]])
         doc = int(np.searchsorted(p.first, at_passage, "right")) - 1
         item = terms.items[i]
         begin = int(p.w.first[doc]) + (at_passage - int(p.first[doc])) * STRIDE
         region = every[max(begin - len(item), int(p.w.first[doc])) : min(begin + 2 * STRIDE + len(item), int(p.w.first[doc + 1]))]
-        answer = float(np.isin(answers[i], region).mean())
+        answer = len(answers[i] & set(region.tolist())) / max(len(answers[i]), 1)
         if answer < rules.least_answer:
             continue
         lcs = _common_subsequence(item, region) / len(item)
@@ -280,7 +303,7 @@ def fit(docs: DataFrame, items: list[list[tuple[object, str | None]]], text: str
     terms = [Terms(block) for block in items]
     dfs, n = _frequencies(docs, terms, text)
     weighed = [_weights(m, df, n, rules.max_df) for m, df in zip(terms, dfs)]
-    ranks = [min(len(m.items) + 16, max(len(m.hashes), 1)) for m in terms]
+    ranks = [min(len(m.items) + 16, rules.rank, max(len(m.hashes), 1)) for m in terms]
     vectors = _singular_vectors(docs, terms, [w for w, _ in weighed], ranks, text)
     return [Model(m, w, idf, v) for m, (w, idf), v in zip(terms, weighed, vectors)]
 
