@@ -10,7 +10,8 @@ input.
    only pieces with equal anchors need be compared.
 2. *Equal pieces* are counted first, by a 128-bit cryptographic digest of their bytes: if
    one occurs twice, all its windows repeat. Of each set one representative goes on, and
-   only if its anchor has other pieces too. So copies of a document, however many, cost
+   only if its anchor has other pieces that agree with it over 308 bytes around the anchor
+   in one of four alignments, as pieces with a common window must. So copies of a document, however many, cost
    one list entry for each chunk.
 3. *Suffix arrays.* Pieces are dealt to shards by anchor. Each shard builds the suffix
    array of its pieces by Larsson-Sadakane refinement in numpy: ranks by the first 8
@@ -18,9 +19,8 @@ input.
    over all pieces side by side, gives the common prefixes of neighbours; windows with
    400 or more in common (compared once more by hash) repeat.
 4. *Hot anchors.* An anchor with more than ``hot`` different pieces is dealt over several
-   shards. These send the sorted hashes of their distinct windows to a merge keyed by
-   anchor and place of the anchor in the window, and each list is looked up in all of
-   them by binary search.
+   shards. These send the sorted hashes of their distinct windows to a merge dealt by
+   hash, and each list is looked up in the sorted union of all by binary search.
 
 Defined results: null and empty texts have no bytes; documents shorter than 400 bytes
 stay whole; rows that repeat are occurrences of their own, so their long texts go;
@@ -41,10 +41,13 @@ from tessera.llm import textbatch as tb
 
 WINDOW, GRAM = 400, 32
 _SPAN = WINDOW - GRAM + 1  # gram positions in a window
+#: A repeated window reaches over its anchor by L bytes to the left and R to the right with
+#: L + R = 368; so for one of these it covers all of (left, right) around the anchor.
+_REACH = [(0, 276), (92, 184), (184, 92), (276, 0)]
 _PLACE_BITS = 24  # of a key: gram position; the others: its hash
 _BLOCK = 4 << 20  # bytes of one document handled at once
-SHARD_BYTES = 4 << 20
-HOT = 4096
+SHARD_BYTES = 1 << 20
+HOT = 512
 
 
 def _least(key: np.ndarray, n: int) -> np.ndarray:
@@ -59,11 +62,12 @@ def _least(key: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(behind[:size], ahead[n - 1 : n - 1 + size])
 
 
-def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, anchor hash and document of each piece."""
+def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last window start, anchor hash and document of each piece, and hashes
+    of what is around its anchor, two 32-bit ones to a word (zero: past the document)."""
     n = len(buf)
     if n < WINDOW:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64)) + (np.zeros(0, np.uint64),) * 2
     grams = np.arange(n - GRAM + 1)
     h = tb.span_hashes(buf, grams, grams + GRAM)
     low = np.uint64((1 << _PLACE_BITS) - 1)
@@ -76,7 +80,14 @@ def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     new[1:] = (anchor[fits[1:]] != anchor[fits[:-1]]) | (fits[1:] != fits[:-1] + 1)
     first = fits[new]
     last = fits[np.append(np.flatnonzero(new)[1:], len(fits)) - 1]
-    return first, last, h[anchor[first]], doc[first]
+    at, own = anchor[first], doc[first]
+    around = []
+    for left, right in _REACH:
+        inside = (at - left >= off[own]) & (at + GRAM + right <= off[own + 1])
+        start = np.where(inside, at - left, 0)
+        end = np.where(inside, at + GRAM + right, 0)
+        around.append(np.where(inside, tb.span_hashes(buf, start, end) >> np.uint64(32) | np.uint64(1), np.uint64(0)))
+    return first, last, h[at], own, around[0] << np.uint64(32) | around[1], around[2] << np.uint64(32) | around[3]
 
 
 class _Chunk:
@@ -89,7 +100,7 @@ class _Chunk:
         """(first row, bytes, document offsets, where the bytes begin in their document)."""
         row = 0
         for batch in self.table.to_batches():
-            for part in tb.slices(batch):
+            for part in tb.slices(batch, most=min(tb.SLICE_BYTES, _BLOCK)):
                 buf, off = tb.flat(part.column("text"))
                 if len(buf) <= _BLOCK:
                     yield row, buf, off, 0
@@ -100,24 +111,28 @@ class _Chunk:
                 row += part.num_rows
 
     def pieces(self):
-        """(row, start in the document, windows, bytes, anchor, digest as two words)."""
+        """(row, start in the document, windows, bytes, anchor, digest as two words, what is
+        around the anchor as two words)."""
         for row, buf, off, base in self.parts():
             raw = buf.tobytes()
-            for s, e, a, d in zip(*(x.tolist() for x in _pieces(buf, off))):
+            for s, e, a, d, u, v in zip(*(x.tolist() for x in _pieces(buf, off))):
                 data = raw[s : e + WINDOW]
                 digest = hashlib.blake2b(data, digest_size=16).digest()
-                yield row + d, s - int(off[d]) + base, e - s + 1, data, a, int.from_bytes(digest[:8]), int.from_bytes(digest[8:])
+                yield row + d, s - int(off[d]) + base, e - s + 1, data, a, int.from_bytes(digest[:8]), int.from_bytes(digest[8:]), u, v
 
 
 def _verdicts(docs: DataFrame, n: int, hot: int) -> DataFrame:
     """(chunk, bucket, a, b, c, d): anchor, digest and verdict of pieces that occur twice
-    (bit 0) or have to be compared (bit 1); above, over how many shards."""
+    (bit 0) or have to be compared (bit 1); above, over how many shards.  A piece is
+    compared if a different piece agrees with it around the anchor far enough for a
+    common window."""
 
     def send(table: pa.Table) -> pa.Table:
-        seen: dict[tuple[int, int, int], int] = {}
-        for _, _, _, _, a, x, y in _Chunk(table).pieces():
-            seen[a, x, y] = seen.get((a, x, y), 0) + 1
-        own = np.array([k for k in seen], np.uint64).reshape(-1, 3)
+        seen: dict[tuple, int] = {}
+        for _, _, _, _, *key in _Chunk(table).pieces():
+            key = tuple(key)
+            seen[key] = seen.get(key, 0) + 1
+        own = np.array([k for k in seen], np.uint64).reshape(-1, 5)
         many = np.array([c > 1 for c in seen.values()], np.uint64)
         bucket = (own[:, 0] % np.uint64(n)).astype(np.int64)
         order = np.lexsort((own[:, 0], bucket))
@@ -125,29 +140,39 @@ def _verdicts(docs: DataFrame, n: int, hot: int) -> DataFrame:
         edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         ends = np.append(edge[1:], len(bucket))
         cut = [[chunks.pack(np.ascontiguousarray(v[s:e])) for s, e in zip(edge, ends)] for v in (*own.T, many)]
-        return pa.Table.from_arrays([pa.array(np.full(len(edge), table.column("chunk")[0].as_py()), pa.int32()), pa.array(bucket[edge], pa.int32()), *[pa.array(v, pa.binary()) for v in cut]], names=["chunk", "bucket", *"abcd"])
+        return pa.Table.from_arrays([pa.array(np.full(len(edge), table.column("chunk")[0].as_py()), pa.int32()), pa.array(bucket[edge], pa.int32()), *[pa.array(v, pa.binary()) for v in cut]], names=["chunk", "bucket", *"abcdef"])
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [[chunks.unpack(v) for v in table.column(name).to_pylist()] for name in "abcd"]
-        a, x, y, many = (np.concatenate(v) for v in lists)
+        lists = [[chunks.unpack(v) for v in table.column(name).to_pylist()] for name in "abcdef"]
+        a, x, y, u, v, many = (np.concatenate(own) for own in lists)
         part = np.repeat(np.arange(table.num_rows), [len(v) for v in lists[0]])
         chunk = table.column("chunk").to_numpy()[part]
         order = np.lexsort((chunk, y, x, a))
-        a, x, y, many, part = a[order], x[order], y[order], many[order], part[order]
+        a, x, y, u, v, many, part = (own[order] for own in (a, x, y, u, v, many, part))
         new_a = np.append(True, a[1:] != a[:-1])
         new = new_a | np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
         of, of_a = np.cumsum(new) - 1, np.cumsum(new_a) - 1
         twice = (np.bincount(of, weights=1.0 + many) > 1)[of]
-        kinds = np.bincount(of_a[new])[of_a]
-        verdict = twice.astype(np.uint64) | np.where(new & (kinds > 1), np.uint64(2) | (-(-kinds // hot)).astype(np.uint64) << np.uint64(2), np.uint64(0))
+        lead = np.flatnonzero(new)  # one of each set of equal pieces
+        near = np.zeros(len(lead), bool)
+        for word in (u[lead], v[lead]):
+            for half in (word >> np.uint64(32), word & np.uint64(0xFFFFFFFF)):
+                by = np.lexsort((half, of_a[lead]))
+                same = (of_a[lead][by][1:] == of_a[lead][by][:-1]) & (half[by][1:] == half[by][:-1]) & (half[by][1:] > 0)
+                near[by[1:][same]] = True
+                near[by[:-1][same]] = True
+        kinds = np.bincount(of_a[lead], weights=near)[of_a].astype(np.int64)
+        compared = np.zeros(len(new), bool)
+        compared[lead[near]] = True
+        verdict = twice.astype(np.uint64) | np.where(compared, np.uint64(2) | (-(-kinds // hot)).astype(np.uint64) << np.uint64(2), np.uint64(0))
         told = np.flatnonzero(verdict)
         told = told[np.argsort(part[told], kind="stable")]
         edge = np.searchsorted(part[told], np.arange(table.num_rows + 1))
-        cut = [[chunks.pack(v[told[s:e]]) for s, e in zip(edge, edge[1:])] for v in (a, x, y, verdict)]
+        cut = [[chunks.pack(own[told[s:e]]) for s, e in zip(edge, edge[1:])] for own in (a, x, y, verdict)]
         return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *[pa.array(v, pa.binary()) for v in cut]], names=["chunk", "bucket", *"abcd"])
 
     schema = "chunk int, bucket int, a binary, b binary, c binary, d binary"
-    return docs.groupBy("chunk").applyInArrow(send, schema).groupBy("bucket").applyInArrow(answer, schema)
+    return docs.groupBy("chunk").applyInArrow(send, f"{schema}, e binary, f binary").groupBy("bucket").applyInArrow(answer, schema)
 
 
 _SENT = "chunk int, row int, start long, windows int, anchor long, shards int, shard int, settled boolean, data binary"
@@ -159,9 +184,10 @@ def _sent(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     def send(key, own: pa.Table, answers: pa.Table) -> pa.Table:
         told: dict[tuple[int, int, int], int] = {}
         for row in answers.select(list("abcd")).to_pylist():
-            told.update(zip(zip(*(chunks.unpack(row[n]).tolist() for n in "abc")), chunks.unpack(row["d"]).tolist()))
+            for piece, v in zip(zip(*(chunks.unpack(row[n]).tolist() for n in "abc")), chunks.unpack(row["d"]).tolist()):
+                told[piece] = told.get(piece, 0) | v
         out = []
-        for row, start, windows, data, a, x, y in _Chunk(own).pieces():
+        for row, start, windows, data, a, x, y, _, _ in _Chunk(own).pieces():
             v = told.get((a, x, y), 0)
             if v & 1:
                 out.append((row, start, windows, 0, 0, 0, True, None))
@@ -176,9 +202,8 @@ def _sent(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, _SENT)
 
 
-def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of every suffix among all, by its first ``depth`` bytes at least; a
-    suffix ends where its piece does. Equal ranks: equal as far as that."""
+def _eights(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number in their order; zeros past the end."""
     n = len(text)
     key = np.zeros(n, np.uint64)
     room = ends - np.arange(n)
@@ -186,6 +211,14 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         byte = np.zeros(n, np.uint64)
         byte[: n - o] = text[o:]
         key = (key << np.uint64(8)) | np.where(room > o, byte, np.uint64(0))
+    return key
+
+
+def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of every suffix among all, by its first ``depth`` bytes at least; a
+    suffix ends where its piece does. Equal ranks: equal as far as that."""
+    n = len(text)
+    key = _eights(text, ends)
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     new = np.append(True, sorted_key[1:] != sorted_key[:-1])
@@ -212,27 +245,30 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, steps: np.ndarray | None = None) -> np.ndarray:
     """Kasai's recurrence over all pieces side by side: for each suffix, what it has
-    in common (at most ``most``) with the suffix before it in ``order``."""
-    n = len(text)
+    in common (at most ``most``) with the suffix before it in ``order``. ``steps``: how
+    many suffixes of each piece, from its start, are asked for."""
+    steps = ends - starts if steps is None else steps
     stop = np.repeat(ends, ends - starts)
-    common = np.zeros(n, np.int64)
+    key = _eights(text, stop)
+    common = np.zeros(len(text), np.int64)
     k = np.zeros(len(starts), np.int64)
-    for step in range(int((ends - starts).max(initial=0))):
-        lane = np.flatnonzero(starts + step < ends)
+    for step in range(int(steps.max(initial=0))):
+        lane = np.flatnonzero(step < steps)
         p = starts[lane] + step
         r = place[p]
         q = order[np.maximum(r - 1, 0)]
-        have = np.where(r > 0, np.maximum(k[lane] - 1, 0), 0)
         limit = np.where(r > 0, np.minimum(np.minimum(stop[p] - p, stop[q] - q), most), 0)
-        have = np.minimum(have, limit)
+        have = np.minimum(np.maximum(k[lane] - 1, 0), limit)
         live = np.flatnonzero(have < limit)
         while len(live):
-            same = text[p[live] + have[live]] == text[q[live] + have[live]]
-            live = live[same]
-            have[live] += 1
-            live = live[have[live] < limit[live]]
+            differ = key[p[live] + have[live]] ^ key[q[live] + have[live]]
+            equal = np.zeros(len(live), np.int64)
+            for bits in range(56, -8, -8):
+                equal += (differ >> np.uint64(bits)) == 0
+            have[live] = np.minimum(have[live] + equal, limit[live])
+            live = live[(equal == 8) & (have[live] < limit[live])]
         common[p] = have
         k[lane] = have
     return common
@@ -249,7 +285,7 @@ def _repeats(pieces: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.argsort(rank, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    common = common_prefixes(text, starts, ends, order, place, WINDOW)
+    common = common_prefixes(text, starts, ends, order, place, WINDOW, windows)
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     h = tb.span_hashes(text, at, at + WINDOW)
     hashed = np.zeros(len(text), np.uint64)
@@ -275,9 +311,13 @@ def _as_runs(chunk: np.ndarray, row: np.ndarray, start: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(chunk[first], pa.int32()), pa.array(row[first], pa.int32()), pa.array(start[first], pa.int64()), pa.array(size, pa.int32())], names=["chunk", "row", "start", "windows"])
 
 
-def _in_shard(table: pa.Table, whole: bool) -> pa.Table:
-    """``whole``: the runs that repeat in the shard. Else, for the merge: the sorted
-    hashes of windows with a hot anchor, one for each distinct window."""
+_FOUND = f"{_RUNS}, range int, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
+def _in_shard(table: pa.Table, ranges: int) -> pa.Table:
+    """The runs that repeat in the shard, and for hot anchors one list for each range of
+    hashes: the sorted hashes of distinct windows (a, b), whether they are in doubt (c) and
+    where they are (d, e, f)."""
     pieces = table.column("data").to_pylist()
     windows = table.column("windows").to_numpy().astype(np.int64)
     at, twice, text = _repeats(pieces, windows)
@@ -286,33 +326,41 @@ def _in_shard(table: pa.Table, whole: bool) -> pa.Table:
     chunk, row = table.column("chunk").to_numpy()[piece], table.column("row").to_numpy()[piece]
     start = table.column("start").to_numpy()[piece] + inner
     settled = table.column("settled").to_numpy(zero_copy_only=False)[piece]
-    if whole:
-        told = np.flatnonzero(twice & ~settled)
-        return _as_runs(chunk[told], row[told], start[told])
+    told = np.flatnonzero(twice & ~settled)
+    found = _as_runs(chunk[told], row[told], start[told])
     hot = np.flatnonzero((table.column("shards").to_numpy() > 1)[piece])
     # What is in doubt is decided by the merge; a window that repeats here is there as a witness.
     h = tb.span_hashes(text, at[hot], at[hot] + WINDOW)
     g = tb.span_hashes(text[::-1], len(text) - at[hot] - WINDOW, len(text) - at[hot])
-    doubt = ~(twice | settled)[hot]
     order = np.lexsort((g, h))
     keep = np.ones(len(order), bool)
     keep[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
-    hot, h, g, doubt = hot[order[keep]], h[order[keep]], g[order[keep]], doubt[order[keep]]
-    return pa.Table.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(chunk[hot], pa.int32()), pa.array(row[hot], pa.int32()), pa.array(start[hot], pa.int64()), pa.array(doubt)], names=["h", "g", "chunk", "row", "start", "doubt"])
+    order = order[keep]
+    range_ = (g[order] % np.uint64(ranges)).astype(np.int64)
+    order = order[np.argsort(range_, kind="stable")]
+    hot, h, g = hot[order], h[order], g[order]
+    range_ = (g % np.uint64(ranges)).astype(np.int64)
+    edge = np.searchsorted(range_, np.arange(ranges + 1))
+    own = np.flatnonzero(np.diff(edge))
+    doubt = ~(twice | settled)[hot]
+    columns = [h, g, doubt.astype(np.uint64), *((x[hot] * doubt).astype(np.uint64) for x in (chunk, row, start))]
+    lists = [pa.array([chunks.pack(np.ascontiguousarray(c[edge[r] : edge[r + 1]])) for r in own], pa.binary()) for c in columns]
+    lists = pa.Table.from_arrays([pa.array(own, pa.int32()), *lists], names=["range", *"abcdef"])
+    return pa.concat_tables([found, lists], promote_options="default")
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """Windows of hot anchors that occur in several shards' lists: every hash is looked up
-    in the sorted union of the lists by binary search."""
-    pair = np.empty(table.num_rows, [("h", np.int64), ("g", np.int64)])
-    pair["h"], pair["g"] = table.column("h").to_numpy(), table.column("g").to_numpy()
-    union = np.sort(pair, order=["h", "g"])
-    met = np.searchsorted(union["h"], pair["h"], "right") - np.searchsorted(union["h"], pair["h"], "left") > 1
-    some = np.flatnonzero(met)
-    _, of, count = np.unique(pair[some], return_inverse=True, return_counts=True)
-    met[some] = count[of] > 1
-    told = np.flatnonzero(met & table.column("doubt").to_numpy(zero_copy_only=False))
-    return _as_runs(*(table.column(c).to_numpy()[told] for c in ("chunk", "row", "start")))
+    """Windows of hot anchors that are in several shards' lists: every hash is looked up in
+    the sorted union of the lists by binary search."""
+    h, g, doubt, chunk, row, start = (np.concatenate([chunks.unpack(x) for x in table.column(c).to_pylist()]) for c in "abcdef")
+    union = np.sort(h)
+    some = np.flatnonzero(np.searchsorted(union, h, "right") - np.searchsorted(union, h, "left") > 1)
+    some = some[np.lexsort((g[some], h[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = (h[some][1:] != h[some][:-1]) | (g[some][1:] != g[some][:-1])
+    several = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(some) else new
+    told = some[several & (doubt[some] > 0)]
+    return _as_runs(*(x[told].astype(np.int64) for x in (chunk, row, start)))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = chunks.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
@@ -326,13 +374,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     facts = work.agg(F.sum(F.length("data")).alias("b"), F.max("shards").alias("s")).first()
     n = max(1, -(-(facts["b"] or 0) // shard_bytes))
     work = work.withColumn("home", F.pmod(F.xxhash64("anchor", "shard"), F.lit(n)))
-    runs = known.unionByName(work.groupBy("home").applyInArrow(lambda t: _in_shard(t, True), _RUNS))
+    found = frames.stored(work.groupBy("home").applyInArrow(lambda t: _in_shard(t, n), _FOUND))
+    runs = known.unionByName(found.filter("range is null").select(*known.columns))
     if (facts["s"] or 0) > 1:
-        crowded = work.filter("shards > 1")
-        lists = crowded.groupBy("home").applyInArrow(lambda t: _in_shard(t, False), "h long, g long, chunk int, row int, start long, doubt boolean")
-        # Equal windows have equal hashes, so this deals the lists' entries evenly and together.
-        lists = lists.withColumn("range", F.pmod("h", F.lit(max(1, 16 * n))))
-        runs = runs.unionByName(lists.groupBy("range").applyInArrow(_merged, _RUNS))
+        runs = runs.unionByName(found.filter("range is not null").groupBy("range").applyInArrow(_merged, _RUNS))
 
     def finish(key, table: pa.Table, found: pa.Table) -> pa.Table:
         data = _Chunk(table).table
