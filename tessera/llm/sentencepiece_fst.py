@@ -15,9 +15,9 @@ and only one: the model's own segmentation.  Composing with an input and relaxin
 states from left to right gives that path, as the tropical shortest distance to every
 position is reached through one last piece.
 
-No piece holds a space after another character, so a text is a concatenation of
-chunks (spaces, then other characters) which can be composed one by one; each worker
-keeps the paths of chunks seen, in a table of bounded size.
+Between two characters that stand side by side in no piece every path has a border, so a
+text is cut there (before spaces, beside punctuation) into chunks which are composed
+one by one; each worker keeps the paths of chunks seen, in a table of bounded size.
 
 Defined results: null and empty texts have no ids; repeated rows get equal results;
 decoding gives the text back except that U+2581 becomes a space; byte ids that are not
@@ -27,6 +27,8 @@ named like the outputs are replaced.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,8 +41,8 @@ from tessera.llm import frames
 from tessera.llm import textbatch as tb
 
 SPACE = "▁"
-#: Chunks and piece pairs a worker remembers before it starts afresh.
-REMEMBER = 400_000
+#: Chunks, and piece pairs, of a generation that a worker remembers.
+REMEMBER = 100_000
 _NORMAL, _BYTE = 1, 6
 
 
@@ -97,6 +99,24 @@ class Vocabulary:
         return cls(pieces, scores, kinds)
 
 
+class Recent:
+    """A table of bounded size: what was asked for in this generation or the last."""
+
+    def __init__(self, most: int = REMEMBER):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Transducer:
     def __init__(self, v: Vocabulary):
         self.ids = {p: i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == _NORMAL}
@@ -108,21 +128,27 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         self.trie: dict = {}  # of pieces read backwards; the id is under None
         for p, i in self.ids.items():
-            node = self.trie
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[None] = i
-        self.reach = {i for p, i in self.ids.items() if self._merged(p) == [p]}
-        self.apart: dict[tuple[int, int], bool] = {}
-        self.alone = np.zeros(256, bool)  # bytes that form a chunk of their own
-        self.alone[10] = not any("\n" in p for p in self.ids)
-        #: Text of each id when decoded.
-        self.text = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() if k == _NORMAL else b"" for p, k in zip(v.pieces, v.kinds)]
-
-    def _merged(self, text: str) -> list[str]:
-        """The pieces of a short text in the model's merge order."""
+            if self._merged(p) == [p]:
+                node = self.trie
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[None] = i
+        self.apart: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        #: Whether two bytes stand side by side in a piece, in either spelling of the space.
+        self.inner = np.zeros((256, 256), bool)
+        for p in self.ids:
+            for x, y in zip(p, p[1:]):
+                for a in {x.encode(), x.replace(SPACE, " ").encode()}:
+                    for b in {y.encode(), y.replace(SPACE, " ").encode()}:
+                        self.inner[a[-1], b[0]] = True
+        self.inner[:, 0x80:0xC0] = True  # within a character
+
+    def _merged(self, text: str, until: int = 1) -> list[str]:
+        """The pieces of a short text in the model's merge order; ``until`` stops at so
+        many."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > until:
             found = [(self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None]
             if not found:
                 break
@@ -130,40 +156,76 @@ class Transducer:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _halves(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose merge gives this one; null for a single character."""
+        got = self.halves.get(piece, ())
+        if got == ():
+            text = self.pieces[piece]
+            got = None if len(text) == 1 else tuple(self.ids.get(p, -1) for p in self._merged(text, 2))
+            self.halves[piece] = got
+        return got
+
     def weightless(self, s: int, t: int) -> bool:
-        """Whether the arc from piece s to piece t has weight zero."""
-        key = (s, t)
+        """Whether the arc from piece s to piece t has weight zero.
+
+        Merges are undone at the boundary, latest first, while none could have been made
+        across it before them.  ``best``: the score from which on a merge across the
+        boundary comes too late; at a tie the one further left is made."""
+        key = s << 32 | t
         got = self.apart.get(key)
         if got is None:
-            if len(self.apart) >= REMEMBER:
+            if len(self.apart) >= 2 * REMEMBER:
                 self.apart.clear()
-            a, b = self.pieces[s], self.pieces[t]
-            got = self.apart[key] = self._merged(a + b) == [a, b]
+            got = self.apart[key] = self._apart(s, t)
         return got
 
+    def _apart(self, s: int, t: int) -> bool:
+        scores, best, tie = self.scores, -math.inf, True
+        left, right = self._halves(s), self._halves(t)
+        while True:
+            across = self.ids.get(self.pieces[s] + self.pieces[t])
+            if across is not None and (scores[across] > best or tie and scores[across] == best):
+                return False
+            if left is None and right is None:
+                return True
+            # The later of the two merges that end at the boundary is undone; of equal ones the right.
+            if right is None or left is not None and scores[s] < scores[t]:
+                best, tie = scores[s], False
+                s = left[1]
+                left = self._halves(s)
+            else:
+                best, tie = scores[t], True
+                t = right[0]
+                right = self._halves(t)
+
     def path(self, chunk: str) -> list[int]:
         """Ids on the shortest path through the composition with ``chunk``."""
         text = chunk.replace(" ", SPACE)
         n = len(text)
-        back: list[tuple[int, int] | None] = [None] * (n + 1)  # last piece (-1: bytes) and where it began
+        last, begin = [-1] * (n + 1), [0] * (n + 1)  # last piece (-1: bytes) and where it began
+        apart, trie = self.apart, self.trie
         for end in range(1, n + 1):
-            node, at = self.trie, end
-            while at and (node := node.get(text[at - 1])) is not None:
+            node, at, pieces = trie, end, []
+            while at:
+                node = node.get(text[at - 1])
+                if node is None:
+                    break
                 at -= 1
-                t = node.get(None)
-                if t is not None and t in self.reach:
-                    before = back[at]
-                    if before is None or before[0] < 0 or self.weightless(before[0], t):
-                        back[end] = (t, at)
-                        break
+                if None in node:
+                    pieces.append((node[None], at))
+            begin[end] = end - 1
+            for t, at in reversed(pieces):
+                s = last[at]
+                if s < 0 or (w if (w := apart.get(s << 32 | t)) is not None else self.weightless(s, t)):
+                    last[end], begin[end] = t, at
+                    break
             else:
-                if text[end - 1] in self.ids:
+                if pieces:
                     raise AssertionError(f"no path through {chunk!r}")
-                back[end] = (-1, end - 1)
         out: list[int] = []
         at = n
         while at:
-            t, start = back[at]
+            t, start = last[at], begin[at]
             if t < 0:
                 out.extend(self.bytes[b] for b in reversed(text[start].encode()))
             else:
@@ -172,15 +234,12 @@ class Transducer:
         return out[::-1]
 
 
-class Coder:
+class Encoder:
     """A worker's transducer with its table of known chunks."""
 
     def __init__(self, v: Vocabulary):
         self.fst = Transducer(v)
-        self.known: dict[bytes, np.ndarray] = {}
-        self.text_bytes = np.frombuffer(b"".join(self.fst.text), np.uint8)
-        self.text_size = np.array([len(t) for t in self.fst.text])
-        self.text_at = np.concatenate([[0], np.cumsum(self.text_size)])
+        self.known = Recent()  # ids as bytes
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document's begin (plus the end)."""
@@ -195,31 +254,37 @@ class Coder:
         out[keep] = buf
         if not len(out):
             return np.zeros(0, np.int32), np.zeros(len(size) + 1, np.int64)
-        space, alone = out == 0x20, self.fst.alone[out]
         start = np.ones(len(out), bool)
-        start[1:] = (space[1:] & ~space[:-1]) | alone[1:] | alone[:-1]
-        # A space after a literal U+2581 (E2 96 81) may merge with it.
-        start[3:] &= ~((out[:-3] == 0xE2) & (out[1:-2] == 0x96) & (out[2:-1] == 0x81) & space[3:])
+        start[1:] = ~self.fst.inner[out[:-1], out[1:]]
         start[to[:-1][lead > 0]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(out))
         _, first, inverse = np.unique(tb.span_hashes(out, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
         raw = out.tobytes()
         paths = []
         for s, e in zip(starts[first].tolist(), ends[first].tolist()):
             chunk = raw[s:e]
             got = self.known.get(chunk)
             if got is None:
-                got = self.known[chunk] = self.fst.path(chunk.decode())
+                got = array("i", self.fst.path(chunk.decode())).tobytes()
+                self.known.put(chunk, got)
             paths.append(got)
-        n = np.array([len(p) for p in paths])
-        pool = np.fromiter((i for p in paths for i in p), np.int32, int(n.sum()))
+        n = np.array([len(p) for p in paths]) // 4
+        pool = np.frombuffer(b"".join(paths), np.int32)
         ids, ends_of = _gather(pool, np.concatenate([[0], np.cumsum(n)])[:-1][inverse], n[inverse])
         chunk_ends = np.concatenate([[0], ends_of])
         return ids, chunk_ends[np.searchsorted(starts, to)]
 
+
+class Decoder:
+    """The inverse: each id's text from a pool."""
+
+    def __init__(self, v: Vocabulary):
+        texts = [bytes([int(p[3:5], 16)]) if k == _BYTE else p.replace(SPACE, " ").encode() if k == _NORMAL else b"" for p, k in zip(v.pieces, v.kinds)]
+        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.text_size = np.array([len(t) for t in texts])
+        self.text_at = np.concatenate([[0], np.cumsum(self.text_size)])
+
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         data, ends = _gather(self.text_bytes, self.text_at[ids], self.text_size[ids])
         ends = np.concatenate([[0], ends])
@@ -241,9 +306,9 @@ def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
 _IDS = T.ArrayType(T.IntegerType(), containsNull=False)
 
 
-def _coder(sent, cache: dict) -> Coder:
+def _once(kind, sent, cache: dict):
     if not cache:
-        cache["coder"] = Coder(sent.value)
+        cache["coder"] = kind(sent.value)
     return cache["coder"]
 
 
@@ -253,7 +318,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     sent, cache = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path)), {}
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        ids, at = _coder(sent, cache).encode(part.column(text))
+        ids, at = _once(Encoder, sent, cache).encode(part.column(text))
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(np.diff(at))]
 
     return frames.append(docs, [T.StructField("ids", _IDS), T.StructField("n_tokens", T.LongType())], compute, text)
@@ -273,7 +338,7 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", name: str = "d
                 column = part.column(ids)
                 size = np.array([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], np.int64)
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = _coder(sent, cache).decode(flat, np.concatenate([[0], np.cumsum(size)]))
+                texts = _once(Decoder, sent, cache).decode(flat, np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
