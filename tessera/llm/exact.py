@@ -5,8 +5,8 @@ Texts are equal when identical after deleting every character of
 
 1. A text whose (length, 64-bit hash) nobody shares can equal no other text, as
    equal texts share both; it is its own class.
-2. The others are cut into blocks of ``block`` characters. Distinct blocks are sorted
-   and numbered: each gets an integer name.
+2. The others are cut into blocks of ``block`` characters. Distinct blocks are dealt to
+   partitions, sorted there and numbered: each gets an integer name of its own.
 3. Adjacent names are paired and the distinct pairs sorted and numbered in turn (a
    name without partner is paired with nothing), until each text has one name.
    Two texts have one name at the end if and only if all their characters agree.
@@ -39,9 +39,10 @@ def normalised(text: Column) -> Column:
 
 
 def _named(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """``parts`` with ``name``: the place of its key among the sorted distinct keys."""
-    distinct = parts.select(*keys).distinct()
-    ranked = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
+    """``parts`` with ``name``: the place of its key among the sorted distinct keys of its
+    partition, with the partition's number above. Equal keys share a partition, so
+    names are equal exactly where keys are, and no task or driver sees all keys."""
+    ranked = parts.select(*keys).distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
     return parts.join(frames.stored(ranked), keys)
 
 
@@ -50,7 +51,8 @@ def identities(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     equal size and name, equal norm."""
     last = F.floor((F.greatest(F.col("size"), F.lit(1)) - 1) / block).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("norm"), i * block + 1, F.lit(block)))
-    blocks = texts.select("row", "size", last.alias("last"), F.posexplode(cut).alias("at", "part"))
+    # Stored, as they are read twice: what comes before deals out the whole corpus.
+    blocks = frames.stored(texts.select("row", "size", last.alias("last"), F.posexplode(cut).alias("at", "part")))
     named = frames.stored(_named(blocks, ["part"]).select("row", "size", "last", "at", "name"))
     longest = named.agg(F.max("last")).first()[0] or 0
     roots = [named.filter("last = 0")]
@@ -71,7 +73,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.length("text").alias("n_chars"), normalised(F.col("text")).alias("norm"))
     base = base.withColumn("size", F.length("norm")).withColumn("hash", F.xxhash64("norm"))
     facts = frames.stored(base.select("doc_id", "n_chars", "size", "hash", F.sha2("norm", 256).alias("text_sha256")))
-    shared = facts.groupBy("size", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("size", "hash")
+    shared = frames.stored(facts.groupBy("size", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("size", "hash"))
     mine = frames.stored(facts.join(shared, ["size", "hash"]))
     # The text is dealt by document, so a class of any size is spread over all tasks.
     ids = mine.select("doc_id", "size", "hash").distinct()
@@ -80,7 +82,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = identities(texts, block).select(F.col("row.doc_id").alias("_id"), F.col("row.sha").alias("_sha"), "name")
     of = mine["doc_id"].eqNullSafe(named["_id"]) & (mine["text_sha256"] == named["_sha"])
     members = frames.stored(mine.join(named, of).select("doc_id", "n_chars", "text_sha256", "size", "name"))
-    best = members.groupBy("size", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"), "doc_id")).alias("best"))
+    # Stored first, so that the joins on it deal both sides anew and can split a large class.
+    best = frames.stored(members.groupBy("size", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"), "doc_id")).alias("best")))
     copies = members.join(best, ["size", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"), "text_sha256", "n_chars")
     alone = facts.join(shared, ["size", "hash"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "n_chars")
     return alone.unionByName(copies)
