@@ -13,7 +13,20 @@ from pyspark.sql import types as T
 from tessera.llm import textbatch as tb
 
 
+#: Rows that Spark hands to a Python worker at once; whole texts are long, and the
+#: default of 10,000 rows fills the worker and the executor's buffers.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, to be read in small batches from now on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -29,6 +42,7 @@ def stored(df: DataFrame) -> DataFrame:
 def append(docs: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], text: str = "text") -> DataFrame:
     """``docs`` with columns computed from slices of bounded size; a column of the
     same name (in any case) that was there before is replaced."""
+    small_batches(docs.sparkSession)
     new = {f.name.lower() for f in fields}
     docs = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() not in new])
     schema = T.StructType(docs.schema.fields + fields)

@@ -6,7 +6,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import classify, decontaminate, exact, htmltext, licenses, sentencepiece_fst, simhash, substrings, suffixes
 from tessera.llm.frames import table
@@ -34,8 +33,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     """ids of every whole text, and whether decoding them gives the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_fst.decode(sentencepiece_fst.encode(docs, model_path), model_path)
-    return coded.select("doc_id", "n_tokens", "ids", F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return sentencepiece_fst.encode(docs, model_path, check=True).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,16 +312,22 @@ def _once(kind, sent, cache: dict):
     return cache["coder"]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", check: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``n_tokens`` (long). The driver reads the
-    model; its vocabulary is broadcast."""
-    sent, cache = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path)), {}
+    model; its vocabulary is broadcast. ``check``: the ids are decoded at once, and
+    ``round_trip`` says whether that gives the text back."""
+    sent, tables, texts = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path)), {}, {}
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        ids, at = _once(Encoder, sent, cache).encode(part.column(text))
-        return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(np.diff(at))]
+        ids, at = _once(Encoder, sent, tables).encode(part.column(text))
+        out = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(np.diff(at))]
+        if check:
+            back = _once(Decoder, sent, texts).decode(ids, at)
+            out.append(pa.array([(t or "") == b for t, b in zip(part.column(text).to_pylist(), back)], pa.bool_()))
+        return out
 
-    return frames.append(docs, [T.StructField("ids", _IDS), T.StructField("n_tokens", T.LongType())], compute, text)
+    fields = [T.StructField("ids", _IDS), T.StructField("n_tokens", T.LongType())]
+    return frames.append(docs, fields + [T.StructField("round_trip", T.BooleanType())] * check, compute, text)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:

@@ -181,6 +181,8 @@ def test_transducer_matches_the_library_and_round_trips(spark):
     for t, ids, n, back in zip(texts, coded.ids, coded.n_tokens, coded.decoded):
         assert list(ids) == sp.encode(t or "") and n == len(ids)
         assert back == (t or "").replace("▁", " ")
+    checked = sentencepiece_fst.encode(df, MODEL_PATH, check=True).toPandas().set_index("doc_id")
+    assert all(checked.round_trip[i] == ("▁" not in (t or "")) for i, t in enumerate(texts))
     assert sentencepiece_fst.encode(df.limit(0), MODEL_PATH).count() == 0
 
 
