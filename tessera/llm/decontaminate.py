@@ -4,24 +4,28 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the lower-cased text. A d
 spans of 64 words, one every 32 words. The terms are the benchmark's words; passages
 are rows of a TF-IDF matrix over them (a term counts once in a passage; its weight
 falls to zero where over ``max_df`` of all passages hold it; but the eight rarest terms of
-each item always keep theirs, so an item that leaks into a large part of the corpus is
-found too).
+each window always keep theirs, so an item that leaks into a large part of the corpus is
+found too). An item is searched by its windows: the whole of it, or, if it has over 64
+words, its spans of 64 words, one every 32 words and one at its end.
 
 1. One pass counts every term's passage frequency over the whole corpus.
 2. One pass takes the randomised SVD: with a fixed Gaussian test matrix W each task sums
    A'(A W) over its passages; the sums are added up, and the Nystrom form of A'A gives
-   the leading right singular vectors, as many as there are items and 16 more, but at
+   the leading right singular vectors, as many as there are windows and 16 more, but at
    most ``rank``.
-3. One pass projects items, and passages with two terms of weight or more (one, if an
-   item has fewer than four terms), on these and takes as candidates all pairs with a
+3. One pass projects windows, and passages with two terms of weight or more (one, if a
+   window has fewer than four terms), on these and takes as candidates all pairs with a
    cosine of ``least_cosine`` or more where the passage reaches ``least_share`` of the
-   item's own length along the item. For each candidate the words around the passage
-   are compared with the item: the longest common subsequence must cover ``least_lcs`` of
-   the item's words, and ``least_answer`` of its answer, i.e. its five rarest terms, must
-   stand there. So reworded passages are found as well as verbatim ones.
+   window's own length along the window. For each candidate the words around the passage
+   are compared with the whole item: the longest common subsequence must cover ``least_lcs``
+   of the item's words, and ``least_answer`` of its answer, i.e. its five rarest terms, or
+   else the five rarest of each of its windows, must stand there (of many words some
+   always are found in no other text, and a reworded leak lacks just these). So reworded passages are found as well as verbatim ones. The cosine
+   reported is that of the window nearest to the passage.
 
-Items are handled in blocks of ``block`` items, several blocks to a pass; what is
-broadcast has the size of the benchmark, not of the corpus.
+Windows are handled in blocks of about ``block`` windows, several blocks to a pass; the
+windows of a longer item lie in several blocks. What is broadcast has the size of the
+benchmark, not of the corpus.
 
 Defined results: null and empty texts and items without words match nothing; repeated
 documents get equal results, repeated items a result each; a null item_id is reported
@@ -31,7 +35,7 @@ is replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -61,16 +65,58 @@ class Rules:
     blocks_at_once: int = 16
 
 
+@dataclass(frozen=True)
+class Item:
+    number: int  # of the benchmark's row
+    item_id: object
+    text: str | None
+    windows: tuple[tuple[int, int], ...]  # first word, end; those to search in a block
+
+
+def _windows(n: int) -> tuple[tuple[int, int], ...]:
+    """The spans by which an item of ``n`` words is searched."""
+    if n <= 2 * STRIDE:
+        return ((0, n),)
+    return tuple((a, a + 2 * STRIDE) for a in (*range(0, n - 2 * STRIDE, STRIDE), n - 2 * STRIDE))
+
+
+def _blocks(rows: list, rules: Rules) -> list[list[Item]]:
+    """The benchmark's rows (i, t, h: their hash) dealt by hash into blocks of about ``block``
+    windows, none of more than ``block`` and ``rank``."""
+    w = tb.words(pc.utf8_lower(pa.array([r["t"] for r in rows], pa.string())), tb.ALNUM)
+    items = [Item(k, r["i"], r["t"], _windows(int(n))) for k, (r, n) in enumerate(zip(rows, w.counts))]
+    n_blocks = max(1, -(-sum(len(x.windows) for x in items) // rules.block))
+    most = max(rules.block, rules.rank)
+    dealt: dict[int, list[Item]] = {}
+    for x in items:
+        dealt.setdefault(rows[x.number]["h"] % n_blocks, []).append(x)
+    out = []
+    for b in sorted(dealt):
+        here: list[Item] = []
+        for x in dealt[b]:
+            for at in range(0, len(x.windows), most):
+                part = replace(x, windows=x.windows[at : at + most])
+                if here and sum(len(y.windows) for y in here) + len(part.windows) > most:
+                    out.append(here)
+                    here = []
+                here.append(part)
+        out.append(here)
+    return out
+
+
 class Terms:
     """The words of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str | None]]):
-        self.item_ids = [i for i, _ in items]
-        w = tb.words(pc.utf8_lower(pa.array([t for _, t in items], pa.string())), tb.ALNUM)
+    def __init__(self, items: list[Item]):
+        self.numbers = [x.number for x in items]
+        self.item_ids = [x.item_id for x in items]
+        w = tb.words(pc.utf8_lower(pa.array([x.text for x in items], pa.string())), tb.ALNUM)
         h = w.hashes()
         self.hashes = np.unique(h)
         at = np.searchsorted(self.hashes, h)
         self.items = [at[a:b] for a, b in zip(w.first, w.first[1:])]
+        self.windows = [own[a:b] for own, x in zip(self.items, items) for a, b in x.windows]
+        self.owner = np.repeat(np.arange(len(items)), [len(x.windows) for x in items])
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.hashes & np.uint64(0xFFFF)] = True
 
@@ -133,9 +179,11 @@ def _frequencies(docs: DataFrame, models: list[Terms], text: str) -> tuple[list[
 def _weights(m: Terms, df: np.ndarray, n: int, max_df: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the terms, and their plain inverse document frequencies."""
     idf = np.log((n + 1) / (df + 1)) + 1e-3
-    weight = np.maximum(idf + np.log(max_df), 0.0)
-    for item in m.items:
-        rare = _rarest(item, idf, OWN)
+    weight = np.zeros(len(idf))
+    for window in m.windows:  # an item's other words may be another block's to search
+        weight[window] = np.maximum(idf[window] + np.log(max_df), 0.0)
+    for window in m.windows:
+        rare = _rarest(window, idf, OWN)
         weight[rare] = idf[rare]
     return weight, idf
 
@@ -241,16 +289,22 @@ class Model:
 
     @cached_property
     def least_terms(self) -> int:
-        return 1 if any(0 < len(np.unique(item)) < 4 for item in self.terms.items) else 2
+        return 1 if any(0 < len(np.unique(window)) < 4 for window in self.terms.windows) else 2
 
-    def latent_items(self) -> np.ndarray:
-        z = np.zeros((len(self.terms.items), self.vectors.shape[1]), np.float32)
-        for k, item in enumerate(self.terms.items):
-            z[k] = self.loaded[np.unique(item)].sum(axis=0)
+    def latent_windows(self) -> np.ndarray:
+        z = np.zeros((len(self.terms.windows), self.vectors.shape[1]), np.float32)
+        for k, window in enumerate(self.terms.windows):
+            z[k] = self.loaded[np.unique(window)].sum(axis=0)
         return z
 
-    def answers(self) -> list[set[int]]:
-        return [set(_rarest(item, self.idf, ANSWER).tolist()) for item in self.terms.items]
+    def answers(self) -> list[tuple[set[int], ...]]:
+        """Each item's rarest terms, and, if it has more than one window, those of all windows."""
+        out = []
+        for item in self.terms.items:
+            spans = _windows(len(item))
+            own = set(_rarest(item, self.idf, ANSWER).tolist())
+            out.append((own, {t for a, b in spans for t in _rarest(item[a:b], self.idf, ANSWER).tolist()}) if len(spans) > 1 else (own,))
+        return out
 
 
 def _unit(z: np.ndarray) -> np.ndarray:
@@ -258,14 +312,14 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return np.divide(z, size, out=np.zeros_like(z), where=size > 1e-12)
 
 
-def _matches(p: Passages, model: Model, items: np.ndarray, answers: list[set[int]], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
+def _matches(p: Passages, model: Model, windows: np.ndarray, answers: list[tuple[set[int], ...]], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(row, item number) -> (cosine, share of the item in order, share of its answer)."""
     terms = model.terms
     at, term = terms.known(p.h)
     some = model.weight[term] > 0
     passage, known = p.entries(at[some], term[some], max(len(terms.hashes), 1))
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    if not len(known) or not items.size:
+    if not len(known) or not windows.size:
         return found
     edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     size = np.diff(np.append(edge, len(known)))
@@ -279,31 +333,38 @@ def _matches(p: Passages, model: Model, items: np.ndarray, answers: list[set[int
         e = min(s + 4096, len(edge))
         a, b = edge[s], edge[e] if e < len(edge) else len(known)
         z[s:e] = np.add.reduceat(model.loaded[known[a:b]], edge[s:e] - a, axis=0)
-    along = z @ _unit(items).T  # lengths of the passages along the items
+    along = z @ _unit(windows).T  # lengths of the passages along the windows
     cosine = along / np.maximum(np.sqrt((z * z).sum(axis=1)), 1e-12)[:, None]
-    near = (cosine >= rules.least_cosine) & (along >= rules.least_share * np.sqrt((items * items).sum(axis=1)))
+    near = (cosine >= rules.least_cosine) & (along >= rules.least_share * np.sqrt((windows * windows).sum(axis=1)))
     every = np.full(len(p.h), -1, np.int64)
     every[at] = term
-    for k, i in zip(*(x.tolist() for x in np.nonzero(near))):
+    nearest: dict[tuple[int, int], float] = {}
+    for k, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        i = int(terms.owner[j])
+        nearest[k, i] = max(nearest.get((k, i), -1.0), float(cosine[k, j]))
+    compared: dict[tuple[int, int, int], tuple[float, float]] = {}  # passages of one short text have one region
+    for (k, i), c in nearest.items():
         at_passage = int(passage[edge[k]])
         doc = int(np.searchsorted(p.first, at_passage, "right")) - 1
         item = terms.items[i]
         begin = int(p.w.first[doc]) + (at_passage - int(p.first[doc])) * STRIDE
-        region = every[max(begin - len(item), int(p.w.first[doc])) : min(begin + 2 * STRIDE + len(item), int(p.w.first[doc + 1]))]
-        answer = len(answers[i] & set(region.tolist())) / max(len(answers[i]), 1)
-        if answer < rules.least_answer:
-            continue
-        lcs = _common_subsequence(item, region) / len(item)
-        if lcs >= rules.least_lcs:
-            found[doc, i] = max(found.get((doc, i), (0.0, 0.0, 0.0)), (lcs, answer, float(cosine[k, i])))
+        a, b = max(begin - len(item), int(p.w.first[doc])), min(begin + 2 * STRIDE + len(item), int(p.w.first[doc + 1]))
+        if (a, b, i) not in compared:
+            region = every[a:b]
+            stand = set(region.tolist())
+            answer = max(len(own & stand) / max(len(own), 1) for own in answers[i])
+            compared[a, b, i] = (_common_subsequence(item, region) / len(item) if answer >= rules.least_answer else 0.0, answer)
+        lcs, answer = compared[a, b, i]
+        if answer >= rules.least_answer and lcs >= rules.least_lcs:
+            found[doc, i] = max(found.get((doc, i), (0.0, 0.0, 0.0)), (lcs, answer, c))
     return {key: (c, l, a) for key, (l, a, c) in found.items()}
 
 
-def fit(docs: DataFrame, items: list[list[tuple[object, str | None]]], text: str, rules: Rules) -> list[Model]:
+def fit(docs: DataFrame, items: list[list[Item]], text: str, rules: Rules) -> list[Model]:
     terms = [Terms(block) for block in items]
     dfs, n = _frequencies(docs, terms, text)
     weighed = [_weights(m, df, n, rules.max_df) for m, df in zip(terms, dfs)]
-    ranks = [min(len(m.items) + 16, rules.rank, max(len(m.hashes), 1)) for m in terms]
+    ranks = [min(len(m.windows) + 16, rules.rank, max(len(m.hashes), 1)) for m in terms]
     vectors = _singular_vectors(docs, terms, [w for w, _ in weighed], ranks, text)
     return [Model(m, w, idf, v) for m, (w, idf), v in zip(terms, weighed, vectors)]
 
@@ -311,30 +372,26 @@ def fit(docs: DataFrame, items: list[list[tuple[object, str | None]]], text: str
 def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), name: str = "leaks") -> DataFrame:
     """``docs`` with ``leaks``: array of (item_id, cosine, lcs, answer), empty for clean rows."""
     bench = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    n_blocks = max(1, -(-bench.count() // rules.block))
     entry = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer")]])
     held = T.StructField(name, T.ArrayType(entry))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
-    dealt = bench.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)))
-    parts = []
-    for at in range(0, n_blocks, rules.blocks_at_once):
-        rows = dealt.filter(F.col("b").between(at, at + rules.blocks_at_once - 1)).orderBy("b", "i", "t").collect()
-        blocks: dict[int, list] = {}
-        for r in rows:
-            blocks.setdefault(r["b"], []).append((r["i"], r["t"]))
-        if blocks:
-            parts.append(fit(docs, list(blocks.values()), text, rules))
+    # The benchmark is broadcast later on, so the driver can hold it.
+    blocks = _blocks(bench.withColumn("h", F.xxhash64("i", "t")).orderBy("i", "t").collect(), rules)
+    parts = [fit(docs, blocks[at : at + rules.blocks_at_once], text, rules) for at in range(0, len(blocks), rules.blocks_at_once)]
     sent = docs.sparkSession.sparkContext.broadcast(parts)
     cache: dict = {}
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         if not cache:
-            cache["m"] = [(m, m.latent_items(), m.answers()) for group in sent.value for m in group]
+            cache["m"] = [(m, m.latent_windows(), m.answers()) for group in sent.value for m in group]
         p = Passages(part.column(text))
-        out: list[list[dict]] = [[] for _ in range(part.num_rows)]
-        for m, items, answers in cache["m"]:
-            for (row, i), (c, l, a) in sorted(_matches(p, m, items, answers, rules).items()):
-                out[row].append({"item_id": m.terms.item_ids[i], "cosine": c, "lcs": l, "answer": a})
+        best: list[dict[int, tuple]] = [{} for _ in range(part.num_rows)]
+        for m, windows, answers in cache["m"]:
+            for (row, i), (c, l, a) in sorted(_matches(p, m, windows, answers, rules).items()):
+                number, new = m.terms.numbers[i], (l, a, c, m.terms.item_ids[i])
+                if number not in best[row] or new[:3] > best[row][number][:3]:
+                    best[row][number] = new
+        out = [[{"item_id": i, "cosine": c, "lcs": l, "answer": a} for l, a, c, i in x.values()] for x in best]
         return [pa.array(out, kind)]
 
     return frames.append(docs, [held], compute, text)

@@ -275,6 +275,41 @@ def test_decontamination(spark):
     assert flagged.columns == ["doc_id", "text", "leaks"] and flagged.count() == len(rows)
 
 
+def plain_leaks(rows, items, least=0.6):
+    """Pairs whose longest common subsequence covers the item's share, by the full table."""
+    out = set()
+    for (d, t), (i, item) in itertools.product(rows, items):
+        a, b = np.array(item.split()), t.split()
+        row = np.zeros(len(a) + 1, int)
+        for x in b:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(a == x, row[:-1] + 1, 0)))
+        if row[-1] >= least * len(a):
+            out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("rules", [decontaminate.Rules(), decontaminate.Rules(block=8, rank=8, blocks_at_once=4)])
+def test_decontamination_of_long_items(spark, rules):
+    r = random.Random(13)
+    words = [f"w{k}" for k in range(600)]  # the first are common
+    drawn = lambda n: [words[int(600 * r.random() ** 2)] for _ in range(n)]
+    items = [(i, " ".join(drawn(n))) for i, n in enumerate((64, 65, 100, 300, 300, 500, 500, 800, 1000))]
+    rows = []
+    for d in range(200):
+        own = items[d % 9][1].split()
+        if d < 18:
+            if d >= 9:  # reworded: a third of the common words changed, a third left out
+                own = ["other" if k % 3 == 1 and x in words[:120] else x for k, x in enumerate(own) if k % 3 != 2 or x not in words[:120]]
+        else:
+            own = own[: len(own) // 3] if d < 27 else []  # a third of an item is no leak
+        rows.append((d, " ".join([*drawn(r.randrange(20, 150)), *own, *drawn(r.randrange(20, 150))])))
+    want = plain_leaks(rows, items)
+    assert want == {(d, d % 9) for d in range(18)}
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, items[8]], "item_id long, text string"), rules=rules).toPandas()
+    counts = Counter((int(d), int(i)) for d, i in zip(got.doc_id, got.item_id))
+    assert set(counts) == want and all(n == (2 if i == 8 else 1) for (_, i), n in counts.items())
+
+
 def test_common_subsequence():
     r = random.Random(11)
     for _ in range(200):
