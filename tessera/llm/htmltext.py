@@ -6,8 +6,9 @@ styles, reader comments) are pruned. Every remaining node gets a composite text
 density: characters per tag, scaled down by the share of link characters and link
 tags. The node whose children's densities have the largest sum is the centre of the
 content; the smallest density on its path to the body is the threshold. The content
-is the container around the centre (its outermost article, else main, element if it
-has one), widened along that path while it gains siblings at or above the threshold.
+is the container around the centre (at least its outermost article, else main, element
+if it has one), widened along that path to the last container where it gains siblings,
+elements or bare text, at or above the threshold, or articles that are no list of links.
 All text in it is kept.
 
 White space inside a block becomes one space; blocks are joined by one newline.
@@ -113,7 +114,14 @@ class _Tree(HTMLParser):
         self.open.parts.append(data)
 
 
-def _measure(nodes: list[Node], body: Node) -> None:
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    base = math.log(chars * link_chars / max(chars - link_chars, 1) + share * chars + math.e)
+    adjusted = chars * max(tags, 1) / (max(link_chars, 1) * max(link_tags, 1))
+    return chars / max(tags, 1) * max(math.log(adjusted), 0.0) / base
+
+
+def _measure(nodes: list[Node], body: Node) -> float:
+    """Sets the nodes' counts and densities; the share of link characters in all."""
     for n in reversed(nodes):
         if n.pruned:
             continue
@@ -130,29 +138,34 @@ def _measure(nodes: list[Node], body: Node) -> None:
     for n in nodes:
         if n.pruned or not n.chars:
             continue
-        plain = n.chars - n.link_chars
-        base = math.log(n.chars * n.link_chars / max(plain, 1) + share * n.chars + math.e)
-        adjusted = n.chars * max(n.tags, 1) / (max(n.link_chars, 1) * max(n.link_tags, 1))
-        n.density = n.chars / max(n.tags, 1) * max(math.log(adjusted), 0.0) / base
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in nodes:
         below = [x.density for x in n.parts if isinstance(x, Node) and not x.pruned]
         n.total = sum(below) if any(below) else n.density
+    return share
 
 
 def _content(tree: _Tree) -> Node:
     body = next((n for n in tree.nodes if n.tag == "body"), tree.root)
-    _measure(tree.nodes, tree.root)
+    share = _measure(tree.nodes, tree.root)
     centre = max((n for n in tree.nodes if not n.pruned), key=lambda n: n.total)  # the first of equals
     path = [centre]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    for tag in ("article", "main"):
-        if of := [n for n in path if n.tag == tag]:
-            return of[-1]
     threshold = min(n.density for n in path)
     region = next(n for n in path if n.tag in CONTAINERS)
+    for tag in ("article", "main"):
+        if of := [n for n in path if n.tag == tag]:
+            region = of[-1]
+            break
+
+    def dense(x: Node | str) -> bool:
+        if isinstance(x, Node):
+            return not x.pruned and (x.density >= threshold or x.tag == "article" and x.chars >= max(1, 2 * x.link_chars))
+        return bool(n := len(" ".join(x.split()))) and _density(n, 0, 0, 0, share) >= threshold
+
     for inner, outer in zip(path, path[1:]):
-        if outer.tag in CONTAINERS and any(isinstance(x, Node) and x is not inner and not x.pruned and x.density >= threshold > 0 for x in outer.parts):
+        if outer.tag in CONTAINERS and threshold > 0 and any(x is not inner and dense(x) for x in outer.parts):
             region = max(region, outer, key=path.index)
     return region
 

@@ -156,6 +156,25 @@ def test_main_text(body, want):
     assert htmltext.main_text(PAGE % body) == want
 
 
+A, B = ("Some longer text with many words in it, so that it counts.", "Another text, as long as the first one or longer, that counts too.")
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><p>{A}</p></article><article><p>{B}</p></article>", f"{A}\n{B}"),
+        (f"<main><article><h2>1</h2><p>{A}</p></article><article><h2>2</h2><p>{B}</p></article></main>", f"1\n{A}\n2\n{B}"),
+        (f"<article><p>{A}</p><p>{A}</p><p>{A}</p></article><article><p>{B}</p><p>{B}</p><p>{B}</p></article>", f"{A}\n{A}\n{A}\n{B}\n{B}\n{B}"),
+        (f"<main><article><h2>1</h2><p>{A}</p><p>{A}</p><p>{A}</p></article><article><h2>2</h2><p>{B}</p><p>{B}</p></article></main>", f"1\n{A}\n{A}\n{A}\n2\n{B}\n{B}"),
+        (f"<main><p>{A}</p><article><p>{B}</p></article></main>", f"{A}\n{B}"),
+        (f"<main>{A} {A}<article><p>{B}</p><p>{B}</p></article></main>", f"{A} {A}\n{B}\n{B}"),
+        (f"<article><p>{A}</p><p>{B}</p></article><div><a href='/'>{A}</a></div>", f"{A}\n{B}"),
+    ],
+)
+def test_text_beside_an_article(body, want):
+    assert htmltext.main_text(PAGE % body) == want
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;b"), (5, "u", "<" * 50), (5, "u", "<" * 50), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<article></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("old"))
