@@ -2,7 +2,10 @@
 
 Each page is parsed into a tree. Parts that are no article by their element, role,
 class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are pruned. Every remaining node gets a composite text
+styles, reader comments) are pruned. A class or id counts as a whole and by its parts, but a node
+is not pruned for it that holds the page's longest article or main element, or, by a mere
+part of a name ("has-sidebar"), any such element that is no list of links; nor one that
+holds most of the page's text outside links when no such element is elsewhere. Every remaining node gets a composite text
 density: characters per tag, scaled down by the share of link characters and link
 tags. The node whose children's densities have the largest sum is the centre of the
 content; the smallest density on its path to the body is the threshold. The content
@@ -43,17 +46,20 @@ NAMES = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "menu", "modal",
     "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promotion", "related", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
+#: Names of reader comments, which may be longer than the page's own text.
+COMMENTS = {"comment", "comments", "disqus", "respond"}
 #: An element that starts ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDERS = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "pruned", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "pruned", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, pruned: bool):
         self.tag, self.parent, self.pruned = tag, parent, pruned
         self.parts: list[Node | str] = []
+        self.names: set[str] | None = None  # whole names, of a node with a name of boilerplate
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -66,11 +72,19 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for k, v in attrs:
         if k == "hidden" or k == "role" and (v or "").lower() in ROLES:
             return True
-        if k in ("class", "id") and v and NAMES & set(re.split(r"[^a-z0-9]+", v.lower())):
-            return True
     return False
 
 
+def _names(tag: str, attrs: list[tuple[str, str | None]]) -> set[str] | None:
+    """The whole class names and ids, if they or parts of them are names of boilerplate."""
+    if tag in ("html", "body", "main", "article"):
+        return None
+    given = [v.lower() for k, v in attrs if k in ("class", "id") and v]
+    if any(NAMES & set(re.split(r"[^a-z0-9]+", v)) for v in given):
+        return {x for v in given for x in v.split()}
+    return None
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -97,6 +111,8 @@ class _Tree(HTMLParser):
         if tag in ENDS and (old := self._find(ENDS[tag], {"ul", "ol", "dl", "table", "select"})):
             self._close_to(old)
         node = Node(tag, self.open, self.open.pruned or _boilerplate(tag, attrs))
+        if not node.pruned:
+            node.names = _names(tag, attrs)
         self.open.parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -114,6 +130,39 @@ class _Tree(HTMLParser):
         self.open.parts.append(data)
 
 
+def _prune_named(nodes: list[Node]) -> None:
+    """Prunes nodes with names of boilerplate, but none that hold the content."""
+    if not any(n.names is not None for n in nodes):
+        return
+    held = {n: [0, 0, 0] for n in nodes if not n.pruned}  # characters, those in links, articles
+    longest, most = None, 0
+    for n in reversed(nodes):
+        if n.pruned:
+            continue
+        own = held[n]
+        own[0] += sum(len(" ".join(x.split())) for x in n.parts if isinstance(x, str))
+        if n.tag == "a":
+            own[1] = own[0]
+        elif n.tag in ("article", "main") and (plain := own[0] - own[1]) and plain >= own[1]:
+            own[2] += 1
+            longest, most = (n, plain) if plain >= most else (longest, most)
+        if n.parent is not None:
+            for k, x in enumerate(own):
+                held[n.parent][k] += x
+    around = set()
+    while longest is not None:
+        around.add(longest)
+        longest = longest.parent
+    chars, links, articles = held[nodes[0]]
+    for n in nodes:
+        if n.pruned or n.parent is None:
+            continue
+        own = held[n]
+        n.pruned = n.parent.pruned
+        if n.names is not None and n not in around and not (own[2] and not n.names & NAMES):
+            n.pruned = n.pruned or own[2] < articles or bool(n.names & COMMENTS) or 2 * (own[0] - own[1]) <= chars - links
+
+
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
     base = math.log(chars * link_chars / max(chars - link_chars, 1) + share * chars + math.e)
     adjusted = chars * max(tags, 1) / (max(link_chars, 1) * max(link_tags, 1))
@@ -147,6 +196,7 @@ def _measure(nodes: list[Node], body: Node) -> float:
 
 def _content(tree: _Tree) -> Node:
     body = next((n for n in tree.nodes if n.tag == "body"), tree.root)
+    _prune_named(tree.nodes)
     share = _measure(tree.nodes, tree.root)
     centre = max((n for n in tree.nodes if not n.pruned), key=lambda n: n.total)  # the first of equals
     path = [centre]

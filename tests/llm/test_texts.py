@@ -175,6 +175,15 @@ def test_text_beside_an_article(body, want):
     assert htmltext.main_text(PAGE % body) == want
 
 
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'id="content-with-ads"', 'class="page no-header"', 'class="widget"'])
+def test_wrappers_named_like_boilerplate(name):
+    side = "<div class='sidebar'><article><a href='/'>Other page</a></article></div><div id='comments'><article><p>Comment.</p></article></div><p class='share'>Tweet</p>"
+    for body in (f"<article><p>{A}</p><p>{B}</p></article>", f"<main><div><p>{A}</p><p>{B}</p></div></main>", f"<div><p>{A}</p><p>{B}</p></div>"):
+        plain = "" if "<div><p" in body and "main" not in body else side
+        assert htmltext.main_text(PAGE % f"<div {name}>{body}{plain}</div>") == f"{A}\n{B}"
+    assert htmltext.main_text(PAGE % f"<article><p>{A}</p></article><div {name.replace('widget', 'x')}><article><p>{B}</p></article></div>") == f"{A}\n{B}"
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;b"), (5, "u", "<" * 50), (5, "u", "<" * 50), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<article></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("old"))
