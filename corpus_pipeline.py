@@ -26,8 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the longest and then first document stays."""
-    return exact.without_copies(docs)
+    """Of equal texts, the longest and then first document stays; of rows alike in doc_id
+    and text, one."""
+    kept = exact.without_copies(docs).withColumn("_sha256", F.sha2("text", 256))
+    return kept.dropDuplicates(["doc_id", "_sha256"]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,6 +323,14 @@ def test_common_subsequence():
 # --- the pipeline ------------------------------------------------------------------
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (2, "ab"), (3, None), (3, None), (None, "d"), (None, "d"), (4, "e")]
+    got = pipeline.exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert got.columns == ["doc_id", "text"]
+    same(got.collect(), [(1, "a b"), (1, "c"), (3, None), (None, "d"), (4, "e")])
+
+
 def test_pipeline_against_its_stages(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(12)
