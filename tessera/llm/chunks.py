@@ -18,8 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text in a chunk, on average. A document is never split over chunks.
-CHUNK_BYTES = 4 << 20
+#: Text in a chunk, on average, at least and at most. A document is never split over chunks.
+CHUNK_BYTES, MOST_CHUNK_BYTES = 4 << 20, 64 << 20
 
 #: doc_id of rows without one: no document is smaller than they are large.
 NO_ID = np.iinfo(np.int64).max
@@ -31,17 +31,24 @@ def sized(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(got["b"] or 0), int(got["n"])
 
 
-def dealt(docs: DataFrame, total: int, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunk_size(total: int) -> int:
+    """Grows with the square root of the corpus, and buckets do too: else the lists between
+    them would shrink to a hash each. A task's memory is the limit."""
+    return min(max(CHUNK_BYTES, math.isqrt(total << 14)), MOST_CHUNK_BYTES)
+
+
+def dealt(docs: DataFrame, total: int, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """(chunk, doc_id, text): rows of one doc_id and text share a chunk. A null id is
     dealt by its text."""
-    n = max(1, math.ceil(total / chunk_bytes))
+    n = max(1, math.ceil(total / (chunk_bytes or chunk_size(total))))
     key = F.xxhash64(F.lit("chunk"), F.coalesce(F.col(doc_id).cast("string"), F.col(text)))
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("chunk"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def buckets(entries: float, most: int = 1 << 20) -> int:
-    """How many buckets hold about ``most`` entries each."""
-    return max(1, math.ceil(entries / most))
+def buckets(entries: float) -> int:
+    """How many buckets hold one million to four million entries each, the more the more
+    entries there are."""
+    return max(1, math.ceil(entries / min(max(1 << 20, 4 * math.sqrt(entries)), 1 << 22)))
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -58,6 +65,13 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def ids(column) -> np.ndarray:
     """A column of ids as int64, null as NO_ID."""
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)

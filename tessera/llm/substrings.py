@@ -111,20 +111,13 @@ def _shared_anchors(docs: DataFrame, n: int) -> DataFrame:
         every = np.concatenate(lists)
         plain = np.sort(every & ~np.uint64(1))
         met = np.unique(np.concatenate([plain[1:][plain[1:] == plain[:-1]], every[(every & np.uint64(1)) > 0] & ~np.uint64(1)]))
-        replies = [chunks.pack(v[_among(met, v)]) for v in (x & ~np.uint64(1) for x in lists)]
+        replies = [chunks.pack(v[chunks.among(met, v)]) for v in (x & ~np.uint64(1) for x in lists)]
         return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), pa.array(replies, pa.binary())], names=["chunk", "bucket", "a"])
 
     sent = docs.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, a binary")
     return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, a binary")
 
 
-def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array ``known``."""
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def _all(table: pa.Table, name: str) -> np.ndarray:
     lists = [chunks.unpack(x) for x in table.column(name).to_pylist()]
     return np.concatenate(lists) if lists else np.zeros(0, np.uint64)
@@ -138,7 +131,7 @@ def _least_sources(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
         c = _Chunk(own)
         at, h = c.anchors()
         hit = np.zeros(len(c.h) + WINDOW, np.int64)
-        hit[at[_among(np.sort(_all(answers, "a")), h & ~np.uint64(1))]] = 1
+        hit[at[chunks.among(np.sort(_all(answers, "a")), h & ~np.uint64(1))]] = 1
         before = np.concatenate([[0], np.cumsum(hit)])
         at = c.fits(WINDOW)
         at = at[before[at + PERIOD] > before[at]]
@@ -173,7 +166,7 @@ def _least_sources(docs: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, a binary, b binary, c binary")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and
     kept (the words that stay, joined by one space)."""
     total, _ = chunks.sized(docs, text)

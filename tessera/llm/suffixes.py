@@ -8,19 +8,25 @@ input.
    (leftmost of equals), a function of the window's content alone; a piece is a run of
    consecutive windows with one anchor occurrence. Equal windows have equal anchors, so
    only pieces with equal anchors need be compared.
-2. *Equal pieces* are counted first, by a 128-bit cryptographic digest of their bytes: if
-   one occurs twice, all its windows repeat. Of each set one representative goes on, and
-   only if its anchor has other pieces that agree with it over 308 bytes around the anchor
-   in one of four alignments, as pieces with a common window must. So copies of a document, however many, cost
-   one list entry for each chunk.
+2. *Which pieces.* Each chunk sends one entry for each distinct piece (a 128-bit cryptographic
+   digest of its bytes) and one for what is around its anchor in each of four alignments of
+   308 bytes; pieces with a common window agree in one. Entries meet by hash, so neither
+   equal pieces nor different ones around a frequent line gather in one place. A digest that
+   occurs twice settles all windows of its pieces; of each set of equal pieces one goes on,
+   and only if a different piece agrees with it in an alignment. So copies of a document,
+   however many, cost one list entry for each chunk.
 3. *Suffix arrays.* Pieces are dealt to shards by anchor. Each shard builds the suffix
-   array of its pieces by Larsson-Sadakane refinement in numpy: ranks by the first 8
-   bytes, then doubling, sorting again only what is still tied. Kasai's recurrence, run
-   over all pieces side by side, gives the common prefixes of neighbours; windows with
-   400 or more in common (compared once more by hash) repeat.
-4. *Hot anchors.* An anchor with more than ``hot`` different pieces is dealt over several
-   shards. These send the sorted hashes of their distinct windows to a merge dealt by
-   hash, and each list is looked up in the sorted union of all by binary search.
+   array of its windows by Larsson-Sadakane refinement in numpy: ranks by the first 8
+   bytes, then doubling, sorting again only what is still tied and still asked for. Kasai's
+   recurrence, run over all pieces side by side, gives the common prefixes of neighbours;
+   windows with 400 or more in common (compared once more by hash) repeat.
+4. *Merging shards.* An anchor's pieces are dealt over as many shards as hold ``hot`` of them
+   each. Of an anchor in several, each shard sends the sorted hashes of its distinct windows
+   to a merge dealt by hash, and each list is looked up in the sorted union of all by binary
+   search.
+
+A document is read in blocks of 1 MB that overlap by a window; a task holds the texts of one
+chunk (and of one document longer than that), and about 20 bytes for each of their bytes.
 
 Defined results: null and empty texts have no bytes; documents shorter than 400 bytes
 stay whole; rows that repeat are occurrences of their own, so their long texts go;
@@ -30,6 +36,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +52,7 @@ _SPAN = WINDOW - GRAM + 1  # gram positions in a window
 #: L + R = 368; so for one of these it covers all of (left, right) around the anchor.
 _REACH = [(0, 276), (92, 184), (184, 92), (276, 0)]
 _PLACE_BITS = 24  # of a key: gram position; the others: its hash
-_BLOCK = 4 << 20  # bytes of one document handled at once
+_BLOCK = 1 << 20  # bytes of one document handled at once
 SHARD_BYTES = 1 << 20
 HOT = 512
 
@@ -62,32 +69,50 @@ def _least(key: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(behind[:size], ahead[n - 1 : n - 1 + size])
 
 
-def _pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First and last window start, anchor hash and document of each piece, and hashes
-    of what is around its anchor, two 32-bit ones to a word (zero: past the document)."""
-    n = len(buf)
-    if n < WINDOW:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64)) + (np.zeros(0, np.uint64),) * 2
-    grams = np.arange(n - GRAM + 1)
-    h = tb.span_hashes(buf, grams, grams + GRAM)
+@dataclass
+class _Pieces:
+    """Pieces of a part of a chunk, by column."""
+
+    row: np.ndarray
+    start: np.ndarray  # of the first window, in the document
+    windows: np.ndarray
+    begin: np.ndarray  # the bytes, in ``raw``
+    end: np.ndarray
+    anchor: np.ndarray
+    digest: np.ndarray  # two words each
+    around: np.ndarray  # a hash for each alignment (zero: it reaches past the document)
+    raw: bytes
+
+    def data(self, k: int) -> bytes:
+        return self.raw[self.begin[k] : self.end[k]]
+
+
+def _pieces(buf: np.ndarray, off: np.ndarray, row: int, base: int) -> _Pieces | None:
+    """The pieces of whole documents or of a block of one, which begins at ``base`` there."""
+    if len(buf) < WINDOW:
+        return None
+    sums = tb.Sums(buf)
+    grams = np.arange(len(buf) - GRAM + 1)
+    h = sums.hashes(grams, grams + GRAM)
     low = np.uint64((1 << _PLACE_BITS) - 1)
     anchor = (_least((h & ~low) | grams.astype(np.uint64), _SPAN) & low).astype(np.int64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
     fits = np.flatnonzero(np.arange(len(anchor)) + WINDOW <= off[doc + 1])
     if not len(fits):
-        return _pieces(buf[:0], off[:1])
+        return None
     new = np.ones(len(fits), bool)
     new[1:] = (anchor[fits[1:]] != anchor[fits[:-1]]) | (fits[1:] != fits[:-1] + 1)
     first = fits[new]
-    last = fits[np.append(np.flatnonzero(new)[1:], len(fits)) - 1]
+    end = fits[np.append(np.flatnonzero(new)[1:], len(fits)) - 1] + WINDOW
     at, own = anchor[first], doc[first]
-    around = []
-    for left, right in _REACH:
-        inside = (at - left >= off[own]) & (at + GRAM + right <= off[own + 1])
-        start = np.where(inside, at - left, 0)
-        end = np.where(inside, at + GRAM + right, 0)
-        around.append(np.where(inside, tb.span_hashes(buf, start, end) >> np.uint64(32) | np.uint64(1), np.uint64(0)))
-    return first, last, h[at], own, around[0] << np.uint64(32) | around[1], around[2] << np.uint64(32) | around[3]
+    around = np.zeros((len(first), len(_REACH)), np.uint64)
+    for k, (left, right) in enumerate(_REACH):
+        inside = np.flatnonzero((at - left >= off[own]) & (at + GRAM + right <= off[own + 1]))
+        here = sums.hashes(at[inside] - left, at[inside] + GRAM + right)
+        around[inside, k] = tb.mix(here + h[at[inside]] * np.uint64(2 * k + 1)) | np.uint64(1)
+    raw = buf.tobytes()
+    digests = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(first.tolist(), end.tolist()))
+    return _Pieces(row + own, first - off[own] + base, end - first - WINDOW + 1, first, end, h[at], np.frombuffer(digests, np.uint64).reshape(-1, 2), around, raw)
 
 
 class _Chunk:
@@ -96,108 +121,123 @@ class _Chunk:
     def __init__(self, table: pa.Table):
         self.table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
-    def parts(self):
-        """(first row, bytes, document offsets, where the bytes begin in their document)."""
+    def pieces(self):
         row = 0
         for batch in self.table.to_batches():
             for part in tb.slices(batch, most=min(tb.SLICE_BYTES, _BLOCK)):
                 buf, off = tb.flat(part.column("text"))
                 if len(buf) <= _BLOCK:
-                    yield row, buf, off, 0
+                    blocks = [(buf, off, 0)]
                 else:  # one long document; blocks share the windows' overlap
-                    for at in range(0, len(buf), _BLOCK):
-                        block = buf[at : at + _BLOCK + WINDOW - 1]
-                        yield row, block, np.array([0, len(block)]), at
+                    cut = (buf[at : at + _BLOCK + WINDOW - 1] for at in range(0, len(buf), _BLOCK))
+                    blocks = ((x, np.array([0, len(x)]), k * _BLOCK) for k, x in enumerate(cut))
+                for block, own, base in blocks:
+                    if (got := _pieces(block, own, row, base)) is not None:
+                        yield got
                 row += part.num_rows
 
-    def pieces(self):
-        """(row, start in the document, windows, bytes, anchor, digest as two words, what is
-        around the anchor as two words)."""
-        for row, buf, off, base in self.parts():
-            raw = buf.tobytes()
-            for s, e, a, d, u, v in zip(*(x.tolist() for x in _pieces(buf, off))):
-                data = raw[s : e + WINDOW]
-                digest = hashlib.blake2b(data, digest_size=16).digest()
-                yield row + d, s - int(off[d]) + base, e - s + 1, data, a, int.from_bytes(digest[:8]), int.from_bytes(digest[8:]), u, v
-
-
-def _verdicts(docs: DataFrame, n: int, hot: int) -> DataFrame:
-    """(chunk, bucket, a, b, c, d): anchor, digest and verdict of pieces that occur twice
-    (bit 0) or have to be compared (bit 1); above, over how many shards.  A piece is
-    compared if a different piece agrees with it around the anchor far enough for a
-    common window."""
+
+_LOWEST = np.uint64(1)  # bit
+
+
+def _entries(pieces: list[_Pieces]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values that a chunk sends, sorted by key. An even key is half of a digest
+    with the other half as value, whose lowest bit says that the chunk has it twice; an odd
+    key is what is around an anchor, with pieces it is around, two of them at most."""
+    digest = np.concatenate([x.digest for x in pieces])
+    around = np.concatenate([x.around for x in pieces])
+    order = np.lexsort(digest.T)
+    digest, around = digest[order], around[order]
+    first = np.flatnonzero(np.append(True, (digest[1:] != digest[:-1]).any(axis=1)))
+    many = np.diff(np.append(first, len(digest))) > 1
+    digest, around = digest[first], around[first]
+    key, of = around.reshape(-1), np.repeat(digest[:, 0], around.shape[1])
+    some = np.flatnonzero(key)
+    some = some[np.lexsort((of[some], key[some]))]
+    key, of = key[some], of[some]
+    place = np.arange(len(key))
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    few = place - place[new][np.cumsum(new) - 1] < 2
+    keys = np.concatenate([digest[:, 0] & ~_LOWEST, key[few]])
+    values = np.concatenate([digest[:, 1] & ~_LOWEST | many, of[few]])
+    order = np.lexsort((values, keys))
+    return keys[order], values[order]
+
+
+def _answered(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the entries of all chunks are digests that occur twice, or surroundings of
+    different pieces; and which are digests that an entry before them has."""
+    order = np.lexsort((value, key))
+    k, v = key[order], value[order]
+    same_key = k[1:] == k[:-1]
+    digest = k & _LOWEST == 0
+    twice = digest & (v & _LOWEST > 0)
+    met = same_key & np.where(digest[1:], v[1:] >> _LOWEST == v[:-1] >> _LOWEST, v[1:] != v[:-1])
+    twice[1:] |= met
+    twice[:-1] |= met
+    # What holds for one entry of a key holds for all: of a digest those with its other half.
+    first = np.append(True, ~same_key | digest[1:] & (v[1:] >> _LOWEST != v[:-1] >> _LOWEST))[: len(k)]
+    group = np.cumsum(first) - 1
+    told, follows = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    told[order] = (np.bincount(group, weights=twice) > 0)[group] if len(k) else twice
+    follows[order] = digest & ~first
+    return told, follows
+
+
+def _verdicts(docs: DataFrame, n: int) -> DataFrame:
+    """(chunk, bucket, a, b): in packed lists the chunk's keys that are told of, and those of
+    digests that another chunk's piece stands for."""
 
     def send(table: pa.Table) -> pa.Table:
-        seen: dict[tuple, int] = {}
-        for _, _, _, _, *key in _Chunk(table).pieces():
-            key = tuple(key)
-            seen[key] = seen.get(key, 0) + 1
-        own = np.array([k for k in seen], np.uint64).reshape(-1, 5)
-        many = np.array([c > 1 for c in seen.values()], np.uint64)
-        bucket = (own[:, 0] % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((own[:, 0], bucket))
-        own, many, bucket = own[order], many[order], bucket[order]
-        edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(edge[1:], len(bucket))
-        cut = [[chunks.pack(np.ascontiguousarray(v[s:e])) for s, e in zip(edge, ends)] for v in (*own.T, many)]
-        return pa.Table.from_arrays([pa.array(np.full(len(edge), table.column("chunk")[0].as_py()), pa.int32()), pa.array(bucket[edge], pa.int32()), *[pa.array(v, pa.binary()) for v in cut]], names=["chunk", "bucket", *"abcdef"])
+        pieces = list(_Chunk(table).pieces())
+        key, value = _entries(pieces) if pieces else (np.zeros(0, np.uint64),) * 2
+        bucket = (key >> _LOWEST) % np.uint64(n)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(n + 1))
+        own = np.flatnonzero(np.diff(edge))
+        cut = [pa.array([chunks.pack(x[order[edge[b] : edge[b + 1]]]) for b in own], pa.binary()) for x in (key, value)]
+        return pa.Table.from_arrays([pa.array(np.full(len(own), table.column("chunk")[0].as_py()), pa.int32()), pa.array(own, pa.int32()), *cut], names=["chunk", "bucket", "a", "b"])
 
     def answer(table: pa.Table) -> pa.Table:
-        lists = [[chunks.unpack(v) for v in table.column(name).to_pylist()] for name in "abcdef"]
-        a, x, y, u, v, many = (np.concatenate(own) for own in lists)
-        part = np.repeat(np.arange(table.num_rows), [len(v) for v in lists[0]])
-        chunk = table.column("chunk").to_numpy()[part]
-        order = np.lexsort((chunk, y, x, a))
-        a, x, y, u, v, many, part = (own[order] for own in (a, x, y, u, v, many, part))
-        new_a = np.append(True, a[1:] != a[:-1])
-        new = new_a | np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
-        of, of_a = np.cumsum(new) - 1, np.cumsum(new_a) - 1
-        twice = (np.bincount(of, weights=1.0 + many) > 1)[of]
-        lead = np.flatnonzero(new)  # one of each set of equal pieces
-        near = np.zeros(len(lead), bool)
-        for word in (u[lead], v[lead]):
-            for half in (word >> np.uint64(32), word & np.uint64(0xFFFFFFFF)):
-                by = np.lexsort((half, of_a[lead]))
-                same = (of_a[lead][by][1:] == of_a[lead][by][:-1]) & (half[by][1:] == half[by][:-1]) & (half[by][1:] > 0)
-                near[by[1:][same]] = True
-                near[by[:-1][same]] = True
-        kinds = np.bincount(of_a[lead], weights=near)[of_a].astype(np.int64)
-        compared = np.zeros(len(new), bool)
-        compared[lead[near]] = True
-        verdict = twice.astype(np.uint64) | np.where(compared, np.uint64(2) | (-(-kinds // hot)).astype(np.uint64) << np.uint64(2), np.uint64(0))
-        told = np.flatnonzero(verdict)
-        told = told[np.argsort(part[told], kind="stable")]
-        edge = np.searchsorted(part[told], np.arange(table.num_rows + 1))
-        cut = [[chunks.pack(own[told[s:e]]) for s, e in zip(edge, edge[1:])] for own in (a, x, y, verdict)]
-        return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *[pa.array(v, pa.binary()) for v in cut]], names=["chunk", "bucket", *"abcd"])
-
-    schema = "chunk int, bucket int, a binary, b binary, c binary, d binary"
-    return docs.groupBy("chunk").applyInArrow(send, f"{schema}, e binary, f binary").groupBy("bucket").applyInArrow(answer, schema)
-
-
-_SENT = "chunk int, row int, start long, windows int, anchor long, shards int, shard int, settled boolean, data binary"
+        keys, values = ([chunks.unpack(x) for x in table.column(c).to_pylist()] for c in "ab")
+        ends = np.cumsum([len(k) for k in keys])
+        cut = [pa.array([chunks.pack(np.unique(k[x[e - len(k) : e]])) for k, e in zip(keys, ends)], pa.binary()) for x in _answered(np.concatenate(keys), np.concatenate(values))]
+        return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), *cut], names=["chunk", "bucket", "a", "b"])
+
+    sent = docs.groupBy("chunk").applyInArrow(send, "chunk int, bucket int, a binary, b binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, a binary, b binary")
+
+
+_SENT = "chunk int, row int, start long, windows int, anchor long, part long, settled boolean, data binary"
 
 
 def _sent(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Runs of windows known to repeat (data null), and pieces to compare."""
 
     def send(key, own: pa.Table, answers: pa.Table) -> pa.Table:
-        told: dict[tuple[int, int, int], int] = {}
-        for row in answers.select(list("abcd")).to_pylist():
-            for piece, v in zip(zip(*(chunks.unpack(row[n]).tolist() for n in "abc")), chunks.unpack(row["d"]).tolist()):
-                told[piece] = told.get(piece, 0) | v
-        out = []
-        for row, start, windows, data, a, x, y, _, _ in _Chunk(own).pieces():
-            v = told.get((a, x, y), 0)
-            if v & 1:
-                out.append((row, start, windows, 0, 0, 0, True, None))
-            if v & 2:
-                told[a, x, y] = v & 1  # one of equal pieces goes
-                shards = v >> 2
-                out.append((row, start, windows, a - (1 << 63), shards, x % shards, bool(v & 1), data))
-        columns = list(zip(*out)) or [[]] * 8
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int32()), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=["chunk", "row", "start", "windows", "anchor", "shards", "shard", "settled", "data"])
+        told, others = (np.sort(np.concatenate([np.zeros(0, np.uint64), *(chunks.unpack(x) for x in answers.column(c).to_pylist())])) for c in "ab")
+        known: list[pa.Table] = []
+        work: list[tuple] = []
+        gone: set[bytes] = set()
+        for x in _Chunk(own).pieces():
+            twice = chunks.among(told, x.digest[:, 0] & ~_LOWEST)
+            compared = chunks.among(told, x.around.reshape(-1)).reshape(x.around.shape).any(axis=1)
+            compared &= ~chunks.among(others, x.digest[:, 0] & ~_LOWEST)
+            at = np.flatnonzero(twice)
+            end = x.start + x.windows
+            new = np.ones(len(at), bool)
+            new[1:] = (x.row[at[1:]] != x.row[at[:-1]]) | (x.start[at[1:]] != end[at[:-1]])
+            first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+            known.append(pa.table({"row": pa.array(x.row[first], pa.int32()), "start": pa.array(x.start[first], pa.int64()), "windows": pa.array(end[last] - x.start[first], pa.int32())}))
+            for k in np.flatnonzero(compared).tolist():
+                digest = x.digest[k].tobytes()
+                if digest not in gone:  # one of equal pieces goes
+                    gone.add(digest)
+                    work.append((x.row[k], x.start[k], x.windows[k], x.anchor[k].view(np.int64), x.digest[k, 1].view(np.int64), twice[k], x.data(k)))
+        kinds = {"row": pa.int32(), "start": pa.int64(), "windows": pa.int32(), "anchor": pa.int64(), "part": pa.int64(), "settled": pa.bool_(), "data": pa.binary()}
+        sent = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*work)) or [[]] * 7, kinds.values())], names=list(kinds))
+        out = pa.concat_tables([sent, *known], promote_options="default")
+        return out.add_column(0, "chunk", pa.array([key[0].as_py()] * out.num_rows, pa.int32()))
 
     return docs.groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(send, _SENT)
 
@@ -214,9 +254,10 @@ def _eights(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return key
 
 
-def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """The rank of every suffix among all, by its first ``depth`` bytes at least; a
-    suffix ends where its piece does. Equal ranks: equal as far as that."""
+def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of every suffix (that is ``asked`` for) among all, by its first ``depth``
+    bytes at least, and its rank by half as many; a suffix ends where its piece does. Equal
+    ranks: equal as far as that."""
     n = len(text)
     key = _eights(text, ends)
     order = np.argsort(key, kind="stable")
@@ -224,10 +265,22 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     new = np.append(True, sorted_key[1:] != sorted_key[:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    half = rank.copy()
     size = np.diff(np.append(np.flatnonzero(new), n))
     tied = order[np.repeat(size > 1, size)]
-    h = 8
-    while h < depth and len(tied):
+    steps = [8 << k for k in range(max(0, (depth - 1) // 8).bit_length())]
+    # The last step needs the ranks of what is asked for and of what is so much further on, and so on.
+    needed = [np.ones(n, bool) if asked is None else asked]
+    for h in reversed(steps):
+        more = needed[-1].copy()
+        more[h:] |= needed[-1][:-h] if h < n else False
+        needed.append(more)
+    for h, wanted in zip(steps, needed[-2::-1]):
+        if h == steps[-1]:
+            half = rank.copy()
+        tied = tied[wanted[tied]]
+        if not len(tied):
+            continue
         further = tied + h
         after = np.where(further < ends[tied], rank[np.minimum(further, n - 1)], -1) + 1
         pair = (rank[tied].astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
@@ -241,36 +294,49 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
         rank[tied] = old + first - base
         size = np.diff(np.append(at[new], len(tied)))
         tied = tied[np.repeat(size > 1, size)]
-        h *= 2
-    return rank
+    return rank, half
+
 
+def _leading_equal(differ: np.ndarray) -> np.ndarray:
+    """How many of the 8 leading bytes are zero."""
+    # Without neighbouring ones a number isn't rounded up to the next power of two.
+    bits = np.frexp((differ & ~(differ >> np.uint64(1))).astype(np.float64))[1]
+    return (64 - bits) >> 3
 
-def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, steps: np.ndarray | None = None) -> np.ndarray:
+
+def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, steps: np.ndarray | None = None, known: np.ndarray | None = None) -> np.ndarray:
     """Kasai's recurrence over all pieces side by side: for each suffix, what it has
     in common (at most ``most``) with the suffix before it in ``order``. ``steps``: how
-    many suffixes of each piece, from its start, are asked for."""
-    steps = ends - starts if steps is None else steps
-    stop = np.repeat(ends, ends - starts)
+    many suffixes of each piece, from its start, are in the order; ``known``: what each is
+    known to have in common at least."""
+    every = ends - starts
+    steps = every if steps is None else steps
+    stop = np.repeat(ends, every)
     key = _eights(text, stop)
     common = np.zeros(len(text), np.int64)
+    within = np.repeat(starts + steps, every)  # the suffixes in the order end here
+    by_length = np.argsort(-steps, kind="stable")
+    lanes = np.searchsorted(-steps[by_length], -np.arange(int(steps.max(initial=0))), "left")
     k = np.zeros(len(starts), np.int64)
-    for step in range(int(steps.max(initial=0))):
-        lane = np.flatnonzero(step < steps)
+    for step, n in enumerate(lanes.tolist()):
+        lane = by_length[:n]
         p = starts[lane] + step
         r = place[p]
         q = order[np.maximum(r - 1, 0)]
         limit = np.where(r > 0, np.minimum(np.minimum(stop[p] - p, stop[q] - q), most), 0)
-        have = np.minimum(np.maximum(k[lane] - 1, 0), limit)
+        have = np.maximum(k[:n] - 1, 0)
+        if known is not None:
+            have = np.maximum(have, known[p])
+        have = np.minimum(have, limit)
         live = np.flatnonzero(have < limit)
         while len(live):
-            differ = key[p[live] + have[live]] ^ key[q[live] + have[live]]
-            equal = np.zeros(len(live), np.int64)
-            for bits in range(56, -8, -8):
-                equal += (differ >> np.uint64(bits)) == 0
-            have[live] = np.minimum(have[live] + equal, limit[live])
-            live = live[(equal == 8) & (have[live] < limit[live])]
+            h = have[live]
+            equal = _leading_equal(key[p[live] + h] ^ key[q[live] + h])
+            have[live] = h = np.minimum(h + equal, limit[live])
+            live = live[(equal == 8) & (h < limit[live])]
         common[p] = have
-        k[lane] = have
+        # The next suffix has as much in common but one, if what follows q is in the order too.
+        k[:n] = np.where(q + 1 < within[q], have, 0)
     return common
 
 
@@ -281,19 +347,20 @@ def _repeats(pieces: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.n
     ends = np.cumsum(size)
     starts = ends - size
     text = np.frombuffer(b"".join(pieces), np.uint8)
-    rank = suffix_ranks(text, np.repeat(ends, size), WINDOW)
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    common = common_prefixes(text, starts, ends, order, place, WINDOW, windows)
     at = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    h = tb.span_hashes(text, at, at + WINDOW)
-    hashed = np.zeros(len(text), np.uint64)
-    hashed[at] = h
-    joint = np.zeros(len(text) + 1, bool)  # of each place in the order: is its window that of the place before
+    asked = np.zeros(len(text), bool)
+    asked[at] = True
+    rank, half = suffix_ranks(text, np.repeat(ends, size), WINDOW, asked)
+    order = at[np.argsort(rank[at], kind="stable")]
+    place = np.zeros(len(text), np.int64)
+    place[order] = np.arange(len(order))
+    known = np.zeros(len(text), np.int64)
+    known[order[1:]] = np.where(half[order[1:]] == half[order[:-1]], 256, 0)
+    common = common_prefixes(text, starts, ends, order, place, WINDOW, windows, known)
+    h = tb.span_hashes(text, order, order + WINDOW)
+    joint = np.zeros(len(order) + 1, bool)  # of each place in the order: is its window that of the place before
+    joint[1:-1] = (common[order[1:]] >= WINDOW) & (h[1:] == h[:-1])
     r = place[at]
-    before = order[np.maximum(r - 1, 0)]
-    joint[r] = (r > 0) & (common[at] >= WINDOW) & (hashed[before] == h)
     return at, joint[r] | joint[r + 1], text
 
 
@@ -315,7 +382,7 @@ _FOUND = f"{_RUNS}, range int, a binary, b binary, c binary, d binary, e binary,
 
 
 def _in_shard(table: pa.Table, ranges: int) -> pa.Table:
-    """The runs that repeat in the shard, and for hot anchors one list for each range of
+    """The runs that repeat in the shard, and for anchors in several one list for each range of
     hashes: the sorted hashes of distinct windows (a, b), whether they are in doubt (c) and
     where they are (d, e, f)."""
     pieces = table.column("data").to_pylist()
@@ -363,20 +430,27 @@ def _merged(table: pa.Table) -> pa.Table:
     return _as_runs(*(x[told].astype(np.int64) for x in (chunk, row, start)))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = chunks.CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256
     and kept (binary: the bytes that stay)."""
     total, _ = chunks.sized(docs, text)
     own = chunks.dealt(docs, total, doc_id, text, chunk_bytes)
-    sent = frames.stored(_sent(own, _verdicts(own, chunks.buckets(total / 150), hot)))
+    sent = frames.stored(_sent(own, _verdicts(own, chunks.buckets(total / 36))))
     known = sent.filter("data is null").select("chunk", "row", "start", "windows")
     work = sent.filter("data is not null")
-    facts = work.agg(F.sum(F.length("data")).alias("b"), F.max("shards").alias("s")).first()
+    facts = work.agg(F.sum(F.length("data")).alias("b")).first()
     n = max(1, -(-(facts["b"] or 0) // shard_bytes))
-    work = work.withColumn("home", F.pmod(F.xxhash64("anchor", "shard"), F.lit(n)))
+    # Counted before the shuffle; stored, so that the join can split a frequent anchor.
+    held = frames.stored(work.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot))
+    several = not held.isEmpty()
+    if several:
+        work = work.join(held, "anchor", "left").withColumn("shards", F.coalesce(F.ceil(F.col("n") / hot), F.lit(1)).cast("int")).drop("n")
+    else:
+        work = work.withColumn("shards", F.lit(1))
+    work = work.withColumn("home", F.pmod(F.xxhash64("anchor", F.pmod("part", "shards")), F.lit(n)))
     found = frames.stored(work.groupBy("home").applyInArrow(lambda t: _in_shard(t, n), _FOUND))
     runs = known.unionByName(found.filter("range is null").select(*known.columns))
-    if (facts["s"] or 0) > 1:
+    if several:
         runs = runs.unionByName(found.filter("range is not null").groupBy("range").applyInArrow(_merged, _RUNS))
 
     def finish(key, table: pa.Table, found: pa.Table) -> pa.Table:

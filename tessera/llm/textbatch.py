@@ -22,8 +22,12 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+#: Bytes hashed at once; bounds the tables of powers that a worker keeps (16 bytes for each).
+BLOCK_BYTES = 1 << 20
+
+
 class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+    """Powers of the hash base and of its inverse, grown on demand up to a block."""
 
     def __init__(self):
         self.up = np.ones(1, np.uint64)
@@ -112,12 +116,45 @@ class Words:
         return span_hashes(self.buf, self.starts, self.ends)
 
 
+class Sums:
+    """Prefix sums of a block, off which the hash of any span of it is read."""
+
+    def __init__(self, buf: np.ndarray):
+        up, self.down = _POWERS.get(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=self.sums[1:])
+
+    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(self.raw(starts, ends))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each byte span; equal spans have equal hashes."""
-    up, down = _POWERS.get(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """One 64-bit hash for each byte span; equal spans have equal hashes. A long buffer is
+    hashed block by block, a span longer than half a block in parts of that size."""
+    if len(buf) <= BLOCK_BYTES:
+        return Sums(buf).hashes(starts, ends)
+    half = BLOCK_BYTES // 2
+    out = np.zeros(len(starts), np.uint64)
+    block = starts // half
+    long = ends - starts > half
+    block[long] = -1
+    order = np.argsort(block, kind="stable")
+    edge = np.searchsorted(block[order], np.arange(-(-len(buf) // half) + 1))
+    for k in np.flatnonzero(np.diff(edge)):
+        own, at = order[edge[k] : edge[k + 1]], int(k) * half
+        out[own] = Sums(buf[at : at + BLOCK_BYTES]).raw(starts[own] - at, ends[own] - at)
+    step = pow(_P, half, 1 << 64)
+    for k in np.flatnonzero(long):
+        total, scale = 0, 1
+        for at in range(int(starts[k]), int(ends[k]), half):
+            part = buf[at : min(at + half, int(ends[k]))]
+            total += scale * int(Sums(part).raw(np.array([0]), np.array([len(part)]))[0])
+            scale = scale * step % (1 << 64)
+        out[k] = total % (1 << 64)
+    return mix(out)
 
 
 def words(column, table: np.ndarray = SPACED, lower: bool = False) -> Words:

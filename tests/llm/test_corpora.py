@@ -177,12 +177,13 @@ def test_long_documents_are_cut_into_blocks(spark, monkeypatch):
     part = prose(r, 150)
     chunk = pa.table({"doc_id": [1, 2], "text": [prose(r, 300) + part + prose(r, 300), "x" * 5000]})
     seen = {}
-    for row, start, windows, data, *_ in suffixes._Chunk(chunk).pieces():
-        whole = chunk.column("text")[row].as_py().encode()
-        assert data == whole[start : start + windows + 399]
-        for k in range(windows):
-            assert (row, start + k) not in seen
-            seen[row, start + k] = True
+    for part in suffixes._Chunk(chunk).pieces():
+        for p, (row, start, windows) in enumerate(zip(part.row.tolist(), part.start.tolist(), part.windows.tolist())):
+            whole = chunk.column("text")[row].as_py().encode()
+            assert part.data(p) == whole[start : start + windows + 399]
+            for k in range(windows):
+                assert (row, start + k) not in seen
+                seen[row, start + k] = True
     assert len(seen) == sum(len(t) - 399 for t in chunk.column("text").to_pylist())
 
 
@@ -194,7 +195,7 @@ def test_suffix_ranks_and_common_prefixes():
     text = np.frombuffer(b"".join(pieces), np.uint8)
     stop = np.repeat(ends, size)
     suffix = [text[i : stop[i]].tobytes() for i in range(len(text))]
-    rank = suffixes.suffix_ranks(text, stop, 64)
+    rank, half = suffixes.suffix_ranks(text, stop, 64)
     order = np.argsort(rank, kind="stable")
     assert [suffix[i] for i in order] == sorted(suffix)
     place = np.empty(len(order), int)
@@ -204,7 +205,7 @@ def test_suffix_ranks_and_common_prefixes():
         n = 0
         while n < min(len(suffix[a]), len(suffix[b])) and suffix[a][n] == suffix[b][n]:
             n += 1
-        assert got[b] == n
+        assert got[b] == n and (half[a] == half[b]) == (suffix[a][:32] == suffix[b][:32])
 
 
 def plain_windows(rows, size=13):
