@@ -9,16 +9,13 @@ fewer differing bits.
 Candidates, over distinct fingerprints only: the 64 bits lie on a ring of eight
 8-bit segments. If at most 2 bits differ in all, the pigeonring principle gives a
 start from which every chain of ``l`` consecutive segments has at most ``l * 2 / 8``
-differing bits: none in the first three, at most one in the first seven. The three
-exact segments are the join key; the seven-segment chain is checked before the
-full Hamming distance.
-
-A segment key held by more than ``crowd`` distinct fingerprints is not expanded into
-pairs. Its members are linked exactly in another way: two fingerprints are within
-2 bits if and only if some 64-bit value is within 1 bit of both, so each member is
-filed under itself and its 64 one-bit neighbours, and the members of a file (65 at
-most, all within 2 bits of each other) are linked to its smallest. Work is linear
-in the number of fingerprints however dense a group is.
+differing bits: none in the first three, at most one in the first seven. So of the four
+segments after the three exact ones at most one differs; leaving out each of them in turn
+gives four keys of six exact segments (48 bits) for each start, and every link has one of
+them. Keys are joined, then the cumulative differences of the chain are checked against
+their budgets before the full Hamming distance. A key leaves 16 bits open, so however large
+the corpus and however dense a group is, at most 2**16 distinct fingerprints share it, and
+it is those that are near copies of each other already.
 
 Components come from alternating large-star and small-star rounds on the links.
 
@@ -41,7 +38,8 @@ from tessera.llm import textbatch as tb
 
 TAU = 2
 SEGMENTS, WIDTH = 8, 8
-FULL_CROWD = 64
+#: Segments that a chain has exact, and how far it goes with at most one differing bit.
+EXACT, REACH = 3, 7
 
 
 def _joined(w: tb.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -97,27 +95,44 @@ def _segments(fp: Column, start: int, count: int) -> Column:
     return turned.bitwiseAND(F.lit((1 << (count * WIDTH)) - 1))
 
 
-def links(distinct: DataFrame, crowd: int = FULL_CROWD) -> DataFrame:
+def _keys() -> list[tuple[int, int, int]]:
+    """(start of a chain, the segment left out after its exact ones, mask of what is exact);
+    two starts may leave the same segments open, which counts once."""
+    found: dict[int, tuple[int, int, int]] = {}
+    whole = (1 << 64) - 1
+    for start in range(SEGMENTS):
+        for out in range(EXACT, REACH):
+            open_ = 0
+            for segment in (start + out, start + REACH):
+                open_ |= ((1 << WIDTH) - 1) << (segment % SEGMENTS * WIDTH)
+            found.setdefault(whole ^ open_, (start, out, whole ^ open_))
+    return list(found.values())
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _within_budgets(differ: Column) -> Column:
+    """Whether from some start every chain keeps its budget of differing bits."""
+    out = F.lit(False)
+    for start in range(SEGMENTS):
+        ok = (_segments(differ, start, EXACT) == 0) & (F.bit_count(_segments(differ, start, REACH)) <= 1)
+        out = out | ok
+    return out
+
+
+def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b), a > b, that connect just what is within TAU bits.
     ``distinct``: one row for each fingerprint ``fp``, already materialised."""
-    keyed = distinct.select("fp", F.posexplode(F.array(*[_segments(F.col("fp"), i, 3) for i in range(SEGMENTS)])).alias("ring", "key"))
-    held = keyed.groupBy("ring", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = frames.stored(keyed.join(held, ["ring", "key"]))
-    few = shared.filter(F.col("n") <= crowd).drop("n")
-    pairs = few.alias("x").join(few.alias("y"), ["ring", "key"]).filter("x.fp > y.fp").select("ring", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    masks = F.array(*[F.lit(_signed(mask)) for _, _, mask in _keys()])
+    keyed = distinct.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    # Most keys are held by one fingerprint; counts are merged before the shuffle.
+    held = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1").select("k", "key")
+    shared = frames.stored(keyed.join(held, ["k", "key"]))
+    pairs = shared.alias("x").join(shared.alias("y"), ["k", "key"]).filter("x.fp > y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    chain = F.lit(False)
-    for i in range(SEGMENTS):
-        chain = chain | ((F.col("ring") == i) & (F.bit_count(_segments(differ, i, 7)) <= 1))
-    near = pairs.filter(chain).filter(F.bit_count(differ) <= TAU).select("a", "b")
-
-    crowded = shared.filter(F.col("n") > crowd).select("fp").distinct()
-    around = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    files = crowded.select("fp", F.explode(F.concat(F.array("fp"), around)).alias("z"))
-    # At most 65 distinct fingerprints are within one bit of z.
-    met = files.groupBy("z").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    starred = met.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a > b")
-    return near.union(starred).distinct()
+    return pairs.filter(_within_budgets(differ)).filter(F.bit_count(differ) <= TAU).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -145,22 +160,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return at.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = FULL_CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits) and
     component_id (the smallest doc_id reachable over links)."""
     prints = frames.stored(fingerprinted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text"))
     distinct = frames.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), crowd))
+    roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = FULL_CROWD) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component. An id stays
     with all its rows if it stays for one; rows without an id stay."""
     own = F.col("doc_id") == F.col("component_id")
-    ids = near_duplicates(docs, doc_id, text, crowd).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(own).alias("stays"))
+    ids = near_duplicates(docs, doc_id, text).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(own).alias("stays"))
     gone = ids.filter(~F.col("stays")).select(F.col("doc_id").alias("_id"))
     return docs.join(gone, docs[doc_id] == gone["_id"], "left_anti")

@@ -107,21 +107,19 @@ def classes(points, near):
     return {p: find(p) for p in points}
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_simhash(docs, crowd):
+def test_simhash(docs):
     rows = [(i, plain_fingerprint(t)) for i, t in corpus()]
     root = classes({f for _, f in rows}, lambda a, b: (a ^ b).bit_count() <= 2)
     least = {}
     for i, f in rows:
         if i is not None:
             least[root[f]] = min(least.get(root[f], i), i)
-    same(simhash.near_duplicates(docs, crowd=crowd).collect(), [(i, f"{f:016x}", least.get(root[f])) for i, f in rows])
-    left = simhash.one_of_each(docs, crowd=crowd)
+    same(simhash.near_duplicates(docs).collect(), [(i, f"{f:016x}", least.get(root[f])) for i, f in rows])
+    left = simhash.one_of_each(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {None, *(i for i, f in rows if i == least.get(root[f]))}
 
 
-@pytest.mark.parametrize("crowd", [0, 3, 64])
-def test_links_in_dense_groups(spark, crowd):
+def test_links_in_dense_groups(spark):
     r = random.Random(6)
     points = set()
     for _ in range(6):
@@ -133,7 +131,7 @@ def test_links_in_dense_groups(spark, crowd):
                 x ^= 1 << r.randrange(64)
             points.add(x)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
-    got = simhash.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), crowd)).collect()
+    got = simhash.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()
     have = {r.node & (1 << 64) - 1: r.root for r in got}
     want = classes(points, lambda a, b: (a ^ b).bit_count() <= 2)
     linked = {p for p, n in Counter(want.values()).items() if n > 1}
@@ -141,6 +139,13 @@ def test_links_in_dense_groups(spark, crowd):
     assert {frozenset(p for p in have if have[p] == x) for x in set(have.values())} == {frozenset(p for p in points if want[p] == x) for x in linked}
 
 
+def test_every_pair_within_reach_has_a_key():
+    masks = [mask for _, _, mask in simhash._keys()]
+    for i, j in itertools.combinations_with_replacement(range(64), 2):
+        assert any((1 << i | 1 << j) & mask == 0 for mask in masks)
+    assert len(masks) == 28 and all(mask.bit_count() == 48 for mask in masks)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
