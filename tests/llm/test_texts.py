@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import struct
 
 import pyarrow as pa
 import pytest
@@ -214,6 +215,75 @@ def test_transducer_matches_the_library_and_round_trips(spark):
     assert sentencepiece_fst.encode(df.limit(0), MODEL_PATH).count() == 0
 
 
+def message(*fields):
+    """A protocol-buffers message of (number, value)."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for key, value in fields:
+        if isinstance(value, float):
+            out += number(key << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += number(key << 3) + number(value)
+        else:
+            out += number(key << 3 | 2) + number(len(value)) + value
+    return out
+
+
+def unigram_model(rules=b"", squeeze=0, lead=1):
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("▁abcdé") for _ in range(r.randrange(1, 5))) for _ in range(300)} | set("▁abcd"))
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((w, -r.uniform(1, 12), 1) for w in words)]
+    rows = [(1, message((1, p.encode()), (2, float(x)), (3, k))) for p, x, k in pieces]
+    return message(*rows, (2, message((3, 1), (4, len(pieces)), (35, 1))), (3, message((1, b"own"), (2, rules), (3, lead), (4, squeeze), (5, 1))))
+
+
+@pytest.mark.parametrize("rules", ["", "nmt_nfkc"])
+@pytest.mark.parametrize(("squeeze", "lead"), [(0, 1), (1, 1), (1, 0)])
+def test_unigram_model_and_normaliser_match_the_library(tmp_path, rules, squeeze, lead):
+    charsmap = b""
+    if rules:
+        held = sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()
+        charsmap = dict(sentencepiece_fst._wire(dict(sentencepiece_fst._wire(held))[3]))[2]
+    path = tmp_path / "own.model"
+    path.write_bytes(unigram_model(charsmap, squeeze, lead))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    encoder = sentencepiece_fst.Encoder(sentencepiece_fst.Vocabulary.load(str(path)))
+    r = random.Random(5)
+    texts = ["", " ", "a", "ａｂ ｃ", "ﬁ  abc", "½ e\u0301", "🙂ab", *("".join(r.choice("abcdé  \tx🙂ＡｂÅ") for _ in range(r.randrange(1, 40))) for _ in range(300))]
+    ids, at = encoder.encode(pa.array(texts))
+    for t, s, e in zip(texts, at, at[1:]):
+        assert ids[s:e].tolist() == library.encode(t), t
+
+
+def test_least_weight_against_all_paths():
+    fst = sentencepiece_fst.Transducer(sentencepiece_fst.Vocabulary.parse(unigram_model()))
+
+    def every(text, at=0):
+        if at == len(text):
+            yield 0.0, []
+            return
+        for piece, end, weight in fst.arcs(text, at):
+            for rest, ids in every(text, end):
+                yield weight + rest, [*([fst.bytes[b] for b in text[at].encode()] if piece < 0 else [piece]), *ids]
+
+    r = random.Random(6)
+    for _ in range(50):
+        text = "".join(r.choice("▁abcdéx") for _ in range(r.randrange(1, 9)))
+        assert fst.path(text) == min(every(text))[1]
+
+
+def test_models_that_are_refused():
+    for bad in (message((2, message((3, 3)))), message((1, message((1, b"x"), (3, 4))))):
+        with pytest.raises(ValueError, match="only unigram"):
+            sentencepiece_fst.Vocabulary.parse(bad)
+
+
 def test_decode_of_bad_bytes_and_nulls(spark):
     df = spark.createDataFrame([([3 + 0xFF, 3 + 0x41],), ([],), (None,), ([0, 1, 2],)], "ids array<int>")
     assert [r.decoded for r in sentencepiece_fst.decode(df, MODEL_PATH).collect()] == ["�A", "", "", ""]
