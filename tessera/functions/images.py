@@ -8,6 +8,7 @@ augmentation in numpy over Arrow batches.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,7 +90,7 @@ def augmented(images: DataFrame, key: str, style: Style, seed: int) -> DataFrame
         for pdf in batches:
             out = []
             for k, pixels, width, height in zip(pdf[key], pdf["pixels"], pdf["width"], pdf["height"]):
-                r = np.random.default_rng([seed, int.from_bytes(str(k).encode()[-8:])])
+                r = np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=16).digest())])
                 a = np.frombuffer(pixels, np.uint8).reshape(height, width).astype(float)
                 if r.random() < style.rotate:
                     a = _rotated(a, r.uniform(-5, 5), 255.0)

@@ -29,18 +29,19 @@ class Backend(Protocol):
 
 class Surrogate:
     def described(self, c: Column) -> Column:
-        plain = F.translate(text.strip(text.without_geometry(F.coalesce(c, F.lit("")))), " ", "")
-        achiral = F.translate(plain, "@", "")
-        some = plain != ""
-        return F.struct(
-            F.coalesce(c, F.lit("")).alias("text"),
-            some.alias("valid"),
-            F.when(some, plain).alias("canonical"),
-            F.when(some, scoring.character_grams(plain)).alias("fingerprint"),
-            (achiral != "").alias("achiral_valid"),
-            F.when(achiral != "", achiral).alias("achiral"),
-            F.when(achiral != "", scoring.character_grams(achiral)).alias("achiral_fingerprint"),
-        )
+        def of(given: Column, plain: Column, achiral: Column) -> Column:
+            return F.struct(
+                given.alias("text"),
+                (plain != "").alias("valid"),
+                F.when(plain != "", plain).alias("canonical"),
+                F.when(plain != "", scoring.character_grams(plain)).alias("fingerprint"),
+                (achiral != "").alias("achiral_valid"),
+                F.when(achiral != "", achiral).alias("achiral"),
+                F.when(achiral != "", scoring.character_grams(achiral)).alias("achiral_fingerprint"),
+            )
+
+        plain = lambda s: F.translate(text.strip(text.without_geometry(s)), " ", "")
+        return text.bound(F.coalesce(c, F.lit("")), lambda s: text.bound(plain(s), lambda p: text.bound(F.translate(p, "@", ""), lambda a: of(s, p, a))))
 
 
 class RDKit:
@@ -77,8 +78,15 @@ class RDKit:
         return describe(c)
 
 
+def for_evaluation(c: Column) -> Column:
+    """What evaluation canonicalises: without marks of cis and trans bonds, and with
+    numbered wild cards for groups."""
+    return group_labels(text.without_geometry(F.coalesce(c, F.lit(""))))
+
+
 def canonical_for_evaluation(described: Column) -> Column:
-    """An invalid string stands for itself, so two equal invalid strings match."""
+    """Of a string described after ``for_evaluation``. An invalid string stands for itself,
+    so two equal invalid strings match."""
     return F.coalesce(described["canonical"], described["text"])
 
 

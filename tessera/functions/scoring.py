@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+
 
 def repetition_penalty(c: Column) -> Column:
     """0 for a clean string to 1 for a repetitive one. The first rule that applies:
@@ -27,8 +29,12 @@ def repetition_penalty(c: Column) -> Column:
 
 def character_grams(c: Column, n: int = 3) -> Column:
     """The distinct runs of n characters; the whole string if it is shorter."""
-    last = F.greatest(F.length(c) - n, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i + 1, F.lit(n))))
+
+    def grams(s: Column) -> Column:
+        last = F.greatest(F.length(s) - n, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(s, i + 1, F.lit(n))))
+
+    return text.bound(c, grams)  # else ``c`` would be computed again for every run
 
 
 def tanimoto(a: Column, b: Column) -> Column:

@@ -18,6 +18,11 @@ DEFAULT_PROMPT = "<image>\n Give me the SMILES of the molecule. "
 EMPTY = "<empty>"
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a column that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
 
@@ -90,6 +95,29 @@ def plain_prompt(parts: Column) -> Column:
     return F.when(F.contains(text, F.lit(IMAGE)), text).otherwise(F.lit(DEFAULT_PROMPT))
 
 
+def messages_of(prompt: Column) -> Column:
+    """The turns (role, content) of a prompt: a JSON text, or an array of such structs. A
+    turn without role is the user's, one without content empty; a text that isn't a JSON
+    array is an error."""
+    kind = "array<struct<role string, content string>>"
+    turns = F.coalesce(F.try_variant_get(F.try_parse_json(prompt), "$", kind), F.raise_error(F.lit("a prompt isn't a list of turns")).cast(kind))
+    return _filled(turns)
+
+
+def messages_in(turns: Column) -> Column:
+    """The same of an array of structs."""
+    return _filled(turns)
+
+
+def _filled(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("user")).alias("role"), F.coalesce(t["content"], F.lit("")).alias("content")))
+
+
+def prompt_of(turns: Column) -> Column:
+    """The plain prompt of all turns, each split at image marks."""
+    return plain_prompt(F.flatten(F.transform(turns, lambda t: content_parts(t["content"]))))
+
+
 def ground_truth(c: Column) -> Column:
     """The answer in a reward record: a JSON object's ``ground_truth``, else the text."""
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))

@@ -18,10 +18,26 @@ def scored(completions: DataFrame, gold: str, output: str, backend: Backend, wei
     return out.withColumn("reward", scoring.reward({k: F.col(k) for k in parts}, weights, clamp))
 
 
-def best(candidates: DataFrame, keys: list[str], order: Column, carried: list[str], reward: str = "reward") -> DataFrame:
-    """The candidate of each key with the largest reward, the first of equals.
+def compute_score(data_source: Column | None, solution: Column, ground_truth: Column, extra_info: Column | None = None, *, backend: Backend, weights: scoring.Weights = scoring.RL_WEIGHTS, unannotated: float = 0.0) -> Column:
+    """The reward of a trainer's row, at least 0. ``ground_truth`` is a record with that
+    field or the text itself; the source and further information aren't looked at."""
+    pair = F.struct(backend.described(text.ground_truth(ground_truth)).alias("gold"), backend.described(text.candidate_first_text(solution)).alias("pred"))
+    score = lambda p: scoring.reward(scoring.components(p["gold"], p["pred"], unannotated), weights, clamp=True)
+    return text.bound(pair, score)
+
+
+#: Fixed value: a candidate must be better than this to be chosen.
+FLOOR = -1.0
+
+
+def best(candidates: DataFrame, keys: list[str], order: Column, carried: list[str], reward: str = "reward", pred: str = "pred", floor: float | None = FLOOR) -> DataFrame:
+    """The candidate of each key with the largest reward, the first of equals. If none is
+    above ``floor``, the key has the floor as reward, an empty ``pred`` and otherwise nulls.
     Partial results are merged before the shuffle, so a key may have any number."""
-    return candidates.groupBy(*keys).agg(F.min_by(F.struct(reward, *carried), F.struct((-F.col(reward)).alias("r"), order.alias("o"))).alias("b")).select(*keys, "b.*")
+    above = F.lit(True) if floor is None else F.coalesce(F.col(reward) > floor, F.lit(False))
+    chosen = F.min_by(F.when(above, F.struct(reward, *carried)), F.when(above, F.struct((-F.col(reward)).alias("r"), order.alias("o"))))
+    found = candidates.groupBy(*keys).agg(chosen.alias("b")).select(*keys, "b.*")
+    return found if floor is None else found.fillna({reward: floor, **({pred: ""} if pred in carried else {})})
 
 
 def accepted(best_rows: DataFrame, least: float, pred: str = "pred", reward: str = "reward") -> DataFrame:

@@ -48,6 +48,19 @@ def seeded(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
+def training_rows(df: DataFrame, n: int | None, seed: int, mode: str, *keys: str) -> DataFrame:
+    """A training set's rows: ``n`` sampled ones, or all; all are shuffled only if images are
+    made anew (mode ``dynamic``) and no number is given."""
+    if n is None:
+        return df.orderBy(seeded(seed, *[F.col(k) for k in keys]), *keys) if mode == "dynamic" else df
+    return sample(df, n, seed, *keys)
+
+
+def some_of(df: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
+    """``most`` rows if there are more and it is positive, else all."""
+    return sample(df, most, seed, *keys) if most > 0 else df
+
+
 def sample(df: DataFrame, n: int | None, seed: int, *keys: str, none_means_all: bool = False) -> DataFrame:
     """Exactly ``n`` rows, or all if there are no more, in a seeded order of ``keys``."""
     if n is None or n == 0 and none_means_all:
@@ -86,13 +99,16 @@ def next_valid(df: DataFrame, at: str, value: Column, total: int, ahead: int, fa
     return every.withColumn("replacement", F.coalesce(F.first("_value", ignorenulls=True).over(w), F.lit(fallback))).filter("_own").drop("_value", "_block", "_own", "_at")
 
 
-def random_replacement(df: DataFrame, key: str, value: Column, seed: int, tries: int = 20, total: int | None = None) -> DataFrame:
+def random_replacement(df: DataFrame, key: str, value: Column, seed: int, tries: int = 20, total: int | None = None, strict: bool = True) -> DataFrame:
     """``df`` (with ``ordinal`` from 0) with ``replacement``: the row's value, or where it
     is null that of the first valid row among ``tries`` drawn at random (the same in every
-    run), else null. Rows without a value are joined with the rows that they draw."""
+    run). A row that draws none is an error, or null if not ``strict``. Rows without a value
+    are joined with the rows that they draw."""
     n = df.count() if total is None else total
     rows = df.withColumn("_v", value)
     draw = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("bigint") % n))
     asked = rows.filter("_v is null").select(F.col(key).alias("_key"), F.posexplode(draw).alias("_k", "ordinal"))
     found = asked.join(rows.filter("_v is not null").select("ordinal", "_v"), "ordinal").groupBy("_key").agg(F.min_by("_v", "_k").alias("_drawn"))
-    return rows.join(found, rows[key] == found["_key"], "left").withColumn("replacement", F.coalesce("_v", "_drawn")).drop("_v", "_key", "_drawn")
+    none = F.raise_error(F.concat(F.lit(f"no valid row in {tries} draws for "), F.col(key).cast("string"))).cast(rows.schema["_v"].dataType)
+    replacement = F.coalesce("_v", "_drawn", *[none] * strict)
+    return rows.join(found, rows[key] == found["_key"], "left").withColumn("replacement", replacement).drop("_v", "_key", "_drawn")

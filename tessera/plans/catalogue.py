@@ -3,16 +3,16 @@ result as SQL text where SQL can express it."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions import arrays, images, molecules, scoring, text
-from tessera.operators import columns, curate, metrics, ordering
+from tessera.operators import columns, curate, metrics, ordering, records
 from tessera.sources import readers, writers
 from tessera.streaming import logs
 
@@ -41,8 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{session.shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 # --- sources, columns, identifiers -------------------------------------------------
@@ -92,6 +91,39 @@ def id_resolve_sanitize(spark, d):
     return df.select("page_id", text.sanitised(F.col("url")).alias("sft_name"), text.sanitised(F.col("url"), "_.-").alias("rl_name"), columns.row_id(df, ["pubchem_cid", "id"], F.col("page_id")).alias("sample_id"))
 
 
+@query("SELECT doc_id, doc_id AS first_column, doc_id::VARCHAR AS eval_id, lang AS renamed FROM documents")
+def table_ids(spark, d):
+    df = table(spark, d, "documents").withColumn("image_id", F.col("doc_id").cast("double"))
+    ids = columns.table_id(df, columns.IDENTIFIERS["evaluation"])
+    return columns.renamed(df, {"lang": "renamed"}).select("doc_id", F.col(columns.first_present(df, ["absent", "doc_id"])).alias("first_column"), ids.alias("eval_id"), "renamed")
+
+
+@query("SELECT * FROM (VALUES ('Train_a.CSV'), ('train_b.csv')) AS x(name)")
+def csv_discovery(spark, d):
+    path = _scratch(spark)
+    own = table(spark, d, "region").select(F.col("r_name").alias("SMILES"))
+    for name in ("Train_a.CSV", "train_b.csv", "test_c.csv", "train_d.txt"):
+        writers.csv(own, f"{path}/{name}.parts")
+        writers.only_file(spark, f"{path}/{name}.parts", f"{path}/{name}")
+    return readers.discovered(spark, path, ["train"]).select(F.substring_index("path", "/", -1).alias("name")).filter("name not like 'part-%'")
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{hashlib.md5(readers.blank_image()).hexdigest()}' ELSE md5(html) END AS digest FROM pages""")
+def image_contents(spark, d):
+    """Bytes by path, with a white image for what is missing."""
+    pages = table(spark, d, "pages")
+    files = pages.filter("page_id % 3 <> 0").select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
+    asked = pages.select("page_id", "url")
+    return readers.with_contents(asked, "url", files).select("page_id", F.md5(readers.stored_image(F.col("content"))).alias("digest"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 1")
+def union_of_filled(spark, d):
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), "c_nationkey")
+    shards = [customer.filter("c_nationkey = 99"), table(spark, d, "supplier").select("s_suppkey", "s_name"), customer.filter("c_nationkey = 1")]
+    return readers.not_empty([x.select("s_suppkey", "s_name") for x in shards])
+
+
 _MANIFEST_SQL = "SELECT doc_id || CASE lang WHEN 'en' THEN '.png' WHEN 'fr' THEN '.jpg' WHEN 'de' THEN '.webp' ELSE '.gif' END AS path FROM documents"
 
 
@@ -100,13 +132,12 @@ def _manifest(spark, d):
     return table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), ending).alias("path"))
 
 
-_ENDINGS_SQL = ", ".join(f"({k + 1}, '{e}')" for k, e in enumerate(columns.ENDINGS["rl"]))
 
 
 @query(f"""
     WITH manifest AS ({_MANIFEST_SQL}), asked AS (SELECT doc_id, doc_id || '.png' AS file_path FROM labels),
     tries AS (SELECT file_path, 0 AS rank, file_path AS path FROM asked
-        UNION ALL SELECT file_path, r, regexp_replace(file_path, '\\.[^.]*$', '') || e FROM asked, (VALUES {_ENDINGS_SQL}) AS x(r, e)),
+        UNION ALL SELECT file_path, r, regexp_replace(file_path, '\\.[^.]*$', '') || e FROM asked, (VALUES (1, '.png'), (2, '.jpg'), (3, '.jpeg'), (4, '.tif'), (5, '.bmp'), (6, '.webp')) AS x(r, e)),
     found AS (SELECT file_path, arg_min(path, rank) AS resolved FROM tries JOIN manifest USING (path) GROUP BY file_path)
     SELECT doc_id, file_path, resolved, '/data/' || file_path AS full_path FROM asked LEFT JOIN found USING (file_path)""")
 def path_resolve_ext(spark, d):
@@ -127,6 +158,48 @@ def manifest_anti(spark, d):
     return columns.missing(asked, "file", _manifest(spark, d)).select("doc_id")
 
 
+# --- sinks -------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, c_name, c_custkey // 100 AS chunk FROM customer")
+def csv_chunks(spark, d):
+    """Chunks written twice; each replaces itself."""
+    path = _scratch(spark)
+    own = table(spark, d, "customer").select("c_custkey", "c_name")
+    for k in (0, 0, 1):
+        writers.csv_chunk(own.filter(F.floor(F.col("c_custkey") / 100) == k), path, k)
+    writers.csv_chunks(own.withColumn("chunk", F.floor(F.col("c_custkey") / 100)), path, "chunk")
+    return spark.read.option("header", True).schema("c_custkey bigint, c_name string, chunk bigint").csv(path)
+
+
+@query("SELECT o_orderkey, o_custkey % 10 = 0 AS held FROM orders")
+def split_tables(spark, d):
+    path = _scratch(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 10 == 0, "val").otherwise("train").alias("part"))
+    writers.split_parquet(orders, path)
+    train, val = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("train", "val"))
+    return train.withColumn("held", F.lit(False)).unionByName(val.withColumn("held", F.lit(True)))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_name END AS name FROM nation")
+def json_lines(spark, d):
+    path = _scratch(spark)
+    writers.json_rows(table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("name")), path)
+    return spark.read.schema("n_nationkey int, name string").json(path)
+
+
+@query("SELECT s_suppkey, 'ok' AS status FROM supplier")
+def index_made_once(spark, d):
+    path, made = _scratch(spark), []
+
+    def make():
+        made.append(1)
+        return table(spark, d, "supplier").select("s_suppkey", F.lit("ok" if len(made) == 1 else "again").alias("status"))
+
+    writers.made_once(spark, path, make)
+    return writers.made_once(spark, path, make)
+
+
 # --- samples, splits, layout -------------------------------------------------------
 
 
@@ -140,6 +213,27 @@ def shuffle_head(spark, d):
     return ordering.sample(table(spark, d, "orders").select("o_orderkey"), 500, 42, "o_orderkey")
 
 
+@query("SELECT c_custkey FROM customer")
+def sample_of_all(spark, d):
+    return ordering.sample(table(spark, d, "customer").select("c_custkey"), 0, 42, "c_custkey", none_means_all=True)
+
+
+@query("""SELECT 'shuffled' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'sampled', least(count(*), 100) FROM orders UNION ALL SELECT 'some', least(count(*), 1000) FROM orders UNION ALL SELECT 'all', count(*) FROM orders""")
+def training_sizes(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    kinds = {
+        "shuffled": ordering.training_rows(orders, None, 42, "dynamic", "o_orderkey"),
+        "sampled": ordering.training_rows(orders, 100, 42, "dynamic", "o_orderkey"),
+        "some": ordering.some_of(orders, 1000, 42, "o_orderkey"),
+        "all": ordering.some_of(orders, -1, 42, "o_orderkey"),
+    }
+    out = None
+    for name, df in kinds.items():
+        own = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 64")
 def head_slice(spark, d):
     return readers.slice_of(table(spark, d, "documents").select("doc_id", "text"), 64, "doc_id")
@@ -212,6 +306,32 @@ def results_of_all(spark, d):
     return metrics.results_of_all(nation.select(F.col("n_name").alias("name")), found)
 
 
+@query("""
+    WITH a AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS ordinal FROM supplier), b AS (SELECT s_name, row_number() OVER (ORDER BY s_name DESC, s_suppkey) - 1 AS ordinal FROM supplier)
+    SELECT ordinal, s_suppkey, s_name FROM a JOIN b USING (ordinal)""")
+def paired_by_place(spark, d):
+    supplier = table(spark, d, "supplier")
+    left = ordering.ordinal(supplier.select("s_suppkey"), "s_suppkey")
+    right = ordering.ordinal(supplier.select("s_name", "s_suppkey"), F.desc("s_name"), "s_suppkey").drop("s_suppkey")
+    return metrics.paired(left, right).select("ordinal", "s_suppkey", "s_name")
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_suppkey")
+def surviving_rows(spark, d):
+    rows = metrics.surviving(table(spark, d, "lineitem").select("l_suppkey", "l_quantity"), "l_suppkey", F.col("l_quantity") > 10)
+    return rows.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH b AS (SELECT n_nationkey AS key, n_name AS value, n_nationkey AS place FROM nation), o AS (SELECT r_regionkey * 10 AS key, r_name AS value, r_regionkey AS place FROM region)
+    SELECT coalesce(b.key, o.key) AS key, coalesce(o.value, b.value) AS value, row_number() OVER (ORDER BY b.key IS NULL, coalesce(b.place, o.place)) AS line FROM b FULL JOIN o ON b.key = o.key""")
+def override_order(spark, d):
+    base = table(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("at"))
+    over = table(spark, d, "region").select((F.col("r_regionkey") * 10).alias("key"), F.col("r_name").alias("value"), F.col("r_regionkey").alias("at"))
+    # A command line has few arguments.
+    return metrics.merged_overrides(base, over, order="at").select("key", "value", F.row_number().over(Window.orderBy("place")).cast("bigint").alias("line"))
+
+
 # --- text --------------------------------------------------------------------------
 
 _EVAL_SQL = f"trim(CASE WHEN suffix(trim(text, {_WS}), '{STOP}') THEN left(trim(text, {_WS}), length(trim(text, {_WS})) - {len(STOP)}) ELSE trim(text, {_WS}) END, {_WS})"
@@ -269,6 +389,13 @@ def condensed_formulas(spark, d):
     return table(spark, d, "part").select("p_partkey", images.condensed_formula(5, F.col("p_partkey")).alias("formula"))
 
 
+@query(f"SELECT p_partkey, {_draw_sql(1)} < 0.2 AS blurred, {_draw_sql(2)} < 0.3 AS rotated, p_name AS label, p_brand AS held_label FROM part")
+def style_draws(spark, d):
+    key, style = F.col("p_partkey"), images.Style()
+    names = F.col("p_name"), F.col("p_brand")
+    return table(spark, d, "part").select("p_partkey", (images.draw(5, key, 1) < style.blur).alias("blurred"), (images.draw(5, key, 2) < style.rotate).alias("rotated"), images.chosen_label(*names, training=True).alias("label"), images.chosen_label(*names, training=False).alias("held_label"))
+
+
 def _penalty_sql(relation: str, key: str, column: str) -> str:
     """Penalty by key: character runs by a window, leading units by list functions."""
     unit = lambda p: f"coalesce(nullif(list_position(list_transform(range(0, n // {p}), lambda i: substr(s, (i * {p} + 1)::BIGINT, {p}) = substr(s, 1, {p})), false), 0) - 1, n // {p})"
@@ -325,9 +452,13 @@ def _scored(spark, d, weights, clamp):
     return curate.scored(_completions(spark, d), "gold", "text", BACKEND, weights, clamp, unannotated=0.5, stop=STOP)
 
 
-_COMPLETIONS_SQL = f"""
+_RL_PRED_SQL = rf"coalesce(replace(list_filter(list_transform(string_split_regex(trim(text, {_WS}), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x, {_WS})), lambda x: x <> '')[1], ' ', ''), '')"
+
+
+def _completions_sql(pred: str) -> str:
+    return f"""
     golds AS (SELECT conv_id, arg_min(text, turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id),
-    completions AS (SELECT conv_id, turn, gold, {_REFT_SQL} AS pred FROM conversations JOIN golds USING (conv_id) WHERE role = 'assistant'),
+    completions AS (SELECT conv_id, turn, gold, {pred} AS pred FROM conversations JOIN golds USING (conv_id) WHERE role = 'assistant'),
     plain AS (SELECT conv_id, turn, pred, replace(trim(translate(gold, '/\\', ''), {_WS}), ' ', '') AS g, replace(trim(translate(pred, '/\\', ''), {_WS}), ' ', '') AS p FROM completions),
     grams AS (SELECT *, {', '.join(f"list_distinct(list_transform(range(0, greatest(length({e}) - 3, 0) + 1), lambda i: substr({e}, (i + 1)::BIGINT, 3))) AS {n}" for n, e in (('gg', 'g'), ('pg', 'p'), ('ga', "replace(g, '@', '')"), ('pa', "replace(p, '@', '')")))} FROM plain),
     parts AS (SELECT conv_id, turn, pred, (p <> '')::INTEGER::DOUBLE AS validity,
@@ -336,10 +467,19 @@ _COMPLETIONS_SQL = f"""
         CASE WHEN replace(g, '@', '') <> '' AND replace(p, '@', '') <> '' THEN len(list_intersect(ga, pa))::DOUBLE / len(list_distinct(list_concat(ga, pa))) ELSE 0.0::DOUBLE END AS graph,
         CASE WHEN contains(g, '@') THEN (g = p)::INTEGER::DOUBLE ELSE 0.5::DOUBLE END AS chiral FROM grams)"""
 
+
+_COMPLETIONS_SQL = _completions_sql(_REFT_SQL)
+
 _REWARD_SQL = "({v}::DOUBLE * validity + {t}::DOUBLE * tanimoto + {c}::DOUBLE * canonical + {g}::DOUBLE * graph + {h}::DOUBLE * chiral - {r}::DOUBLE * penalty) / {s}::DOUBLE"
 _RL_SQL = _REWARD_SQL.format(v=0.5, t=2, c=3, g=2, h=1, r=2, s=8.5)
 _CURATION_SQL = _REWARD_SQL.format(v=0, t=1, c=8, g=2, h=1, r=2, s=12)
-_SCORED_SQL = f"WITH {_COMPLETIONS_SQL}, penalties AS ({_penalty_sql('completions', 'conv_id, turn', 'pred')}), scored AS (SELECT * FROM parts JOIN penalties USING (conv_id, turn))"
+
+
+def _scored_sql(completions: str) -> str:
+    return f"WITH {completions}, penalties AS ({_penalty_sql('completions', 'conv_id, turn', 'pred')}), scored AS (SELECT * FROM parts JOIN penalties USING (conv_id, turn))"
+
+
+_SCORED_SQL = _scored_sql(_COMPLETIONS_SQL)
 
 
 @query(f"{_SCORED_SQL} SELECT conv_id, turn, validity, tanimoto, canonical, graph, chiral, penalty AS repetition FROM scored")
@@ -352,6 +492,19 @@ def reward_rl(spark, d):
     return _scored(spark, d, scoring.RL_WEIGHTS, True).select("conv_id", "turn", "pred", "reward")
 
 
+@query(f"{_scored_sql(_completions_sql(_RL_PRED_SQL))} SELECT conv_id, turn, greatest(0.0::DOUBLE, {_RL_SQL}) AS score FROM scored")
+def compute_score(spark, d):
+    """The trainer's reward function on records as it gets them."""
+    truth = F.to_json(F.struct(F.lit("rule").alias("style"), F.col("gold").alias("ground_truth")))
+    score = curate.compute_score(F.lit("conversations"), F.col("text"), truth, backend=BACKEND, unannotated=0.5)
+    return _completions(spark, d).select("conv_id", "turn", score.alias("score"))
+
+
+@query(f"{_SCORED_SQL} SELECT conv_id, turn, 0.0::DOUBLE AS reward FROM scored")
+def reward_without_weights(spark, d):
+    return _scored(spark, d, scoring.Weights(0, 0, 0, 0, 0, 1), True).select("conv_id", "turn", "reward")
+
+
 @query(f"{_SCORED_SQL} SELECT conv_id, turn, pred, {_CURATION_SQL} AS reward FROM scored")
 def reward_reft(spark, d):
     return _scored(spark, d, scoring.CURATION_WEIGHTS, False).select("conv_id", "turn", "pred", "reward")
@@ -361,9 +514,9 @@ def reward_reft(spark, d):
     WITH {_COMPLETIONS_SQL} SELECT conv_id, turn, len(list_intersect(gg, pg))::INTEGER AS shared, len(list_distinct(list_concat(gg, pg)))::INTEGER AS either FROM grams""")
 def tanimoto_sets(spark, d):
     plain = lambda c: F.translate(text.strip(text.without_geometry(c)), " ", "")
-    df = _completions(spark, d).withColumn("pred", text.candidate_first_line(F.col("text"), STOP))
-    g, p = (scoring.character_grams(plain(F.col(c))) for c in ("gold", "pred"))
-    return df.select("conv_id", "turn", F.size(F.array_intersect(g, p)).alias("shared"), F.size(F.array_union(g, p)).alias("either"))
+    g, p = (scoring.character_grams(plain(c)) for c in (F.col("gold"), text.candidate_first_line(F.col("text"), STOP)))
+    sizes = text.bound(F.struct(g.alias("g"), p.alias("p")), lambda x: F.struct(F.size(F.array_intersect(x["g"], x["p"])).alias("shared"), F.size(F.array_union(x["g"], x["p"])).alias("either")))
+    return _completions(spark, d).select("conv_id", "turn", sizes.alias("x")).select("conv_id", "turn", "x.*")
 
 
 @query(f"""WITH {_COMPLETIONS_SQL} SELECT round(avg((p <> '')::INTEGER), 9) AS success, round(avg(CASE WHEN g <> '' AND p <> '' THEN len(list_intersect(gg, pg))::DOUBLE / len(list_distinct(list_concat(gg, pg))) ELSE 0.0::DOUBLE END), 9) AS tanimoto FROM grams""")
@@ -457,6 +610,20 @@ def latest_checkpoint(spark, d):
     return metrics.latest_checkpoint(table(spark, d, "orders").select("o_orderpriority", F.concat(F.lit("run/checkpoint-"), name).alias("path")), ["o_orderpriority"])
 
 
+@query("""
+    SELECT o_orderpriority, 'run/global_step_' || max(o_orderkey) AS path, max(o_orderkey) AS step FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderpriority""")
+def latest_actor(spark, d):
+    part = F.when(F.col("o_orderstatus") == "F", "critic").otherwise("actor")
+    folders = table(spark, d, "orders").select("o_orderpriority", F.concat(F.lit("run/global_step_"), F.col("o_orderkey").cast("string"), F.lit("/"), part).alias("path"))
+    return metrics.latest_actor(folders, ["o_orderpriority"])
+
+
+@query("SELECT 'hub/snapshots/' || max(p_brand) AS folder FROM part WHERE p_size > 10")
+def newest_snapshot(spark, d):
+    name = F.when(F.col("p_size") > 10, "config.json").otherwise("other.json")
+    return metrics.newest_snapshot(table(spark, d, "part").select(F.concat(F.lit("hub/snapshots/"), F.col("p_brand"), F.lit("/"), name).alias("path")))
+
+
 _PARAMS_SQL = "params AS (SELECT p_type || '.' || p_name AS name, p_size AS numel, p_retailprice > 1000 AS requires_grad FROM part)"
 
 
@@ -570,6 +737,24 @@ def rl_records(spark, d):
     return made.select(F.substring_index("image_path", ".", 1).cast("bigint").alias("doc_id"), prompt[0]["content"].alias("content"), "data_source", "image_path", text.ground_truth(F.col("reward_model")).alias("truth"))
 
 
+@query(f"""
+    WITH p AS (SELECT item_id, trim('<image>' || chr(10) || text, {_WS}) AS raw_prompt FROM benchmark),
+    t AS (SELECT item_id, raw_prompt, list_transform(string_split(raw_prompt, ' '), lambda x: length(x)) AS every FROM p),
+    i AS (SELECT *, every[-16:] AS ids, greatest(0, 16 - len(every)) AS gap FROM t)
+    SELECT item_id, raw_prompt, array_to_string(list_concat(list_transform(range(0, gap), lambda x: 0), ids), ',') AS input_ids,
+        array_to_string(list_transform(range(0, 16), lambda x: (x >= gap)::INTEGER), ',') AS attention_mask, array_to_string(list_transform(range(0, 16), lambda x: greatest(x - gap, 0)), ',') AS position_ids,
+        CASE WHEN item_id % 2 = 0 THEN 'benchmark' ELSE 'chemseek_ocr' END AS data_source, text AS ground_truth,
+        CASE WHEN item_id % 3 = 0 THEN '{hashlib.md5(readers.blank_image()).hexdigest()}' ELSE md5(text) END AS image FROM i JOIN benchmark USING (item_id)""")
+def rl_dataset(spark, d):
+    bench = table(spark, d, "benchmark").withColumn("path", F.concat(F.col("item_id").cast("string"), F.lit(".png")))
+    asked = bench.select("item_id", "path", F.concat(F.lit("<image>\n"), "text").alias("p"), F.when(F.col("item_id") % 2 == 0, "benchmark").alias("s"), F.col("text").alias("t"))
+    rows = asked.select("item_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("p").alias("content")))).alias("prompt"), F.col("path").alias("image_path"), F.col("s").alias("data_source"), F.to_json(F.struct(F.col("t").alias("ground_truth"))).alias("reward_model"))
+    files = bench.filter("item_id % 3 <> 0").select("path", F.encode("text", "utf-8").alias("content"))
+    made = records.rl_dataset(rows, files, lambda c: F.transform(F.split(c, " "), lambda x: F.length(x)), 16, "left", at="item_id")
+    shown = [F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "position_ids")]
+    return made.select("item_id", "raw_prompt", *shown, "data_source", "ground_truth", F.md5("content").alias("image"))
+
+
 # --- streaming ---------------------------------------------------------------------
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +51,34 @@ def contents(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "content")
 
 
-def with_contents(df: DataFrame, path: str, files: DataFrame, placeholder: bytes) -> DataFrame:
-    """``df`` with each file's bytes, the placeholder where the file is missing."""
+def with_contents(df: DataFrame, path: str, files: DataFrame, placeholder: bytes | None = None) -> DataFrame:
+    """``df`` with each file's bytes, the placeholder (a white image) where the file is
+    missing."""
     held = files.select(F.col("path").alias(path), "content")
-    return df.join(held, path, "left").withColumn("content", F.coalesce("content", F.lit(placeholder)))
+    return df.join(held, path, "left").withColumn("content", F.coalesce("content", F.lit(blank_image() if placeholder is None else placeholder)))
+
+
+def blank_image(width: int = 768, height: int = 768) -> bytes:
+    """A white image, as a PNG of one bit a pixel, for rows whose file is missing."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    line = b"\0" + b"\xff" * -(-width // 8)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 1, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(line * height, 9)) + chunk(b"IEND", b"")
+
+
+def stored_image(c: Column) -> Column:
+    """The bytes of an image column, which holds them plainly or as a struct's ``bytes``;
+    a row without any is an error. Decoding them needs an imaging library and is left to
+    what reads the column."""
+    return F.coalesce(c, F.raise_error(F.lit("a row holds no image")).cast("binary"))
+
+
+def not_empty(frames: list[DataFrame]) -> DataFrame | None:
+    """The tables with rows below each other; null if none has any."""
+    out = None
+    for df in frames:
+        if not df.isEmpty():
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def merged(frames: dict[str, DataFrame], keep: list[str] | None = None, molecule: list[str] | None = None) -> DataFrame:

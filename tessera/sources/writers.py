@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import DEFAULT_PROMPT
+
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
@@ -19,15 +20,49 @@ def csv_chunk(df: DataFrame, path: str, chunk: int) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/chunk={chunk}")
 
 
+def csv_chunks(df: DataFrame, path: str, chunk: str) -> None:
+    """All chunks of a table at once; those that are there are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).option("header", True).option("escape", '"').csv(path)
+
+
+def only_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Moves the first part of a written table to a file of its own name, which other
+    programs expect, and drops the folder; for tables of one part."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, path))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise ValueError(f"{folder} has {len(parts)} parts; coalesce small tables to one")
+    fs.rename(parts[0], to)
+    fs.delete(at, True)
+
+
 def split_parquet(df: DataFrame, path: str, part: str = "part") -> None:
     """``train`` and ``val`` as tables of their own, both even if one has no rows."""
     for name in ("train", "val"):
         df.filter(F.col(part) == name).drop(part).write.mode("overwrite").parquet(f"{path}/{name}.parquet")
 
 
-def records(df: DataFrame) -> str:
-    """A table of a few metric rows as JSON."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], ensure_ascii=False, indent=2)
+def json_rows(df: DataFrame, path: str) -> None:
+    """A table of any size as JSON lines, one object each; nulls are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def records(df: DataFrame, most: int = 10_000) -> str:
+    """A table of a few metric rows as JSON text; ``json_rows`` writes larger ones."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows; write them with json_rows")
+    return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2)
+
+
+def json_file(spark: SparkSession, path: str, content) -> None:
+    """Settings or a few metrics as one JSON file, indented, by the path's own file system."""
+    body = content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(body.encode()))
+    out.close()
 
 
 def rl_rows(df: DataFrame, prompt: str, image: str, source: str, truth: str) -> DataFrame:
@@ -40,16 +75,18 @@ def rl_rows(df: DataFrame, prompt: str, image: str, source: str, truth: str) ->
     )
 
 
-def rendered(tasks: DataFrame, done: DataFrame, render, path: str = "image_path") -> DataFrame:
+def rendered(tasks: DataFrame, done: DataFrame, render=None, path: str = "image_path", prepare=None) -> DataFrame:
     """``tasks`` with a status: skipped_exists where the file is in the manifest ``done``;
-    else ``render(row) -> bool`` decides between ok and failed, on the executors."""
+    else ``render(row) -> bool`` decides between ok and failed, on the executors.
+    ``prepare() -> render`` makes it there, once for each task, if it is costly to make."""
     have = done.select(F.col("path").alias(path)).distinct()
     skipped = tasks.join(have, path, "left_semi").withColumn("status", F.lit("skipped_exists"))
     todo = tasks.join(have, path, "left_anti")
 
     def run(batches):
+        draw = prepare() if prepare else render  # once for each task
         for pdf in batches:
-            yield pdf.assign(status=["ok" if render(row) else "failed" for row in pdf.to_dict("records")])
+            yield pdf.assign(status=["ok" if draw(row) else "failed" for row in pdf.to_dict("records")])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields) + ", status string"
     return skipped.select(*todo.columns, "status").unionByName(todo.mapInPandas(run, schema))
@@ -73,8 +110,21 @@ def export_report(index: DataFrame, csv_path: str, output_dir: str) -> DataFrame
     ).select(F.lit(csv_path).alias("csv_path"), F.lit(output_dir).alias("output_dir"), "*")
 
 
-def next_phase(base: dict, curated_csv: str, iteration: int, min_rows: int = 1) -> dict:
-    """Settings of the training that follows a curation: its table as a realistic set
-    whose paths are absolute."""
-    own = {"name": f"curated_{iteration}", "csv_path": curated_csv, "mode": "realistic", "image_root": "/", "min_rows": min_rows}
-    return {**base, "train_sets": [*base.get("train_sets", []), own]}
+def next_phase(base: dict, curated_csv: str, iteration: int, model_path: str, output_dir: str) -> dict:
+    """Settings of the training that follows a curation: its table is the only set, with
+    absolute paths, and is sampled whole; there are no validation sets. What ``base`` says of
+    the training itself, under ``sft``, is kept."""
+    rows = {"train_csv": curated_csv, "data_mode": "realistic", "realistic_image_root": "/", "instruction": base.get("instruction", DEFAULT_PROMPT), "sample_num": None}
+    kept = {k: v for k, v in base.get("sft", {}).items()}
+    return {
+        **kept,
+        "pretrained_weight_path": model_path,
+        "train_sets": [rows],
+        "enable_val_sets": False,
+        "val_sets": [],
+        "seed": base.get("seed", 3407),
+        "freeze_layers": base.get("freeze_layers", []),
+        "freeze_modules": base.get("freeze_modules", []),
+        "output_dir": f"{output_dir.rstrip('/')}/checkpoints",
+        "run_name": f"{base.get('run_name', 'curation')}-iter{iteration}",
+    }

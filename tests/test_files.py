@@ -1,7 +1,15 @@
 """Sources, sinks, settings and the log stream."""
 
+import json
+import subprocess
+import sys
+import zlib
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.plans import config
 from tessera.sources import readers, writers
 from tessera.streaming import logs
@@ -66,6 +74,102 @@ def test_rl_rows(spark):
     assert row.reward_model == '{"style":"rule","ground_truth":"CC"}'
 
 
+def test_blank_image_and_stored_images(spark):
+    data = readers.blank_image(10, 3)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and int.from_bytes(data[16:20]) == 10 and int.from_bytes(data[20:24]) == 3
+    at = data.index(b"IDAT") + 4
+    assert zlib.decompress(data[at:-16]) == b"\0\xff\xff" * 3
+    stored = lambda v: spark.createDataFrame([(v,)], "image struct<bytes: binary>").select(readers.stored_image(F.col("image.bytes")).alias("i")).first().i
+    assert bytes(stored((bytearray(b"x"),))) == b"x"
+    for none in ((None,), None):
+        with pytest.raises(Exception, match="holds no image"):
+            stored(none)
+
+
+def test_union_skips_empty_tables(spark):
+    a, b = spark.range(0), spark.range(2)
+    assert readers.not_empty([a, a]) is None
+    assert readers.not_empty([a, b, b]).count() == 4
+
+
+def test_json_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é"), (2, None)], "x int, s string")
+    writers.json_rows(df, str(tmp_path / "rows"))
+    lines = [json.loads(x) for p in (tmp_path / "rows").glob("part-*") for x in p.read_text().splitlines()]
+    assert sorted(lines, key=lambda r: r["x"]) == [{"x": 1, "s": "é"}, {"x": 2, "s": None}]
+    writers.json_file(spark, str(tmp_path / "one.json"), {"a": "é"})
+    assert (tmp_path / "one.json").read_text() == '{\n  "a": "é"\n}'
+    writers.json_file(spark, str(tmp_path / "one.json"), writers.records(df))
+    assert json.loads((tmp_path / "one.json").read_text())[0] == {"x": 1, "s": "é"}
+    with pytest.raises(ValueError, match="over 1 rows"):
+        writers.records(df, most=1)
+
+
+def test_chunks_and_single_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0), (2, 1)], "x int, chunk int")
+    writers.csv_chunks(df, str(tmp_path / "c"), "chunk")
+    writers.csv_chunks(df.filter("chunk = 1").withColumn("x", F.lit(9)), str(tmp_path / "c"), "chunk")
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).selectExpr("int(x)", "chunk").collect()) == [(1, 0), (9, 1)]
+    writers.csv(df.coalesce(1), str(tmp_path / "parts"))
+    writers.only_file(spark, str(tmp_path / "parts"), str(tmp_path / "one.csv"))
+    assert (tmp_path / "one.csv").read_text() == "x,chunk\n1,0\n2,1\n" and not (tmp_path / "parts").exists()
+
+
+def test_renderer_is_made_on_the_executors(spark):
+    tasks = spark.createDataFrame([("a", "CC"), ("b", "")], "image_path string, smiles string").coalesce(1)
+    done = tasks.select(F.col("image_path").alias("path")).limit(0)
+
+    def prepare():
+        made = ["renderer"]
+        return lambda row: bool(made and row["smiles"])
+
+    assert {r.image_path: r.status for r in writers.rendered(tasks, done, prepare=prepare).collect()} == {"a": "ok", "b": "failed"}
+
+
+def test_shared_folder(spark, monkeypatch):
+    assert session.shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://x"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+    with pytest.raises(ValueError, match="executors share"):
+        session.shared_folder(Cluster)
+
+
+def test_training_settings():
+    drawn = {"train_csv": "a.csv", "style": "s", "mol_augment": True, "include_condensed": False}
+    got = config.training({"train_sets": [drawn], "learning_rate": 1e-4, "freeze_layers": [3, 1, 3]}, "/base")
+    assert got.train_sets[0].train_csv == "/base/a.csv" and got.trainer == {"learning_rate": 1e-4}
+    assert got.frozen_prefixes()[:3] == ["model.layers.1.", "layers.1.", "model.model.layers.1."] and len(got.frozen_prefixes()) == 6
+    bad = [
+        {"train_sets": []},
+        {"train_sets": [{"train_csv": "a.csv"}]},
+        {"train_sets": [drawn | {"data_mode": "?"}]},
+        {"train_sets": [drawn | {"data_mode": "realistic"}]},
+        {"train_sets": [drawn | {"data_mode": "pre_rendered"}]},
+        {"train_sets": [drawn | {"sample_num": 0}]},
+        {"train_sets": [{k: v for k, v in drawn.items() if k != "train_csv"}]},
+        {"train_sets": [drawn], "enable_val_sets": True},
+        {"train_sets": [drawn], "eval_every_steps": 0},
+        {"train_sets": [drawn], "save_steps": -1},
+    ]
+    for values in bad:
+        with pytest.raises(ValueError):
+            config.training(values, "/")
+    assert config.preparation({"datasets": [drawn]}, "/").val_ratio == 0.02
+    for values in ({"datasets": []}, {"datasets": [drawn], "val_ratio": 1.0}, {"datasets": [drawn], "other": 1}):
+        with pytest.raises(ValueError):
+            config.preparation(values, "/")
+    with pytest.raises(ValueError, match="shards"):
+        config.curation({"shards": 0})
+    assert config.applied(["run", "a.b=1", "c=2"], {"c": "3", "d.e": "4"}) == ["run", "a.b=1", "c=3", "d.e=4"]
+
+
 def test_settings():
     got = config.evaluation({"benchmarks": [{"name": "a", "csv_path": "x.csv"}, {"name": "b", "csv_path": "/y.csv", "enabled": False}]}, "/base")
     assert [b.csv_path for b in got.benchmarks] == ["/base/x.csv", "/y.csv"]
@@ -93,6 +197,11 @@ def test_advances(spark):
     assert [r.advance for r in logs.advances(df, "run", "o").orderBy("o").collect()] == [5, 0, 3]
 
 
+def test_entry_imports_without_what_the_operators_need(tmp_path):
+    code = "import sys; sys.modules['xxhash'] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; q = e.queries(); assert 'reward_rl' in q and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
+
+
 def test_entry_imports_without_training_data_operators():
     import __spark_entry__ as e
 
@@ -111,7 +220,10 @@ def test_made_once_and_report(spark, tmp_path):
         df = writers.made_once(spark, str(tmp_path / "index"), make)
     assert made == [1]
     assert tuple(writers.export_report(df, "a.csv", "a_x").first()) == ("a.csv", "a_x", 3, 2, 1)
-    assert writers.next_phase({"train_sets": [1], "x": 2}, "c.csv", 3)["train_sets"][1]["csv_path"] == "c.csv"
+    got = writers.next_phase({"sft": {"epochs": 2}, "instruction": "read", "x": 2}, "/c.csv", 3, "/model", "/out/")
+    assert got["train_sets"] == [{"train_csv": "/c.csv", "data_mode": "realistic", "realistic_image_root": "/", "instruction": "read", "sample_num": None}]
+    assert (got["epochs"], got["output_dir"], got["run_name"], got["pretrained_weight_path"]) == (2, "/out/checkpoints", "curation-iter3", "/model")
+    assert config.training(got, "/").trainer["epochs"] == 2
 
 
 def test_results_of_all_needs_every_result(spark):
@@ -133,6 +245,9 @@ def test_augmentation_is_repeatable(spark):
     style = images.Style(blur=1.0, noise=1.0, rotate=1.0)
     one, two = ({r.k: bytes(r.pixels) for r in images.augmented(d, "k", style, 3).collect()} for d in (df, df.repartition(3)))
     assert one == two and len(set(one.values())) == 6
+    named = df.select(F.format_string("mol_%08d/image.png", "k").alias("k"), "pixels", "width", "height")
+    assert len({bytes(r.pixels) for r in images.augmented(named, "k", style, 3).collect()}) == 6
+    assert [r.x for r in df.limit(1).select(images.chosen_label(F.lit("drawn"), F.lit("asked"), True).alias("x"), images.chosen_label(F.lit("drawn"), F.lit("asked"), False).alias("y")).collect()] == ["drawn"]
     assert {bytes(r.pixels) for r in images.augmented(df, "k", images.Style(blur=0, noise=0, rotate=0), 3).collect()} == {bytes(range(100))}
     with pytest.raises(ValueError, match="none of"):
         images.Style("other")

@@ -53,6 +53,16 @@ def test_parts_and_prompt(spark):
     assert one(spark, text.plain_prompt(parts), s="") == text.DEFAULT_PROMPT
 
 
+def test_turns_of_a_prompt(spark):
+    turns = text.messages_of(F.col("s"))
+    assert [tuple(t) for t in one(spark, turns, s='[{"role":"system","content":"x"},{"content":"a<image>"},{}]')] == [("system", "x"), ("user", "a<image>"), ("user", "")]
+    assert one(spark, text.prompt_of(turns), s='[{"role":"system","content":"x "},{"content":"a<image>"}]') == "x a<image>"
+    given = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.col("s").alias("content")))
+    assert one(spark, text.prompt_of(text.messages_in(given)), s="<image> b") == "<image> b"
+    with pytest.raises(Exception, match="list of turns"):
+        one(spark, turns, s="not json")
+
+
 @pytest.mark.parametrize(("raw", "want"), [('{"ground_truth": "CC"}', "CC"), ('{"x": 1}', ""), ("CC", "CC"), ("[1]", "[1]"), ("12", "12")])
 def test_ground_truth(spark, raw, want):
     assert one(spark, text.ground_truth(F.col("s")), s=raw) == want
@@ -108,6 +118,7 @@ def test_canonical_contracts(spark):
     described = F.struct(F.lit("bad").alias("text"), F.lit(None).cast("string").alias("canonical"))
     assert one(spark, molecules.canonical_for_evaluation(described)) == "bad"
     assert one(spark, molecules.canonical_for_reward(described)) == text.EMPTY
+    assert one(spark, molecules.for_evaluation(F.lit("C/[R1]"))) == "C[1*]"
     assert one(spark, molecules.group_labels(F.lit("[R12]CC(=O)[NH2]"))) == "[12*]CC(=O)[NH2]"
 
 

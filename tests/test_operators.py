@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import columns, curate, metrics, ordering
+from tessera.functions import molecules, text
+from tessera.operators import columns, curate, metrics, ordering, records
+from tessera.sources import readers
 
 
 def test_first_present_is_case_sensitive(spark):
@@ -23,6 +25,12 @@ def test_row_id(spark):
 def test_table_id_keeps_nulls(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b")], "image_id double, id string")
     assert [r.x for r in df.select(columns.table_id(df, ["image_id", "id"], F.lit(3)).alias("x")).collect()] == ["1", None]
+    assert [r.x for r in df.select(columns.table_id(df, columns.IDENTIFIERS["evaluation"]).alias("x")).collect()] == ["1", None]
+    with pytest.raises(ValueError, match="none of"):
+        columns.table_id(df, ["Unnamed: 0"])
+    assert columns.renamed(df, {"id": "key"}).columns == ["image_id", "key"]
+    with pytest.raises(ValueError, match="none of"):
+        columns.renamed(df, {"gone": "key"})
 
 
 def test_resolved_files_prefers_the_path_itself(spark):
@@ -30,6 +38,10 @@ def test_resolved_files_prefers_the_path_itself(spark):
     files = spark.createDataFrame([("a/x.gif",), ("a/x.png",), ("a/y.webp",), ("a/y.jpg",)], "path string")
     got = {r.file: r.resolved for r in columns.resolved_files(asked, "file", files, columns.ENDINGS["rl"]).collect()}
     assert got == {"a/x.gif": "a/x.gif", "a/y.png": "a/y.jpg", "z": None}
+    both = spark.createDataFrame([("a.tif",), ("a.bmp",), ("b.JPG",), ("b.jpeg",)], "path string")
+    asked = spark.createDataFrame([("a.gif",), ("b.gif",)], "file string")
+    for kind, want in (("rl", {"a.gif": "a.tif", "b.gif": "b.jpeg"}), ("training", {"a.gif": "a.tif", "b.gif": "b.JPG"})):
+        assert {r.file: r.resolved for r in columns.resolved_files(asked, "file", both, columns.ENDINGS[kind]).collect()} == want
 
 
 def test_not_blank(spark):
@@ -84,6 +96,74 @@ def test_best_of_n_ties_and_order(spark):
     best = curate.best(df, ["k"], F.col("i"), ["pred"])
     assert [r.k for r in curate.accepted(best, -1.0).collect()] == ["a"]
     assert tuple(curate.funnel(best, -1.0).first()) == (2, 1, 0, 1, 0.9)
+    low = spark.createDataFrame([("a", 0, -3.0, "x"), ("a", 1, -1.0, "y"), ("b", 0, None, "z")], "k string, i int, reward double, pred string")
+    assert {tuple(r) for r in curate.best(low, ["k"], F.col("i"), ["pred", "i"]).collect()} == {("a", -1.0, "", None), ("b", -1.0, "", None)}
+    assert curate.best(low, ["k"], F.col("i"), ["pred"], floor=None).filter("k = 'a'").first().pred == "y"
+
+
+def test_compute_score(spark):
+    rows = [("C C\n", '{"ground_truth": "CC"}'), ("", '{"ground_truth": "CC"}'), ("CC", "CC"), ("\nN", "CC"), ("CC", '{"x": 1}')]
+    df = spark.createDataFrame(rows, "s string, t string")
+    score = curate.compute_score(None, F.col("s"), F.col("t"), backend=molecules.Surrogate())
+    assert [round(r.x, 9) for r in df.select(score.alias("x")).collect()] == [round(7.5 / 8.5, 9), 0.0, round(7.5 / 8.5, 9), round(0.5 / 8.5, 9), round(0.5 / 8.5, 9)]
+
+
+def test_paired_rows_stand_at_one_place(spark):
+    a = spark.createDataFrame([(0, "a"), (1, "b")], "ordinal int, x string")
+    b = spark.createDataFrame([(1, "d"), (0, "c")], "ordinal int, y string")
+    assert sorted(map(tuple, metrics.paired(a, b).collect())) == [(0, "a", "c"), (1, "b", "d")]
+    for wrong in (b.limit(1), b.union(b.limit(1)), b.withColumn("ordinal", F.col("ordinal") + 1)):
+        with pytest.raises(Exception, match="don't pair"):
+            metrics.paired(a, wrong).collect()
+
+
+def test_surviving_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2), (None, 3)], "batch string, v int")
+    assert sorted(map(repr, (tuple(r) for r in metrics.surviving(df, "batch", F.col("v") > 0).collect()))) == ["('a', 1)", "('b', 2)", "(None, 3)"]
+    with pytest.raises(Exception, match="no valid row in batch b"):
+        metrics.surviving(df, "batch", F.col("v") != 2).collect()
+    assert metrics.surviving(df.limit(0), "batch", F.col("v") > 0).count() == 0
+
+
+def test_rows_for_training_with_rewards(spark):
+    default = text.DEFAULT_PROMPT
+    rows = [
+        (0, '[{"role": "user", "content": "<image>\\n a bb"}]', "x.png", "s", '{"ground_truth": "CC"}'),
+        (1, '[{"content": "no mark"}]', "gone", None, "CN"),
+        (2, '[{"role": "system", "content": "be brief "}, {"role": "user", "content": "<image> a b c d e f g h"}]', "x.png", "s", "{}"),
+    ]
+    df = spark.createDataFrame(rows, "index int, prompt string, image_path string, data_source string, reward_model string")
+    files = spark.createDataFrame([("x.png", bytearray(b"img"))], "path string, content binary")
+    encode = lambda c: F.transform(F.split(c, " "), lambda x: F.length(x))
+    got = {r["index"]: r for r in records.rl_dataset(df, files, encode, 10, "left").collect()}
+    assert got[0].raw_prompt == "<image>\n a bb" and got[0].raw_prompt_ids == [8, 1, 2] and got[0].input_ids == [0] * 7 + [8, 1, 2]
+    assert got[0].attention_mask == [0] * 7 + [1] * 3 and got[0].position_ids == [0] * 7 + [0, 1, 2]
+    assert (got[1].raw_prompt, got[1].data_source, got[1].ground_truth, bytes(got[1].content)) == (default, records.SOURCE, "CN", readers.blank_image())
+    assert got[2].raw_prompt == "be brief <image> a b c d e f g h" and got[2].raw_prompt_ids == [5, 7, 1, 1, 1, 1, 1, 1, 1, 1][-10:]
+    assert bytes(got[2].content) == b"img" and got[2].ground_truth == ""
+    lost = {r["index"]: r for r in records.rl_dataset(df, files, encode, 20, image_id=8).collect()}
+    assert lost[0].raw_prompt == "<image>\n a bb" and lost[2].raw_prompt == default
+    with pytest.raises(Exception, match="longer than 4"):
+        records.rl_dataset(df, files, encode, 4).collect()
+    with pytest.raises(Exception, match="list of turns"):
+        records.rl_dataset(df.withColumn("prompt", F.lit("{")), files, encode, 20).collect()
+
+
+def test_random_replacement_without_valid_rows(spark):
+    df = spark.range(6).select("id", F.col("id").alias("ordinal"))
+    none = F.lit(None).cast("long")
+    assert {r.replacement for r in ordering.random_replacement(df, "id", none, 1, strict=False).collect()} == {None}
+    with pytest.raises(Exception, match="no valid row in 20 draws"):
+        ordering.random_replacement(df, "id", none, 1).collect()
+
+
+def test_rows_of_a_training_set(spark):
+    df = spark.range(50)
+    shuffled = [r.id for r in ordering.training_rows(df, None, 3, "dynamic", "id").collect()]
+    assert sorted(shuffled) == list(range(50)) and shuffled != list(range(50))
+    assert [r.id for r in ordering.training_rows(df, None, 3, "realistic", "id").collect()] == list(range(50))
+    assert ordering.training_rows(df, 7, 3, "realistic", "id").count() == ordering.some_of(df, 7, 3, "id").count() == 7
+    assert ordering.some_of(df, -1, 3, "id").count() == 50
 
 
 def test_metrics_sentinel_and_empty_rule(spark):
@@ -100,6 +180,8 @@ def test_latest_checkpoint(spark):
     df = spark.createDataFrame([("o/checkpoint-9",), ("o/checkpoint-10",), ("o/checkpoint-x",), ("o/checkpoint-1-2",)], "path string")
     assert metrics.latest_checkpoint(df, []).first().path == "o/checkpoint-10"
     assert metrics.latest_checkpoint(df.limit(0), []).first().path is None
+    df = spark.createDataFrame([("o/global_step_9/actor",), ("o/global_step_10/actor",), ("o/global_step_11/critic",), ("o/global_step_12",)], "path string")
+    assert tuple(metrics.latest_actor(df, []).first()) == ("o/global_step_10", 10)
 
 
 def test_parameters(spark):
@@ -115,6 +197,8 @@ def test_overrides_and_cadence(spark):
     base = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
     over = spark.createDataFrame([("b", "3"), ("c", "4")], "key string, value string")
     assert {r.key: r.value for r in metrics.merged_overrides(base, over).collect()} == {"a": "1", "b": "3", "c": "4"}
+    listed = [d.withColumn("at", F.monotonically_increasing_id()) for d in (base, over)]
+    assert [r.key for r in metrics.merged_overrides(*listed, order="at").orderBy("place").collect()] == ["a", "b", "c"]
     steps = spark.range(0, 101, 25).filter(metrics.evaluates_at(F.col("id"), 25, 100))
     assert [r.id for r in steps.collect()] == [25, 50, 75]
     assert spark.range(0, 101, 50).filter(metrics.evaluates_at(F.col("id"), 50, 0)).count() == 2
