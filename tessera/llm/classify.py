@@ -11,7 +11,9 @@ Two feature sets share one learner:
   shape of its own.
 
 The learner is fitted on a sample of at most about ``max_train_rows`` labelled
-documents, chosen by a hash of the document id; scoring covers every whole text.
+documents, chosen by a hash of the document id; scoring covers every whole text. A long text
+is read in blocks of 1 MB that overlap by a feature's words, so a task holds the text and a
+block's features only (about 100 MB), however long it is.
 
 Defined results: a null or empty text has no features, so its score is the
 logistic of the bias; repeated rows get equal scores; labels given twice for one
@@ -41,15 +43,18 @@ _SHAPES[65:91] = 2
 _SHAPES[48:58] = 3
 _REPEATED = np.uint64(0x5EED)
 
-Features = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Of a column of texts, the first of its words whose grams count; gives hashes and documents.
+Features = Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]]
+#: How many words a feature spans at most.
+SPAN = 3
 
 
-def toxicity_features(column) -> tuple[np.ndarray, np.ndarray]:
+def toxicity_features(column, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     w = tb.words(column, tb.ALNUM, lower=True)
     h = w.hashes()
-    parts = [tb.grams(w, h, (0,), 1), tb.grams(w, h, (0, 1), 2), tb.grams(w, h, (0, 2), 3)]
+    parts = [tb.grams(w, h, (0,), 1, skip), tb.grams(w, h, (0, 1), 2, skip), tb.grams(w, h, (0, 2), 3, skip)]
     for k in (3, 4, 5, 6):
-        parts.append(tb.grams(w, tb.span_hashes(w.buf, w.starts, np.minimum(w.ends, w.starts + k)), (0,), 10 + k))
+        parts.append(tb.grams(w, tb.span_hashes(w.buf, w.starts, np.minimum(w.ends, w.starts + k)), (0,), 10 + k, skip))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -63,28 +68,45 @@ def _shape_hashes(w: tb.Words) -> np.ndarray:
     return tb.span_hashes(classes[at], np.searchsorted(at, w.starts), np.searchsorted(at, w.ends))
 
 
-def quality_features(column) -> tuple[np.ndarray, np.ndarray]:
+def quality_features(column, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
     w = tb.words(column)
     h = w.hashes()
     shape = _shape_hashes(w)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
     shape[same] = _REPEATED
-    parts = [tb.grams(w, h, (0,), 1), tb.grams(w, h, (0, 1), 2)]
-    parts += [tb.grams(w, shape, o, s) for o, s in (((0,), 4), ((0, 1), 5), ((0, 1, 2), 6))]
+    parts = [tb.grams(w, h, (0,), 1, skip), tb.grams(w, h, (0, 1), 2, skip)]
+    parts += [tb.grams(w, shape, o, s, skip) for o, s in (((0,), 4), ((0, 1), 5), ((0, 1, 2), 6))]
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 @dataclass(frozen=True)
 class Task:
     features: Features
+    table: np.ndarray  # which bytes are words'
     learner: ftrl.Ftrl
     max_train_rows: int = 14_000
     threshold: float = 0.7
 
+    def distinct(self, column, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Sorted keys of the distinct features of each text: its row above ``bits``, the
+        feature below. A long text is read in blocks. ``wanted``: which features count."""
+        bits = np.uint64(self.learner.bits)
+        mask = np.uint64((1 << self.learner.bits) - 1)
+        keys = np.zeros(0, np.uint64)
+        for block, skip in tb.blocks(column, self.table, SPAN):
+            f, d = self.features(block, skip)
+            f = f & mask
+            if wanted is not None:
+                some = np.flatnonzero(wanted[f.view(np.int64)])
+                f, d = f[some], d[some]
+            own = np.unique((d.astype(np.uint64) << bits) | f)
+            keys = np.union1d(keys, own) if len(keys) else own
+        return keys
 
-TOXICITY = Task(toxicity_features, ftrl.Ftrl(alpha=0.5, l1=3.0, positive_weight=3.0, epochs=4))
-QUALITY = Task(quality_features, ftrl.Ftrl(alpha=0.3, l1=1.0, epochs=3))
+
+TOXICITY = Task(toxicity_features, tb.ALNUM, ftrl.Ftrl(alpha=0.5, l1=3.0, positive_weight=3.0, epochs=4))
+QUALITY = Task(quality_features, tb.SPACED, ftrl.Ftrl(alpha=0.3, l1=1.0, epochs=3))
 
 
 @dataclass(frozen=True)
@@ -122,9 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, task: Task, keep=None,
     def encode(batches):
         for batch in batches:
             for part in tb.slices(batch):
-                f, d = task.features(part.column("text"))
-                f = f & mask
-                key = np.unique((d.astype(np.uint64) << np.uint64(bits)) | f)
+                key = task.distinct(part.column("text"))
                 f = (key & mask).astype(np.uint32)
                 at = np.searchsorted(key >> np.uint64(bits), np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("_order"), part.column("_id"), part.column("_y"), pa.array([f[at[i] : at[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], names=["o", "id", "y", "f"])
@@ -148,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, task: Task, keep=None,
     return Model(task, got.i[mine].to_numpy(), got.w[mine].to_numpy(), float(bias.iloc[0]) if len(bias) else 0.0)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (double) and ``predicted`` (int)."""
+def score(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (double) and ``predicted`` (int), or by other names."""
     sent = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
     task, cache = model.task, {}
     mask = np.uint64((1 << task.learner.bits) - 1)
@@ -159,9 +179,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             i, w, b = sent.value
             dense = np.zeros(int(mask) + 1)
             dense[i] = w
-            cache["w"], cache["b"] = dense, b
-        f, d = task.features(part.column(text))
-        s = ftrl.scores(cache["w"], cache["b"], (f & mask).astype(np.int64), d, part.num_rows)
+            cache["w"], cache["b"], cache["some"] = dense, b, dense != 0
+        keys = task.distinct(part.column(text), cache["some"])
+        s = ftrl.scores(cache["w"], cache["b"], (keys & mask).astype(np.int64), (keys >> np.uint64(task.learner.bits)).astype(np.int64), part.num_rows)
         return [pa.array(s), pa.array((s >= task.threshold).astype(np.int32))]
 
-    return frames.append(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], compute, text)
+    return frames.append(docs, [T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())], compute, text)

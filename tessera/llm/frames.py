@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera import session
 from tessera.llm import textbatch as tb
 
-
 #: Rows that Spark hands to a Python worker at once; whole texts are long, and the
-#: default of 10,000 rows fills the worker and the executor's buffers.
+#: default of 10,000 rows fills the worker and the executor's buffers. The operators lower
+#: the session's setting, as Spark reads it when a lazy result is run.
 BATCH_ROWS = 500
 
 
@@ -33,10 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that what
     follows neither recomputes it nor loses it with an executor."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    return session.materialised(df)
 
 
 def append(docs: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], text: str = "text") -> DataFrame:

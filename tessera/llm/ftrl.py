@@ -51,10 +51,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray
 
 
 def scores(weights: np.ndarray, bias: float, features: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Sparse dot products; a feature counts once for each document."""
-    w = weights[features]
-    hit = np.flatnonzero(w)
-    key = doc[hit].astype(np.int64) * len(weights) + features[hit]
-    _, at = np.unique(key, return_index=True)
-    total = np.bincount(doc[hit][at], weights=w[hit][at], minlength=n_docs) + bias
+    """Sparse dot products of documents with their distinct features."""
+    total = np.bincount(doc, weights=weights[features], minlength=n_docs) + bias
     return 1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0)))

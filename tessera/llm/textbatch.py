@@ -75,7 +75,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -177,14 +177,42 @@ def words(column, table: np.ndarray = SPACED, lower: bool = False) -> Words:
     return Words(buf, off, starts, ends, doc, first)
 
 
-def grams(w: Words, h: np.ndarray, offsets: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the words at ``i + o`` for each o, for every i whose last word lies in
-    the same document; returns the hashes and their documents."""
+def blocks(column, table: np.ndarray, span: int, most: int = SLICE_BYTES):
+    """(column, words to skip): a single long text in blocks cut between words. A block begins
+    ``span`` words before the one before it ends, so every run of ``span`` words lies in one;
+    what begins at its first word (the words to skip) was in the block before."""
+    if len(column) != 1 or len(flat(column)[0]) <= most:
+        yield column, 0
+        return
+    buf, _ = flat(column)
+    begin, skip, end = 0, 0, 0
+    while end < len(buf):
+        end = max(end + 1, begin + most)
+        while end < len(buf):  # to the next byte between words
+            ahead = np.flatnonzero(~table[LOWER[buf[end : end + most]]])
+            if len(ahead):
+                end += int(ahead[0])
+                break
+            end = min(end + most, len(buf))
+        end = min(end, len(buf))
+        block = pa.array([buf[begin:end].tobytes()], pa.large_binary())
+        starts = words(block, table, lower=True).starts
+        if end < len(buf) and len(starts) <= span:
+            continue  # a few endless words: the block grows
+        yield block, skip
+        if len(starts) > span:
+            begin, skip = begin + int(starts[-span]), 1
+
+
+def grams(w: Words, h: np.ndarray, offsets: tuple[int, ...], salt: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the words at ``i + o`` for each o, for every i from ``skip`` on whose last word
+    lies in the same document; returns the hashes and their documents."""
     last = offsets[-1]
     if len(h) <= last:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = len(h) - last
     ok = w.doc[:n] == w.doc[last:]
+    ok[:skip] = False
     out = np.full(n, salt, np.uint64)
     for o in offsets:
         out = out * np.uint64(_P) + h[o : o + n]
