@@ -2,7 +2,7 @@
 
 Each page is parsed into a tree. Parts that are no article by their element, role,
 class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are pruned. A class or id counts as a whole and by its parts, but a node
+styles, reader comments) are pruned; a header inside an article or main belongs to it. A class or id counts as a whole and by its parts, but a node
 is not pruned for it that holds the page's longest article or main element, or, by a mere
 part of a name ("has-sidebar"), any such element that is no list of links; nor one that
 holds most of the page's text outside links when no such element is elsewhere. Every remaining node gets a composite text
@@ -12,7 +12,10 @@ content; the smallest density on its path to the body is the threshold. The cont
 is the container around the centre (at least its outermost article, else main, element
 if it has one), widened along that path to the last container where it gains siblings,
 elements or bare text, at or above the threshold, or articles that are no list of links.
-All text in it is kept.
+In it, blocks of three links or more go that are below the threshold and two thirds of whose
+characters are links, unless all its text is such; all other text in it is kept. (The
+threshold alone would drop short paragraphs and sections of an article, so it chooses between
+blocks of links and text only.)
 
 White space inside a block becomes one space; blocks are joined by one newline.
 
@@ -54,18 +57,19 @@ _P_ENDERS = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "the
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "pruned", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "pruned", "inside", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, pruned: bool):
         self.tag, self.parent, self.pruned = tag, parent, pruned
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.parts: list[Node | str] = []
         self.names: set[str] | None = None  # whole names, of a node with a name of boilerplate
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
+    if tag in DROPPED and not (tag == "header" and inside):
         return True
     if tag in ("html", "body", "main", "article"):
         return any(k == "class" and v and {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", v.lower())) for k, v in attrs) and tag == "article"
@@ -75,12 +79,13 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def _names(tag: str, attrs: list[tuple[str, str | None]]) -> set[str] | None:
+def _names(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str] | None:
     """The whole class names and ids, if they or parts of them are names of boilerplate."""
     if tag in ("html", "body", "main", "article"):
         return None
     given = [v.lower() for k, v in attrs if k in ("class", "id") and v]
-    if any(NAMES & set(re.split(r"[^a-z0-9]+", v)) for v in given):
+    names = NAMES - {"header"} if inside else NAMES
+    if any(names & set(re.split(r"[^a-z0-9]+", v)) for v in given):
         return {x for v in given for x in v.split()}
     return None
 
@@ -110,9 +115,10 @@ class _Tree(HTMLParser):
             self._close_to(p)
         if tag in ENDS and (old := self._find(ENDS[tag], {"ul", "ol", "dl", "table", "select"})):
             self._close_to(old)
-        node = Node(tag, self.open, self.open.pruned or _boilerplate(tag, attrs))
+        node = Node(tag, self.open, self.open.pruned)
+        node.pruned = node.pruned or _boilerplate(tag, attrs, node.inside)
         if not node.pruned:
-            node.names = _names(tag, attrs)
+            node.names = _names(tag, attrs, node.inside)
         self.open.parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -217,9 +223,25 @@ def _content(tree: _Tree) -> Node:
     for inner, outer in zip(path, path[1:]):
         if outer.tag in CONTAINERS and threshold > 0 and any(x is not inner and dense(x) for x in outer.parts):
             region = max(region, outer, key=path.index)
+    _prune_links(region, threshold)
     return region
 
 
+def _prune_links(region: Node, threshold: float) -> None:
+    """Prunes blocks of links in the region, unless nothing would be left."""
+    found, todo, left = [], [region], region.chars
+    while todo:
+        n = todo.pop()
+        if n is not region and n.tag in BLOCKS and n.link_tags >= 3 and 3 * n.link_chars >= 2 * n.chars and n.density < threshold:
+            found.append(n)
+            left -= n.chars
+        else:
+            todo.extend(x for x in n.parts if isinstance(x, Node) and not x.pruned)
+    if left > 0:
+        for n in found:
+            n.pruned = True
+
+
 def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html or "")
