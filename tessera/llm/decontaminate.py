@@ -23,9 +23,11 @@ words, its spans of 64 words, one every 32 words and one at its end.
    always are found in no other text, and a reworded leak lacks just these). So reworded passages are found as well as verbatim ones. The cosine
    reported is that of the window nearest to the passage.
 
-Windows are handled in blocks of about ``block`` windows, several blocks to a pass; the
-windows of a longer item lie in several blocks. What is broadcast has the size of the
-benchmark, not of the corpus.
+Windows are handled in blocks of about ``block`` windows, several blocks to a pass, as many as
+have ``most_bytes`` of vectors together; the windows of a longer item lie in several blocks.
+So what is broadcast or sent to the driver at once is bounded whatever the size of corpus and
+benchmark; a larger benchmark takes more passes. The benchmark is a stated query set against
+all passages. A task holds about 30 bytes for each byte of a long text.
 
 Defined results: null and empty texts and items without words match nothing; repeated
 documents get equal results, repeated items a result each; a null item_id is reported
@@ -62,7 +64,7 @@ class Rules:
     least_lcs: float = 0.6
     least_answer: float = 0.6
     block: int = 240
-    blocks_at_once: int = 16
+    most_bytes: int = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -360,44 +362,81 @@ def _matches(p: Passages, model: Model, windows: np.ndarray, answers: list[tuple
     return {key: (c, l, a) for key, (l, a, c) in found.items()}
 
 
-def fit(docs: DataFrame, items: list[list[Item]], text: str, rules: Rules) -> list[Model]:
-    terms = [Terms(block) for block in items]
+def _rank(m: Terms, rules: Rules) -> int:
+    return min(len(m.windows) + 16, rules.rank, max(len(m.hashes), 1))
+
+
+def _groups(blocks: list[list[Item]], rules: Rules) -> list[list[Terms]]:
+    """Blocks for a pass each, with vectors of ``most_bytes`` together, one block at least."""
+    out: list[list[Terms]] = []
+    size = 0
+    for block in blocks:
+        m = Terms(block)
+        own = 8 * len(m.hashes) * _rank(m, rules)
+        if not out or size + own > rules.most_bytes:
+            out.append([])
+            size = 0
+        out[-1].append(m)
+        size += own
+    return out
+
+
+def fit(docs: DataFrame, terms: list[Terms], text: str, rules: Rules) -> list[Model]:
     dfs, n = _frequencies(docs, terms, text)
     weighed = [_weights(m, df, n, rules.max_df) for m, df in zip(terms, dfs)]
-    ranks = [min(len(m.windows) + 16, rules.rank, max(len(m.hashes), 1)) for m in terms]
+    ranks = [_rank(m, rules) for m in terms]
     vectors = _singular_vectors(docs, terms, [w for w, _ in weighed], ranks, text)
     return [Model(m, w, idf, v) for m, (w, idf), v in zip(terms, weighed, vectors)]
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rules: Rules = Rules(), name: str = "leaks") -> DataFrame:
-    """``docs`` with ``leaks``: array of (item_id, cosine, lcs, answer), empty for clean rows."""
+    """``docs`` with ``leaks``: array of (number of the benchmark's row, item_id, cosine, lcs,
+    answer), empty for clean rows."""
     bench = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    entry = T.StructType([T.StructField("item_id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer")]])
+    entry = T.StructType([T.StructField("number", T.LongType()), T.StructField("item_id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer")]])
     held = T.StructField(name, T.ArrayType(entry))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
-    # The benchmark is broadcast later on, so the driver can hold it.
+    kind = pa.list_(pa.struct([("number", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
+    # The driver cuts the benchmark into blocks, so its texts have to fit in there.
     blocks = _blocks(bench.withColumn("h", F.xxhash64("i", "t")).orderBy("i", "t").collect(), rules)
-    parts = [fit(docs, blocks[at : at + rules.blocks_at_once], text, rules) for at in range(0, len(blocks), rules.blocks_at_once)]
-    sent = docs.sparkSession.sparkContext.broadcast(parts)
+    groups = _groups(blocks, rules) or [[]]
+    for k, terms in enumerate(groups):
+        docs = _searched(docs, fit(docs, terms, text, rules), text, held, kind, rules, more=k > 0)
+        if k + 1 < len(groups):
+            docs = frames.stored(docs)
+    return docs
+
+
+def _searched(docs: DataFrame, models: list[Model], text: str, held: T.StructField, kind: pa.DataType, rules: Rules, more: bool) -> DataFrame:
+    """``docs`` with the leaks of a group of blocks; ``more``: besides those of groups before,
+    of which an item's other windows may be part."""
+    sent = docs.sparkSession.sparkContext.broadcast(models)
     cache: dict = {}
+    # What is known of an item is kept by its number in the benchmark until the last group.
+    before = "_leaks_before" if more else None
+    if more:
+        docs = docs.withColumnRenamed(held.name, before)
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         if not cache:
-            cache["m"] = [(m, m.latent_windows(), m.answers()) for group in sent.value for m in group]
+            cache["m"] = [(m, m.latent_windows(), m.answers()) for m in sent.value]
         p = Passages(part.column(text))
         best: list[dict[int, tuple]] = [{} for _ in range(part.num_rows)]
+        if before:
+            for row, own in enumerate(part.column(before).to_pylist()):
+                best[row] = {x["number"]: (x["lcs"], x["answer"], x["cosine"], x["item_id"]) for x in own}
         for m, windows, answers in cache["m"]:
             for (row, i), (c, l, a) in sorted(_matches(p, m, windows, answers, rules).items()):
                 number, new = m.terms.numbers[i], (l, a, c, m.terms.item_ids[i])
                 if number not in best[row] or new[:3] > best[row][number][:3]:
                     best[row][number] = new
-        out = [[{"item_id": i, "cosine": c, "lcs": l, "answer": a} for l, a, c, i in x.values()] for x in best]
+        out = [[{"number": n, "item_id": i, "cosine": c, "lcs": l, "answer": a} for n, (l, a, c, i) in x.items()] for x in best]
         return [pa.array(out, kind)]
 
-    return frames.append(docs, [held], compute, text)
+    found = frames.append(docs, [held], compute, text)
+    return found.drop(before) if before else found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row for each document and item that it leaks."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return flagged(own, benchmark, rules=rules).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return flagged(own, benchmark, rules=rules).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*").drop("number")
