@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, exact, htmltext, licenses, sentencepiece_fst, simhash, substrings, suffixes
+from tessera.llm import classify, decontaminate, exact, htmltext, licenses, oracles, sentencepiece_fst, simhash, substrings, suffixes
 from tessera.llm.frames import table
 
 #: A public tokenizer's model file; a parameter of the operator.
@@ -79,6 +79,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": licenses.sql(),
+    "op5_suffix_dedup": oracles.REPEATED_STRINGS,
+    "op9_simhash": oracles.near_duplicates(),
     "op7_substring_dedup": r"""
         WITH texts AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents

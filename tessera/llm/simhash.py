@@ -19,6 +19,8 @@ it is those that are near copies of each other already.
 
 Components come from alternating large-star and small-star rounds on the links.
 
+A task holds about 15 bytes for each byte of a long text.
+
 Defined results: null text counts as empty; all texts without words share
 fingerprint zero; repeated rows (also of one doc_id) get equal results; a null doc_id
 takes part in linking, but never is a component id unless all ids in it are null.
@@ -40,6 +42,8 @@ TAU = 2
 SEGMENTS, WIDTH = 8, 8
 #: Segments that a chain has exact, and how far it goes with at most one differing bit.
 EXACT, REACH = 3, 7
+#: Shingles hashed at once; bounds the bits of a long text that are held.
+AT_ONCE = 1 << 18
 
 
 def _joined(w: tb.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -66,15 +70,19 @@ def fingerprints(column, shingle: int = 3) -> np.ndarray:
     out = np.zeros(n_docs, np.uint64)
     if not first[-1]:
         return out
-    doc = np.repeat(np.arange(n_docs), n)
-    lead = np.arange(first[-1]) - first[doc] + w.first[doc]
-    last = np.minimum(lead + shingle, w.first[doc + 1]) - 1
     of = xxhash.xxh64_intdigest
-    h = np.fromiter((of(text[s:e], 42) for s, e in zip(starts[lead].tolist(), ends[last].tolist())), np.uint64, len(lead))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     some = np.flatnonzero(n)
-    ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int64)
-    major = (2 * ones > n[some][:, None]).astype(np.uint8)
+    ones = np.zeros((n_docs, 64), np.int64)
+    for begin in range(0, int(first[-1]), AT_ONCE):
+        place = np.arange(begin, min(begin + AT_ONCE, int(first[-1])))
+        doc = np.searchsorted(first, place, "right") - 1
+        lead = place - first[doc] + w.first[doc]
+        last = np.minimum(lead + shingle, w.first[doc + 1]) - 1
+        h = np.fromiter((of(text[s:e], 42) for s, e in zip(starts[lead].tolist(), ends[last].tolist())), np.uint64, len(lead))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        ones[doc[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+    major = (2 * ones[some] > n[some][:, None]).astype(np.uint8)
     out[some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 

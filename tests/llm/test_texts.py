@@ -4,7 +4,9 @@ import math
 import random
 import re
 import struct
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -41,7 +43,7 @@ def test_slices_cover_all_rows():
 
 # --- classifiers -------------------------------------------------------------------
 
-RARE = classify.Task(classify.toxicity_features, ftrl.Ftrl(l1=0.1, epochs=6), max_train_rows=1000)
+RARE = classify.Task(classify.toxicity_features, tb.ALNUM, ftrl.Ftrl(l1=0.1, epochs=6), max_train_rows=1000)
 
 
 def corpus(spark):
@@ -72,6 +74,109 @@ def test_classifier_learns_and_scores_as_a_plain_dot_product(spark):
         assert score == pytest.approx(1 / (1 + math.exp(-total)))
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_hash(data):
+    total, power = 0, 1
+    for b in data:
+        total, power = total + (b + 1) * power, power * tb._P & M64
+    return plain_mix(total & M64)
+
+
+def plain_gram(parts, salt):
+    out = salt
+    for h in parts:
+        out = (out * tb._P + h) & M64
+    return plain_mix(out)
+
+
+def plain_features(task, text):
+    if task is classify.TOXICITY:
+        w = [x.encode() for x in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(text))]
+        h = [plain_hash(x) for x in w]
+        runs = [([h], (0,), 1), ([h], (0, 1), 2), ([h], (0, 2), 3), *(([[plain_hash(x[:k]) for x in w]], (0,), 10 + k) for k in (3, 4, 5, 6))]
+    else:
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        h = [plain_hash(x) for x in w]
+        kind = lambda b: 1 if 97 <= b < 123 or b >= 128 else 2 if 65 <= b < 91 else 3 if 48 <= b < 58 else b
+        shapes = []
+        for k, x in enumerate(w):
+            kinds = [kind(b) for b in x]
+            run = [c for i, c in enumerate(kinds) if i == 0 or c != kinds[i - 1]]
+            shapes.append(0x5EED if k and w[k - 1] == x else plain_hash(run))
+        runs = [([h], (0,), 1), ([h], (0, 1), 2), *(([shapes], o, s) for o, s in (((0,), 4), ((0, 1), 5), ((0, 1, 2), 6)))]
+    return {plain_gram([v[i + o] for o in offsets], salt) & (1 << 20) - 1 for (v,), offsets, salt in runs for i in range(len(v) - offsets[-1])}
+
+
+@pytest.mark.parametrize("task", [classify.TOXICITY, classify.QUALITY])
+def test_scores_against_a_plain_dot_product(spark, task):
+    r = random.Random(9)
+    texts = [*ODD, *(" ".join(r.choice(["Ab", "ab", "ab1", "x%", "é", "The", "The", "idiot,"]) for _ in range(r.randrange(40))) for _ in range(60))]
+    index = np.unique([f for t in texts for f in plain_features(task, t)])
+    model = classify.Model(task, index, np.array([r.uniform(-1, 1) for _ in index]), 0.25)
+    weight = dict(zip(index.tolist(), model.weight))
+    got = classify.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).toPandas().sort_values("doc_id")
+    for t, score, predicted in zip(texts, got.score, got.predicted):
+        want = 1 / (1 + math.exp(-(0.25 + sum(weight[f] for f in plain_features(task, t)))))
+        assert score == pytest.approx(want) and predicted == (score >= 0.7)
+
+
+def test_learner_against_a_plain_loop():
+    r = random.Random(10)
+    rows = [np.array(sorted(r.sample(range(30), r.randrange(0, 8))), np.uint32) for _ in range(200)]
+    ys = np.array([float(1 in x or 7 in x) for x in rows])
+    p = ftrl.Ftrl(alpha=0.4, l1=0.3, epochs=2, positive_weight=2.0, bits=5)
+    z, n = dict.fromkeys([*range(32), "bias"], 0.0), dict.fromkeys([*range(32), "bias"], 0.0)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else p.l1
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for x, y in zip(rows, ys):
+            own = [*x.tolist(), "bias"]
+            w = {i: weight(i) for i in own}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (p.positive_weight if y else 1.0)
+            for i in own:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    got, bias = ftrl.fit(rows, ys, p)
+    assert got == pytest.approx([weight(i) for i in range(32)]) and bias == pytest.approx(weight("bias"))
+    assert 0 < np.count_nonzero(got) < 32
+
+
+@pytest.mark.parametrize("task", [classify.TOXICITY, classify.QUALITY])
+def test_a_long_text_in_blocks_has_the_same_features(task, monkeypatch):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["Ab", "ab", "ab1", "x%", "éé", "The"]) for _ in range(400)), "x" * 500 + " a " + "y" * 700, "a b " + "é" * 300, ""]
+    for t in texts:
+        whole = task.distinct(pa.array([t]))
+        for most in (7, 64, 301):
+            blocks = list(tb.blocks(pa.array([t]), task.table, 3, most))
+            keys = np.unique(np.concatenate([task.features(b, skip)[0] for b, skip in blocks]) & np.uint64((1 << 20) - 1))
+            assert (keys == whole).all() and (len(blocks) > 1 or len(t) < 700 or "x" in t)
+
+
+def test_span_hashes_in_blocks(monkeypatch):
+    r = np.random.default_rng(12)
+    buf = r.integers(0, 256, 5000).astype(np.uint8)
+    starts = np.append(r.integers(0, 4900, 300), [0, 7])
+    ends = np.append(starts[:300] + r.integers(0, 100, 300), [5000, 4000])
+    whole = tb.span_hashes(buf, starts, ends)
+    monkeypatch.setattr(tb, "BLOCK_BYTES", 256)
+    assert (tb.span_hashes(buf, starts, ends) == whole).all()
+    assert whole[300] == plain_hash(buf.tobytes())
+
+
 def test_classifier_on_odd_rows(spark):
     docs, labels = corpus(spark)
     model = classify.train(docs, labels, "toxic", RARE)
@@ -86,7 +191,7 @@ def test_classifier_on_odd_rows(spark):
 
 def test_sample_of_labels_is_bounded(spark):
     docs, labels = corpus(spark)
-    few = classify.Task(classify.toxicity_features, RARE.learner, max_train_rows=60)
+    few = classify.Task(classify.toxicity_features, tb.ALNUM, RARE.learner, max_train_rows=60)
     one, two = (classify.train(d, labels, "toxic", few) for d in (docs, docs.repartition(7)))
     assert one.bias == two.bias and (one.index == two.index).all() and 0 < len(one.index) < len(classify.train(docs, labels, "toxic", RARE).index)
 
@@ -137,6 +242,33 @@ def test_templates_need_their_key_phrases(spark):
     assert {t: got[t] for t in texts} == texts
 
 
+def test_templates_against_every_place():
+    r = random.Random(7)
+    own = licenses.templates()
+    assert max(len(t.words) for t in own) > 60
+    texts = []
+    for t in own * 12:
+        words = list(t.words)
+        for _ in range(r.randrange(0, max(2, len(words) // 3))):
+            words[r.randrange(len(words))] = r.choice(["x", *t.words])
+        texts.append(" ".join([*r.choices(own[r.randrange(len(own))].words, k=r.randrange(5)), *words, "end"]))
+    held = [t.split() for t in texts]
+    df = Counter(w for words in held for w in set(words))
+    index = licenses.Index(own, df, len(texts), 0.8)
+    idf = {w.decode(): x for w, x in zip(index.vocabulary, np.log((len(texts) + 1) / (np.array([df[w.decode()] for w in index.vocabulary]) + 1)) + 1e-3)}
+    want = set()
+    for d, words in enumerate(held):
+        for k, t in enumerate(own):
+            total = sum(idf[x] for x in t.words)
+            for s in range(len(words) - len(t.words) + 1):
+                agree = [a == b for a, b in zip(words[s:], t.words)]
+                if all(a for a, m in zip(agree, t.must) if m) and (all(agree) if t.base else sum(idf[x] for x, a in zip(t.words, agree) if a) >= 0.8 * total):
+                    want.add((k, d, s))
+    w = tb.words(pa.array(texts), tb.ALNUM, lower=True)
+    got = {(k, int(w.doc[s]), s - int(w.first[w.doc[s]])) for k, s, _ in index.scan(w, 0.8)}
+    assert got == want and len(want) > len(texts) / 3
+
+
 # --- html --------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="single">
@@ -185,6 +317,27 @@ def test_wrappers_named_like_boilerplate(name):
     assert htmltext.main_text(PAGE % f"<article><p>{A}</p></article><div {name.replace('widget', 'x')}><article><p>{B}</p></article></div>") == f"{A}\n{B}"
 
 
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<article><header><h1>Title</h1></header><p>{A}</p></article>", f"Title\n{A}"),
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{A}</p></article>", f"Title\n{A}"),
+        (f"<main>{LINKS}<p>{A}</p><p>{B}</p></main>", f"{A}\n{B}"),
+        (f"<main>{LINKS}</main>", "\n".join(f"Page {k}" for k in range(30))),
+        (f"<article><p>{A} <a href='/'>Here</a> and <a href='/2'>there</a>, <a href='/3'>too</a>.</p><p>Yes.</p></article>", f"{A} Here and there, too.\nYes."),
+        (f"<div class='content no-sidebar'><p>{A}</p><p>{B}</p></div>", f"{A}\n{B}"),
+        (f"<div class='layout has-header'><p>{A}</p><p>{B}</p></div>", f"{A}\n{B}"),
+        (f"<article><section><h2>1</h2><p>{A}</p><p>{A}</p></section><section><h2>2</h2><p>Short.</p></section></article>", f"1\n{A}\n{A}\n2\nShort."),
+        (f"<div><p>{A}</p><p>{B}</p></div><div><p>{A}</p><p>{B}</p></div>", f"{A}\n{B}\n{A}\n{B}"),
+    ],
+)
+def test_links_headers_and_ties(body, want):
+    assert htmltext.main_text(PAGE % body) == want
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;b"), (5, "u", "<" * 50), (5, "u", "<" * 50), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<article></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("old"))
