@@ -38,9 +38,15 @@ def round_robin(at: Column, k: int) -> Column:
 
 
 def offsets(df: DataFrame, group: str) -> DataFrame:
-    """(group, n, first): rows of each group and of all groups before it."""
+    """(group, n, first): rows of each group and of all groups before it. Groups are sorted by
+    ranges and summed in each, so there may be any number."""
     counts = df.groupBy(group).agg(F.count("*").alias("n"))
-    return counts.withColumn("first", F.sum("n").over(Window.orderBy(group)) - F.col("n"))
+    placed = session.materialised(counts.repartitionByRange(group).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part").agg(F.sum("n").alias("s"))
+    # One row for each partition.
+    before = sums.select("_part", (F.sum("s").over(Window.orderBy("_part")) - F.col("s")).alias("_before"))
+    within = F.sum("n").over(Window.partitionBy("_part").orderBy(group)) - F.col("n")
+    return placed.join(F.broadcast(before), "_part").select(group, "n", (within + F.col("_before")).alias("first"))
 
 
 def seeded(seed: int, *keys: Column) -> Column:

@@ -525,6 +525,21 @@ def canonical_success(spark, d):
     return rows.agg(F.round(metrics.success_rate(F.col("p.valid")), 9).alias("success"), F.round(F.avg(scoring.tanimoto(F.col("g.fingerprint"), F.col("p.fingerprint"))), 9).alias("tanimoto"))
 
 
+@query(rf"""
+    WITH plain AS (SELECT conv_id, turn, text, replace(trim(translate(text, '/\', ''), {_WS}), ' ', '') AS p FROM conversations)
+    SELECT conv_id, turn, coalesce(nullif(p, ''), text) AS for_evaluation, coalesce(nullif(p, ''), '<empty>') AS for_reward FROM plain""")
+def canonical_forms(spark, d):
+    """What stands for an invalid string: itself in evaluation, nothing in rewards."""
+    described = table(spark, d, "conversations").withColumn("d", BACKEND.described(F.col("text")))
+    return described.select("conv_id", "turn", molecules.canonical_for_evaluation(F.col("d")).alias("for_evaluation"), molecules.canonical_for_reward(F.col("d")).alias("for_reward"))
+
+
+@query("SELECT p_partkey, 'CC(=O)[' || p_size || '*][NH2]Cl' AS form FROM part")
+def group_labels(spark, d):
+    given = F.concat(F.lit("C/C(=O)[R"), F.col("p_size").cast("string"), F.lit("]\\[NH2]Cl"))
+    return table(spark, d, "part").select("p_partkey", molecules.for_evaluation(given).alias("form"))
+
+
 _BEST_SQL = f"{_SCORED_SQL}, ranked AS (SELECT conv_id, turn, pred, {_CURATION_SQL} AS reward FROM scored), best AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY reward DESC, turn) = 1)"
 
 
@@ -743,14 +758,14 @@ def rl_records(spark, d):
     i AS (SELECT *, every[-16:] AS ids, greatest(0, 16 - len(every)) AS gap FROM t)
     SELECT item_id, raw_prompt, array_to_string(list_concat(list_transform(range(0, gap), lambda x: 0), ids), ',') AS input_ids,
         array_to_string(list_transform(range(0, 16), lambda x: (x >= gap)::INTEGER), ',') AS attention_mask, array_to_string(list_transform(range(0, 16), lambda x: greatest(x - gap, 0)), ',') AS position_ids,
-        CASE WHEN item_id % 2 = 0 THEN 'benchmark' ELSE 'chemseek_ocr' END AS data_source, text AS ground_truth,
+        CASE WHEN item_id % 2 = 0 THEN 'benchmark' ELSE 'other' END AS data_source, text AS ground_truth,
         CASE WHEN item_id % 3 = 0 THEN '{hashlib.md5(readers.blank_image()).hexdigest()}' ELSE md5(text) END AS image FROM i JOIN benchmark USING (item_id)""")
 def rl_dataset(spark, d):
     bench = table(spark, d, "benchmark").withColumn("path", F.concat(F.col("item_id").cast("string"), F.lit(".png")))
     asked = bench.select("item_id", "path", F.concat(F.lit("<image>\n"), "text").alias("p"), F.when(F.col("item_id") % 2 == 0, "benchmark").alias("s"), F.col("text").alias("t"))
     rows = asked.select("item_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("p").alias("content")))).alias("prompt"), F.col("path").alias("image_path"), F.col("s").alias("data_source"), F.to_json(F.struct(F.col("t").alias("ground_truth"))).alias("reward_model"))
     files = bench.filter("item_id % 3 <> 0").select("path", F.encode("text", "utf-8").alias("content"))
-    made = records.rl_dataset(rows, files, lambda c: F.transform(F.split(c, " "), lambda x: F.length(x)), 16, "left", at="item_id")
+    made = records.rl_dataset(rows, files, lambda c: F.transform(F.split(c, " "), lambda x: F.length(x)), 16, "left", at="item_id", source="other")
     shown = [F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "position_ids")]
     return made.select("item_id", "raw_prompt", *shown, "data_source", "ground_truth", F.md5("content").alias("image"))
 

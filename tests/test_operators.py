@@ -55,6 +55,17 @@ def test_ordinal_counts_all_rows(spark):
     assert sorted((r.k, r.ordinal) for r in got) == [(i, i) for i in range(1000)]
 
 
+def test_offsets_of_many_groups(spark):
+    df = spark.range(500).select((F.col("id") % 37).alias("g")).union(spark.createDataFrame([(None,)], "g long"))
+    got = {r.g: (r.n, r["first"]) for r in ordering.offsets(df, "g").collect()}
+    want, at = {None: (1, 0)}, 1
+    for g in range(37):
+        n = len(range(g, 500, 37))
+        want[g] = (n, at)
+        at += n
+    assert got == want
+
+
 def test_shards_are_contiguous(spark):
     at = F.col("id")
     got = [r.s for r in spark.range(5).select(ordering.shard(at, F.lit(5), 4).alias("s")).orderBy("id").collect()]
@@ -138,7 +149,7 @@ def test_rows_for_training_with_rewards(spark):
     got = {r["index"]: r for r in records.rl_dataset(df, files, encode, 10, "left").collect()}
     assert got[0].raw_prompt == "<image>\n a bb" and got[0].raw_prompt_ids == [8, 1, 2] and got[0].input_ids == [0] * 7 + [8, 1, 2]
     assert got[0].attention_mask == [0] * 7 + [1] * 3 and got[0].position_ids == [0] * 7 + [0, 1, 2]
-    assert (got[1].raw_prompt, got[1].data_source, got[1].ground_truth, bytes(got[1].content)) == (default, records.SOURCE, "CN", readers.blank_image())
+    assert (got[1].raw_prompt, got[1].data_source, got[1].ground_truth, bytes(got[1].content)) == (default, "unnamed", "CN", readers.blank_image())
     assert got[2].raw_prompt == "be brief <image> a b c d e f g h" and got[2].raw_prompt_ids == [5, 7, 1, 1, 1, 1, 1, 1, 1, 1][-10:]
     assert bytes(got[2].content) == b"img" and got[2].ground_truth == ""
     lost = {r["index"]: r for r in records.rl_dataset(df, files, encode, 20, image_id=8).collect()}
