@@ -338,6 +338,112 @@ def test_links_headers_and_ties(body, want):
     assert htmltext.main_text(PAGE % body) == want
 
 
+def random_tree(r):
+    """A page without boilerplate by name, as nested (tag, parts)."""
+    words = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, n)))
+
+    def inline():
+        return r.choice([words(12), words(30), words(4), ("b", [words(5)]), ("a", [words(6)]), ("a", [words(3)])])
+
+    def block(depth):
+        kind = r.choice(["p", "p", "p", "ul", "div", "section", "article", "div"] if depth < 4 else ["p", "ul"])
+        if kind == "p":
+            return "p", [inline() for _ in range(r.randrange(1, 5))]
+        if kind == "ul":
+            return "ul", [("li", [("a", [words(4)]) if r.random() < 0.6 else words(9)]) for _ in range(r.randrange(1, 7))]
+        return kind, [words(9) if r.random() < 0.15 else block(depth + 1) for _ in range(r.randrange(1, 5))]
+
+    return "body", [block(0) for _ in range(r.randrange(1, 6))]
+
+
+def as_html(x):
+    return x if isinstance(x, str) else f"<{x[0]}>{' '.join(map(as_html, x[1]))}</{x[0]}>"
+
+
+def plain_content(body):
+    """The rules of the module's docstring, each number counted anew."""
+    nodes, parent = [], {}
+
+    def visit(n):
+        nodes.append(n)
+        for x in n[1]:
+            if not isinstance(x, str):
+                parent[id(x)] = n
+                visit(x)
+
+    visit(body)
+    inner = lambda n: [x for x in n[1] if not isinstance(x, str)]
+    chars = lambda n: sum(len(x) if isinstance(x, str) else chars(x) for x in n[1])
+    tags = lambda n: sum(1 + tags(x) for x in inner(n))
+    link_chars = lambda n: chars(n) if n[0] == "a" else sum(map(link_chars, inner(n)))
+    link_tags = lambda n: tags(n) + 1 if n[0] == "a" else sum(map(link_tags, inner(n)))
+    share = link_chars(body) / chars(body) if chars(body) else 0
+
+    def dense_text(c, t, lc, lt):
+        base = math.log(c * lc / max(c - lc, 1) + share * c + math.e)
+        return c / max(t, 1) * max(math.log(c * max(t, 1) / (max(lc, 1) * max(lt, 1))), 0) / base
+
+    density = lambda n: dense_text(chars(n), tags(n), link_chars(n), link_tags(n)) if chars(n) else 0.0
+    total = lambda n: sum(map(density, inner(n))) if any(map(density, inner(n))) else density(n)
+    centre = max(nodes, key=total)
+    path = [centre]
+    while id(path[-1]) in parent:
+        path.append(parent[id(path[-1])])
+    threshold = min(map(density, path))
+    containers = ("article", "section", "div", "body")
+    articles = [n for n in path if n[0] == "article"]
+    at = path.index(articles[-1]) if articles else next(k for k, n in enumerate(path) if n[0] in containers)
+    for k in range(1, len(path)):
+        gains = [x for x in path[k][1] if x is not path[k - 1]]
+        ok = lambda x: dense_text(len(x), 0, 0, 0) >= threshold if isinstance(x, str) else density(x) >= threshold or x[0] == "article" and chars(x) >= max(1, 2 * link_chars(x))
+        if path[k][0] in containers and threshold > 0 and any(map(ok, gains)):
+            at = max(at, k)
+    region = path[at]
+    gone = []
+
+    def links(n):
+        if n is not region and n[0] in ("p", "ul", "li", "div", "section", "article") and link_tags(n) >= 3 and 3 * link_chars(n) >= 2 * chars(n) and density(n) < threshold:
+            gone.append(n)
+        else:
+            for x in inner(n):
+                links(x)
+
+    links(region)
+    if chars(region) <= sum(map(chars, gone)):
+        gone = []
+    lines, here = [], []
+
+    def write(n):
+        if any(n is g for g in gone):
+            return
+        edge = n[0] not in ("a", "b")
+        if edge:
+            lines.append(" ".join(here))
+            here.clear()
+        for x in n[1]:
+            if isinstance(x, str):
+                here.append(x)
+            else:
+                write(x)
+        if edge:
+            lines.append(" ".join(here))
+            here.clear()
+
+    write(region)
+    return "\n".join(x for x in lines if x)
+
+
+def test_main_text_against_a_plain_version():
+    r = random.Random(21)
+    shorter = 0
+    for _ in range(400):
+        tree = random_tree(r)
+        want = plain_content(tree)
+        assert htmltext.main_text(f"<html>{as_html(tree)}</html>") == want
+        shorter += len(want) < len(re.sub("<[^>]*>", "", as_html(tree)).strip()) * 0.8
+    assert 40 < shorter < 360  # the choice matters
+
+
 def test_html_on_odd_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>"), (4, "u", "plain &lt;b"), (5, "u", "<" * 50), (5, "u", "<" * 50), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<article></article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("old"))
