@@ -3,32 +3,42 @@ their methods, for small tables."""
 
 from __future__ import annotations
 
-REPEATED_STRINGS = r"""
+def repeated_strings(size: int = 400, short: int = 300) -> str:
+    """Every string of either size by its digest. Texts are hexadecimal, cut into parts, as a
+    string's place is found from the start of what it is in."""
+
+    def covered(name: str, n: int) -> str:
+        return f"""
+        {name}_windows AS (
+            SELECT r, b + j AS i, md5(substr(s, 2 * j + 1, {2 * n})) AS k
+            FROM (SELECT r, b, substr(h, 2 * b + 1, {2 * (999 + n)}) AS s, unnest(range(0, least(1000, n - {n - 1} - b))) AS j FROM (SELECT r, n, h, unnest(range(0, greatest(n - {n - 1}, 0), 1000)) AS b FROM sized))
+        ), {name}_hits AS (
+            SELECT r, i FROM {name}_windows WHERE k IN (SELECT k FROM {name}_windows GROUP BY k HAVING count(*) > 1)
+        ), {name}_runs AS (
+            SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, coalesce((i > lag(i) OVER (PARTITION BY r ORDER BY i) + {n})::INTEGER, 1) AS new FROM {name}_hits)
+        ), {name} AS (
+            SELECT r, min(i) AS a, max(i) + {n} AS e FROM {name}_runs GROUP BY r, run
+        )"""
+
+    return f"""
         WITH texts AS (
             SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
         ), sized AS (
             SELECT *, length(h) // 2 AS n FROM texts
-        ), parts AS (
-            SELECT r, n, b, substr(h, 2 * b + 1, 2798) AS s FROM (SELECT r, n, h, unnest(range(0, greatest(n - 399, 0), 1000)) AS b FROM sized)
-        ), windows AS (
-            SELECT r, b + j AS i, md5(substr(s, 2 * j + 1, 800)) AS k FROM (SELECT r, b, s, unnest(range(0, least(1000, n - 399 - b))) AS j FROM parts)
-        ), hits AS (
-            SELECT r, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)
-        ), runs AS (
-            SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, coalesce((i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400)::INTEGER, 1) AS new FROM hits)
-        ), spans AS (
-            SELECT r, min(i) AS a, max(i) + 400 AS e FROM runs GROUP BY r, run
-        ), kept AS (
+        ), {covered("spans", size)}, {covered("shared", short)}, kept AS (
             SELECT r, a AS e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS a FROM (SELECT r, a, e FROM spans UNION ALL SELECT r, n, n FROM sized)
         ), joined AS (
             SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (e - a)), '' ORDER BY a) AS h FROM kept JOIN sized USING (r) GROUP BY r
         ), counts AS (
             SELECT r, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+        ), also AS (
+            SELECT r, sum(e - a)::BIGINT AS n_shared FROM shared GROUP BY r
         )
-        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(joined.h)) AS kept_sha256
-        FROM sized JOIN joined USING (r) LEFT JOIN counts USING (r)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(joined.h)) AS kept_sha256, coalesce(n_shared, 0) AS n_shared
+        FROM sized JOIN joined USING (r) LEFT JOIN counts USING (r) LEFT JOIN also USING (r)
 """
 
+
 #: The multipliers of XXH64.
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 _ALL = 1 << 64

@@ -80,7 +80,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": licenses.sql(),
-    "op5_suffix_dedup": oracles.REPEATED_STRINGS,
+    "op5_suffix_dedup": oracles.repeated_strings(),
     "op9_simhash": oracles.near_duplicates(),
     "op7_substring_dedup": r"""
         WITH texts AS (

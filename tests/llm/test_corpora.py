@@ -35,7 +35,7 @@ def corpus():
     for _ in range(12):
         k = r.randrange(len(near))
         rows.append(" ".join([*near[:k], "new", *near[k + 1 :]]))
-    rows += ["la " * 700, "la " * 50, f"{passage} {prose(r, 5)} {passage}", "é" * 300, "", None, " ", "\t\n", "a b", "b a", "a  b", "x" * 399, "x" * 400, "x" * 399]
+    rows += [f"{prose(r, 9)} {passage[:350]} {prose(r, 9)}", f"{prose(r, 7)} {passage[50:399]}", f"{passage[:310]}", "la " * 700, "la " * 50, f"{passage} {prose(r, 5)} {passage}", "é" * 300, "", None, " ", "\t\n", "a b", "b a", "a  b", "x" * 399, "x" * 400, "x" * 399]
     r.shuffle(rows)
     ids = list(range(100, 100 + len(rows)))
     rows, ids = rows + [rows[0], rows[3], "no id", "no id", None], ids + [ids[0], ids[3], None, None, None]
@@ -173,7 +173,8 @@ def plain_repeats(rows, size=400):
 
 @pytest.mark.parametrize("args", [{}, {"chunk_bytes": 3000, "hot": 1, "shard_bytes": 2000}, {"chunk_bytes": 3000, "hot": 3, "shard_bytes": 9000}])
 def test_suffixes(docs, args):
-    same(suffixes.remove_repeats(docs, **args).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), [x[:5] for x in plain_repeats(corpus())])
+    got = suffixes.remove_repeats(docs, **args).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
+    same(got.collect(), [(*x[:5], y[2]) for x, y in zip(plain_repeats(corpus()), plain_repeats(corpus(), suffixes.SHORT))])
 
 
 def test_long_documents_are_cut_into_blocks(spark, monkeypatch):
@@ -185,11 +186,12 @@ def test_long_documents_are_cut_into_blocks(spark, monkeypatch):
     for part in suffixes._Chunk(chunk).pieces():
         for p, (row, start, windows) in enumerate(zip(part.row.tolist(), part.start.tolist(), part.windows.tolist())):
             whole = chunk.column("text")[row].as_py().encode()
-            assert part.data(p) == whole[start : start + windows + 399]
+            assert part.data(p) == whole[start : start + windows + 399]  # cut off at the document's end
+            assert part.whole[p] == max(0, len(part.data(p)) - 399)
             for k in range(windows):
                 assert (row, start + k) not in seen
                 seen[row, start + k] = True
-    assert len(seen) == sum(len(t) - 399 for t in chunk.column("text").to_pylist())
+    assert len(seen) == sum(len(t) - suffixes.SHORT + 1 for t in chunk.column("text").to_pylist())
 
 
 def test_suffix_ranks_and_common_prefixes():
@@ -213,6 +215,20 @@ def test_suffix_ranks_and_common_prefixes():
         assert got[b] == n and (half[a] == half[b]) == (suffix[a][:32] == suffix[b][:32])
 
 
+def test_common_prefixes_of_ranks_by_a_bounded_depth():
+    """Pieces equal further than ranks tell, in the other order after that."""
+    r = random.Random(22)
+    base = bytes(r.randrange(97, 123) for _ in range(700))
+    pieces = [base[:k] + bytes([r.randrange(97, 123)]) + bytes(r.randrange(97, 123) for _ in range(20)) for k in (430, 520, 530, 560, 600, 640, 660) for _ in range(4)]
+    r.shuffle(pieces)
+    windows = np.array([len(p) - suffixes.SHORT + 1 for p in pieces])
+    at, twice, text = suffixes._repeats(pieces, windows)
+    starts = [(k, s) for k, p in enumerate(pieces) for s in range(len(p) - suffixes.SHORT + 1)]
+    for size in (suffixes.SHORT, 400):
+        seen = Counter(pieces[k][s : s + size] for k, s in starts if s + size <= len(pieces[k]))
+        assert twice[size].tolist() == [s + size <= len(pieces[k]) and seen[pieces[k][s : s + size]] > 1 for k, s in starts]
+
+
 def plain_windows(rows, size=13):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     big = chunks.NO_ID
@@ -245,6 +261,15 @@ def test_empty_tables(docs):
     assert suffixes.remove_repeats(none).count() == substrings.deduplicate(none).count() == simhash.near_duplicates(none).count() == 0
 
 
+def test_chunks_grow_with_the_corpus():
+    sizes = [chunks.chunk_size(10**n) for n in range(6, 15)]
+    assert sizes == sorted(sizes) and sizes[0] == chunks.CHUNK_BYTES and sizes[-1] == chunks.MOST_CHUNK_BYTES
+    assert chunks.buckets(0) == 1 and all(0.99 * (1 << 20) <= 10**n / chunks.buckets(10**n) <= 1 << 22 for n in range(9, 15))
+    # A chunk's list for a bucket, at one entry for 100 bytes.
+    for total in (10**9, 10**11, 10**13):
+        assert chunks.chunk_size(total) / 100 / chunks.buckets(total / 100) > 5
+
+
 def test_packed_lists():
     for a in ([], [5], [0, 2**64 - 1, 3], list(range(1000))):
         assert chunks.unpack(chunks.pack(np.array(a, np.uint64))).tolist() == a
