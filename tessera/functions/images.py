@@ -9,12 +9,15 @@ augmentation in numpy over Arrow batches.
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -57,6 +60,97 @@ def condensed_formula(seed: int, key: Column) -> Column:
     return out
 
 
+def png(pixels: bytes, width: int, height: int, channels: int = 1) -> bytes:
+    """A PNG of grey (1 channel) or colour (3) bytes."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = np.frombuffer(pixels, np.uint8).reshape(height, width * channels)
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(np.pad(rows, ((0, 0), (1, 0))).tobytes())) + chunk(b"IEND", b"")
+
+
+def _unfiltered(data: bytes, height: int, stride: int, step: int) -> np.ndarray:
+    """A PNG's lines without their filters; ``step``: bytes of a pixel."""
+    lines = np.frombuffer(data, np.uint8).reshape(height, stride + 1)
+    out = np.zeros((height + 1, stride), np.uint8)
+    for y, line in enumerate(lines):
+        kind, own, above = int(line[0]), line[1:], out[y]
+        if kind == 0:
+            out[y + 1] = own
+        elif kind == 1:
+            for c in range(step):
+                out[y + 1, c::step] = np.cumsum(own[c::step], dtype=np.uint64)
+        elif kind == 2:
+            out[y + 1] = own + above
+        elif kind in (3, 4):
+            row, up, raw = [0] * stride, above.tolist(), own.tolist()
+            for x in range(stride):
+                a, b, c = row[x - step] if x >= step else 0, up[x], up[x - step] if x >= step else 0
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:  # the one of left, above and above left that is nearest to a + b - c
+                    guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+                row[x] = raw[x] + guess & 255
+            out[y + 1] = row
+        else:
+            raise ValueError(f"filter {kind} of a PNG")
+    return out[1:]
+
+
+def decoded_png(data: bytes) -> tuple[int, int, bytes]:
+    """Width, height and colour bytes (three for each pixel) of a PNG that isn't interlaced, of 1
+    to 8 bits for each part; what is transparent keeps its colour."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, body, palette, head = 8, b"", None, None
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body += part
+        at += size + 12
+    width, height, bits, colour, _, _, interlaced = head
+    if bits > 8 or interlaced:
+        raise ValueError("a PNG of over 8 bits or interlaced")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    lines = _unfiltered(zlib.decompress(body), height, -(-width * channels * bits // 8), max(1, channels * bits // 8))
+    if bits < 8:
+        each = np.unpackbits(lines, axis=1).reshape(height, -1, bits)
+        lines = (each * (1 << np.arange(bits)[::-1])).sum(axis=2)[:, : width * channels]
+        lines = lines if colour == 3 else lines * 255 // ((1 << bits) - 1)
+    pixels = lines.reshape(height, width, channels)
+    pixels = palette[pixels[..., 0]] if colour == 3 else pixels[..., :3] if channels >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
+    return width, height, pixels.astype(np.uint8).tobytes()
+
+
+def decoded(images: DataFrame, image: str) -> DataFrame:
+    """``images`` with ``width``, ``height`` and colour bytes ``pixels`` of their PNG bytes. What
+    is none is an error; other formats need an imaging library."""
+    schema = T.StructType([*images.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())])
+
+    def run(batches):
+        for pdf in batches:
+            found = [decoded_png(bytes(x)) for x in pdf[image]]
+            width, height, pixels = zip(*found) if found else ((), (), ())
+            yield pdf.assign(width=pd.Series(width, pdf.index, dtype="int32"), height=pd.Series(height, pdf.index, dtype="int32"), pixels=pd.Series(pixels, pdf.index, dtype=object))
+
+    return images.mapInPandas(run, schema)
+
+
+def encoded(images: DataFrame, pixels: str, width: str, height: str, name: str = "image", channels: int = 1) -> DataFrame:
+    """``images`` with PNG bytes of their ``pixels``."""
+    schema = T.StructType([*images.schema.fields, T.StructField(name, T.BinaryType())])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(**{name: pd.Series([png(bytes(p), w, h, channels) for p, w, h in zip(pdf[pixels], pdf[width], pdf[height])], pdf.index, dtype=object)})
+
+    return images.mapInPandas(run, schema)
+
+
 def chosen_label(rendered: Column, given: Column, training: bool) -> Column:
     """Training learns what was drawn, validation what was asked for."""
     return rendered if training else given

@@ -396,6 +396,16 @@ def style_draws(spark, d):
     return table(spark, d, "part").select("p_partkey", (images.draw(5, key, 1) < style.blur).alias("blurred"), (images.draw(5, key, 2) < style.rotate).alias("rotated"), images.chosen_label(*names, training=True).alias("label"), images.chosen_label(*names, training=False).alias("held_label"))
 
 
+@query("SELECT item_id, octet_length(encode(text))::INTEGER AS width, 1 AS height, md5(text) AS grey, 3 * octet_length(encode(text)) AS n_bytes FROM benchmark")
+def image_round_trip(spark, d):
+    """Texts as rows of grey pixels, stored as PNGs and decoded."""
+    df = table(spark, d, "benchmark").select("item_id", F.encode("text", "utf-8").alias("grey"), F.octet_length("text").alias("w"), F.lit(1).alias("h"))
+    held = images.encoded(df, "grey", "w", "h").select("item_id", readers.stored_image(F.col("image")).alias("image"))
+    back = images.decoded(held, "image")
+    shade = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.hex(F.substring("pixels", 3 * k + 1, F.lit(1)))), "")
+    return back.select("item_id", "width", "height", F.md5(F.unhex(shade)).alias("grey"), F.octet_length("pixels").alias("n_bytes"))
+
+
 def _penalty_sql(relation: str, key: str, column: str) -> str:
     """Penalty by key: character runs by a window, leading units by list functions."""
     unit = lambda p: f"coalesce(nullif(list_position(list_transform(range(0, n // {p}), lambda i: substr(s, (i * {p} + 1)::BIGINT, {p}) = substr(s, 1, {p})), false), 0) - 1, n // {p})"

@@ -57,7 +57,8 @@ def records(df: DataFrame, most: int = 10_000) -> str:
 
 
 def json_file(spark: SparkSession, path: str, content) -> None:
-    """Settings or a few metrics as one JSON file, indented, by the path's own file system."""
+    """Settings or a few metrics as one JSON file, indented, by the path's own file system. A
+    reader of YAML reads it too."""
     body = content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)

@@ -1,15 +1,18 @@
 """Sources, sinks, settings and the log stream."""
 
 import json
+import struct
 import subprocess
 import sys
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.functions import images
 from tessera.plans import config
 from tessera.sources import readers, writers
 from tessera.streaming import logs
@@ -86,6 +89,42 @@ def test_blank_image_and_stored_images(spark):
             stored(none)
 
 
+def test_png_filters_and_depths():
+    r = np.random.default_rng(3)
+
+    def stored(lines, width, height, bits, colour, filters, step, extra=b""):
+        """A PNG whose lines are filtered by the kinds given."""
+        body, before = b"", np.zeros(lines.shape[1], int)
+        for y, line in enumerate(lines.astype(int)):
+            left = np.concatenate([np.zeros(step, int), line[:-step]])
+            corner = np.concatenate([np.zeros(step, int), before[:-step]])
+            p = left + before - corner
+            d = np.stack([abs(p - left), abs(p - before), abs(p - corner)])
+            paeth = np.choose(d.argmin(axis=0), [left, before, corner])
+            guess = [0, left, before, (left + before) // 2, paeth][filters[y]]
+            body += bytes([filters[y]]) + ((line - guess) % 256).astype(np.uint8).tobytes()
+            before = line
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc!"
+        data = zlib.compress(body)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0)) + extra + chunk(b"IDAT", data[:9]) + chunk(b"IDAT", data[9:]) + chunk(b"IEND", b"")
+
+    for colour, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        pixels = r.integers(0, 256, (5, 7, channels)).astype(np.uint8)
+        want = np.repeat(pixels[..., :1], 3, axis=2) if channels < 3 else pixels[..., :3]
+        assert images.decoded_png(stored(pixels.reshape(5, -1), 7, 5, 8, colour, [0, 1, 2, 3, 4], channels)) == (7, 5, want.tobytes())
+    palette = r.integers(0, 256, (4, 3)).astype(np.uint8)
+    extra = struct.pack(">I", 12) + b"PLTE" + palette.tobytes() + b"crc!"
+    of = r.integers(0, 4, (2, 5))
+    packed = np.packbits(np.pad(np.stack([of >> 1, of & 1], axis=2).reshape(2, -1), ((0, 0), (0, 6))).astype(np.uint8), axis=1)
+    assert images.decoded_png(stored(packed, 5, 2, 2, 3, [0, 0], 1, extra)) == (5, 2, palette[of].tobytes())
+    assert images.decoded_png(readers.blank_image(10, 3)) == (10, 3, b"\xff" * 90)
+    colours = bytes(range(60))
+    assert images.decoded_png(images.png(colours, 4, 5, 3)) == (4, 5, colours)
+    for bad in (b"x", readers.blank_image(1, 1).replace(b"\x01\x00\x00\x00\x00", b"\x10\x00\x00\x00\x00", 1)):
+        with pytest.raises(ValueError, match="PNG"):
+            images.decoded_png(bad)
+
+
 def test_union_skips_empty_tables(spark):
     a, b = spark.range(0), spark.range(2)
     assert readers.not_empty([a, a]) is None
@@ -239,8 +278,6 @@ def test_results_of_all_needs_every_result(spark):
 
 
 def test_augmentation_is_repeatable(spark):
-    from tessera.functions import images
-
     df = spark.createDataFrame([(k, bytearray(range(100)), 10, 10) for k in range(6)], "k int, pixels binary, width int, height int")
     style = images.Style(blur=1.0, noise=1.0, rotate=1.0)
     one, two = ({r.k: bytes(r.pixels) for r in images.augmented(d, "k", style, 3).collect()} for d in (df, df.repartition(3)))
