@@ -412,7 +412,7 @@ def _searched(docs: DataFrame, models: list[Model], text: str, held: T.StructFie
     sent = docs.sparkSession.sparkContext.broadcast(models)
     cache: dict = {}
     # What is known of an item is kept by its number in the benchmark until the last group.
-    before = "_leaks_before" if more else None
+    before = f"__{held.name}_before" if more else None
     if more:
         docs = docs.withColumnRenamed(held.name, before)
 

@@ -15,6 +15,8 @@ smallest doc_id of the chunk, and buckets answer with the smallest doc_id of all
 Windows are told apart by 64 bits and, independently, the bits that choose the bucket
 and 32 more.
 
+A task holds the texts of one chunk and about 15 bytes for each of their bytes.
+
 Defined results: null and empty texts have no words; a document never removes its own
 words, nor do rows of equal doc_id each other's; a null doc_id is larger than any other
 and never a source for another null; documents shorter than a window stay whole; extra

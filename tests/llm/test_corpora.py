@@ -301,6 +301,9 @@ def test_decontamination(spark):
         got = decontaminate.matches(docs, bench, rules=rules).toPandas()
         assert {(int(d), int(i)) for d, i in zip(got.doc_id, got.item_id)} == want
         assert Counter(got.doc_id)[0] == 2
+    # Recall of the search against comparing all texts with all items of 25 words or more.
+    all_pairs = plain_leaks([(d, t) for d, t in rows if t], [(i, t) for i, t in items if t and len(t.split()) >= 25])
+    assert len(all_pairs & want) >= 0.9 * len(all_pairs) and len(all_pairs) >= 20
     assert decontaminate.matches(docs, bench.limit(0)).count() == decontaminate.matches(docs.limit(0), bench).count() == 0
     flagged = decontaminate.flagged(docs.withColumn("LEAKS", F.lit(1)), bench)
     assert flagged.columns == ["doc_id", "text", "leaks"] and flagged.count() == len(rows)
