@@ -89,9 +89,22 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return alone.unionByName(copies)
 
 
-def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, single: bool = False) -> DataFrame:
     """The rows of ``docs`` that stay. Rows alike in doc_id and text are one document
-    and all stay."""
-    gone = exact_duplicates(docs, doc_id, text, block).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n_chars").distinct()
-    same = docs[doc_id].eqNullSafe(gone["_id"]) & (F.sha2(normalised(docs[text]), 256) == gone["_sha"]) & (F.length(F.coalesce(docs[text], F.lit(""))) == gone["n_chars"])
-    return docs.join(gone, same, "left_anti")
+    and all stay, or, if ``single``, one of them, whatever else they hold."""
+    facts = exact_duplicates(docs, doc_id, text, block)
+    keys = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")]
+
+    def of(rows: DataFrame, own: DataFrame) -> Column:
+        return rows[doc_id].eqNullSafe(own["_id"]) & (F.sha2(normalised(rows[text]), 256) == own["_sha"]) & (F.length(F.coalesce(rows[text], F.lit(""))) == own["_n"])
+
+    gone = facts.filter(~F.col("kept")).select(*keys).distinct()
+    left = docs.join(gone, of(docs, gone), "left_anti")
+    if not single:
+        return left
+    # Texts are only shuffled once more where rows repeat at all.
+    again = frames.stored(facts.filter("kept").select(*keys).groupBy("_id", "_sha", "_n").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, of(left, again), "left_anti")
+    return once.unionByName(left.join(again, of(left, again), "left_semi").dropDuplicates([doc_id, text]))
