@@ -44,8 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the longest and then first document stays; of rows alike in doc_id
     and text, one."""
-    kept = exact.without_copies(docs).withColumn(_own("sha256"), F.sha2("text", 256))
-    return kept.dropDuplicates(["doc_id", _own("sha256")]).select(*_columns(docs))
+    return exact.without_copies(docs, single=True).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
