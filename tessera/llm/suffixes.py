@@ -483,7 +483,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     work = work.withColumn("home", F.pmod(F.xxhash64("anchor", F.pmod("part", "shards")), F.lit(n)))
     # Sorting suffixes takes seconds for a megabyte, so shards aren't put together by their size.
     work = work.repartition(min(n, MOST_PARTITIONS), "home")
-    ranges = max(1, n // 16)
+    ranges = max(8, n // 4)
     found = frames.stored(work.groupBy("home").applyInArrow(lambda t: _in_shard(t, ranges), _FOUND))
     runs = known.unionByName(found.filter("range is null").select(*known.columns))
     if several:
