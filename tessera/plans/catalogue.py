@@ -279,9 +279,10 @@ def next_valid_circular(spark, d):
     found AS (SELECT asked.doc_id, arg_min(v, k) AS d FROM asked JOIN placed USING (ordinal) WHERE v IS NOT NULL GROUP BY asked.doc_id)
     SELECT doc_id, coalesce(v, d) AS replacement FROM placed LEFT JOIN found USING (doc_id)""")
 def random_replacement(spark, d):
+    """Few rows are valid here, so some draw none; a training would stop there (``strict``)."""
     rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     placed = ordering.ordinal(rows, "doc_id")
-    return ordering.random_replacement(placed, "doc_id", F.when(F.col("quality") == 1, F.col("doc_id")), 7).select("doc_id", "replacement")
+    return ordering.random_replacement(placed, "doc_id", F.when(F.col("quality") == 1, F.col("doc_id")), 7, strict=False).select("doc_id", "replacement")
 
 
 # --- joins -------------------------------------------------------------------------
