@@ -541,8 +541,8 @@ def canonical_success(spark, d):
     SELECT conv_id, turn, coalesce(nullif(p, ''), text) AS for_evaluation, coalesce(nullif(p, ''), '<empty>') AS for_reward FROM plain""")
 def canonical_forms(spark, d):
     """What stands for an invalid string: itself in evaluation, nothing in rewards."""
-    described = table(spark, d, "conversations").withColumn("d", BACKEND.described(F.col("text")))
-    return described.select("conv_id", "turn", molecules.canonical_for_evaluation(F.col("d")).alias("for_evaluation"), molecules.canonical_for_reward(F.col("d")).alias("for_reward"))
+    forms = text.bound(BACKEND.described(F.col("text")), lambda x: F.struct(molecules.canonical_for_evaluation(x).alias("for_evaluation"), molecules.canonical_for_reward(x).alias("for_reward")))
+    return table(spark, d, "conversations").select("conv_id", "turn", forms.alias("x")).select("conv_id", "turn", "x.*")
 
 
 @query("SELECT p_partkey, 'CC(=O)[' || p_size || '*][NH2]Cl' AS form FROM part")
