@@ -537,11 +537,11 @@ def canonical_success(spark, d):
 
 
 @query(rf"""
-    WITH plain AS (SELECT conv_id, turn, text, replace(trim(translate(text, '/\', ''), {_WS}), ' ', '') AS p FROM conversations)
+    WITH lines AS (SELECT conv_id, turn, {_REFT_SQL} AS text FROM conversations), plain AS (SELECT conv_id, turn, text, replace(trim(translate(text, '/\', ''), {_WS}), ' ', '') AS p FROM lines)
     SELECT conv_id, turn, coalesce(nullif(p, ''), text) AS for_evaluation, coalesce(nullif(p, ''), '<empty>') AS for_reward FROM plain""")
 def canonical_forms(spark, d):
     """What stands for an invalid string: itself in evaluation, nothing in rewards."""
-    forms = text.bound(BACKEND.described(F.col("text")), lambda x: F.struct(molecules.canonical_for_evaluation(x).alias("for_evaluation"), molecules.canonical_for_reward(x).alias("for_reward")))
+    forms = text.bound(BACKEND.described(text.candidate_first_line(F.col("text"), STOP)), lambda x: F.struct(molecules.canonical_for_evaluation(x).alias("for_evaluation"), molecules.canonical_for_reward(x).alias("for_reward")))
     return table(spark, d, "conversations").select("conv_id", "turn", forms.alias("x")).select("conv_id", "turn", "x.*")
 
 
