@@ -120,3 +120,127 @@ def near_duplicates(seed: int = 42, tau: int = 2) -> str:
         )
         SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM every JOIN named USING (fp)
 """
+
+
+def crc32(x: str) -> str:
+    """Of a text, where ``CRC`` is joined."""
+    number = f"list_transform(range(0, octet_length(encode({x}))), lambda k: ('0x' || substr(hex(encode({x})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {number}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+#: The 256 steps of crc32, by its polynomial.
+CRC = """crc AS (
+            SELECT list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b::BIGINT, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS steps
+        )"""
+
+
+def resampled(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: int = 2024) -> str:
+    """For features of one word."""
+    found = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH {CRC}, texts AS (
+            SELECT row_number() OVER () AS r, doc_id, {found} AS w FROM documents
+        ), own AS (
+            SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM texts) GROUP BY r, word
+        ), wanted AS (
+            SELECT word, count(*) AS n FROM (SELECT unnest({found}) AS word FROM benchmark) GROUP BY word
+        ), hashed AS (
+            SELECT word, ({crc32("word")} % {buckets})::BIGINT AS bucket FROM (SELECT word FROM own UNION SELECT word FROM wanted), crc
+        ), corpus AS (
+            SELECT bucket, sum(n) AS s FROM own JOIN hashed USING (word) GROUP BY bucket
+        ), target AS (
+            SELECT bucket, sum(n) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket
+        ), totals AS (
+            SELECT (SELECT coalesce(sum(s), 0) FROM corpus)::DOUBLE AS big_s, (SELECT coalesce(sum(t), 0) FROM target)::DOUBLE AS big_t
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (big_s + {buckets}) / ((s::DOUBLE + 1) * (big_t + {buckets})))) AS gain FROM corpus LEFT JOIN target USING (bucket), totals
+        ), weights AS (
+            SELECT r, sum(n) AS n, floor(sum(n * gain) / sum(n)) AS weight FROM own JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r
+        ), scores AS (
+            SELECT r, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+            FROM texts LEFT JOIN weights USING (r)
+        ), places AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS able FROM scores WHERE n_features >= {least_words}
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= {percent} * able // 100 THEN place END AS rank FROM scores LEFT JOIN places USING (r)
+"""
+
+
+def without_repeated_lines(least: int = 10) -> str:
+    return rf"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), each_line AS (
+            SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM texts
+        ), keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each_line
+        ), shared AS (
+            SELECT k, min(doc_id) AS least FROM keyed WHERE length(k) >= {least} GROUP BY k HAVING count(DISTINCT doc_id) > 1
+        )
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count_if(out)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT out), '')) AS kept_sha256
+        FROM (SELECT r, doc_id, i, line, coalesce(doc_id > least, false) AS out FROM keyed LEFT JOIN shared USING (k)) GROUP BY r
+"""
+
+
+def repaired() -> str:
+    """The cheapest edits by one step for each row: what is least after it for nothing read, a system
+    role, a user and an assistant read last."""
+    blank = r"[^\x20\x09-\x0D]"
+    worst = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+
+    def edit(state: str, cost: str, letter: str, row: str | None = None) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {f'list_append({state}.t, {row})' if row else state + '.t'}}}"
+
+    def least(*moves: str) -> str:
+        return f"list_sort([{', '.join(moves)}])[1]"
+
+    def when(test: str, move: str) -> str:
+        return f"CASE WHEN {test} THEN {move} ELSE {worst} END"
+
+    def read(initial: str, role: str, befores: list[str]) -> list[str]:
+        keep = [when(f"NOT gone AND initial = '{initial}'", edit(b, "cut", "K", "role || ':' || text")) for b in befores]
+        rename = [when("NOT gone", edit(b, "cut + 1", "R", f"'{role}:' || text")) for b in befores] if role else []
+        return keep + rename
+
+    return f"""
+        WITH RECURSIVE {CRC}, hurt AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations, crc
+        ), copies AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM (SELECT *, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) FROM hurt WHERE code > 0)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM copies
+        ), told AS (
+            SELECT *, substr(role, 1, 1) AS initial, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS follows,
+                CASE WHEN NOT regexp_matches(text, '{blank}') THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN regexp_extract(text, '({blank})[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+            FROM placed
+        ), counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+                count_if(follows IS NOT NULL AND initial || follows NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+            FROM told GROUP BY conv_id
+        ), steps AS (
+            SELECT conv_id, i, role, text, initial, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cut FROM told
+        ), parsed AS (
+            SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS e, {worst} AS s, {{'c': 5, 'a': 'I', 't': ['user:']}} AS u, {{'c': 10, 'a': 'II', 't': ['user:', 'assistant:']}} AS x FROM counts
+            UNION ALL
+            SELECT conv_id, i, e, s, u, {least("x", edit("u", "5", "I", "'assistant:'"))} AS x
+            FROM (
+                SELECT conv_id, i, e, s, {least("u", *(edit(b, "5", "I", "'user:'") for b in ("e", "s", "x")))} AS u, x
+                FROM (
+                    SELECT conv_id, steps.i, {edit("e", "2", "D")} AS e, {least(edit("s", "2", "D"), *read("s", "", ["e"]))} AS s,
+                        {least(edit("u", "2", "D"), *read("u", "user", ["e", "s", "x"]))} AS u, {least(edit("x", "2", "D"), *read("a", "assistant", ["u"]))} AS x
+                    FROM parsed JOIN steps USING (conv_id) WHERE steps.i = parsed.i + 1
+                )
+            )
+        ), ends AS (
+            SELECT conv_id, {least("e", "x")} AS b FROM parsed JOIN counts USING (conv_id) WHERE i = n
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+            coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id)
+"""

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, exact, htmltext, licenses, oracles, sentencepiece_fst, simhash, substrings, suffixes
+from tessera.llm import classify, conversations, decontaminate, exact, htmltext, licenses, linededup, oracles, resample, sentencepiece_fst, simhash, substrings, suffixes
 from tessera.llm.frames import table
 
 #: A public tokenizer's model file; a parameter of the operator.
@@ -65,6 +65,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -76,12 +88,18 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_resampling": op12_resampling,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": licenses.sql(),
     "op5_suffix_dedup": oracles.repeated_strings(),
     "op9_simhash": oracles.near_duplicates(),
+    "op11_conversation_repair": oracles.repaired(),
+    "op12_resampling": oracles.resampled(),
+    "op13_line_dedup": oracles.without_repeated_lines(),
     "op7_substring_dedup": r"""
         WITH texts AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
