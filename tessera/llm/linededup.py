@@ -20,7 +20,7 @@ An index of the documents inserted so far has three tables:
 Deleting documents takes their references away, counts what is left of the keys they held,
 and deletes fingerprints of keys that nobody holds any more; lines that were dropped
 for their sake stay from then on. A shard's task holds one filter, which grows by further
-tables, and the lists sent to it.
+tables until it is rebuilt, and the lists sent to it.
 
 Defined results: null and empty texts are one empty line; documents are told apart by doc_id, so rows
 that repeat one lose nothing to each other; rows without doc_id count together as one document
@@ -59,8 +59,9 @@ COUNTS = "hi long, lo long, n long, least long, most long"
 
 class Cuckoo:
     """A cuckoo filter of 64-bit hashes: buckets of four 16-bit fingerprints, two buckets a hash,
-    inserted and deleted many at a time. A table that is full is followed by another,
-    twice as large."""
+    inserted and deleted many at a time. A table that is full is followed by another of its
+    size: two hashes that look alike to one table must do so to all, else deleting one could take the other's
+    fingerprint."""
 
     SLOTS, FILL, KICKS = 4, 0.8, 64
 
@@ -101,10 +102,14 @@ class Cuckoo:
             out |= (table[a] == prints[:, None]).any(1) | (table[b] == prints[:, None]).any(1)
         return out
 
+    def _grow(self, n: int) -> None:
+        size = len(self.tables[0]) if self.tables else 1 << (max(int(n / self.FILL / self.SLOTS), 16) - 1).bit_length()
+        self.tables.append(np.zeros((size, self.SLOTS), np.uint16))
+
     def reserve(self, n: int) -> None:
-        """Room for n more in one table."""
-        if n > (int(self.FILL * self.tables[-1].size) - np.count_nonzero(self.tables[-1]) if self.tables else 0):
-            self.tables.append(np.zeros((1 << (max(int(n / self.FILL / self.SLOTS), 16) - 1).bit_length(), self.SLOTS), np.uint16))
+        """Makes an empty filter's table large enough for n."""
+        if not self.tables:
+            self._grow(n)
 
     def insert(self, h: np.ndarray) -> None:
         """Distinct hashes, each with a fingerprint of its own even if another has the same."""
@@ -112,7 +117,7 @@ class Cuckoo:
             if self.tables:
                 h = self._into(self.tables[-1], h)
             if len(h):
-                self.reserve(max(len(h), self.tables[-1].size if self.tables else 0))
+                self._grow(len(h))
 
     def _into(self, table: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Fills the table as far as it can; returns the hashes for the next one. Fingerprints are
@@ -316,6 +321,13 @@ def insert(index: Index, docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return replace(index, references=every, filters=filters, counts=frames.stored(counts))
 
 
+def rebuilt(index: Index, shards: int) -> Index:
+    """The index with filters made anew from its references: one table each, in as many shards as are
+    wanted now. For an index that has outgrown the shards it began with."""
+    made = _inserted(_lists(index.references, shards), index.filters.limit(0))
+    return replace(index, filters=frames.stored(made.select("shard", "filter")), shards=shards)
+
+
 def delete(index: Index, doc_ids: DataFrame) -> Index:
     """Without the documents of these ids (the first column)."""
     gone = doc_ids.select(F.col(f"`{doc_ids.columns[0]}`").cast("long").alias("doc_id")).distinct()

@@ -265,6 +265,8 @@ def test_lines_inserted_and_taken_back(spark, tmp_path):
     less = linededup.delete(index, spark.createDataFrame([(g,) for g in gone] + [(99_999,), (None,)], "id long"))
     left = [x for x in rows if x[0] not in gone]
     assert result(linededup.apply(less, make(left))) == plain_lines(left)
+    wider = linededup.insert(linededup.rebuilt(linededup.delete(index, make(late).select("doc_id")), 7), make(late))
+    assert wider.shards == 7 and result(linededup.apply(wider, make(rows))) == plain_lines(rows)
     back = linededup.delete(index, make(late).select("doc_id"))
     assert result(linededup.apply(back, make(early))) == before
     again = linededup.insert(back, make(late))
