@@ -1,10 +1,8 @@
-"""Molecule strings: canonical forms and fingerprints from a chemistry backend.
+"""Molecule strings: canonical forms and fingerprints as columns.
 
-Canonical forms, validity and path fingerprints need a chemistry library.  ``RDKit``
-uses it inside an Arrow UDF and raises when it is missing; nothing stands in for it
-silently.  ``Surrogate`` is an explicit substitute for data that holds no molecules:
-valid means not empty, canonical means without white space, a fingerprint is the set of
-character 3-grams.  It exercises the reward algebra, not chemistry.
+``Graph`` reads strings with ``chemistry`` on Arrow batches, one call for all that a reward needs
+of a string; a worker keeps what it said of recent strings, as golds and completions repeat.
+Another chemistry can take its place by the same protocol.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring, text
+from tessera.functions import chemistry, text
 
 SCHEMA = "struct<text string, valid boolean, canonical string, fingerprint array<int>, achiral_valid boolean, achiral string, achiral_fingerprint array<int>>"
 
@@ -27,52 +25,14 @@ class Backend(Protocol):
         ...
 
 
-class Surrogate:
-    def described(self, c: Column) -> Column:
-        def of(given: Column, plain: Column, achiral: Column) -> Column:
-            return F.struct(
-                given.alias("text"),
-                (plain != "").alias("valid"),
-                F.when(plain != "", plain).alias("canonical"),
-                F.when(plain != "", scoring.character_grams(plain)).alias("fingerprint"),
-                (achiral != "").alias("achiral_valid"),
-                F.when(achiral != "", achiral).alias("achiral"),
-                F.when(achiral != "", scoring.character_grams(achiral)).alias("achiral_fingerprint"),
-            )
-
-        plain = lambda s: F.translate(text.strip(text.without_geometry(s)), " ", "")
-        return text.bound(F.coalesce(c, F.lit("")), lambda s: text.bound(plain(s), lambda p: text.bound(F.translate(p, "@", ""), lambda a: of(s, p, a))))
-
-
-class RDKit:
-    """One UDF call gives all that a reward needs of a string."""
-
-    def __init__(self):
-        try:
-            import rdkit  # noqa: F401
-        except ImportError as e:
-            raise ImportError("canonical molecules need the rdkit library; no substitute is used in its place") from e
+class Graph:
+    """Canonical forms by partition refinement, fingerprints by bond paths. A null counts as empty, an empty
+    string is invalid."""
 
     def described(self, c: Column) -> Column:
         @F.pandas_udf(SCHEMA)
         def describe(strings: pd.Series) -> pd.DataFrame:
-            from rdkit import Chem
-
-            def form(s: str, chiral: bool):
-                try:
-                    canonical = Chem.CanonSmiles(s.translate({47: None, 92: None}), useChiral=int(chiral)) if s else None
-                except Exception:  # the library raises plain exceptions for invalid strings
-                    canonical = None
-                return canonical
-
-            def bits(s: str | None):
-                mol = Chem.MolFromSmiles(s) if s else None
-                return None if mol is None else list(Chem.RDKFingerprint(mol).GetOnBits())
-
-            rows = []
-            for s in strings.fillna(""):
-                a, b = form(s, True), form(s, False)
-                rows.append((s, a is not None, a, bits(s), b is not None, b, bits(b)))
+            rows = [(s, *chemistry.described(s)) for s in strings.fillna("")]
             return pd.DataFrame(rows, columns=["text", "valid", "canonical", "fingerprint", "achiral_valid", "achiral", "achiral_fingerprint"])
 
         return describe(c)
@@ -100,6 +60,8 @@ ATOMS = r"(\[[^\]]+\]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|/|:|~
 
 
 def group_labels(c: Column) -> Column:
-    """Bracketed labels such as ``[R12]`` as numbered wild cards ``[12*]``."""
+    """Bracketed labels such as ``[R12]`` as numbered wild cards ``[12*]``, and other brackets
+    that hold no atom as ``*``."""
     atoms = F.regexp_extract_all(c, F.lit(ATOMS), 1)
-    return F.array_join(F.transform(atoms, lambda a: F.regexp_replace(a, r"^\[R([0-9]+)\]$", "[$1*]")), "")
+    named = lambda a: F.when(a.rlike(r"^\[R[0-9]+\]$"), F.regexp_replace(a, r"^\[R([0-9]+)\]$", "[$1*]")).when(a.startswith("[") & ~a.rlike(f"^{chemistry.BRACKET}$"), "*").otherwise(a)
+    return F.array_join(F.transform(atoms, named), "")

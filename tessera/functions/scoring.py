@@ -38,9 +38,9 @@ def character_grams(c: Column, n: int = 3) -> Column:
 
 
 def tanimoto(a: Column, b: Column) -> Column:
-    """Shared over all members of two sets; 0 if a set is null or both are empty."""
+    """Shared over all members of two sets; 0 if a set is null, 1 if both are empty."""
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(0.0))
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(1.0)))
 
 
 @dataclass(frozen=True)

@@ -19,8 +19,7 @@ from tessera.streaming import logs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: What stands for a chemistry library on data without molecules.
-BACKEND = molecules.Surrogate()
+BACKEND = molecules.Graph()
 STOP = "."
 #: On these texts rewards are small; this keeps most conversations.
 LEAST_REWARD = 0.02
@@ -452,45 +451,94 @@ def ground_truth_unwrap(spark, d):
 # --- rewards and curation ----------------------------------------------------------
 
 
-def _completions(spark, d):
-    """Assistant turns as completions; the gold is the conversation's first user turn."""
+def _replies(spark, d):
+    """Assistant turns; the gold is the conversation's first user turn."""
     conv = table(spark, d, "conversations")
     gold = conv.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"))
     return conv.filter("role = 'assistant'").join(gold, "conv_id").select("conv_id", "turn", "gold", "text")
 
 
-def _scored(spark, d, weights, clamp):
-    return curate.scored(_completions(spark, d), "gold", "text", BACKEND, weights, clamp, unannotated=0.5, stop=STOP)
+# Texts spell molecules: each word is an atom of a chain, by its length, and the chain's
+# middle becomes a carbon with fluorine in every other conversation. Such molecules are equal if
+# and only if their chains are, read either way, which SQL can tell without any chemistry.
 
 
-_RL_PRED_SQL = rf"coalesce(replace(list_filter(list_transform(string_split_regex(trim(text, {_WS}), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x, {_WS})), lambda x: x <> '')[1], ' ', ''), '')"
+def _atoms(c):
+    return F.array_join(F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.substring(F.lit("CONS"), F.length(w) % 4 + 1, F.lit(1))), "")
 
 
-def _completions_sql(pred: str) -> str:
-    return f"""
-    golds AS (SELECT conv_id, arg_min(text, turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id),
-    completions AS (SELECT conv_id, turn, gold, {pred} AS pred FROM conversations JOIN golds USING (conv_id) WHERE role = 'assistant'),
-    plain AS (SELECT conv_id, turn, pred, replace(trim(translate(gold, '/\\', ''), {_WS}), ' ', '') AS g, replace(trim(translate(pred, '/\\', ''), {_WS}), ' ', '') AS p FROM completions),
-    grams AS (SELECT *, {', '.join(f"list_distinct(list_transform(range(0, greatest(length({e}) - 3, 0) + 1), lambda i: substr({e}, (i + 1)::BIGINT, 3))) AS {n}" for n, e in (('gg', 'g'), ('pg', 'p'), ('ga', "replace(g, '@', '')"), ('pa', "replace(p, '@', '')")))} FROM plain),
-    parts AS (SELECT conv_id, turn, pred, (p <> '')::INTEGER::DOUBLE AS validity,
-        CASE WHEN g <> '' AND p <> '' THEN len(list_intersect(gg, pg))::DOUBLE / len(list_distinct(list_concat(gg, pg))) ELSE 0.0::DOUBLE END AS tanimoto,
-        (g <> '' AND p <> '' AND g = p)::INTEGER::DOUBLE AS canonical,
-        CASE WHEN replace(g, '@', '') <> '' AND replace(p, '@', '') <> '' THEN len(list_intersect(ga, pa))::DOUBLE / len(list_distinct(list_concat(ga, pa))) ELSE 0.0::DOUBLE END AS graph,
-        CASE WHEN contains(g, '@') THEN (g = p)::INTEGER::DOUBLE ELSE 0.5::DOUBLE END AS chiral FROM grams)"""
+def _chain(c, conv):
+    """(left, mark, right) of a text: the chain's sides and its middle."""
+    at = F.floor(F.length(c) / 2).cast("int")
+    split = (F.length(c) >= 3) & (conv % 2 == 0)
+    return F.struct(F.when(split, F.substring(c, F.lit(1), at)).otherwise(c).alias("left"), F.when(split, "[C@@H](F)").otherwise("").alias("mark"), F.when(split, F.substring(c, at + 2, F.length(c))).otherwise("").alias("right"))
+
+
+def _spelled(x):
+    return F.concat(x["left"], x["mark"], x["right"])
+
+
+def _completions(spark, d):
+    """Assistant turns that spell the gold from its other end, its mirror image, another molecule, an
+    open ring or a wrong valence."""
+    own = _replies(spark, d).withColumn("g", _chain(_atoms(F.col("gold")), F.col("conv_id"))).withColumn("p", _chain(_atoms(F.col("text")), F.col("conv_id")))
+    mirror = F.replace(F.col("g.mark"), F.lit("@@"), F.lit("@"))
+    kinds = [F.concat(F.reverse("g.right"), mirror, F.reverse("g.left")), F.concat("g.left", mirror, "g.right"), _spelled(F.col("p")), F.concat(_spelled(F.col("g")), F.lit("1")), F.concat(_spelled(F.col("g")), F.lit("CFC"))]
+    said = F.element_at(F.array(*kinds), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    return own.select("conv_id", "turn", _spelled(F.col("g")).alias("gold"), F.concat(F.lit(" "), said, F.lit("\n")).alias("text"))
+
+
+def _scored(spark, d, weights, clamp):
+    return curate.scored(_completions(spark, d), "gold", "text", BACKEND, weights, clamp, unannotated=0.5, stop=STOP)
 
 
-_COMPLETIONS_SQL = _completions_sql(_REFT_SQL)
+def _atoms_sql(c: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split({c}, ' '), lambda w: w <> ''), lambda w: substr('CONS', (length(w) % 4 + 1)::BIGINT, 1)), '')"
+
+
+def _chain_sql(atoms: str) -> str:
+    """Columns l, m and r of a relation with an atoms column and conv_id."""
+    split = f"(length({atoms}) >= 3 AND conv_id % 2 = 0)"
+    return f"CASE WHEN {split} THEN substr({atoms}, 1, length({atoms}) // 2) ELSE {atoms} END AS l, CASE WHEN {split} THEN '[C@@H](F)' ELSE '' END AS m, CASE WHEN {split} THEN substr({atoms}, length({atoms}) // 2 + 2) ELSE '' END AS r"
+
+
+def _key_sql(x: str) -> str:
+    """One string for a chain however it is read: its middle has a hand where its sides differ."""
+    x = f"{x}."
+    return f"""CASE WHEN {x}m = '' THEN least({x}l, reverse({x}l)) WHEN reverse({x}l) = {x}r THEN {x}l || 'f' || {x}r
+        ELSE least({x}l || (CASE WHEN contains({x}m, '@@') THEN 'a' ELSE 'b' END) || {x}r, reverse({x}r) || (CASE WHEN contains({x}m, '@@') THEN 'b' ELSE 'a' END) || reverse({x}l)) END"""
+
+
+_COMPLETIONS_SQL = f"""
+    golds AS (SELECT conv_id, {_chain_sql('atoms')} FROM (SELECT conv_id, {_atoms_sql("arg_min(text, turn)")} AS atoms FROM conversations WHERE role = 'user' GROUP BY conv_id)),
+    own AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS kind, {_chain_sql('atoms')} FROM (SELECT conv_id, turn, {_atoms_sql("text")} AS atoms FROM conversations WHERE role = 'assistant')),
+    matched AS (SELECT o.conv_id, o.turn, kind, g.l || g.m || g.r AS gold, {_key_sql('g')} AS gold_key, {_key_sql('o')} AS own_key, g.m <> '' AND reverse(g.l) <> g.r AS handed,
+        g.l AS gl, g.m <> '' AS gm, g.r AS gr, o.l AS ol, o.m <> '' AS om, o.r AS r,
+        CASE kind WHEN 0 THEN reverse(g.r) || replace(g.m, '@@', '@') || reverse(g.l) WHEN 1 THEN g.l || replace(g.m, '@@', '@') || g.r WHEN 2 THEN o.l || o.m || o.r WHEN 3 THEN g.l || g.m || g.r || '1' ELSE g.l || g.m || g.r || 'CFC' END AS pred
+        FROM own o JOIN golds g USING (conv_id)),
+    completions AS (SELECT conv_id, turn, pred, gold_key, own_key, handed, kind, gold <> '' AS gold_valid, kind < 3 AND pred <> '' AS pred_valid, gl, gm, gr,
+        CASE WHEN kind = 2 THEN ol ELSE gl END AS pl, CASE WHEN kind = 2 THEN om ELSE gm END AS pm, CASE WHEN kind = 2 THEN r ELSE gr END AS pr FROM matched),
+    chains AS (SELECT gl AS l, gm AS m, gr AS r FROM completions UNION SELECT pl, pm, pr FROM completions),
+    straight AS (SELECT l, m, r, CASE WHEN m THEN l || 'C' || r ELSE l END AS c FROM chains),
+    walks AS (
+        SELECT l, m, r, substr(c, i, k) AS w, length(c) - i + 1 >= k AS fits FROM (SELECT *, unnest(range(1, length(c))) AS i FROM straight), range(2, 9) AS s(k)
+        UNION ALL SELECT l, m, r, 'F' || substr('C' || r, 1, k), length(r) + 1 >= k FROM straight, range(1, 8) AS s(k) WHERE m
+        UNION ALL SELECT l, m, r, 'F' || substr('C' || reverse(l), 1, k), length(l) + 1 >= k FROM straight, range(1, 8) AS s(k) WHERE m),
+    digests AS (SELECT l, m, r, md5(least(w, reverse(w))) AS h FROM (SELECT DISTINCT l, m, r, array_to_string(string_split(w, ''), '-') AS w FROM walks WHERE fits)),
+    prints AS (SELECT l, m, r, list(DISTINCT b) AS bits FROM (SELECT l, m, r, unnest([('0x' || substr(h, 1, 4))::INTEGER % 2048, ('0x' || substr(h, 5, 4))::INTEGER % 2048]) AS b FROM digests) GROUP BY l, m, r),
+    alike AS (SELECT c.*, coalesce(g.bits, []::INTEGER[]) AS gb, coalesce(p.bits, []::INTEGER[]) AS pb FROM completions c
+        LEFT JOIN prints g ON c.gl = g.l AND c.gm = g.m AND c.gr = g.r LEFT JOIN prints p ON c.pl = p.l AND c.pm = p.m AND c.pr = p.r),
+    compared AS (SELECT *, CASE WHEN NOT gold_valid OR NOT pred_valid THEN 0.0::DOUBLE WHEN len(gb) + len(pb) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(gb, pb))::DOUBLE / len(list_distinct(list_concat(gb, pb))) END AS near,
+        gold_valid AND pred_valid AND CASE kind WHEN 0 THEN true WHEN 1 THEN NOT handed ELSE gold_key = own_key END AS same FROM alike),
+    parts AS (SELECT conv_id, turn, pred, pred_valid::INTEGER::DOUBLE AS validity, near AS tanimoto, same::INTEGER::DOUBLE AS canonical, near AS graph,
+        CASE WHEN gold_valid AND handed THEN same::INTEGER::DOUBLE ELSE 0.5::DOUBLE END AS chiral FROM compared)"""
 
 _REWARD_SQL = "({v}::DOUBLE * validity + {t}::DOUBLE * tanimoto + {c}::DOUBLE * canonical + {g}::DOUBLE * graph + {h}::DOUBLE * chiral - {r}::DOUBLE * penalty) / {s}::DOUBLE"
 _RL_SQL = _REWARD_SQL.format(v=0.5, t=2, c=3, g=2, h=1, r=2, s=8.5)
 _CURATION_SQL = _REWARD_SQL.format(v=0, t=1, c=8, g=2, h=1, r=2, s=12)
 
 
-def _scored_sql(completions: str) -> str:
-    return f"WITH {completions}, penalties AS ({_penalty_sql('completions', 'conv_id, turn', 'pred')}), scored AS (SELECT * FROM parts JOIN penalties USING (conv_id, turn))"
-
-
-_SCORED_SQL = _scored_sql(_COMPLETIONS_SQL)
+_SCORED_SQL = f"WITH {_COMPLETIONS_SQL}, penalties AS ({_penalty_sql('completions', 'conv_id, turn', 'pred')}), scored AS (SELECT * FROM parts JOIN penalties USING (conv_id, turn))"
 
 
 @query(f"{_SCORED_SQL} SELECT conv_id, turn, validity, tanimoto, canonical, graph, chiral, penalty AS repetition FROM scored")
@@ -503,7 +551,7 @@ def reward_rl(spark, d):
     return _scored(spark, d, scoring.RL_WEIGHTS, True).select("conv_id", "turn", "pred", "reward")
 
 
-@query(f"{_scored_sql(_completions_sql(_RL_PRED_SQL))} SELECT conv_id, turn, greatest(0.0::DOUBLE, {_RL_SQL}) AS score FROM scored")
+@query(f"{_SCORED_SQL} SELECT conv_id, turn, greatest(0.0::DOUBLE, {_RL_SQL}) AS score FROM scored")
 def compute_score(spark, d):
     """The trainer's reward function on records as it gets them."""
     truth = F.to_json(F.struct(F.lit("rule").alias("style"), F.col("gold").alias("ground_truth")))
@@ -522,32 +570,63 @@ def reward_reft(spark, d):
 
 
 @query(f"""
-    WITH {_COMPLETIONS_SQL} SELECT conv_id, turn, len(list_intersect(gg, pg))::INTEGER AS shared, len(list_distinct(list_concat(gg, pg)))::INTEGER AS either FROM grams""")
+    WITH golds AS (SELECT conv_id, arg_min(text, turn) AS gold FROM conversations WHERE role = 'user' GROUP BY conv_id),
+    completions AS (SELECT conv_id, turn, gold, {_REFT_SQL} AS pred FROM conversations JOIN golds USING (conv_id) WHERE role = 'assistant'),
+    plain AS (SELECT conv_id, turn, replace(trim(translate(gold, '/\\', ''), {_WS}), ' ', '') AS g, replace(trim(translate(pred, '/\\', ''), {_WS}), ' ', '') AS p FROM completions),
+    grams AS (SELECT *, {', '.join(f"list_distinct(list_transform(range(0, greatest(length({e}) - 3, 0) + 1), lambda i: substr({e}, (i + 1)::BIGINT, 3))) AS {n}" for n, e in (('gg', 'g'), ('pg', 'p')))} FROM plain)
+    SELECT conv_id, turn, len(list_intersect(gg, pg))::INTEGER AS shared, len(list_distinct(list_concat(gg, pg)))::INTEGER AS either FROM grams""")
 def tanimoto_sets(spark, d):
     plain = lambda c: F.translate(text.strip(text.without_geometry(c)), " ", "")
     g, p = (scoring.character_grams(plain(c)) for c in (F.col("gold"), text.candidate_first_line(F.col("text"), STOP)))
     sizes = text.bound(F.struct(g.alias("g"), p.alias("p")), lambda x: F.struct(F.size(F.array_intersect(x["g"], x["p"])).alias("shared"), F.size(F.array_union(x["g"], x["p"])).alias("either")))
-    return _completions(spark, d).select("conv_id", "turn", sizes.alias("x")).select("conv_id", "turn", "x.*")
+    return _replies(spark, d).select("conv_id", "turn", sizes.alias("x")).select("conv_id", "turn", "x.*")
 
 
-@query(f"""WITH {_COMPLETIONS_SQL} SELECT round(avg((p <> '')::INTEGER), 9) AS success, round(avg(CASE WHEN g <> '' AND p <> '' THEN len(list_intersect(gg, pg))::DOUBLE / len(list_distinct(list_concat(gg, pg))) ELSE 0.0::DOUBLE END), 9) AS tanimoto FROM grams""")
+@query(f"WITH {_COMPLETIONS_SQL} SELECT round(avg(validity), 9) AS success, round(avg(tanimoto), 9) AS tanimoto FROM parts")
 def canonical_success(spark, d):
     rows = _completions(spark, d).select(BACKEND.described(F.col("gold")).alias("g"), BACKEND.described(text.candidate_first_line(F.col("text"), STOP)).alias("p"))
     return rows.agg(F.round(metrics.success_rate(F.col("p.valid")), 9).alias("success"), F.round(F.avg(scoring.tanimoto(F.col("g.fingerprint"), F.col("p.fingerprint"))), 9).alias("tanimoto"))
 
 
-@query(rf"""
-    WITH lines AS (SELECT conv_id, turn, {_REFT_SQL} AS text FROM conversations), plain AS (SELECT conv_id, turn, text, replace(trim(translate(text, '/\', ''), {_WS}), ' ', '') AS p FROM lines)
-    SELECT conv_id, turn, coalesce(nullif(p, ''), text) AS for_evaluation, coalesce(nullif(p, ''), '<empty>') AS for_reward FROM plain""")
+@query(f"""
+    WITH chains AS (SELECT conv_id, turn, {_chain_sql('atoms')} FROM (SELECT conv_id, turn, {_atoms_sql("text")} AS atoms FROM conversations)),
+    keys AS (SELECT conv_id, turn, turn % 4 = 3 OR l = '' AS invalid, CASE WHEN turn % 4 = 3 THEN 'open ' || l || m || r ELSE {_key_sql('chains')} END AS k FROM chains)
+    SELECT conv_id, turn, count(*) OVER (PARTITION BY k) AS alike, invalid AS nothing FROM keys""")
 def canonical_forms(spark, d):
     """What stands for an invalid string: itself in evaluation, nothing in rewards."""
-    forms = text.bound(BACKEND.described(text.candidate_first_line(F.col("text"), STOP)), lambda x: F.struct(molecules.canonical_for_evaluation(x).alias("for_evaluation"), molecules.canonical_for_reward(x).alias("for_reward")))
-    return table(spark, d, "conversations").select("conv_id", "turn", forms.alias("x")).select("conv_id", "turn", "x.*")
+    given = F.concat(_spelled(F.col("x")), F.when(F.col("turn") % 4 == 3, "(").otherwise(""))
+    rows = table(spark, d, "conversations").withColumn("x", _chain(_atoms(F.col("text")), F.col("conv_id")))
+    forms = rows.select("conv_id", "turn", BACKEND.described(given).alias("x")).select("conv_id", "turn", molecules.canonical_for_evaluation(F.col("x")).alias("form"), (molecules.canonical_for_reward(F.col("x")) == text.EMPTY).alias("nothing"))
+    return forms.join(forms.groupBy("form").agg(F.count("*").alias("alike")), "form").select("conv_id", "turn", "alike", "nothing")
+
+
+_DIGITS_SQL = " || ".join(f"(p_partkey // {3**k} % 3)" for k in range(6))
+_TURNS_SQL = ", ".join(f"substr({x}, {k + 1}) || substr({x}, 1, {k})" for k in range(6) for x in ("w", "reverse(w)"))
+
+
+@query(f"""
+    WITH rings AS (SELECT p_partkey, {_DIGITS_SQL} AS w FROM part), keys AS (SELECT p_partkey, least({_TURNS_SQL}) AS k FROM rings)
+    SELECT p_partkey, true AS same, min(p_partkey) OVER (PARTITION BY k) AS first FROM keys""")
+def ring_spellings(spark, d):
+    """Six places of a benzene ring with fluorine, chlorine or nothing: written as aromatic, and with double bonds
+    from another place in the other direction. Rings are equal if turned or turned over."""
+    groups = F.array(F.lit(""), F.lit("(F)"), F.lit("(Cl)"))
+    at = [F.element_at(groups, (F.floor(F.col("p_partkey") / 3**k) % 3 + 1).cast("int")) for k in range(6)]
+    held = F.array(*at)
+    turned = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.element_at(held, ((F.col("p_partkey") + 5 - k) % 6 + 1).cast("int")))
+    aromatic = F.concat(F.lit("c1"), at[0], *[x for a in at[1:5] for x in (F.lit("c"), a)], F.lit("c1"), at[5])
+    kekule = F.concat(F.lit("C1"), turned[0], *[x for k in range(1, 5) for x in (F.lit("=C" if k % 2 else "C"), turned[k])], F.lit("=C1"), turned[5])
+    forms = table(spark, d, "part").select("p_partkey", BACKEND.described(aromatic)["canonical"].alias("a"), BACKEND.described(kekule)["canonical"].alias("b"))
+    return forms.join(forms.groupBy("a").agg(F.min("p_partkey").alias("first")), "a").select("p_partkey", (F.col("a") == F.col("b")).alias("same"), "first")
+
+
+_LABELS = {"[Ph]": "*", "[13CH3-]": "[13CH3-]", "[R]": "*", "[N+]": "[N+]", "[OMe]": "*", "[nH]": "[nH]", "[C@@H]": "[C@@H]", "[Xx2]": "*"}
 
 
-@query("SELECT p_partkey, 'CC(=O)[' || p_size || '*][NH2]Cl' AS form FROM part")
+@query(f"SELECT p_partkey, 'CC(=O)[' || p_size || '*]' || {list(_LABELS.values())}[p_partkey % {len(_LABELS)} + 1] || '[NH2]Cl' AS form FROM part")
 def group_labels(spark, d):
-    given = F.concat(F.lit("C/C(=O)[R"), F.col("p_size").cast("string"), F.lit("]\\[NH2]Cl"))
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % len(_LABELS) + 1).cast("int"))
+    given = F.concat(F.lit("C/C(=O)[R"), F.col("p_size").cast("string"), F.lit("]\\"), label, F.lit("[NH2]Cl"))
     return table(spark, d, "part").select("p_partkey", molecules.for_evaluation(given).alias("form"))
 
 

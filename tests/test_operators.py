@@ -115,7 +115,7 @@ def test_best_of_n_ties_and_order(spark):
 def test_compute_score(spark):
     rows = [("C C\n", '{"ground_truth": "CC"}'), ("", '{"ground_truth": "CC"}'), ("CC", "CC"), ("\nN", "CC"), ("CC", '{"x": 1}')]
     df = spark.createDataFrame(rows, "s string, t string")
-    score = curate.compute_score(None, F.col("s"), F.col("t"), backend=molecules.Surrogate())
+    score = curate.compute_score(None, F.col("s"), F.col("t"), backend=molecules.Graph())
     assert [round(r.x, 9) for r in df.select(score.alias("x")).collect()] == [round(7.5 / 8.5, 9), 0.0, round(7.5 / 8.5, 9), round(0.5 / 8.5, 9), round(0.5 / 8.5, 9)]
 
 
