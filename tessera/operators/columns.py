@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -16,7 +16,7 @@ IDENTIFIERS = {
     "evaluation": ["image_id", "Unnamed: 0"],
 }
 #: Endings tried, in order, where a file is missing; training tries each in
-#: upper case too, right after it.
+#: upper case too, right after it, but neither form of the ending that was asked for.
 ENDINGS = {
     "training": [".png", ".PNG", ".jpg", ".JPG", ".jpeg", ".JPEG", ".tif", ".TIF", ".tiff", ".TIFF", ".bmp", ".BMP", ".webp", ".WEBP"],
     "rl": [".png", ".jpg", ".jpeg", ".tif", ".bmp", ".webp"],
@@ -69,12 +69,17 @@ def full_path(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
-def resolved_files(df: DataFrame, path: str, manifest: DataFrame, endings: list[str], out: str = "resolved") -> DataFrame:
+def resolved_files(df: DataFrame, path: str, manifest: DataFrame, endings: list[str], out: str = "resolved", skip_own: bool = False) -> DataFrame:
     """``df`` with the file a path stands for: itself, else its stem with the first of
-    ``endings`` that the manifest (column ``path``) has, else null. One shuffle of the
+    ``endings`` that the manifest (column ``path``) has, else null; ``skip_own``: of
+    endings other than the path's own, in whatever case. One shuffle of the
     candidate paths; the manifest is never gathered."""
-    stem = F.regexp_replace(F.col(path), r"\.[^./]*$", "")
-    tries = F.array(F.col(path), *[F.concat(stem, F.lit(e)) for e in endings])
+    # A name that begins with its only dots has no ending.
+    stem = F.regexp_extract(F.col(path), r"(?s)^((?:.*/)?\.*(?:[^./][^/]*?)?)(?:\.[^./]*)?$", 1) if skip_own else F.regexp_replace(F.col(path), r"\.[^./]*$", "")
+    own = F.lower(F.substring(F.col(path), F.length(stem) + 1, F.length(F.col(path))))
+    others = F.array(*map(F.lit, endings))
+    others = F.filter(others, lambda e: F.lower(e) != own) if skip_own else others
+    tries = F.concat(F.array(F.col(path)), F.transform(others, lambda e: F.concat(stem, e)))
     wanted = df.select(path).distinct().select(path, F.posexplode(tries).alias("rank", "path"))
     found = wanted.join(manifest.select("path").distinct(), "path").groupBy(F.col(path).alias("_path")).agg(F.min_by("path", "rank").alias(out))
     return df.join(found, df[path] == found["_path"], "left").drop("_path")
@@ -85,6 +90,23 @@ def existing(df: DataFrame, path: str, manifest: DataFrame) -> DataFrame:
     return df.join(manifest.select(F.col("path").alias(path)), path, "left_semi")
 
 
+def counted(df: DataFrame, keep: Column, counters: dict[str, Column] | None = None, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """The rows to keep, and how many were found and skipped (and what ``counters`` add, flags
+    that are counted), known once an action has run over the rows: in that same pass."""
+    seen = Observation(name)
+    sums = [F.count_if(keep).alias("found"), F.count_if(~keep | keep.isNull()).alias("skipped")]
+    return df.observe(seen, *sums, *[F.count_if(c).alias(k) for k, c in (counters or {}).items()]).filter(keep), seen
+
+
+def existing_counted(df: DataFrame, path: str, manifest: DataFrame, by: dict[str, Column] | None = None, name: str = "files") -> tuple[DataFrame, Observation]:
+    """``existing``, and found and skipped rows, for each of the flags in ``by`` too."""
+    flagged = df.join(manifest.select(F.col("path").alias(path)).distinct().withColumn("_there", F.lit(True)), path, "left")
+    there = F.col("_there").isNotNull()
+    counters = {f"{k}_{kind}": c & flag for k, c in (by or {}).items() for kind, flag in (("found", there), ("skipped", ~there))}
+    rows, seen = counted(flagged, there, counters, name)
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns]), seen
+
+
 def missing(df: DataFrame, path: str, manifest: DataFrame) -> DataFrame:
     """Rows whose file has still to be made."""
     return df.join(manifest.select(F.col("path").alias(path)), path, "left_anti")

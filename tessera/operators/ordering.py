@@ -7,8 +7,11 @@ the counts before it, of which there are as many as partitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import session
 
@@ -49,6 +52,57 @@ def offsets(df: DataFrame, group: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").select(group, "n", (within + F.col("_before")).alias("first"))
 
 
+#: A histogram of keys has about 2**16 bins; a bin of this many rows isn't divided further.
+_SMALL_BIN, _LEVELS = 1 << 16, 4
+
+
+def _bins(df: DataFrame, key: str, level: int) -> Column:
+    """A number that grows with the key: by two bytes of a text (those of the level), else by
+    65,536 equal steps between the least and the largest value. A null, which sorts first, is -1."""
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        data = F.encode(key, "utf-8") if isinstance(kind, T.StringType) else F.col(key)
+        byte = lambda at: F.coalesce(F.conv(F.nullif(F.hex(F.substring(data, at, F.lit(1))), F.lit("")), 16, 10).cast("int"), F.lit(-1)) + 1
+        return F.when(F.col(key).isNull(), -1).otherwise(byte(2 * level + 1) * 257 + byte(2 * level + 2))
+    number = F.unix_micros(F.col(key).cast("timestamp")) if isinstance(kind, (T.DateType, T.TimestampType)) else F.col(key)
+    number = number.cast("double")
+    plain = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    low, high = df.agg(F.min(plain), F.max(plain)).first()
+    if low is None or low == high:
+        step = F.when(number > F.lit(low), 2).when(number < F.lit(low), 0).otherwise(1) if low is not None else F.when(number > 0, 2).otherwise(0)
+    else:
+        # Infinities and NaN, which sorts last, lie outside.
+        step = F.when(F.isnan(number) | (number > high), 65537).when(number < low, 0).otherwise(F.floor((number - low) / (high - low) * 65535) + 1)
+    return F.when(F.col(key).isNull(), -1).otherwise(step.cast("int"))
+
+
+def first_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first ``n`` rows by ``keys``, in no order. No task gets n rows: counts by bins of the first
+    key tell which bin the n-th row is in; rows of lower bins are taken as they are, and only
+    that bin, divided further while it is large, is sorted by ranges. The driver gets the bins' counts."""
+    if n <= 0:
+        return df.limit(0)
+    here, taken = df, []
+    for level in range(_LEVELS):
+        bins = _bins(here, keys[0], level)
+        counts = {r.b: r.n for r in here.select(bins.alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
+        at = None
+        for b in sorted(counts):
+            if counts[b] > n:
+                at = b
+                break
+            n -= counts[b]
+        if at is None:
+            return reduce(DataFrame.unionAll, [*taken, here])
+        taken.append(here.filter(bins < at))
+        here = here.filter(bins == at)
+        if not n or counts[at] <= _SMALL_BIN:
+            break
+    if n:
+        taken.append(ordinal(here, *keys, name="_place").filter(F.col("_place") < n).select(*[F.col(f"`{c}`") for c in df.columns]))
+    return reduce(DataFrame.unionAll, taken)
+
+
 def seeded(seed: int, *keys: Column) -> Column:
     """A key that shuffles rows the same way in every engine."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -73,8 +127,8 @@ def sample(df: DataFrame, n: int | None, seed: int, *keys: str, none_means_all:
         return df
     if n <= 0:
         raise ValueError("a sample needs a positive number of rows")
-    key = seeded(seed, *[F.col(k) for k in keys])
-    return df.orderBy(key, *keys).limit(n)
+    keyed = df.withColumn("_seeded", seeded(seed, *[F.col(k) for k in keys]))
+    return first_rows(keyed, n, "_seeded", *keys).orderBy("_seeded", *keys).drop("_seeded")
 
 
 def split(df: DataFrame, ratio: float, at_least: int, seed: int, *keys: str, enabled: bool = True) -> DataFrame:

@@ -21,8 +21,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 BACKEND = molecules.Graph()
 STOP = "."
-#: On these texts rewards are small; this keeps most conversations.
-LEAST_REWARD = 0.02
+LEAST_REWARD = 0.5
 
 
 def query(sql: str | None = None):
@@ -151,6 +150,38 @@ def manifest_semi(spark, d):
     return columns.existing(asked, "file", _manifest(spark, d)).select("doc_id")
 
 
+_TRAINING_MANIFEST_SQL = "SELECT 'a/' || doc_id || CASE doc_id % 6 WHEN 0 THEN '.PNG' WHEN 1 THEN '.png' WHEN 2 THEN '.jpg' WHEN 3 THEN '.TIF' WHEN 4 THEN '.gif' ELSE '.Png' END AS path FROM documents"
+
+
+@query(f"""
+    WITH manifest AS ({_TRAINING_MANIFEST_SQL}), asked AS (SELECT doc_id, 'a/' || doc_id || CASE WHEN quality = 1 THEN '.png' ELSE '.TIF' END AS file_path FROM labels),
+    tries AS (SELECT file_path, 0 AS rank, file_path AS path FROM asked
+        UNION ALL SELECT file_path, 2 * r + u, regexp_replace(file_path, '\\.[^.]*$', '') || CASE u WHEN 1 THEN upper(e) ELSE e END
+        FROM asked, (VALUES (1, '.png'), (2, '.jpg'), (3, '.jpeg'), (4, '.tif'), (5, '.tiff'), (6, '.bmp'), (7, '.webp')) AS x(r, e), (VALUES (0), (1)) AS y(u) WHERE e <> lower(regexp_extract(file_path, '(\\.[^.]*)$', 1))),
+    found AS (SELECT file_path, arg_min(path, rank) AS resolved FROM tries JOIN manifest USING (path) GROUP BY file_path)
+    SELECT doc_id, file_path, resolved FROM asked LEFT JOIN found USING (file_path)""")
+def path_resolve_training(spark, d):
+    """A missing file's other endings, but not its own in another case."""
+    ending = F.element_at(F.array(*map(F.lit, [".PNG", ".png", ".jpg", ".TIF", ".gif", ".Png"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    files = table(spark, d, "documents").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), ending).alias("path"))
+    asked = table(spark, d, "labels").select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.when(F.col("quality") == 1, ".png").otherwise(".TIF")).alias("file_path"))
+    return columns.resolved_files(asked, "file_path", files, columns.ENDINGS["training"], skip_own=True).select("doc_id", "file_path", "resolved")
+
+
+@query(f"""
+    WITH manifest AS ({_MANIFEST_SQL}), asked AS (SELECT quality, doc_id || '.png' IN (SELECT path FROM manifest) AS there FROM labels)
+    SELECT count_if(there)::BIGINT AS found, count_if(NOT there)::BIGINT AS skipped, count_if(there AND quality = 1)::BIGINT AS good_found, count_if(NOT there AND quality = 1)::BIGINT AS good_skipped,
+        count_if(there AND quality = 0)::BIGINT AS bad_found, count_if(NOT there AND quality = 0)::BIGINT AS bad_skipped, count_if(there)::BIGINT AS written FROM asked""")
+def filter_counters(spark, d):
+    """Found and skipped rows, counted while the found ones are written."""
+    path = _scratch(spark)
+    asked = table(spark, d, "labels").select("doc_id", "quality", F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("file"))
+    rows, seen = columns.existing_counted(asked, "file", _manifest(spark, d), {"good": F.col("quality") == 1, "bad": F.col("quality") == 0})
+    rows.write.parquet(path)
+    counts = F.create_map(*[x for k, v in seen.get.items() for x in (F.lit(k), F.lit(v))])
+    return spark.read.parquet(path).agg(F.count("*").alias("written")).select(*[counts[k].cast("bigint").alias(k) for k in seen.get], "written")
+
+
 @query(f"WITH manifest AS ({_MANIFEST_SQL}) SELECT doc_id FROM labels WHERE doc_id || '.png' NOT IN (SELECT path FROM manifest)")
 def manifest_anti(spark, d):
     asked = table(spark, d, "labels").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("file"))
@@ -171,6 +202,39 @@ def csv_chunks(spark, d):
     return spark.read.option("header", True).schema("c_custkey bigint, c_name string, chunk bigint").csv(path)
 
 
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END AS batch FROM supplier")
+def csv_stream_batches(spark, d):
+    """A stream's batches added to a table, the first one replayed, as after a failure."""
+    path = _scratch(spark)
+    own = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    halves = [own.filter(F.col("s_suppkey") % 2 == k) for k in (0, 1)]
+    for half in halves:
+        half.write.mode("append").parquet(f"{path}/in")
+        writers.append_batches(spark.readStream.schema(own.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    writers.csv_batch(halves[0], f"{path}/out", 0)
+    return spark.read.option("header", True).schema("s_suppkey bigint, s_name string, batch int").csv(f"{path}/out")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 'failed' ELSE 'ok' END AS first, CASE WHEN s_suppkey % 10 = 0 THEN 'failed' ELSE 'skipped_exists' END AS second,
+    CASE WHEN s_suppkey % 10 > 0 THEN md5(s_name) END AS grey FROM supplier""")
+def images_written_once(spark, d):
+    """Names as rows of grey pixels, written as PNGs by the tasks, twice, and read back."""
+    path = _scratch(spark)
+    tasks = table(spark, d, "supplier").select("s_suppkey", "s_name", F.concat(F.lit(f"{path}/images/"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("image_path"))
+
+    def draw(batch):
+        return [images.png(name.encode(), len(name.encode()), 1) if key % 10 else None for key, name in zip(batch["s_suppkey"], batch["s_name"])]
+
+    first = session.materialised(writers.rendered(tasks, tasks.select(F.col("image_path").alias("path")).limit(0), writers.saving(draw)))
+    named = F.concat(F.lit(f"{path}/images/"), F.substring_index("path", "/", -1))
+    second = session.materialised(writers.rendered(tasks, readers.manifest(spark, f"{path}/images").select(named.alias("path")), writers.saving(draw)))
+    back = images.decoded(readers.contents(spark, f"{path}/images"), "content")
+    shade = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.hex(F.substring("pixels", 3 * k + 1, F.lit(1)))), "")
+    pixels = back.select(named.alias("image_path"), F.md5(F.unhex(shade)).alias("grey"))
+    both = first.select("s_suppkey", "image_path", F.col("status").alias("first")).join(second.select("image_path", F.col("status").alias("second")), "image_path")
+    return both.join(pixels, "image_path", "left").select("s_suppkey", "first", "second", "grey")
+
+
 @query("SELECT o_orderkey, o_custkey % 10 = 0 AS held FROM orders")
 def split_tables(spark, d):
     path = _scratch(spark)
@@ -233,6 +297,13 @@ def training_sizes(spark, d):
     return out
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 5000")
+def first_by_value(spark, d):
+    """The first rows by a value, found by counts of its ranges."""
+    lines = table(spark, d, "lineitem").select("l_extendedprice", "l_orderkey", "l_linenumber")
+    return ordering.first_rows(lines, 5000, "l_extendedprice", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+
+
 @query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 64")
 def head_slice(spark, d):
     return readers.slice_of(table(spark, d, "documents").select("doc_id", "text"), 64, "doc_id")
@@ -773,7 +844,7 @@ def drop_timing_metrics(spark, d):
 def image_index_report(spark, d):
     tasks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_path"), "n_chars")
     done = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("path"))
-    return writers.export_report(writers.rendered(tasks, done, lambda row: row["n_chars"] > 500), "documents.csv", "documents_plain")
+    return writers.export_report(writers.rendered(tasks, done, lambda batch: batch["n_chars"] > 500), "documents.csv", "documents_plain")
 
 
 # --- records and tokens ------------------------------------------------------------
@@ -878,5 +949,21 @@ def reward_log_stream(spark, d):
     SELECT event_id, user_id, greatest(k - coalesce(max(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS advance
     FROM (SELECT event_id, user_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""")
 def running_step(spark, d):
-    lines = table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    return logs.advances(lines, "user_id", "event_id", "k").select("event_id", "user_id", "advance")
+    return logs.advances(_steps(spark, d), "user_id", "event_id", "k").select("event_id", "user_id", "advance")
+
+
+@query(ORACLE_SQL["running_step"])
+def running_step_stream(spark, d):
+    """The same from a stream that is stopped and started again twice; each start goes on from the state kept."""
+    path, lines = _scratch(spark), _steps(spark, d)
+    edges = lines.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    width = (edges.b - edges.a) // 3 + 1 if edges.a is not None else 1
+    for k in range(3):
+        lines.filter(F.floor((F.col("event_id") - (edges.a or 0)) / width) == k).write.mode("append").parquet(f"{path}/in")
+        stream = logs.advancing(spark.readStream.schema(lines.schema).parquet(f"{path}/in"), "user_id", "event_id", "k")
+        stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", "advance")
+
+
+def _steps(spark, d):
+    return table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))

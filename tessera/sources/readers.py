@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text
-from tessera.operators import columns
+from tessera.operators import columns, ordering
 
 
 def as_list(value) -> list:
@@ -111,4 +111,4 @@ def by_ending(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def slice_of(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """The first ``n`` rows in the order of ``keys``."""
-    return df.orderBy(*keys).limit(n)
+    return ordering.first_rows(df, n, *keys).orderBy(*keys)

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import posixpath
+import uuid
+from collections.abc import Callable, Iterable
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,17 @@ def csv_chunks(df: DataFrame, path: str, chunk: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).option("header", True).option("escape", '"').csv(path)
 
 
+def append_batches(stream: DataFrame, path: str, state: str, once: bool = True):
+    """Starts a stream that adds each of its batches to a CSV table. A batch is a folder named by its
+    number, written as a whole, so one that is replayed after a failure replaces itself."""
+    started = stream.writeStream.foreachBatch(lambda batch, number: csv_batch(batch, path, number)).option("checkpointLocation", state)
+    return (started.trigger(availableNow=True) if once else started).start()
+
+
+def csv_batch(batch: DataFrame, path: str, number: int) -> None:
+    batch.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/batch={number}")
+
+
 def only_file(spark: SparkSession, folder: str, path: str) -> None:
     """Moves the first part of a written table to a file of its own name, which other
     programs expect, and drops the folder; for tables of one part."""
@@ -78,8 +93,9 @@ def rl_rows(df: DataFrame, prompt: str, image: str, source: str, truth: str) ->
 
 def rendered(tasks: DataFrame, done: DataFrame, render=None, path: str = "image_path", prepare=None) -> DataFrame:
     """``tasks`` with a status: skipped_exists where the file is in the manifest ``done``;
-    else ``render(row) -> bool`` decides between ok and failed, on the executors.
-    ``prepare() -> render`` makes it there, once for each task, if it is costly to make."""
+    else ``render(batch)`` tells for each row of a pandas batch whether it is ok or failed, on the executors.
+    ``prepare() -> render`` makes it there, once for each task, if it is costly to make. ``saving``
+    makes a renderer that writes files. Store the result if it is used more than once."""
     have = done.select(F.col("path").alias(path)).distinct()
     skipped = tasks.join(have, path, "left_semi").withColumn("status", F.lit("skipped_exists"))
     todo = tasks.join(have, path, "left_anti")
@@ -87,12 +103,35 @@ def rendered(tasks: DataFrame, done: DataFrame, render=None, path: str = "image_
     def run(batches):
         draw = prepare() if prepare else render  # once for each task
         for pdf in batches:
-            yield pdf.assign(status=["ok" if draw(row) else "failed" for row in pdf.to_dict("records")])
+            yield pdf.assign(status=["ok" if made else "failed" for made in draw(pdf)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields) + ", status string"
     return skipped.select(*todo.columns, "status").unionByName(todo.mapInPandas(run, schema))
 
 
+def saving(draw: Callable[[pd.DataFrame], Iterable[bytes | None]], path: str = "image_path"):
+    """A renderer for ``rendered``: writes what ``draw`` makes of a batch's rows, an image's bytes or nothing, each to
+    its row's path on the file system that tasks share."""
+    return lambda batch: [data is not None and put_file(name, data) for name, data in zip(batch[path], draw(batch))]
+
+
+def put_file(path: str, data: bytes) -> bool:
+    """Writes a file under another name in its folder, then renames it, so it is there whole or not at all. A second
+    attempt of the same task, after a failure or at the same time, puts the same file there again."""
+    fs, at = pyarrow.fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pyarrow.fs.LocalFileSystem(), path)
+    folder, name = posixpath.split(at)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    try:
+        fs.move(part, at)
+    except OSError:  # some file systems don't rename onto a file
+        fs.delete_file(part)
+        return fs.get_file_info(at).type == pyarrow.fs.FileType.File
+    return True
+
+
 def made_once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, made and written only if its completion mark is missing.
     The mark is looked up with the path's own file system."""

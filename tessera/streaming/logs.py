@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Where a log line holds the step, the mean reward and the progress.
 STEP, REWARD, PROGRESS = r"\bstep:([0-9]+)", r"critic/rewards/mean:(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)", r"Training Progress:.*\|\s*([0-9]+)/([0-9]+)"
@@ -34,3 +40,25 @@ def advances(parsed_lines: DataFrame, run: str, order: str, step: str = "step")
     """Batch: per run, how far each line moves the largest step seen so far."""
     before = F.max(step).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return parsed_lines.withColumn("advance", F.greatest(F.col(step) - F.coalesce(before, F.lit(0)), F.lit(0)))
+
+
+def advancing(parsed_lines: DataFrame, run: str, order: str, step: str = "step") -> DataFrame:
+    """Stream: ``advances``, line by line, with each run's largest step as its state across triggers
+    and restarts. Lines of a run come in the order of their triggers, within one in that of ``order``; a
+    task holds the lines that one trigger brings of one run, which the source's limits of files or bytes for
+    each trigger bound. A line without step moves nothing."""
+    schema = T.StructType([*parsed_lines.schema.fields, T.StructField("advance", T.LongType())])
+
+    def move(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lines = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
+        steps = [None if pd.isna(s) else int(s) for s in lines[step]]
+        most = state.get[0] if state.exists else None
+        moved = np.zeros(len(steps), np.int64)
+        for k, s in enumerate(steps):
+            if s is not None:
+                moved[k] = max(s - (most or 0), 0)
+                most = s if most is None else max(most, s)
+        state.update((most,))
+        yield lines.assign(advance=moved)
+
+    return parsed_lines.groupBy(run).applyInPandasWithState(move, schema, "most long", "append", GroupStateTimeout.NoTimeout)

@@ -66,7 +66,7 @@ def test_sinks_replace_themselves(spark, tmp_path):
 def test_rendered(spark):
     tasks = spark.createDataFrame([("a", "CC"), ("b", ""), ("c", "C")], "image_path string, smiles string")
     done = spark.createDataFrame([("a",)], "path string")
-    got = {r.image_path: r.status for r in writers.rendered(tasks, done, lambda row: bool(row["smiles"])).collect()}
+    got = {r.image_path: r.status for r in writers.rendered(tasks, done, lambda batch: batch["smiles"] != "").collect()}
     assert got == {"a": "skipped_exists", "b": "failed", "c": "ok"}
 
 
@@ -160,7 +160,7 @@ def test_renderer_is_made_on_the_executors(spark):
 
     def prepare():
         made = ["renderer"]
-        return lambda row: bool(made and row["smiles"])
+        return lambda batch: [bool(made and s) for s in batch["smiles"]]
 
     assert {r.image_path: r.status for r in writers.rendered(tasks, done, prepare=prepare).collect()} == {"a": "ok", "b": "failed"}
 

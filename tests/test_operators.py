@@ -41,7 +41,14 @@ def test_resolved_files_prefers_the_path_itself(spark):
     both = spark.createDataFrame([("a.tif",), ("a.bmp",), ("b.JPG",), ("b.jpeg",)], "path string")
     asked = spark.createDataFrame([("a.gif",), ("b.gif",)], "file string")
     for kind, want in (("rl", {"a.gif": "a.tif", "b.gif": "b.jpeg"}), ("training", {"a.gif": "a.tif", "b.gif": "b.JPG"})):
-        assert {r.file: r.resolved for r in columns.resolved_files(asked, "file", both, columns.ENDINGS[kind]).collect()} == want
+        assert {r.file: r.resolved for r in columns.resolved_files(asked, "file", both, columns.ENDINGS[kind], skip_own=kind == "training").collect()} == want
+
+
+def test_training_passes_over_the_ending_asked_for(spark):
+    files = spark.createDataFrame([("a.PNG",), ("a.bmp",), ("b.JPG",), ("c.d/x.png",), (".png",), ("d/..e.tif",), ("f.png",)], "path string")
+    asked = {"a.png": "a.bmp", "a.PnG": "a.bmp", "b.jpg": None, "b.JPG": "b.JPG", "c.d/x": "c.d/x.png", "d/..e.gif": "d/..e.tif", "f.gif": "f.png", ".gif": None, "g": None}
+    got = columns.resolved_files(spark.createDataFrame([(a,) for a in asked], "file string"), "file", files, columns.ENDINGS["training"], skip_own=True)
+    assert {r.file: r.resolved for r in got.collect()} == asked
 
 
 def test_not_blank(spark):
