@@ -5,7 +5,10 @@ class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts
 styles, reader comments) are pruned; a header inside an article or main belongs to it. A class or id counts as a whole and by its parts, but a node
 is not pruned for it that holds the page's longest article or main element, or, by a mere
 part of a name ("has-sidebar"), any such element that is no list of links; nor one that
-holds most of the page's text outside links when no such element is elsewhere. Every remaining node gets a composite text
+holds most of the page's text outside links when no such element is elsewhere. Headers, footers, sidebars and
+forms that hold the longest article stay, as does a form that holds most of the text; an article named a card or
+teaser goes beside one that isn't. Reader comments are also told by their shape: elements of one kind that follow each other
+after a paragraph of the article, each with an author or a date. Every remaining node gets a composite text
 density: characters per tag, scaled down by the share of link characters and link
 tags. The node whose children's densities have the largest sum is the centre of the
 content; the smallest density on its path to the body is the threshold. The content
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,51 +47,63 @@ BLOCKS = {
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "#root", "blockquote", "center", "details"}
-DROPPED = {"head", "script", "style", "noscript", "template", "nav", "menu", "header", "footer", "aside", "form", "button", "select", "option", "textarea", "iframe", "object", "svg", "canvas", "audio", "video", "dialog", "title"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "alert", "alertdialog", "dialog", "note"}
+DROPPED = {"head", "script", "style", "noscript", "template", "nav", "menu", "button", "select", "option", "textarea", "iframe", "object", "svg", "canvas", "audio", "video", "dialog", "title"}
+#: Elements that go unless they hold the page's longest article; a form that holds most of the text stays too.
+FRAMES = {"header", "footer", "aside", "form"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "alert", "alertdialog", "dialog", "note"}
 NAMES = {
-    "ad", "ads", "adv", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "menu", "modal",
-    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promotion", "related", "respond", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
+    "ad", "ads", "adslot", "adv", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookiebar", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal",
+    "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pagination", "pager", "popup", "promo", "promotion", "reactions", "related", "replies", "respond", "responses", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
 #: Names of reader comments, which may be longer than the page's own text.
-COMMENTS = {"comment", "comments", "disqus", "respond"}
+COMMENTS = {"comment", "comments", "disqus", "reactions", "replies", "respond", "responses"}
+#: Names of articles that only point to others, and of what tells who wrote a comment and when.
+TEASERS = {"card", "teaser"}
+BYLINES = {"author", "avatar", "byline", "date", "posted", "time", "timestamp", "user", "username"}
 #: An element that starts ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_P_STOPS = CONTAINERS | {"li", "table", "th"}
 _P_ENDERS = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "pruned", "inside", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "kind", "parent", "parts", "pruned", "inside", "byline", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, pruned: bool):
+    def __init__(self, tag: str, parent: Node | None, pruned: bool, kind: str | None = None):
         self.tag, self.parent, self.pruned = tag, parent, pruned
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.kind = kind or tag  # main for what has that role
+        self.inside = parent is not None and (parent.inside or parent.kind in ("article", "main"))
+        self.byline = False  # whether it tells who wrote something or when
         self.parts: list[Node | str] = []
         self.names: set[str] | None = None  # whole names, of a node with a name of boilerplate
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    if tag in DROPPED and not (tag == "header" and inside):
+def _tokens(attrs: list[tuple[str, str | None]]) -> tuple[set[str], set[str]]:
+    """Class names and ids, whole and in parts."""
+    given = [v.lower() for k, v in attrs if k in ("class", "id") and v]
+    return {x for v in given for x in v.split()}, {x for v in given for x in re.split(r"[^a-z0-9]+", v)}
+
+
+def _boilerplate(tag: str, kind: str, attrs: list[tuple[str, str | None]], parts: set[str]) -> bool:
+    if tag in DROPPED:
         return True
-    if tag in ("html", "body", "main", "article"):
-        return any(k == "class" and v and {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", v.lower())) for k, v in attrs) and tag == "article"
-    for k, v in attrs:
-        if k == "hidden" or k == "role" and (v or "").lower() in ROLES:
-            return True
-    return False
+    if kind in ("html", "body", "main", "article"):
+        return kind == "article" and bool({"comment", "comments"} & parts)
+    return any(k == "hidden" or k == "role" and (v or "").lower() in ROLES for k, v in attrs)
 
 
-def _names(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> set[str] | None:
-    """The whole class names and ids, if they or parts of them are names of boilerplate."""
-    if tag in ("html", "body", "main", "article"):
+def _names(tag: str, kind: str, whole: set[str], parts: set[str], inside: bool) -> set[str] | None:
+    """The whole class names and ids, if they or parts of them are names of boilerplate, and an
+    element that is boilerplate by its kind."""
+    if kind == "article":
+        return TEASERS & whole or None
+    if kind in ("html", "body", "main"):
         return None
-    given = [v.lower() for k, v in attrs if k in ("class", "id") and v]
-    names = NAMES - {"header"} if inside else NAMES
-    if any(names & set(re.split(r"[^a-z0-9]+", v)) for v in given):
-        return {x for v in given for x in v.split()}
-    return None
+    if tag in FRAMES and not (tag == "header" and inside):
+        return whole | {tag}
+    return whole if (NAMES - {"header"} if inside else NAMES) & parts else None
 
 
 class _Tree(HTMLParser):
@@ -95,34 +111,39 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None, False)
         self.nodes = [self.root]  # parents before children
-        self.open = self.root
-
-    def _close_to(self, node: Node) -> None:
-        self.open = node.parent or self.root
-
-    def _find(self, tags: set[str], stop: set[str]) -> Node | None:
-        at = self.open
-        while at is not self.root:
-            if at.tag in tags:
-                return at
-            if at.tag in stop:
-                return None
-            at = at.parent
-        return None
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements, by tag
+
+    def _close_to(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _find(self, tags: set[str], stop: set[str]) -> int:
+        """The place of the innermost open element of these tags, unless one to stop at is further in; else 0."""
+        at = self._last(tags)
+        return at if at and at > self._last(stop) else 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in _P_ENDERS and (p := self._find({"p"}, CONTAINERS | {"li", "table", "th"})):
+        if tag in _P_ENDERS and (p := self._find({"p"}, _P_STOPS)):
             self._close_to(p)
         if tag in ENDS and (old := self._find(ENDS[tag], {"ul", "ol", "dl", "table", "select"})):
             self._close_to(old)
-        node = Node(tag, self.open, self.open.pruned)
-        node.pruned = node.pruned or _boilerplate(tag, attrs, node.inside)
+        parent = self.open[-1]
+        kind = "main" if any(k == "role" and (v or "").lower() == "main" for k, v in attrs) else tag
+        node = Node(tag, parent, parent.pruned, kind)
         if not node.pruned:
-            node.names = _names(tag, attrs, node.inside)
-        self.open.parts.append(node)
+            whole, parts = _tokens(attrs)
+            node.pruned = _boilerplate(tag, kind, attrs, parts)
+            node.names = _names(tag, kind, whole, parts, node.inside)
+            node.byline = tag == "time" or bool(BYLINES & parts)
+        parent.parts.append(node)
         self.nodes.append(node)
         if tag not in VOID:
-            self.open = node
+            self.places[tag].append(len(self.open))
+            self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,12 +154,12 @@ class _Tree(HTMLParser):
             self._close_to(old)
 
     def handle_data(self, data: str) -> None:
-        self.open.parts.append(data)
+        self.open[-1].parts.append(data)
 
 
 def _prune_named(nodes: list[Node]) -> None:
     """Prunes nodes with names of boilerplate, but none that hold the content."""
-    if not any(n.names is not None for n in nodes):
+    if not any(n.names is not None and not n.pruned for n in nodes):
         return
     held = {n: [0, 0, 0] for n in nodes if not n.pruned}  # characters, those in links, articles
     longest, most = None, 0
@@ -149,13 +170,14 @@ def _prune_named(nodes: list[Node]) -> None:
         own[0] += sum(len(" ".join(x.split())) for x in n.parts if isinstance(x, str))
         if n.tag == "a":
             own[1] = own[0]
-        elif n.tag in ("article", "main") and (plain := own[0] - own[1]) and plain >= own[1]:
+        elif n.kind in ("article", "main") and (plain := own[0] - own[1]) and plain >= own[1]:
             own[2] += 1
             longest, most = (n, plain) if plain >= most else (longest, most)
         if n.parent is not None:
             for k, x in enumerate(own):
                 held[n.parent][k] += x
     around = set()
+    teasers = longest is not None and longest.names is not None
     while longest is not None:
         around.add(longest)
         longest = longest.parent
@@ -165,8 +187,37 @@ def _prune_named(nodes: list[Node]) -> None:
             continue
         own = held[n]
         n.pruned = n.parent.pruned
-        if n.names is not None and n not in around and not (own[2] and not n.names & NAMES):
-            n.pruned = n.pruned or own[2] < articles or bool(n.names & COMMENTS) or 2 * (own[0] - own[1]) <= chars - links
+        if n.names is None or n in around or n.pruned:
+            continue
+        if n.kind == "article":
+            n.pruned = not teasers  # a page of teasers is made of them
+        elif n.tag in FRAMES and n.tag in n.names and n.tag != "form":
+            n.pruned = True
+        elif not (own[2] and not n.names & (NAMES | {"form"})):
+            n.pruned = own[2] < articles or bool(n.names & COMMENTS) or 2 * (own[0] - own[1]) <= chars - links
+
+
+def _prune_replies(nodes: list[Node]) -> None:
+    """Prunes reader comments by their shape: of one kind of element at least two that follow each other under one
+    node, each with a line that tells who wrote it or when, after a paragraph of the article that stands outside them."""
+    signed, written, place = set(), set(), {n: k for k, n in enumerate(nodes)}
+    for n in reversed(nodes):
+        if n.pruned or n.parent is None:
+            continue
+        if n.byline or n in signed:
+            signed.add(n.parent)
+        if n.tag == "p" and any(isinstance(x, str) and x.strip() for x in n.parts) or n in written:
+            written.add(n.parent)
+    first = next((k for k, n in enumerate(nodes) if n.tag == "p" and not n.pruned and n.inside and any(isinstance(x, str) and len(x.split()) > 5 for x in n.parts)), None)
+    if first is None:
+        return
+    for n in nodes:
+        below = [x for x in n.parts if isinstance(x, Node) and not x.pruned]
+        items = [x for x in below if x in signed and x in written and x.kind in ("div", "li", "section", "article", "dd")]
+        if n.inside and not n.pruned and len(items) >= 2 and len({x.tag for x in items}) == 1 and place[items[0]] > first and all(x in items or x.tag in ("h2", "h3", "h4") or x in signed for x in below):
+            n.pruned = True
+    for n in nodes:
+        n.pruned = n.pruned or n.parent is not None and n.parent.pruned
 
 
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -203,6 +254,7 @@ def _measure(nodes: list[Node], body: Node) -> float:
 def _content(tree: _Tree) -> Node:
     body = next((n for n in tree.nodes if n.tag == "body"), tree.root)
     _prune_named(tree.nodes)
+    _prune_replies(tree.nodes)
     share = _measure(tree.nodes, tree.root)
     centre = max((n for n in tree.nodes if not n.pruned), key=lambda n: n.total)  # the first of equals
     path = [centre]
@@ -211,7 +263,7 @@ def _content(tree: _Tree) -> Node:
     threshold = min(n.density for n in path)
     region = next(n for n in path if n.tag in CONTAINERS)
     for tag in ("article", "main"):
-        if of := [n for n in path if n.tag == tag]:
+        if of := [n for n in path if n.kind == tag]:
             region = of[-1]
             break
 

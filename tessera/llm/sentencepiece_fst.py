@@ -51,6 +51,9 @@ from tessera.llm import textbatch as tb
 SPACE = "▁"
 #: Chunks, and piece pairs, of a generation that a worker remembers.
 REMEMBER = 100_000
+
+#: Characters from which on a chunk's positions are kept in arrays of numbers.
+LONG_CHUNK = 1 << 16
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNIGRAM, _MERGES = 1, 2
 #: Fixed value: what a character outside the vocabulary weighs more than the worst piece.
@@ -137,8 +140,8 @@ class Normaliser:
     def _jump(unit: int) -> int:
         return (unit >> 10) << ((unit & 512) >> 6)
 
-    def _rule(self, data: bytes, at: int) -> tuple[int, bytes] | None:
-        """Length and output of the longest rule that matches there."""
+    def _rule(self, data: memoryview, at: int) -> tuple[int, bytes] | None:
+        """Length and output of the longest rule that matches there. A view's rest isn't copied."""
         found = None
         node = self._jump(self.units[0])
         for n, c in enumerate(data[at:], 1):
@@ -154,7 +157,7 @@ class Normaliser:
 
     def apply(self, text: str) -> str:
         if self.units:
-            data, out, at = text.encode(), [], 0
+            data, out, at = memoryview(text.encode()), [], 0
             while at < len(data):
                 if (got := self._rule(data, at)) is not None:
                     n, written = got
@@ -208,6 +211,7 @@ class Transducer:
                 for c in p:
                     node = node.setdefault(c, {})
                 node[None] = i, 0.0 if self.merges else -self.scores[i]
+        self.longest = max(map(len, self.ids))
         self.links: dict[int, dict[int, float]] = {}
         self.n_links = 0
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -288,7 +292,7 @@ class Transducer:
         or that of the byte machine (piece -1) if the symbol is no piece by itself."""
         out = []
         node = self.trie
-        for end in range(at, len(text)):
+        for end in range(at, min(len(text), at + self.longest)):
             node = node.get(text[end])
             if node is None:
                 break
@@ -305,15 +309,20 @@ class Transducer:
         has a finite distance at most, so a position stands for its state."""
         text = chunk.replace(" ", SPACE)
         n = len(text)
-        distance, written, begin = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        if n < LONG_CHUNK:
+            distance, written, begin = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        else:
+            distance, written, begin = array("d", [math.inf]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         distance[0] = 0.0
         trie, merges = self.trie, self.merges
         for at in range(n):
             here, s = distance[at], written[at] if merges else -1
+            if here == math.inf:
+                continue  # no arc leads here
             known = self._links_of(s)
             node, alone = trie, False
             end = at
-            for symbol in text[at:]:
+            for symbol in text[at : at + self.longest]:
                 node = node.get(symbol)
                 if node is None:
                     break
@@ -345,7 +354,8 @@ class Transducer:
 
 
 class Encoder:
-    """A worker's transducer with its table of known chunks."""
+    """A transducer with a table of known chunks. The driver compiles it once; each worker gets a copy that goes
+    on by itself."""
 
     def __init__(self, v: Vocabulary):
         self.fst = Transducer(v)
@@ -428,13 +438,15 @@ def _once(kind, sent, cache: dict):
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", check: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``n_tokens`` (long). The driver reads the
-    model; its vocabulary is broadcast. ``check``: the ids are decoded at once, and
+    """``docs`` with ``ids`` (array<int>) and ``n_tokens`` (long). The driver reads and compiles the
+    model, which is broadcast. ``check``: the ids are decoded at once, and
     ``round_trip`` says whether that gives the text back (not the normalised one)."""
-    sent, tables, texts = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path)), {}, {}
+    vocabulary, texts = Vocabulary.load(model_path), {}
+    send = docs.sparkSession.sparkContext.broadcast
+    sent, coder = send(vocabulary), send(Encoder(vocabulary))
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
-        ids, at = _once(Encoder, sent, tables).encode(part.column(text))
+        ids, at = coder.value.encode(part.column(text))
         out = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids)), pa.array(np.diff(at))]
         if check:
             back = _once(Decoder, sent, texts).decode(ids, at)

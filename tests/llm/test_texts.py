@@ -4,6 +4,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -337,6 +338,37 @@ LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Page {k}</a></li>" for k in range(
 def test_links_headers_and_ties(body, want):
     assert htmltext.main_text(PAGE % body) == want
 
+TALK = "".join(f"<p>{A} {B} {A} {B}</p>" for _ in range(2))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><form id="aspnetForm"><article><p>{A}</p><p>{B}</p></article></form></body>', f"{A}\n{B}"),
+        (f'<body><form id="aspnetForm"><div class="menu">Home</div><div><p>{A}</p><p>{B}</p></div><input></form></body>', f"{A}\n{B}"),
+        (f"<body><div><p>{A}</p><p>{B}</p></div><form><p>Your name</p></form></body>", f"{A}\n{B}"),
+        (f"<body><header><main><p>{A}</p><p>{B}</p></main></header><footer><p>{A}</p></footer></body>", f"{A}\n{B}"),
+        (f'<body><div role="main"><div class="text"><p>{A} {B}</p></div><div class="replies">{TALK}</div></div></body>', f"{A} {B}"),
+        (f'<body><div role="main"><div class="text"><p>{A} {B}</p></div><div class="responses">{TALK}</div></div></body>', f"{A} {B}"),
+        (f'<body><div role="main"><div class="text"><p>{A} {B}</p></div><div class="talk">' + "".join(f'<div><span class="user">Ann</span><time>May</time>{TALK}</div>' for _ in range(3)) + "</div></div></body>", f"{A} {B}"),
+        (f'<body><main><p>{A}</p><section><div class="author">By Ann</div><p>{B}</p></section></main></body>', f"{A}\nBy Ann\n{B}"),
+        (f'<body><article><p>{A}</p><p>{B}</p></article><article class="card"><p>Next: {A} <a href="/">Read more</a></p></article></body>', f"{A}\n{B}"),
+        (f'<body><article class="card"><p>{A}</p></article><article class="card"><p>{B}</p></article></body>', f"{A}\n{B}"),
+        (f'<body><article><div class="masthead">Paper</div><p>{A}</p><div class="adslot">Buy</div><p>{B}</p><div class="cookiebar">Yes</div></article></body>', f"{A}\n{B}"),
+    ],
+)
+def test_forms_replies_and_teasers(page, want):
+    assert htmltext.main_text(f"<html><head><title>T</title></head>{page}</html>") == want
+
+
+def test_markup_that_is_never_closed():
+    began = time.perf_counter()
+    assert htmltext.main_text("<span>" * 20_000 + "</b>" * 20_000 + "end") == "end"
+    assert htmltext.main_text("<b><div>" + "<span>" * 20_000 + "</b>" * 20_000 + "end") == "end"
+    assert htmltext.main_text("<p>" + "<i>" * 20_000 + "a" + "<p>" * 2_000 + "b") == "a\nb"
+    assert htmltext.main_text("<li>" * 20_000 + "x" + "</ul>" * 20_000) == "x"
+    assert time.perf_counter() - began < 6
+
 
 def random_tree(r):
     """A page without boilerplate by name, as nested (tag, parts)."""
@@ -458,6 +490,19 @@ def test_html_on_odd_rows(spark):
 # --- sentencepiece -----------------------------------------------------------------
 
 
+def test_long_runs_in_linear_time():
+    coder = sentencepiece_fst.Encoder(sentencepiece_fst.Vocabulary.load(MODEL_PATH))
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    r, took = random.Random(4), {}
+    for name, text in (("letter", "a" * 3_000_000), ("hundredth", "a" * 30_000), ("base64", "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1_000_000)))):
+        began = time.perf_counter()
+        ids, at = coder.encode(pa.array([text, "b"]))
+        took[name] = time.perf_counter() - began
+        if name != "letter":
+            assert ids[: at[1]].tolist() == sp.encode(text)
+    assert took["letter"] < 300 * max(took["hundredth"], 0.05)
+
+
 def test_transducer_matches_the_library_and_round_trips(spark):
     r = random.Random(3)
     alphabet = "aabc  e\n\tthinert;\r{}()▁éß中🙂̀=_-.0123"
