@@ -29,13 +29,16 @@ class Graph:
     """Canonical forms by partition refinement, fingerprints by bond paths. A null counts as empty, an empty
     string is invalid."""
 
-    def described(self, c: Column) -> Column:
+    def function(self):
         @F.pandas_udf(SCHEMA)
         def describe(strings: pd.Series) -> pd.DataFrame:
             rows = [(s, *chemistry.described(s)) for s in strings.fillna("")]
             return pd.DataFrame(rows, columns=["text", "valid", "canonical", "fingerprint", "achiral_valid", "achiral", "achiral_fingerprint"])
 
-        return describe(c)
+        return describe
+
+    def described(self, c: Column) -> Column:
+        return self.function()(c)
 
 
 def for_evaluation(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.functions import arrays, images, molecules, scoring, text
+from tessera.functions import arrays, images, molecules, named, scoring, text
 from tessera.operators import columns, curate, metrics, ordering, records
 from tessera.sources import readers, writers
 from tessera.streaming import logs
@@ -630,6 +630,14 @@ def compute_score(spark, d):
     return _completions(spark, d).select("conv_id", "turn", score.alias("score"))
 
 
+@query(ORACLE_SQL["compute_score"])
+def compute_score_by_name(spark, d):
+    """The same called from SQL text."""
+    named.register(spark, unannotated=0.5)
+    rows = _completions(spark, d).withColumn("truth", F.to_json(F.struct(F.lit("rule").alias("style"), F.col("gold").alias("ground_truth"))))
+    return spark.sql("SELECT conv_id, turn, compute_score('conversations', text, truth) AS score FROM {rows}", rows=rows)
+
+
 @query(f"{_SCORED_SQL} SELECT conv_id, turn, 0.0::DOUBLE AS reward FROM scored")
 def reward_without_weights(spark, d):
     return _scored(spark, d, scoring.Weights(0, 0, 0, 0, 0, 1), True).select("conv_id", "turn", "reward")

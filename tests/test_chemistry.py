@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import chemistry, molecules, scoring, text
+from tessera.functions import chemistry, molecules, named, scoring, text
+from tessera.operators import curate
 
 SPELLINGS = [
     ("OCC", "CCO"),
@@ -203,3 +204,22 @@ def test_group_labels(spark):
     df = spark.createDataFrame([(k, v) for k, v in LABELS.items()], "given string, want string")
     for r in df.select("given", "want", molecules.group_labels(F.concat(F.lit("CC"), "given", F.lit("C(=O)Cl"))).alias("got")).collect():
         assert r.got == f"CC{r.want}C(=O)Cl", r.given
+
+
+def test_reward_by_name(spark):
+    golds = ["CCO", "N[C@@H](C)C(=O)O", '{"ground_truth": "OCC"}', '{"x": 1}', "[1, 2]", "", None, "C(", '"CCO"', '{"ground_truth": null}']
+    said = ["OCC", " \n\t\n C C O \r\nrest", "C[C@H](N)C(=O)O", "N[C@H](C)C(=O)O", "", None, "C(", "C" * 40, "ab" * 30, "CC\u2028N", "x\x1cCCO", "it's \\ a 'text'", "abc" * 5 + "C" * 20]
+    df = spark.createDataFrame([(g, p) for g in golds for p in said], "g string, p string")
+    for options in ({}, {"unannotated": 0.25, "clamp": False, "weights": scoring.CURATION_WEIGHTS}, {"weights": scoring.Weights(0, 0, 0, 0, 0, 1)}):
+        named.register(spark, **options)
+        w = options.get("weights", scoring.RL_WEIGHTS)
+        b = molecules.Graph()
+        pair = df.select("g", "p", b.described(text.ground_truth(F.col("g"))).alias("gold"), b.described(text.candidate_first_text(F.col("p"))).alias("pred"))
+        want = pair.select("g", "p", scoring.reward(scoring.components(F.col("gold"), F.col("pred"), options.get("unannotated", 0.0)), w, options.get("clamp", True)).alias("want"))
+        got = spark.sql("SELECT g, p, compute_score('a', p, g) AS got FROM {df}", df=df)
+        rows = {(r.g, r.p): r.got for r in got.collect()}
+        assert rows == {(r.g, r.p): pytest.approx(r.want) for r in want.collect()}
+    named.register(spark)
+    assert spark.sql("SELECT compute_score('a', 'OCC', 'CCO', '{}') AS x").first().x == pytest.approx(7.5 / 8.5)
+    score = df.select("g", "p", curate.compute_score(None, F.col("p"), F.col("g"), backend=molecules.Graph()).alias("x"))
+    assert {(r.g, r.p): r.x for r in score.collect()} == {(r.g, r.p): pytest.approx(r.x) for r in spark.sql("SELECT g, p, compute_score(null, p, g) AS x FROM {df}", df=df).collect()}
