@@ -18,15 +18,16 @@ words, its spans of 64 words, one every 32 words and one at its end.
    cosine of ``least_cosine`` or more where the passage reaches ``least_share`` of the
    window's own length along the window. For each candidate the words around the passage
    are compared with the whole item: the longest common subsequence must cover ``least_lcs``
-   of the item's words, and ``least_answer`` of its answer, i.e. its five rarest terms, or
-   else the five rarest of each of its windows, must stand there (of many words some
-   always are found in no other text, and a reworded leak lacks just these). So reworded passages are found as well as verbatim ones. The cosine
+   of the item's words, and ``least_answer`` of its answer, i.e. its five rarest terms, must stand there; or
+   else that share of the five rarest of each of its windows, and of an item of one window
+   of all its terms weighted by their rarity (a reworded leak may lack just the rarest). So reworded passages are found as well as verbatim ones. The cosine
    reported is that of the window nearest to the passage.
 
-Windows are handled in blocks of about ``block`` windows, several blocks to a pass, as many as
+Windows are handled in blocks of about ``block`` windows, several blocks to a group, as many as
 have ``most_bytes`` of vectors together; the windows of a longer item lie in several blocks.
 So what is broadcast or sent to the driver at once is bounded whatever the size of corpus and
-benchmark; a larger benchmark takes more passes. The benchmark is a stated query set against
+benchmark; step 1 is one pass for all groups, steps 2 and 3 are one for each, and no texts are written
+anew: what several groups find meets by the digests of the few texts with leaks. The benchmark is a stated query set against
 all passages. A task holds about 30 bytes for each byte of a long text.
 
 Defined results: null and empty texts and items without words match nothing; repeated
@@ -38,7 +39,7 @@ is replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,21 +107,13 @@ def _blocks(rows: list, rules: Rules) -> list[list[Item]]:
     return out
 
 
-class Terms:
-    """The words of a block of items."""
+class Words:
+    """Words looked for, by their hashes (sorted)."""
 
-    def __init__(self, items: list[Item]):
-        self.numbers = [x.number for x in items]
-        self.item_ids = [x.item_id for x in items]
-        w = tb.words(pc.utf8_lower(pa.array([x.text for x in items], pa.string())), tb.ALNUM)
-        h = w.hashes()
-        self.hashes = np.unique(h)
-        at = np.searchsorted(self.hashes, h)
-        self.items = [at[a:b] for a, b in zip(w.first, w.first[1:])]
-        self.windows = [own[a:b] for own, x in zip(self.items, items) for a, b in x.windows]
-        self.owner = np.repeat(np.arange(len(items)), [len(x.windows) for x in items])
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self.hashes & np.uint64(0xFFFF)] = True
+        self.maybe[hashes & np.uint64(0xFFFF)] = True
 
     def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of words that are terms, and their terms."""
@@ -132,6 +125,21 @@ class Terms:
         return at[real], term[real]
 
 
+class Terms(Words):
+    """The words of a block of items."""
+
+    def __init__(self, items: list[Item]):
+        self.numbers = [x.number for x in items]
+        self.item_ids = [x.item_id for x in items]
+        w = tb.words(pc.utf8_lower(pa.array([x.text for x in items], pa.string())), tb.ALNUM)
+        h = w.hashes()
+        super().__init__(np.unique(h))
+        at = np.searchsorted(self.hashes, h)
+        self.items = [at[a:b] for a, b in zip(w.first, w.first[1:])]
+        self.windows = [own[a:b] for own, x in zip(self.items, items) for a, b in x.windows]
+        self.owner = np.repeat(np.arange(len(items)), [len(x.windows) for x in items])
+
+
 class Passages:
     def __init__(self, column):
         self.w = tb.words(pc.utf8_lower(column), tb.ALNUM)
@@ -152,30 +160,29 @@ class Passages:
         return key // n_terms, key % n_terms
 
 
-def _frequencies(docs: DataFrame, models: list[Terms], text: str) -> tuple[list[np.ndarray], int]:
-    sizes = [len(m.hashes) for m in models]
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+def _frequencies(docs: DataFrame, words: Words, text: str) -> tuple[np.ndarray, int]:
+    """How many passages hold each word, and how many passages there are."""
+    size = len(words.hashes)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches):
-        total = [np.zeros(n, np.int64) for n in sizes]
-        passages = 0
+        total, passages = np.zeros(size, np.int64), 0
         for batch in batches:
             for part in tb.slices(batch):
                 p = Passages(part.column("text"))
                 passages += int(p.first[-1])
-                for m, t in zip(sent.value, total):
-                    _, term = p.entries(*m.known(p.h), max(len(m.hashes), 1))
-                    t += np.bincount(term, minlength=len(t))[: len(t)]
-        flat = np.concatenate([np.array([passages]), *total])
+                _, term = p.entries(*sent.value.known(p.h), max(size, 1))
+                total += np.bincount(term, minlength=size)[:size]
+        flat = np.concatenate([np.array([passages]), total])
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["at", "n"])
 
-    # One row for each term at most, so as many as the benchmark has.
+    # One row for each word at most, so as many as the benchmark has.
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(1 + sum(sizes), np.int64)
+    flat = np.zeros(1 + size, np.int64)
     for r in rows:
         flat[r["at"]] = r["n"]
-    return np.split(flat[1:], np.cumsum(sizes)[:-1]), int(flat[0])
+    return flat[1:], int(flat[0])
 
 
 def _weights(m: Terms, df: np.ndarray, n: int, max_df: float) -> tuple[np.ndarray, np.ndarray]:
@@ -299,13 +306,18 @@ class Model:
             z[k] = self.loaded[np.unique(window)].sum(axis=0)
         return z
 
-    def answers(self) -> list[tuple[set[int], ...]]:
-        """Each item's rarest terms, and, if it has more than one window, those of all windows."""
+    def answers(self) -> list[tuple[tuple[dict[int, float], float], ...]]:
+        """What counts as an item's answer, as weights of terms and their sum: its rarest terms; or else, of an
+        item of one window all its terms by their rarity, of a longer one the rarest of all windows."""
         out = []
         for item in self.terms.items:
             spans = _windows(len(item))
-            own = set(_rarest(item, self.idf, ANSWER).tolist())
-            out.append((own, {t for a, b in spans for t in _rarest(item[a:b], self.idf, ANSWER).tolist()}) if len(spans) > 1 else (own,))
+            own = {t: 1.0 for t in _rarest(item, self.idf, ANSWER).tolist()}
+            if len(spans) > 1:
+                more = {t: 1.0 for a, b in spans for t in _rarest(item[a:b], self.idf, ANSWER).tolist()}
+            else:
+                more = {t: float(self.idf[t]) for t in np.unique(item).tolist()}
+            out.append(tuple((weights, sum(weights.values()) or 1.0) for weights in (own, more)))
         return out
 
 
@@ -314,7 +326,7 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return np.divide(z, size, out=np.zeros_like(z), where=size > 1e-12)
 
 
-def _matches(p: Passages, model: Model, windows: np.ndarray, answers: list[tuple[set[int], ...]], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
+def _matches(p: Passages, model: Model, windows: np.ndarray, answers: list[tuple[tuple[dict[int, float], float], ...]], rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
     """(row, item number) -> (cosine, share of the item in order, share of its answer)."""
     terms = model.terms
     at, term = terms.known(p.h)
@@ -354,7 +366,7 @@ def _matches(p: Passages, model: Model, windows: np.ndarray, answers: list[tuple
         if (a, b, i) not in compared:
             region = every[a:b]
             stand = set(region.tolist())
-            answer = max(len(own & stand) / max(len(own), 1) for own in answers[i])
+            answer = max(sum(x for t, x in own.items() if t in stand) / total for own, total in answers[i])
             compared[a, b, i] = (_common_subsequence(item, region) / len(item) if answer >= rules.least_answer else 0.0, answer)
         lcs, answer = compared[a, b, i]
         if answer >= rules.least_answer and lcs >= rules.least_lcs:
@@ -381,11 +393,9 @@ def _groups(blocks: list[list[Item]], rules: Rules) -> list[list[Terms]]:
     return out
 
 
-def fit(docs: DataFrame, terms: list[Terms], text: str, rules: Rules) -> list[Model]:
-    dfs, n = _frequencies(docs, terms, text)
-    weighed = [_weights(m, df, n, rules.max_df) for m, df in zip(terms, dfs)]
-    ranks = [_rank(m, rules) for m in terms]
-    vectors = _singular_vectors(docs, terms, [w for w, _ in weighed], ranks, text)
+def fit(docs: DataFrame, terms: list[Terms], frequencies: list[np.ndarray], passages: int, text: str, rules: Rules) -> list[Model]:
+    weighed = [_weights(m, df, passages, rules.max_df) for m, df in zip(terms, frequencies)]
+    vectors = _singular_vectors(docs, terms, [w for w, _ in weighed], [_rank(m, rules) for m in terms], text)
     return [Model(m, w, idf, v) for m, (w, idf), v in zip(terms, weighed, vectors)]
 
 
@@ -395,35 +405,37 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     bench = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     entry = T.StructType([T.StructField("number", T.LongType()), T.StructField("item_id", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("cosine", "lcs", "answer")]])
     held = T.StructField(name, T.ArrayType(entry))
-    kind = pa.list_(pa.struct([("number", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
     # The driver cuts the benchmark into blocks, so its texts have to fit in there.
     blocks = _blocks(bench.withColumn("h", F.xxhash64("i", "t")).orderBy("i", "t").collect(), rules)
     groups = _groups(blocks, rules) or [[]]
-    for k, terms in enumerate(groups):
-        docs = _searched(docs, fit(docs, terms, text, rules), text, held, kind, rules, more=k > 0)
-        if k + 1 < len(groups):
-            docs = frames.stored(docs)
-    return docs
-
-
-def _searched(docs: DataFrame, models: list[Model], text: str, held: T.StructField, kind: pa.DataType, rules: Rules, more: bool) -> DataFrame:
-    """``docs`` with the leaks of a group of blocks; ``more``: besides those of groups before,
-    of which an item's other windows may be part."""
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(m.hashes for terms in groups for m in terms)]))
+    counts, passages = _frequencies(docs, Words(every), text)
+    models = lambda terms: fit(docs, terms, [counts[np.searchsorted(every, m.hashes)] for m in terms], passages, text, rules)
+    if len(groups) == 1:
+        return _searched(docs, models(groups[0]), text, held, rules)
+    # Leaks follow from the text alone, so what groups find is kept by the text's digest.
+    own = docs.select(F.sha2(F.col(text), 256).alias("_text"), F.col(text).alias("text"))
+    found = [_searched(own, models(terms), "text", T.StructField("leaks", held.dataType), rules).filter(F.size("leaks") > 0).select("_text", F.explode("leaks").alias("x")) for terms in groups]
+    # An item's windows may lie in several groups.
+    best = reduce(DataFrame.unionAll, found).groupBy("_text", "x.number", "x.item_id").agg(F.max(F.struct("x.lcs", "x.answer", "x.cosine")).alias("b"))
+    leaks = best.groupBy("_text").agg(F.collect_list(F.struct("number", "item_id", "b.cosine", "b.lcs", "b.answer")).alias("_leaks"))
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()])
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    both = docs.join(leaks, F.sha2(docs[f"`{text}`"], 256) == leaks["_text"], "left")
+    return both.select(*kept, F.coalesce("_leaks", F.array()).cast(held.dataType).alias(name))
+
+
+def _searched(docs: DataFrame, models: list[Model], text: str, held: T.StructField, rules: Rules) -> DataFrame:
+    """``docs`` with the leaks of a group of blocks."""
     sent = docs.sparkSession.sparkContext.broadcast(models)
+    kind = pa.list_(pa.struct([("number", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
     cache: dict = {}
-    # What is known of an item is kept by its number in the benchmark until the last group.
-    before = f"__{held.name}_before" if more else None
-    if more:
-        docs = docs.withColumnRenamed(held.name, before)
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
         if not cache:
             cache["m"] = [(m, m.latent_windows(), m.answers()) for m in sent.value]
         p = Passages(part.column(text))
         best: list[dict[int, tuple]] = [{} for _ in range(part.num_rows)]
-        if before:
-            for row, own in enumerate(part.column(before).to_pylist()):
-                best[row] = {x["number"]: (x["lcs"], x["answer"], x["cosine"], x["item_id"]) for x in own}
         for m, windows, answers in cache["m"]:
             for (row, i), (c, l, a) in sorted(_matches(p, m, windows, answers, rules).items()):
                 number, new = m.terms.numbers[i], (l, a, c, m.terms.item_ids[i])
@@ -432,8 +444,7 @@ def _searched(docs: DataFrame, models: list[Model], text: str, held: T.StructFie
         out = [[{"number": n, "item_id": i, "cosine": c, "lcs": l, "answer": a} for n, (l, a, c, i) in x.items()] for x in best]
         return [pa.array(out, kind)]
 
-    found = frames.append(docs, [held], compute, text)
-    return found.drop(before) if before else found
+    return frames.append(docs, [held], compute, text)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:

@@ -344,6 +344,28 @@ def test_decontamination_of_long_items(spark, rules):
     assert set(counts) == want and all(n == (2 if i == 8 else 1) for (_, i), n in counts.items())
 
 
+@pytest.mark.parametrize("share", [0, 20, 30])
+def test_decontamination_of_reworded_items(spark, share):
+    """Items of 15 to 60 words, planted with a share of their words left out or replaced, among other texts:
+    every pair whose common subsequence is long enough is found, but for a few answers, and nothing else."""
+    r = random.Random(share + 17)
+    words = [f"w{k}" for k in range(3000)]
+    drawn = lambda n: [words[int(3000 * r.random() ** 2)] for _ in range(n)]
+    items = [(k, " ".join(drawn(n))) for k, n in enumerate([15, 25, 40, 60] * 12)]
+    rows = [(d, " ".join(drawn(r.randrange(40, 200)))) for d in range(300)]
+    for i, t in items:
+        own = [x if r.randrange(100) >= share else "other" if r.random() < 0.5 else None for x in t.split()]
+        rows.append((1000 + i, " ".join([*drawn(50), *(x for x in own if x), *drawn(50)])))
+    want = plain_leaks(rows, items)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for rules in (decontaminate.Rules(), decontaminate.Rules(block=16, rank=64, most_bytes=200_000)):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench, rules=rules).collect()}
+        assert got <= want and len(got) >= (0.97 if share < 30 else 0.95) * len(want) and len(want) >= 30
+    # The candidates lose none: the answer alone turns pairs away.
+    free = decontaminate.Rules(least_answer=0.0)
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench, rules=free).collect()} == want
+
+
 def test_common_subsequence():
     r = random.Random(11)
     for _ in range(200):
