@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each on what the one before kept.
 
 Each stage is written as Parquet to the shared folder and read again, so a stage is
-never recomputed by a later one and survives lost executors.
+never recomputed by a later one and survives lost executors; it is deleted once the next is written.
 
 Defined results: null texts count as empty; a text without words has the classifier's bias as
 score, so it goes unless the bias alone reaches 0.7; of equal texts one row stays, as of rows
@@ -81,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            session.deleted(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
