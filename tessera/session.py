@@ -46,6 +46,12 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table for costly work on each row: dealt out to all cores where its files give fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table by its path's own file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
