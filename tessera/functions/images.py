@@ -96,9 +96,28 @@ def _unfiltered(data: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return out[1:]
 
 
+#: An interlaced PNG's passes, as first column and row and steps to the next.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _parts(data: bytes, width: int, height: int, bits: int, channels: int) -> tuple[np.ndarray, int]:
+    """The numbers of a PNG's (or a pass's) pixels, of 16 bits the upper 8, and how many bytes they took."""
+    stride = -(-width * channels * bits // 8)
+    size = height * (stride + 1)
+    if len(data) < size:
+        raise ValueError("the data of a PNG end early")
+    lines = _unfiltered(data[:size], height, stride, max(1, channels * bits // 8))
+    if bits == 16:
+        lines = lines[:, ::2]
+    elif bits < 8:
+        each = np.unpackbits(lines, axis=1).reshape(height, -1, bits)
+        lines = (each * (1 << np.arange(bits)[::-1])).sum(axis=2)[:, : width * channels]
+    return lines.reshape(height, width, channels), size
+
+
 def decoded_png(data: bytes) -> tuple[int, int, bytes]:
-    """Width, height and colour bytes (three for each pixel) of a PNG that isn't interlaced, of 1
-    to 8 bits for each part; what is transparent keeps its colour."""
+    """Width, height and colour bytes (three for each pixel) of a PNG, of 1 to 16 bits for each
+    part, interlaced or not; what is transparent keeps its colour."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG")
     at, body, palette, head = 8, b"", None, None
@@ -113,15 +132,19 @@ def decoded_png(data: bytes) -> tuple[int, int, bytes]:
             body += part
         at += size + 12
     width, height, bits, colour, _, _, interlaced = head
-    if bits > 8 or interlaced:
-        raise ValueError("a PNG of over 8 bits or interlaced")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    lines = _unfiltered(zlib.decompress(body), height, -(-width * channels * bits // 8), max(1, channels * bits // 8))
-    if bits < 8:
-        each = np.unpackbits(lines, axis=1).reshape(height, -1, bits)
-        lines = (each * (1 << np.arange(bits)[::-1])).sum(axis=2)[:, : width * channels]
-        lines = lines if colour == 3 else lines * 255 // ((1 << bits) - 1)
-    pixels = lines.reshape(height, width, channels)
+    body = zlib.decompress(body)
+    if interlaced:
+        pixels = np.zeros((height, width, channels), np.int64)
+        for x, y, dx, dy in _PASSES:
+            if width > x and height > y:
+                own, size = _parts(body, -(-(width - x) // dx), -(-(height - y) // dy), bits, channels)
+                pixels[y::dy, x::dx] = own
+                body = body[size:]
+    else:
+        pixels, _ = _parts(body, width, height, bits, channels)
+    if bits < 8 and colour != 3:
+        pixels = pixels * 255 // ((1 << bits) - 1)
     pixels = palette[pixels[..., 0]] if colour == 3 else pixels[..., :3] if channels >= 3 else np.repeat(pixels[..., :1], 3, axis=2)
     return width, height, pixels.astype(np.uint8).tobytes()
 

@@ -112,6 +112,8 @@ def test_png_filters_and_depths():
         pixels = r.integers(0, 256, (5, 7, channels)).astype(np.uint8)
         want = np.repeat(pixels[..., :1], 3, axis=2) if channels < 3 else pixels[..., :3]
         assert images.decoded_png(stored(pixels.reshape(5, -1), 7, 5, 8, colour, [0, 1, 2, 3, 4], channels)) == (7, 5, want.tobytes())
+    deep = r.integers(0, 65536, (5, 7, 3))
+    assert images.decoded_png(stored(np.stack([deep >> 8, deep & 255], axis=3).reshape(5, -1), 7, 5, 16, 2, [0, 1, 2, 3, 4], 6)) == (7, 5, (deep >> 8).astype(np.uint8).tobytes())
     palette = r.integers(0, 256, (4, 3)).astype(np.uint8)
     extra = struct.pack(">I", 12) + b"PLTE" + palette.tobytes() + b"crc!"
     of = r.integers(0, 4, (2, 5))
@@ -125,6 +127,27 @@ def test_png_filters_and_depths():
             images.decoded_png(bad)
 
 
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (3, 2), (5, 9), (8, 8), (17, 13)])
+@pytest.mark.parametrize(("bits", "colour"), [(8, 0), (8, 2), (16, 6), (1, 0), (4, 0)])
+def test_interlaced_png(width, height, bits, colour):
+    """Seven passes, each stored like an image of its own; every pixel comes back to its place."""
+    r = np.random.default_rng(width)
+    channels = {0: 1, 2: 3, 6: 4}[colour]
+    pixels = r.integers(0, 1 << bits, (height, width, channels))
+    body = b""
+    for x0, y0, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)):
+        own = pixels[y0::dy, x0::dx]
+        if own.size:
+            flat = own.reshape(own.shape[0], -1)
+            digits = (flat[..., None] >> np.arange(bits)[::-1] & 1).reshape(own.shape[0], -1).astype(np.uint8)
+            body += b"".join(b"\0" + line.tobytes() for line in np.packbits(digits, axis=1))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc!"
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 1)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    shown = pixels * 255 // ((1 << bits) - 1) if bits < 8 else pixels >> (bits - 8)
+    want = np.repeat(shown, 3, axis=2) if channels == 1 else shown[..., :3]
+    assert images.decoded_png(data) == (width, height, want.astype(np.uint8).tobytes())
+
+
 def test_union_skips_empty_tables(spark):
     a, b = spark.range(0), spark.range(2)
     assert readers.not_empty([a, a]) is None
