@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import jpeg
+
 
 @dataclass(frozen=True)
 class Style:
@@ -150,26 +152,27 @@ def decoded_png(data: bytes) -> tuple[int, int, bytes]:
 
 
 def decoded(images: DataFrame, image: str) -> DataFrame:
-    """``images`` with ``width``, ``height`` and colour bytes ``pixels`` of their PNG bytes. What
-    is none is an error; other formats need an imaging library."""
+    """``images`` with ``width``, ``height`` and colour bytes ``pixels`` of their PNG or JPEG bytes,
+    told apart by their first bytes. Others are an error and need an imaging library."""
     schema = T.StructType([*images.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType())])
 
     def run(batches):
         for pdf in batches:
-            found = [decoded_png(bytes(x)) for x in pdf[image]]
+            found = [(jpeg.decoded_jpeg if bytes(x[:2]) == b"\xff\xd8" else decoded_png)(bytes(x)) for x in pdf[image]]
             width, height, pixels = zip(*found) if found else ((), (), ())
             yield pdf.assign(width=pd.Series(width, pdf.index, dtype="int32"), height=pd.Series(height, pdf.index, dtype="int32"), pixels=pd.Series(pixels, pdf.index, dtype=object))
 
     return images.mapInPandas(run, schema)
 
 
-def encoded(images: DataFrame, pixels: str, width: str, height: str, name: str = "image", channels: int = 1) -> DataFrame:
-    """``images`` with PNG bytes of their ``pixels``."""
+def encoded(images: DataFrame, pixels: str, width: str, height: str, name: str = "image", channels: int = 1, lossy: bool = False) -> DataFrame:
+    """``images`` with PNG bytes of their ``pixels``, or JPEG bytes if ``lossy``."""
+    write = jpeg.jpeg if lossy else png
     schema = T.StructType([*images.schema.fields, T.StructField(name, T.BinaryType())])
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(**{name: pd.Series([png(bytes(p), w, h, channels) for p, w, h in zip(pdf[pixels], pdf[width], pdf[height])], pdf.index, dtype=object)})
+            yield pdf.assign(**{name: pd.Series([write(bytes(p), w, h, channels) for p, w, h in zip(pdf[pixels], pdf[width], pdf[height])], pdf.index, dtype=object)})
 
     return images.mapInPandas(run, schema)
 

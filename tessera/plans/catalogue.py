@@ -481,6 +481,20 @@ def image_round_trip(spark, d):
     return back.select("item_id", "width", "height", F.md5(F.unhex(shade)).alias("grey"), F.octet_length("pixels").alias("n_bytes"))
 
 
+@query("""SELECT item_id, 32 AS width, ((octet_length(encode(text)) + 31) // 32)::INTEGER AS height,
+    md5(regexp_replace(rpad(hex(encode(text)), (octet_length(encode(text)) + 31) // 32 * 64, '0'), '(.).', '\\1', 'g')) AS shades FROM benchmark WHERE text <> ''""")
+def jpeg_round_trip(spark, d):
+    """Texts as images of 16 shades, stored as JPEGs and decoded: each pixel keeps its shade."""
+    n = F.ceil(F.octet_length("text") / 32)
+    shades = F.transform(F.sequence(F.lit(1), n.cast("int") * 64, F.lit(2)), lambda k: F.concat(F.substring("h", k, F.lit(1)), F.lit("8")))
+    df = table(spark, d, "benchmark").filter("text <> ''").select("item_id", n.cast("int").alias("h0"), F.rpad(F.hex(F.encode("text", "utf-8")), (n * 64).cast("int"), "0").alias("h"))
+    drawn = df.select("item_id", F.unhex(F.array_join(shades, "")).alias("grey"), F.lit(32).alias("w"), F.col("h0").alias("h"))
+    held = images.encoded(drawn, "grey", "w", "h", lossy=True).select("item_id", "image")
+    back = images.decoded(held, "image").withColumn("x", F.hex("pixels"))
+    shade = F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda k: F.substring("x", 6 * k + 1, F.lit(1))), "")
+    return back.select("item_id", "width", "height", F.md5(shade).alias("shades"))
+
+
 def _penalty_sql(relation: str, key: str, column: str) -> str:
     """Penalty by key: character runs by a window, leading units by list functions."""
     unit = lambda p: f"coalesce(nullif(list_position(list_transform(range(0, n // {p}), lambda i: substr(s, (i * {p} + 1)::BIGINT, {p}) = substr(s, 1, {p})), false), 0) - 1, n // {p})"

@@ -67,7 +67,7 @@ def blank_image(width: int = 768, height: int = 768) -> bytes:
 
 def stored_image(c: Column) -> Column:
     """The bytes of an image column, which holds them plainly or as a struct's ``bytes``;
-    a row without any is an error. ``functions.images.decoded`` reads PNGs."""
+    a row without any is an error. ``functions.images.decoded`` reads PNGs and JPEGs."""
     return F.coalesce(c, F.raise_error(F.lit("a row holds no image")).cast("binary"))
 
 

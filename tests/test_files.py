@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.functions import images
+from tessera.functions import images, jpeg
 from tessera.plans import config
 from tessera.sources import readers, writers
 from tessera.streaming import logs
@@ -77,6 +77,44 @@ def test_rl_rows(spark):
     assert row.reward_model == '{"style":"rule","ground_truth":"CC"}'
 
 
+@pytest.mark.parametrize("channels", [1, 3])
+@pytest.mark.parametrize(("width", "height"), [(1, 1), (8, 8), (17, 13), (40, 33)])
+def test_jpeg_of_whole_colours(channels, width, height):
+    """With steps of one only rounding is lost, with and without restarts."""
+    pixels = np.random.default_rng(width).integers(0, 256, (height, width, channels)).astype(np.uint8)
+    for every in (0, 1, 3):
+        w, h, back = jpeg.decoded_jpeg(jpeg.jpeg(pixels.tobytes(), width, height, channels, every=every))
+        got = np.frombuffer(back, np.uint8).reshape(h, w, 3).astype(int)
+        assert (w, h) == (width, height) and abs(got - pixels.astype(int)).max() <= 3
+
+
+def test_jpeg_transform_and_colours():
+    """Against sums written out: one coefficient a block, colours of half the resolution, steps."""
+    cosine = lambda x, u: np.cos((2 * x + 1) * u * np.pi / 16)
+    waves = np.array([[128 + 90 * cosine(x, 3) * cosine(y, 5) for x in range(8)] for y in range(8)]).round()
+    _, _, back = jpeg.decoded_jpeg(jpeg.jpeg(waves.astype(np.uint8).tobytes(), 8, 8, step=40))
+    assert abs(np.frombuffer(back, np.uint8)[::3].reshape(8, 8) - waves).max() <= 6
+    y, x = np.mgrid[:33, :40]
+    smooth = np.stack([4 * x + 2 * y, 2 * x + 5 * y, 250 - 3 * x - 3 * y], axis=2)
+    _, _, back = jpeg.decoded_jpeg(jpeg.jpeg(smooth.astype(np.uint8).tobytes(), 40, 33, 3, halved=True, every=2))
+    assert abs(np.frombuffer(back, np.uint8).reshape(33, 40, 3) - smooth).max() <= 6
+
+
+def test_jpeg_refused():
+    good = jpeg.jpeg(bytes(range(64)) * 9, 24, 24)
+    for bad in (b"x", good[: good.index(b"\xff\xda")], good[:-30], good.replace(b"\xff\xc0", b"\xff\xc9"), b"\xff\xd8\xff\xd9"):
+        with pytest.raises(ValueError, match="JPEG"):
+            jpeg.decoded_jpeg(bad)
+    with pytest.raises(ValueError, match="65535"):
+        jpeg.jpeg(b"", 70000, 1)
+
+
+def test_images_of_two_kinds(spark):
+    rows = [("p", bytearray(images.png(bytes(range(60)), 4, 5, 3))), ("j", bytearray(jpeg.jpeg(b"\x40" * 6, 3, 2)))]
+    got = {r.k: (r.width, r.height, bytes(r.pixels)) for r in images.decoded(spark.createDataFrame(rows, "k string, image binary"), "image").collect()}
+    assert got == {"p": (4, 5, bytes(range(60))), "j": (3, 2, b"\x40" * 18)}
+
+
 def test_blank_image_and_stored_images(spark):
     data = readers.blank_image(10, 3)
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and int.from_bytes(data[16:20]) == 10 and int.from_bytes(data[20:24]) == 3
