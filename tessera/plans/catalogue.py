@@ -482,11 +482,11 @@ def image_round_trip(spark, d):
 
 
 @query("""SELECT item_id, 32 AS width, ((octet_length(encode(text)) + 31) // 32)::INTEGER AS height,
-    md5(regexp_replace(rpad(hex(encode(text)), (octet_length(encode(text)) + 31) // 32 * 64, '0'), '(.).', '\\1', 'g')) AS shades FROM benchmark WHERE text <> ''""")
+    md5(regexp_replace(rpad(hex(encode(text)), ((octet_length(encode(text)) + 31) // 32 * 64)::INTEGER, '0'), '(.).', '\\1', 'g')) AS shades FROM benchmark WHERE text <> ''""")
 def jpeg_round_trip(spark, d):
     """Texts as images of 16 shades, stored as JPEGs and decoded: each pixel keeps its shade."""
     n = F.ceil(F.octet_length("text") / 32)
-    shades = F.transform(F.sequence(F.lit(1), n.cast("int") * 64, F.lit(2)), lambda k: F.concat(F.substring("h", k, F.lit(1)), F.lit("8")))
+    shades = F.transform(F.sequence(F.lit(1), F.col("h0") * 64, F.lit(2)), lambda k: F.concat(F.substring("h", k, F.lit(1)), F.lit("8")))
     df = table(spark, d, "benchmark").filter("text <> ''").select("item_id", n.cast("int").alias("h0"), F.rpad(F.hex(F.encode("text", "utf-8")), (n * 64).cast("int"), "0").alias("h"))
     drawn = df.select("item_id", F.unhex(F.array_join(shades, "")).alias("grey"), F.lit(32).alias("w"), F.col("h0").alias("h"))
     held = images.encoded(drawn, "grey", "w", "h", lossy=True).select("item_id", "image")
