@@ -18,9 +18,13 @@ from tessera import session
 
 def ordinal(df: DataFrame, *keys, name: str = "ordinal") -> DataFrame:
     """``df`` with its place (from 0) in the order of ``keys``, which should be unique."""
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return placed(df.repartitionByRange(*keys).sortWithinPartitions(*keys), name)
+
+
+def placed(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """``df`` with its place (from 0) in the order that its rows already have."""
     low = (1 << 33) - 1
-    placed = session.materialised(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(low))))
+    placed = session.materialised(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit(low))))
     counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
     # One row for each partition.
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))

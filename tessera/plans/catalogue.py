@@ -4,6 +4,7 @@ result as SQL text where SQL can express it."""
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera import session
 from tessera.functions import arrays, images, molecules, named, scoring, text
 from tessera.operators import columns, curate, metrics, ordering, records
+from tessera.plans import config
 from tessera.sources import readers, writers
 from tessera.streaming import logs
 
@@ -267,6 +269,65 @@ def index_made_once(spark, d):
     return writers.made_once(spark, path, make)
 
 
+@query("""SELECT lang AS name, 'data/' || lang || '.csv' AS csv_path, CASE lang WHEN 'fr' THEN 'pre_rendered' ELSE 'realistic' END AS mode,
+    CASE lang WHEN 'en' THEN 100 END AS sample_num, doc_id FROM documents WHERE lang IS NOT NULL AND lang <> 'de'""")
+def settings_choose_tables(spark, d):
+    """A settings file of one benchmark for each language, written, read and checked; rows of the
+    enabled ones that were asked for, with what the file says or leaves to defaults."""
+    folder, docs = _scratch(spark), table(spark, d, "documents").select("doc_id", "lang").filter("lang IS NOT NULL")
+    # Settings are records of the driver: one for each language, counted before.
+    names = sorted(r.lang for r in docs.select("lang").distinct().limit(1001).collect())
+    if len(names) > 1000:
+        raise ValueError("over 1000 languages")
+    extra = {"en": {"sample_num": 100}, "fr": {"mode": "pre_rendered", "image_dir": "img"}}
+    given = [{"name": n, "csv_path": f"../data/{n}.csv", "enabled": n != "de"} | extra.get(n, {}) for n in names]
+    writers.settings_file(spark, f"{folder}/conf/evaluation.yaml", {"benchmarks": given, "gpu_ids": [0, 1]})
+    chosen = config.selected(config.loaded(spark, f"{folder}/conf/evaluation.yaml", config.evaluation).benchmarks, [*names, "unknown"])
+    rows = [(b.name, b.csv_path.removeprefix(f"{folder}/"), b.mode, b.sample_num) for b in chosen]
+    return docs.withColumnRenamed("lang", "name").join(spark.createDataFrame(rows, "name string, csv_path string, mode string, sample_num int"), "name")
+
+
+@query("SELECT o_orderkey, '/' || o_orderkey || '.png' AS image, o_orderpriority AS answer, 'Read the molecule.' AS instruction, 'curation-iter2' AS run_name FROM orders WHERE o_totalprice > 100000")
+def next_phase_reads(spark, d):
+    """What follows a curation: its rows and a settings file are written, and a training reads
+    its rows by that file."""
+    folder = _scratch(spark)
+    kept = table(spark, d, "orders").filter("o_totalprice > 100000")
+    writers.csv(kept.select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("image_path"), F.col("o_orderpriority").alias("smiles")), f"{folder}/curated.csv")
+    base = {"instruction": "Read the molecule.", "sft": {"learning_rate": 5e-6, "epochs": 1}, "freeze_layers": [2, 0, 2]}
+    writers.settings_file(spark, f"{folder}/next.yaml", writers.next_phase(base, f"{folder}/curated.csv", 2, "/model", folder))
+    phase = config.loaded(spark, f"{folder}/next.yaml", config.training)
+    (own,) = phase.train_sets
+    rows = readers.csv(spark, own.train_csv)
+    molecule = columns.first_present(rows, columns.MOLECULE["training"])
+    return rows.select(F.col("o_orderkey").cast("bigint"), F.concat(F.lit(own.realistic_image_root), "image_path").alias("image"), F.col(molecule).alias("answer"), F.lit(own.instruction).alias("instruction"), F.lit(phase.trainer["run_name"]).alias("run_name"))
+
+
+@query("SELECT c_custkey, c_mktsegment AS source_csv FROM customer")
+def csv_with_empty_tables(spark, d):
+    """Tables by segment and one file without a byte below each other."""
+    path, own = _scratch(spark), table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    own.write.partitionBy("c_mktsegment").option("header", True).csv(f"{path}/by")
+    writers.json_file(spark, f"{path}/none.csv", "")
+    # One table for each segment, of which there are few.
+    names = [r.c_mktsegment for r in own.select("c_mktsegment").distinct().limit(1000).collect()]
+    frames = {n: readers.csv(spark, f"{path}/by/c_mktsegment={n}") for n in names} | {"none": readers.csv(spark, f"{path}/none.csv")}
+    return readers.merged(frames).select(F.col("c_custkey").cast("bigint"), "source_csv")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'skipped_exists' WHEN regexp_matches(p_name, '[aeiou][^aeiou ]*$') AND p_size > 10 THEN 'ok' ELSE 'failed' END AS status FROM part""")
+def rendered_by_prepared(spark, d):
+    """Statuses by a renderer that each task makes once, of what isn't there yet."""
+    tasks = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.concat("p_partkey", F.lit(".png")).alias("image_path"))
+
+    def prepare():
+        drawable = re.compile("[aeiou][^aeiou ]*$")
+        return lambda batch: [bool(drawable.search(name)) and size > 10 for name, size in zip(batch["p_name"], batch["p_size"])]
+
+    done = tasks.filter("p_size % 5 = 0").select(F.col("image_path").alias("path"))
+    return writers.rendered(tasks, done, prepare=prepare).select("p_partkey", "status")
+
+
 # --- samples, splits, layout -------------------------------------------------------
 
 
@@ -301,6 +362,21 @@ def training_sizes(spark, d):
     return out
 
 
+@query("""
+    WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS shuffled, row_number() OVER (ORDER BY doc_id) AS stored FROM documents)
+    SELECT 'dynamic' AS kind, shuffled AS place, doc_id FROM t UNION ALL SELECT 'realistic', stored, doc_id FROM t UNION ALL SELECT 'sampled', shuffled, doc_id FROM t WHERE shuffled <= 150""")
+def training_order(spark, d):
+    """The place that each row has in training, by mode: rows are shuffled only where images are
+    made anew or a number is sampled."""
+    docs = table(spark, d, "documents").select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    kinds = {"dynamic": (None, "dynamic"), "realistic": (None, "realistic"), "sampled": (150, "realistic")}
+    out = None
+    for kind, (n, mode) in kinds.items():
+        own = ordering.placed(ordering.training_rows(docs, n, 42, mode, "doc_id"), "place").select(F.lit(kind).alias("kind"), (F.col("place") + 1).alias("place"), "doc_id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 5000")
 def first_by_value(spark, d):
     """The first rows by a value, found by counts of its ranges."""

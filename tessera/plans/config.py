@@ -4,8 +4,15 @@ secrets."""
 from __future__ import annotations
 
 import os
+import posixpath
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.sql import SparkSession
+
+from tessera.sources import readers
+
 MODES = ("dynamic", "pre_rendered", "realistic")
 
 
@@ -101,8 +108,17 @@ class Preparation:
 
 
 def resolved(path: str, base: str) -> str:
-    """A path relative to the settings file's folder."""
-    return path if os.path.isabs(path) else os.path.normpath(os.path.join(base, path))
+    """A path relative to the settings file's folder, which may be of another file system."""
+    if os.path.isabs(path) or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return path
+    system, mark, folder = base.rpartition("://")
+    return system + mark + posixpath.normpath(posixpath.join(folder, path))
+
+
+def loaded(spark: SparkSession, path: str, kind: Callable[[dict, str], object]):
+    """What ``kind`` (``evaluation``, ``training`` or ``preparation``) makes of a settings file, its paths
+    relative to the file's folder."""
+    return kind(readers.settings(spark, path), posixpath.dirname(path))
 
 
 def filled(kind, values: dict):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -34,6 +35,31 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[text.na(F.col(f"`{n}`")).alias(n) for n in names])
 
 
+def settings(spark: SparkSession, path: str, most: int = 1 << 20) -> dict:
+    """A file of settings, by the path's own file system: YAML, or JSON by its ending and where the
+    ``yaml`` library is missing. An empty file has none; over ``most`` bytes, another thing than
+    names with values, and a file that can't be read as either are a ``ValueError``."""
+    files = spark.read.format("binaryFile").load(path)
+    if any(r.length > most for r in files.select("length").collect()):
+        raise ValueError(f"{path} has over {most} bytes")
+    held = files.select("content").first()  # nothing where the file is empty
+    body = bytes(held.content).decode() if held else ""
+    try:
+        import yaml
+    except ImportError:
+        yaml = None
+    if yaml and not path.lower().endswith(".json"):
+        try:
+            values = yaml.safe_load(body)
+        except yaml.YAMLError as wrong:
+            raise ValueError(f"{path} isn't YAML: {wrong}") from wrong
+    else:
+        values = json.loads(body) if body.strip() else None
+    if not isinstance(values, dict | None):
+        raise ValueError(f"{path} doesn't hold names with values")
+    return values or {}
+
+
 def discovered(spark: SparkSession, root: str, keywords: list[str] | None = None) -> DataFrame:
     """CSV files under ``root`` (any case of the ending) whose path holds a keyword."""
     files = manifest(spark, root).filter(F.lower("path").endswith(".csv"))

@@ -71,9 +71,18 @@ def records(df: DataFrame, most: int = 10_000) -> str:
     return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2)
 
 
+def settings_file(spark: SparkSession, path: str, content: dict) -> None:
+    """Settings as one YAML file in their own order, by the path's own file system; as JSON, which
+    readers of YAML take too, where the ``yaml`` library is missing."""
+    try:
+        import yaml
+    except ImportError:
+        return json_file(spark, path, content)
+    return json_file(spark, path, yaml.safe_dump(content, allow_unicode=True, sort_keys=False))
+
+
 def json_file(spark: SparkSession, path: str, content) -> None:
-    """Settings or a few metrics as one JSON file, indented, by the path's own file system. A
-    reader of YAML reads it too."""
+    """A few metrics as one JSON file, indented, by the path's own file system; text as it is."""
     body = content if isinstance(content, str) else json.dumps(content, ensure_ascii=False, indent=2)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)

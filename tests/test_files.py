@@ -283,6 +283,34 @@ def test_settings():
     assert config.overrides({"hydra_cli_overrides": {"a.b": 1, "c.d": True}, "a.b": None, "e": 2}) == {"a.b": "null", "c.d": "true"}
 
 
+def test_settings_files(spark, tmp_path, monkeypatch):
+    values = {"name": "é: x", "none": None, "list": [1, 2.5, True], "nested": {"a": [{"b": "no"}]}}
+    path = str(tmp_path / "conf/a.yaml")
+    writers.settings_file(spark, path, values)
+    assert readers.settings(spark, path) == values
+    (tmp_path / "b.yaml").write_text("# a comment\nbenchmarks:\n  - name: a\n    csv_path: ../x.csv  # relative\ngpu_ids: [1, 2]\n")
+    got = config.loaded(spark, str(tmp_path / "b.yaml"), config.evaluation)
+    assert got.benchmarks[0].csv_path == str(tmp_path.parent / "x.csv") and got.gpu_ids == [1, 2] and got.seed == 3407
+    for name, text in (("c.yaml", "- a\n"), ("d.yaml", "a: [1\n"), ("e.json", "{")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            readers.settings(spark, str(tmp_path / name))
+    (tmp_path / "f.yaml").write_text("")
+    assert readers.settings(spark, str(tmp_path / "f.yaml")) == {}
+    with pytest.raises(ValueError, match="bytes"):
+        readers.settings(spark, path, most=10)
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    writers.settings_file(spark, path, values)
+    assert readers.settings(spark, path) == values == json.loads(Path(path).read_text())
+
+
+def test_resolved_paths():
+    base = "hdfs://name:8020/conf/x"
+    assert config.resolved("../a.csv", base) == "hdfs://name:8020/conf/a.csv"
+    assert [config.resolved(p, base) for p in ("/a", "s3a://b/c", "file:/d")] == ["/a", "s3a://b/c", "file:/d"]
+    assert config.resolved("a.csv", "") == "a.csv" and config.resolved("a.csv", "/base/./") == "/base/a.csv"
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log/a.txt").write_text("x\nstep:3 - critic/rewards/mean:0.5 - y\nstep:9 critic/rewards/mean:-1e-2\nTraining Progress: 5%|#| 2/40\nstep:abc\n")
