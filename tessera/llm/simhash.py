@@ -9,13 +9,14 @@ fewer differing bits.
 Candidates, over distinct fingerprints only: the 64 bits lie on a ring of eight
 8-bit segments. If at most 2 bits differ in all, the pigeonring principle gives a
 start from which every chain of ``l`` consecutive segments has at most ``l * 2 / 8``
-differing bits: none in the first three, at most one in the first seven. So of the four
-segments after the three exact ones at most one differs; leaving out each of them in turn
-gives four keys of six exact segments (48 bits) for each start, and every link has one of
-them. Keys are joined, then the cumulative differences of the chain are checked against
-their budgets before the full Hamming distance. A key leaves 16 bits open, so however large
+differing bits: none in the first three, at most one in the first seven. So a chain's three
+exact segments are its key, eight for each fingerprint, and fingerprints of one key are joined on
+the budget of the longer chain, before the full Hamming distance. A key that over ``CROWDED``
+distinct fingerprints share is split by the chain's next segments: of the four after the exact ones at
+most one differs, so leaving out each of them in turn gives four keys of six exact segments
+(48 bits), of which every link has one. Such a key leaves 16 bits open, so however large
 the corpus and however dense a group is, at most 2**16 distinct fingerprints share it, and
-it is those that are near copies of each other already.
+it is those that are near copies of each other already. No pair is left out either way.
 
 Components come from alternating large-star and small-star rounds on the links.
 
@@ -28,6 +29,9 @@ takes part in linking, but never is a component id unless all ids in it are null
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,6 +46,8 @@ TAU = 2
 SEGMENTS, WIDTH = 8, 8
 #: Segments that a chain has exact, and how far it goes with at most one differing bit.
 EXACT, REACH = 3, 7
+#: Distinct fingerprints of one chain's exact segments that are joined as they are; more are split.
+CROWDED = 64
 #: Shingles hashed at once; bounds the bits of a long text that are held.
 AT_ONCE = 1 << 18
 
@@ -96,51 +102,48 @@ def fingerprinted(docs: DataFrame, text: str = "text", name: str = "fp") -> Data
     return frames.append(docs, [T.StructField(name, T.LongType())], compute, text)
 
 
-def _segments(fp: Column, start: int, count: int) -> Column:
-    """``count`` segments of the ring from ``start`` on, as the lowest bits."""
-    turn = start * WIDTH
-    turned = fp if not turn else F.shiftrightunsigned(fp, turn).bitwiseOR(F.shiftleft(fp, 64 - turn))
-    return turned.bitwiseAND(F.lit((1 << (count * WIDTH)) - 1))
+def _mask(start: int, segments: Iterable[int]) -> Column:
+    """Ones in the ring's segments that are so far after ``start``, as a signed long."""
+    x = sum(((1 << WIDTH) - 1) << ((start + k) % SEGMENTS * WIDTH) for k in segments)
+    return F.lit(x - (1 << 64) if x >> 63 else x)
 
 
-def _keys() -> list[tuple[int, int, int]]:
-    """(start of a chain, the segment left out after its exact ones, mask of what is exact);
-    two starts may leave the same segments open, which counts once."""
-    found: dict[int, tuple[int, int, int]] = {}
-    whole = (1 << 64) - 1
-    for start in range(SEGMENTS):
-        for out in range(EXACT, REACH):
-            open_ = 0
-            for segment in (start + out, start + REACH):
-                open_ |= ((1 << WIDTH) - 1) << (segment % SEGMENTS * WIDTH)
-            found.setdefault(whole ^ open_, (start, out, whole ^ open_))
-    return list(found.values())
+def _of_start(masks: list[Column]) -> Column:
+    return F.get(F.array(*masks), F.col("start"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose key another fingerprint has too, with their number ``n``. Counts are merged before the shuffle."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1")
+    return frames.stored(rows.join(counts, by))
 
 
-def _within_budgets(differ: Column) -> Column:
-    """Whether from some start every chain keeps its budget of differing bits."""
-    out = F.lit(False)
-    for start in range(SEGMENTS):
-        ok = (_segments(differ, start, EXACT) == 0) & (F.bit_count(_segments(differ, start, REACH)) <= 1)
-        out = out | ok
-    return out
+def _pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (a, b), a > b, of one key whose chain keeps its budget: the mask of its segments rides along."""
+    x, y = rows.alias("x"), rows.alias("y")
+    on = reduce(Column.__and__, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in by])
+    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    chain = F.bit_count(differ.bitwiseAND(F.col("x.reach"))) <= REACH * TAU // SEGMENTS
+    return x.join(y, on & (F.col("x.fp") > F.col("y.fp")) & chain).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, that connect just what is within TAU bits.
+def candidates(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Pairs (a, b), a > b, perhaps repeated, with a chain within its budgets; all links are among them.
     ``distinct``: one row for each fingerprint ``fp``, already materialised."""
-    masks = F.array(*[F.lit(_signed(mask)) for _, _, mask in _keys()])
-    keyed = distinct.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    # Most keys are held by one fingerprint; counts are merged before the shuffle.
-    held = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).filter("n > 1").select("k", "key")
-    shared = frames.stored(keyed.join(held, ["k", "key"]))
-    pairs = shared.alias("x").join(shared.alias("y"), ["k", "key"]).filter("x.fp > y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    return pairs.filter(_within_budgets(differ)).filter(F.bit_count(differ) <= TAU).distinct()
+    exact = F.array(*[_mask(s, range(EXACT)) for s in range(SEGMENTS)])
+    reach = [_mask(s, range(REACH)) for s in range(SEGMENTS)]
+    chains = distinct.select("fp", F.posexplode(exact).alias("start", "mask")).select("fp", "start", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    held = _shared(chains, ["start", "key"]).withColumn("reach", _of_start(reach))
+    few = _pairs(held.filter(F.col("n") <= crowded), ["start", "key"])
+    without = [F.array(*[_mask(s, [k for k in range(REACH) if k != out]) for out in range(EXACT, REACH)]) for s in range(SEGMENTS)]
+    split = held.filter(F.col("n") > crowded).select("fp", "start", "reach", F.posexplode(_of_start(without)).alias("out", "mask"))
+    split = _shared(split.select("fp", "start", "reach", "out", F.col("fp").bitwiseAND(F.col("mask")).alias("key")), ["start", "out", "key"])
+    return few.unionByName(_pairs(split, ["start", "out", "key"]))
+
+
+def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Links (a, b), a > b, that connect just what is within TAU bits."""
+    return candidates(distinct, crowded).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

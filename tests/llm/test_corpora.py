@@ -139,11 +139,25 @@ def test_links_in_dense_groups(spark):
     assert {frozenset(p for p in have if have[p] == x) for x in set(have.values())} == {frozenset(p for p in points if want[p] == x) for x in linked}
 
 
-def test_every_pair_within_reach_has_a_key():
-    masks = [mask for _, _, mask in simhash._keys()]
-    for i, j in itertools.combinations_with_replacement(range(64), 2):
-        assert any((1 << i | 1 << j) & mask == 0 for mask in masks)
-    assert len(masks) == 28 and all(mask.bit_count() == 48 for mask in masks)
+@pytest.mark.parametrize("crowded", [2, 64, 10**9])
+def test_chains_find_all_links_and_prune(spark, crowded):
+    """All places of one and two differing bits, and random ones: every link is a candidate, and
+    chains leave fewer pairs than share three segments."""
+    r = random.Random(8)
+    whole = (1 << 64) - 1
+    centre = r.getrandbits(64)
+    points = {centre ^ (1 << i | 1 << j) for i, j in itertools.combinations_with_replacement(range(0, 64, 3), 2)} | {centre}
+    points |= {centre ^ sum(1 << k for k in r.sample(range(64), 3)) for _ in range(200)} | {r.getrandbits(64) for _ in range(200)}
+    pairs = list(itertools.combinations(sorted(points, key=lambda p: p - (1 << 64) if p >> 63 else p), 2))
+    ring = lambda x, start, n: (x >> 8 * start | x << 64 - 8 * start) & (1 << 8 * n) - 1
+    sharing = {(b, a) for a, b in pairs if any(ring(a ^ b, s, 3) == 0 for s in range(8))}
+    chained = {(b, a) for a, b in pairs if any(ring(a ^ b, s, 3) == 0 and ring(a ^ b, s, 7).bit_count() <= 1 for s in range(8))}
+    linked = {(b, a) for a, b in pairs if (a ^ b).bit_count() <= 2}
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
+    of = lambda rows: {(x.a & whole, x.b & whole) for x in rows.collect()}
+    found = of(simhash.candidates(df, crowded))
+    assert found == chained and linked == of(simhash.links(df, crowded)) and linked <= chained
+    assert 0 < len(linked) < len(chained) < len(sharing) / 2
 
 
 def test_components_of_a_long_chain(spark):
