@@ -116,9 +116,10 @@ def csv_discovery(spark, d):
 def image_contents(spark, d):
     """Bytes by path, with a white image for what is missing."""
     pages = table(spark, d, "pages")
-    files = pages.filter("page_id % 3 <> 0").select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content"))
-    asked = pages.select("page_id", "url")
-    return readers.with_contents(asked, "url", files).select("page_id", F.md5(readers.stored_image(F.col("content"))).alias("digest"))
+    named = pages.withColumn("path", F.concat(F.col("page_id").cast("string"), F.lit(".png")))  # pages may share a url, but no file
+    files = named.filter("page_id % 3 <> 0").select("path", F.encode("html", "utf-8").alias("content"))
+    asked = named.select("page_id", "path")
+    return readers.with_contents(asked, "path", files).select("page_id", F.md5(readers.stored_image(F.col("content"))).alias("digest"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 1")

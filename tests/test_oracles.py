@@ -37,3 +37,12 @@ def test_matches_sql(spark, duck, name):
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
+
+
+def test_pages_that_share_a_url_keep_their_own_contents(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"u{k % 2}", f"<p>{k}</p>") for k in range(8)] + [(8, None, "x")], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalogue.QUERIES["image_contents"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(catalogue.ORACLE_SQL["image_contents"]).fetchall())
