@@ -1,7 +1,8 @@
 """Molecule strings: canonical forms and fingerprints as columns.
 
 ``Graph`` reads strings with ``chemistry`` on Arrow batches, one call for all that a reward needs
-of a string; a worker keeps what it said of recent strings, as golds and completions repeat.
+of a string, another for its canonical form alone; a worker keeps what it said of recent strings, as golds
+and completions repeat.
 Another chemistry can take its place by the same protocol.
 """
 
@@ -9,7 +10,8 @@ from __future__ import annotations
 
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,22 +26,54 @@ class Backend(Protocol):
         achiral_fingerprint; canonical forms are null for invalid strings."""
         ...
 
+    def canonical(self, c: Column) -> Column:
+        """Struct of text, valid and canonical alone."""
+        ...
+
+
+def _lists(found: list) -> pa.Array:
+    """Fingerprints as lists of integers, without an object for each number."""
+    sizes = np.array([0 if x is None else len(x) for x in found], np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int16), *[x for x in found if x is not None]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in found], pa.bool_()))
+
+
+def _columns(strings: pa.Array, describe, types: dict) -> pa.StructArray:
+    """A struct of each string and what ``describe`` says of it."""
+    texts = [s or "" for s in strings.to_pylist()]
+    rows = [describe(s) for s in texts]
+    held = [pa.array(texts, pa.string())]
+    for k, kind in enumerate(list(types.values())[1:]):
+        found = [r[k] for r in rows]
+        held.append(_lists(found) if kind is None else pa.array(found, kind))
+    return pa.StructArray.from_arrays(held, names=list(types))
+
+
+_TYPES = {"text": pa.string(), "valid": pa.bool_(), "canonical": pa.string(), "fingerprint": None, "achiral_valid": pa.bool_(), "achiral": pa.string(), "achiral_fingerprint": None}
+
 
 class Graph:
     """Canonical forms by partition refinement, fingerprints by bond paths. A null counts as empty, an empty
     string is invalid."""
 
     def function(self):
-        @F.pandas_udf(SCHEMA)
-        def describe(strings: pd.Series) -> pd.DataFrame:
-            rows = [(s, *chemistry.described(s)) for s in strings.fillna("")]
-            return pd.DataFrame(rows, columns=["text", "valid", "canonical", "fingerprint", "achiral_valid", "achiral", "achiral_fingerprint"])
+        @F.arrow_udf(SCHEMA)
+        def describe(strings: pa.Array) -> pa.Array:
+            return _columns(strings, chemistry.described, _TYPES)
 
         return describe
 
     def described(self, c: Column) -> Column:
         return self.function()(c)
 
+    def canonical(self, c: Column) -> Column:
+        @F.arrow_udf("struct<text string, valid boolean, canonical string>")
+        def form(strings: pa.Array) -> pa.Array:
+            return _columns(strings, chemistry.canonical, {k: _TYPES[k] for k in ("text", "valid", "canonical")})
+
+        return form(c)
+
 
 def for_evaluation(c: Column) -> Column:
     """What evaluation canonicalises: without marks of cis and trans bonds, and with

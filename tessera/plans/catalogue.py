@@ -619,9 +619,11 @@ def ground_truth_unwrap(spark, d):
 
 def _replies(spark, d):
     """Assistant turns; the gold is the conversation's first user turn."""
-    conv = session.spread(table(spark, d, "conversations"))
+    conv = table(spark, d, "conversations")
     gold = conv.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("gold"))
-    return conv.filter("role = 'assistant'").join(gold, "conv_id").select("conv_id", "turn", "gold", "text")
+    replies = conv.filter("role = 'assistant'").join(gold, "conv_id").select("conv_id", "turn", "gold", "text")
+    # Up to 64 turns of one gold stay together, so that it is described once; more are further tasks' work.
+    return session.spread(replies, "conv_id", F.floor(F.col("turn") / 64), rows=conv.filter("role = 'assistant'").count())
 
 
 # Texts spell molecules: each word is an atom of a chain, by its length, and the chain's

@@ -46,10 +46,16 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A stored table for costly work on each row: dealt out to all cores where its files give fewer tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Fixed value: how many rows a task of costly work on each row gets.
+TASK_ROWS = 4096
+
+
+def spread(df: DataFrame, *keys, rows: int | None = None) -> DataFrame:
+    """A table for costly work on each row: dealt out in tasks of about TASK_ROWS rows, however many there are, and to
+    all cores if there are few; by ``keys`` where rows with equal ones should meet. ``rows``: the table's number of
+    rows, if it isn't a stored one, whose files tell it."""
+    n = df.count() if rows is None else rows
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)), *keys)
 
 
 def deleted(spark: SparkSession, path: str) -> None:

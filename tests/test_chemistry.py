@@ -223,3 +223,22 @@ def test_reward_by_name(spark):
     assert spark.sql("SELECT compute_score('a', 'OCC', 'CCO', '{}') AS x").first().x == pytest.approx(7.5 / 8.5)
     score = df.select("g", "p", curate.compute_score(None, F.col("p"), F.col("g"), backend=molecules.Graph()).alias("x"))
     assert {(r.g, r.p): r.x for r in score.collect()} == {(r.g, r.p): pytest.approx(r.x) for r in spark.sql("SELECT g, p, compute_score(null, p, g) AS x FROM {df}", df=df).collect()}
+
+
+def test_kept_fingerprints_are_small():
+    """A worker's memory doesn't grow with its rows: answers take two bytes a number, and few are kept."""
+    found = chemistry.described("CCN(C)C(=O)O" * 20)
+    assert found[2].itemsize == 2 and found[2].tolist() == chemistry.bits(chemistry.paths(chemistry.read("CCN(C)C(=O)O" * 20)))
+    assert chemistry._KEPT * max(2 * 2 * 2048, 4 * chemistry._LONGEST) < 1 << 27
+
+
+def test_tasks_of_costly_work_are_bounded(spark, monkeypatch):
+    from tessera import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    df = spark.range(1000).selectExpr("id", "id % 300 as k")
+    sizes = session.spread(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) <= 70
+    met = session.spread(df, "k", rows=1000).rdd.mapPartitionsWithIndex(lambda at, rows: {(r.k, at) for r in rows}).collect()
+    assert len(met) == 300 and len({at for _, at in met}) > 10
+    assert session.spread(df.limit(3)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
