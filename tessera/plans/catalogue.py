@@ -772,7 +772,7 @@ def canonical_forms(spark, d):
     """What stands for an invalid string: itself in evaluation, nothing in rewards."""
     given = F.concat(_spelled(F.col("x")), F.when(F.col("turn") % 4 == 3, "(").otherwise(""))
     rows = session.spread(table(spark, d, "conversations")).withColumn("x", _chain(_atoms(F.col("text")), F.col("conv_id")))
-    forms = session.materialised(rows.select("conv_id", "turn", BACKEND.described(given).alias("x")).select("conv_id", "turn", molecules.canonical_for_evaluation(F.col("x")).alias("form"), (molecules.canonical_for_reward(F.col("x")) == text.EMPTY).alias("nothing")))
+    forms = session.materialised(rows.select("conv_id", "turn", BACKEND.canonical(given).alias("x")).select("conv_id", "turn", molecules.canonical_for_evaluation(F.col("x")).alias("form"), (molecules.canonical_for_reward(F.col("x")) == text.EMPTY).alias("nothing")))
     return forms.join(forms.groupBy("form").agg(F.count("*").alias("alike")), "form").select("conv_id", "turn", "alike", "nothing")
 
 
@@ -792,7 +792,7 @@ def ring_spellings(spark, d):
     turned = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.element_at(held, ((F.col("p_partkey") + 5 - k) % 6 + 1).cast("int")))
     aromatic = F.concat(F.lit("c1"), at[0], *[x for a in at[1:5] for x in (F.lit("c"), a)], F.lit("c1"), at[5])
     kekule = F.concat(F.lit("C1"), turned[0], *[x for k in range(1, 5) for x in (F.lit("=C" if k % 2 else "C"), turned[k])], F.lit("=C1"), turned[5])
-    forms = session.spread(table(spark, d, "part")).select("p_partkey", BACKEND.described(aromatic)["canonical"].alias("a"), BACKEND.described(kekule)["canonical"].alias("b"))
+    forms = session.spread(table(spark, d, "part")).select("p_partkey", BACKEND.canonical(aromatic)["canonical"].alias("a"), BACKEND.canonical(kekule)["canonical"].alias("b"))
     return forms.join(forms.groupBy("a").agg(F.min("p_partkey").alias("first")), "a").select("p_partkey", (F.col("a") == F.col("b")).alias("same"), "first")
 
 

@@ -242,3 +242,20 @@ def test_tasks_of_costly_work_are_bounded(spark, monkeypatch):
     met = session.spread(df, "k", rows=1000).rdd.mapPartitionsWithIndex(lambda at, rows: {(r.k, at) for r in rows}).collect()
     assert len(met) == 300 and len({at for _, at in met}) > 10
     assert session.spread(df.limit(3)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_canonical_alone():
+    for s in ("OCC", "N[C@@H](C)O", "C(", "", "F/C=C/F name", "c1ccccc1"):
+        assert chemistry.canonical(s) == chemistry.described(s)[:2]
+
+
+def test_canonical_forms_draws_no_fingerprints(spark, monkeypatch):
+    from tessera.plans import catalogue
+
+    class Forms(molecules.Graph):
+        def described(self, c):
+            raise AssertionError("only forms are needed")
+
+    monkeypatch.setattr(catalogue, "BACKEND", Forms())
+    for name in ("canonical_forms", "ring_spellings"):
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count()
