@@ -100,3 +100,19 @@ def test_files_are_whole_and_written_once(spark, tmp_path):
     there = readers.manifest(spark, f"{tmp_path}/deep").select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
     assert {r.k: r.status for r in writers.rendered(tasks, there, writers.saving(draw)).collect()} == {k: "failed" if k % 7 == 0 else "skipped_exists" for k in range(40)}
     assert writers.put_file(f"file://{tmp_path}/x.bin", b"a") and (tmp_path / "x.bin").read_bytes() == b"a"
+
+
+def test_runs_of_a_stream_share_calls(spark, tmp_path, monkeypatch):
+    """However many runs there are, a trigger makes a bounded number of calls and states."""
+    monkeypatch.setattr(logs, "_GROUPS", 2)
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(50)]), k, r.choice([None, k, -k, r.randrange(500)])) for k in range(600)]
+    lines = spark.createDataFrame(rows, "run long, at long, step long")
+    for k in range(3):
+        lines.filter(F.floor(F.col("at") / 200) == k).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = logs.advancing(spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in")), "run", "at")
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, logs.advances(lines, "run", "at").collect()))
