@@ -259,3 +259,15 @@ def test_canonical_forms_draws_no_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "BACKEND", Forms())
     for name in ("canonical_forms", "ring_spellings"):
         assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("name", ["reward_reft", "compute_score_by_name"])
+def test_rewards_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch, name):
+    from tessera import session
+    from tessera.plans import catalogue
+
+    whole = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    got = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() == max(4, -(-len(whole) // 5))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole))
