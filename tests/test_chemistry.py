@@ -271,3 +271,16 @@ def test_rewards_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch, name):
     got = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert got.rdd.getNumPartitions() == max(4, -(-len(whole) // 5))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole))
+
+
+def test_curation_is_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    from tessera import session
+    from tessera.plans import catalogue
+
+    d, dealt, best = "/root/testdata/sf0.001", [], curate.best
+    whole = catalogue.curation_funnel(spark, d).collect()
+    replies = spark.read.parquet(f"{d}/conversations.parquet").filter("role = 'assistant'").count()
+    monkeypatch.setattr(session, "TASK_ROWS", 5, raising=False)
+    monkeypatch.setattr(curate, "best", lambda rows, *rest: dealt.append(rows.rdd.getNumPartitions()) or best(rows, *rest))
+    assert catalogue.curation_funnel(spark, d).collect() == whole
+    assert dealt == [-(-replies // 5)] and dealt[0] > spark.sparkContext.defaultParallelism
